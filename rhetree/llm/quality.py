@@ -33,7 +33,7 @@ RULES = (
     Rule("few_words", "n_words < 50"),
     Rule("repeated_words", "100 * n_repeat_words > 50 * n_words"),
     Rule("repeated_lines", "n_lines >= 4 AND 10 * n_dup_lines > 3 * n_lines"),
-    Rule("symbols", "10 * n_symbols > n_words"),
+    Rule("symbols", "n_symbols > n_words"),
     Rule("short_words", "word_chars < 3 * n_words"),
     Rule("long_words", "word_chars > 10 * n_words"),
     Rule("many_words", "n_words > 100000"),

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .common import table
+from .packing import packing_digest
 from .quality import quality_digest
 from .secrets import secrets_digest
 from .sharding import sharding_digest
+from .token_files import token_file_digest
 
 
 def op1_secret_scan(spark, sf_dir):
@@ -20,5 +22,16 @@ def op4_sharding(spark, sf_dir):
     return sharding_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_quality_rules, op4_sharding)}
+def op5_token_files(spark, sf_dir):
+    return token_file_digest(table(spark, sf_dir, "documents"))
+
+
+def op10_packing(spark, sf_dir):
+    return packing_digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_secret_scan, op3_quality_rules, op4_sharding, op5_token_files, op10_packing)
+}
 SQL: dict[str, str] = {}
