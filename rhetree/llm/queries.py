@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .byte_bpe import bpe_digest
 from .common import table
 from .packing import packing_digest
 from .quality import quality_digest
@@ -26,12 +27,16 @@ def op5_token_files(spark, sf_dir):
     return token_file_digest(table(spark, sf_dir, "documents"))
 
 
+def op8_byte_bpe(spark, sf_dir):
+    return bpe_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark, sf_dir):
     return packing_digest(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_secret_scan, op3_quality_rules, op4_sharding, op5_token_files, op10_packing)
+    for f in (op1_secret_scan, op3_quality_rules, op4_sharding, op5_token_files, op8_byte_bpe, op10_packing)
 }
 SQL: dict[str, str] = {}
