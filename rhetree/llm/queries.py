@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .byte_bpe import bpe_digest
 from .common import table
+from .embedding_dedup import embedding_links
 from .packing import packing_digest
 from .quality import quality_digest
 from .secrets import secrets_digest
@@ -27,6 +28,10 @@ def op5_token_files(spark, sf_dir):
     return token_file_digest(table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_dedup(spark, sf_dir):
+    return embedding_links(table(spark, sf_dir, "embeddings"))
+
+
 def op8_byte_bpe(spark, sf_dir):
     return bpe_digest(table(spark, sf_dir, "documents"))
 
@@ -37,6 +42,6 @@ def op10_packing(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_secret_scan, op3_quality_rules, op4_sharding, op5_token_files, op8_byte_bpe, op10_packing)
+    for f in (op1_secret_scan, op3_quality_rules, op4_sharding, op5_token_files, op6_embedding_dedup, op8_byte_bpe, op10_packing)
 }
 SQL: dict[str, str] = {}
