@@ -5,6 +5,7 @@ from __future__ import annotations
 from .byte_bpe import bpe_digest
 from .common import table
 from .embedding_dedup import embedding_links
+from .language_id import language_digest
 from .packing import packing_digest
 from .quality import quality_digest
 from .secrets import secrets_digest
@@ -36,12 +37,19 @@ def op8_byte_bpe(spark, sf_dir):
     return bpe_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark, sf_dir):
+    return language_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark, sf_dir):
     return packing_digest(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_secret_scan, op3_quality_rules, op4_sharding, op5_token_files, op6_embedding_dedup, op8_byte_bpe, op10_packing)
+    for f in (
+        op1_secret_scan, op3_quality_rules, op4_sharding, op5_token_files, op6_embedding_dedup, op8_byte_bpe,
+        op9_language_id, op10_packing,
+    )
 }
 SQL: dict[str, str] = {}
