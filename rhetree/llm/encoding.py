@@ -17,10 +17,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Characters of text worked on at once, and distinct pieces remembered by a worker.
-SLICE_CHARS = 16_000_000
-REMEMBERED = 1_000_000
-#: Pieces given to the tokenizers library at once.
-AT_ONCE = 20_000
+SLICE_CHARS = 4_000_000
+REMEMBERED = 700_000
+#: Pieces joined to one text for the tokenizers library, and such texts given at once.
+JOINED = 1000
+AT_ONCE = 20
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
@@ -55,10 +56,46 @@ class PieceEncoder:
         self.known: dict[str, int] = {}
         self.first = np.zeros(1, np.int64)
         self.flat = np.zeros(0, np.uint32)
+        # what may stand between pieces without a change to their ids, and its own id
+        marks = ["\u2665", "\u2605", "\u00ae", "\u00a3", "|"] if words_only else ["\n"]
+        self.mark = next(m for m in marks if len(self._ids([m])[0]) == 1)
+        self.between = f" {self.mark} " if words_only else self.mark
+        self.mark_id = self._ids([self.mark])[0][0]
 
-    def _encode(self, texts: list[str]) -> list[list[int]]:
+    def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    _whole = _ids
+
+    def _joins(self, piece: str) -> bool:
+        """Whether a piece may be joined with others: it has blanks at most as its first space."""
+        word = piece if self.words_only else piece.removeprefix(" ")
+        return self.mark not in word and len(word.split()) == 1 and not (word[0].isspace() or word[-1].isspace())
+
+    def _encode(self, pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The pieces in some order, all their ids in a row, and the number of ids of each.
+
+        Pieces are joined with a mark between them that no piece has, and cut at its id.
+        """
+        joins = [p for p in pieces if self._joins(p)]
+        alone = [p for p in pieces if not self._joins(p)] if len(joins) < len(pieces) else []
+        texts = [self.between.join(joins[i : i + JOINED]) for i in range(0, len(joins), JOINED)]
+        found, sizes = [], []
+        for i in range(0, len(texts), AT_ONCE):
+            for ids in self._ids(texts[i : i + AT_ONCE]):
+                ids = np.array(ids, np.uint32)
+                cut = ids == self.mark_id
+                at = np.flatnonzero(cut)
+                sizes.append(np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1)
+                found.append(ids[~cut])
+        for ids in self._ids(alone):
+            found.append(np.array(ids, np.uint32))
+            sizes.append(np.array([len(ids)]))
+        sizes = np.concatenate([np.zeros(0, np.int64), *sizes])
+        if len(sizes) != len(pieces):
+            raise RuntimeError("the mark between pieces was not found again")
+        return joins + alone, np.concatenate([np.zeros(0, np.uint32), *found]), sizes
+
     def _atoms(self, piece: str) -> list[str]:
         """What a piece may be cut into further: at single line breaks, and before a last comma or full stop."""
         parts = [piece]
@@ -91,10 +128,8 @@ class PieceEncoder:
         if new:
             cuts = [self._atoms(p) for p in new]
             atoms = [a for a in dict.fromkeys(chain.from_iterable(cuts)) if a not in known]
-            for i in range(0, len(atoms), AT_ONCE):
-                ids = self._encode(atoms[i : i + AT_ONCE])
-                lengths = np.fromiter(map(len, ids), np.int64, count=len(ids))
-                self._keep(atoms[i : i + AT_ONCE], np.fromiter(chain.from_iterable(ids), np.uint32), lengths)
+            if atoms:
+                self._keep(*self._encode(atoms))
             joined = {p: c for p, c in zip(new, cuts, strict=True) if len(c) > 1}
             if joined:
                 place = np.fromiter(map(known.__getitem__, chain.from_iterable(joined.values())), np.int64)
@@ -136,7 +171,7 @@ class PieceEncoder:
         sums = np.concatenate([[0], np.cumsum(sizes)])
         lengths = sums[ends[1:]] - sums[ends[:-1]]
         if len(whole):
-            fixed = self._encode(texts.take(pa.array(whole)).to_pylist())
+            fixed = self._whole(texts.take(pa.array(whole)).to_pylist())
             parts, at = [], np.concatenate([[0], np.cumsum(lengths)])
             last = 0
             for w, new in zip(whole, fixed, strict=True):
