@@ -14,6 +14,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +25,9 @@ from .common import text_of
 from .encoding import PieceEncoder, slices
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Rows that one recursive query starts from, and texts' bytes worked on at once.
+#: Bytes of words that one recursive query starts from.
 BYTES_AT_ONCE = 150_000
-DUCKDB = {"threads": 1, "memory_limit": "400MB"}
+DUCKDB = {"threads": 1, "memory_limit": "250MB"}
 
 #: `pos` numbers the tokens of all words in a row; `best` is the lowest rank of a word's
 #: pairs, then the leftmost place, in one number. Words without a pair are finished.
@@ -109,7 +110,12 @@ class RecursiveBpe(PieceEncoder):
         word, tok = out.column("word").to_numpy(), out.column("tok").to_numpy()
         return np.split(tok, np.searchsorted(word, np.arange(1, len(words))))
 
-    def _encode(self, texts: list[str]) -> list[list[int]]:
+    def _encode(self, pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        ids = self._whole(pieces)
+        sizes = np.fromiter(map(len, ids), np.int64, count=len(ids))
+        return pieces, np.fromiter(chain.from_iterable(ids), np.uint32, count=int(sizes.sum())), sizes
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
         cut = [self.split(t) for t in texts]
         distinct = list(dict.fromkeys(w for words in cut for w in words))
         ids: dict[str, list[int]] = {}
@@ -139,7 +145,7 @@ class RecursiveBpe(PieceEncoder):
             pa.large_binary(), len(at), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), data]
         ).dictionary_encode()
         keys = runs.dictionary.to_pylist()
-        if len(self.decoded) > 500_000:
+        if len(self.decoded) > 300_000:
             self.decoded = {}
         new = [k for k in keys if k not in self.decoded]
         for i in range(0, len(new), 50_000):
@@ -190,6 +196,15 @@ def encoded(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
     return slim.mapInArrow(encode, f"doc_id {kind}, ids array<int>")
 
 
+def _decoded(doc_id: pa.Array, ids: np.ndarray, lengths: np.ndarray, ranks: str) -> pa.RecordBatch:
+    flat, ends = ids.astype("<u4"), np.cumsum(lengths).tolist()
+    sums = [hashlib.sha256(flat[e - n : e].tobytes()).hexdigest() for e, n in zip(ends, lengths.tolist(), strict=True)]
+    texts = pa.array(coder(ranks).decode(flat, lengths), pa.binary())
+    return pa.RecordBatch.from_arrays(
+        [doc_id, pa.array(lengths), pa.array(sums, pa.string()), texts], ["doc_id", "n_tokens", "ids_sha256", "decoded"]
+    )
+
+
 def decoded(rows: DataFrame, ranks: str = RANKS) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded binary) from (doc_id, ids); null ids count as none."""
 
@@ -199,21 +214,8 @@ def decoded(rows: DataFrame, ranks: str = RANKS) -> DataFrame:
                 batch = whole.slice(at, 2000)
                 lists = batch.column("ids")
                 flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-                lengths = np.array([0 if n is None else n for n in lists.value_lengths().to_pylist()], np.int64)
-                ends = np.cumsum(lengths).tolist()
-                sums = [
-                    hashlib.sha256(flat[e - n : e].tobytes()).hexdigest()
-                    for e, n in zip(ends, lengths.tolist(), strict=True)
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id"),
-                        pa.array(lengths),
-                        pa.array(sums),
-                        pa.array(coder(ranks).decode(flat, lengths), pa.binary()),
-                    ],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded"],
-                )
+                lengths = np.array([n or 0 for n in lists.value_lengths().to_pylist()], np.int64)
+                yield _decoded(batch.column("doc_id"), flat, lengths, ranks)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.select("doc_id", "ids").mapInArrow(
@@ -221,8 +223,18 @@ def decoded(rows: DataFrame, ranks: str = RANKS) -> DataFrame:
     )
 
 
+def round_trip(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
+    """`decoded` of `encoded`, in one pass of one worker: the ids stay in the task that made them."""
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            yield _decoded(batch.column("doc_id"), *coder(ranks).encode(batch.column("text")), ranks)
+
+    slim = docs.select("doc_id", text_of().alias("text"))
+    kind = slim.schema["doc_id"].dataType.simpleString()
+    return slim.mapInArrow(both, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded binary")
+
+
 def bpe_digest(docs: DataFrame) -> DataFrame:
     """Encodes the documents and decodes the ids: counts and hashes of both."""
-    return decoded(encoded(docs)).select(
-        "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+    return round_trip(docs).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -6,6 +6,7 @@ from .byte_bpe import bpe_digest
 from .common import table
 from .embedding_dedup import embedding_links
 from .language_id import language_digest
+from .near_join import near_digest
 from .packing import packing_digest
 from .quality import quality_digest
 from .secrets import secrets_digest
@@ -17,6 +18,10 @@ def op1_secret_scan(spark, sf_dir):
     return secrets_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_near_join(spark, sf_dir):
+    return near_digest(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark, sf_dir):
     return quality_digest(table(spark, sf_dir, "documents"))
 
@@ -48,7 +53,7 @@ def op10_packing(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_secret_scan, op3_quality_rules, op4_sharding, op5_token_files, op6_embedding_dedup, op8_byte_bpe,
+        op1_secret_scan, op2_near_join, op3_quality_rules, op4_sharding, op5_token_files, op6_embedding_dedup, op8_byte_bpe,
         op9_language_id, op10_packing,
     )
 }
