@@ -44,3 +44,18 @@ def written(df: DataFrame, what: str) -> DataFrame:
 def text_of(column: str = "text") -> Column:
     """A text column with null read as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+#: Buckets of a key that a semi-join is reduced by; what is broadcast has as many rows at most.
+BUCKETS = 1 << 18
+
+
+def in_buckets(rows: DataFrame, wanted: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """Rows whose key falls in a bucket of a wanted key (`left_anti`: in none).
+
+    A filter before a join on `key`: it lets all wanted rows pass and few others, so that
+    the others are not shuffled. Only bucket numbers are broadcast, BUCKETS at most.
+    """
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
+    some = wanted.select(bucket(key).alias("_bucket")).distinct()
+    return rows.withColumn("_b", bucket(key)).join(F.broadcast(some), F.col("_b") == F.col("_bucket"), how).drop("_b", "_bucket")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import in_buckets, text_of, written
 from .components import components
 from .encoding import slices
 from .shingles import as_sets, minhashes, multipliers, shingle_hashes, word_hashes
@@ -93,7 +93,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("sid"), lists], ["sid", "shingles"]).filter(same)
 
     texts = docs.select(text_of().alias("text"), F.xxhash64("text").alias("text_key"))
-    rows = texts.join(wanted, "text_key").select("sid", "set_id", "text")
+    rows = in_buckets(texts, wanted, "text_key").join(wanted, "text_key").select("sid", "set_id", "text")
     # copies of a text give its set again
     return rows.mapInArrow(sets, "sid long, shingles array<long>").dropDuplicates(["sid"])
 

@@ -11,6 +11,7 @@ from .packing import packing_digest
 from .quality import quality_digest
 from .secrets import secrets_digest
 from .sharding import sharding_digest
+from .substring_dedup import substring_digest
 from .token_files import token_file_digest
 
 
@@ -38,6 +39,10 @@ def op6_embedding_dedup(spark, sf_dir):
     return embedding_links(table(spark, sf_dir, "embeddings"))
 
 
+def op7_substring_dedup(spark, sf_dir):
+    return substring_digest(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark, sf_dir):
     return bpe_digest(table(spark, sf_dir, "documents"))
 
@@ -53,7 +58,7 @@ def op10_packing(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_secret_scan, op2_near_join, op3_quality_rules, op4_sharding, op5_token_files, op6_embedding_dedup, op8_byte_bpe,
+        op1_secret_scan, op2_near_join, op3_quality_rules, op4_sharding, op5_token_files, op6_embedding_dedup, op7_substring_dedup, op8_byte_bpe,
         op9_language_id, op10_packing,
     )
 }

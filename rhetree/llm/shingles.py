@@ -73,3 +73,63 @@ def as_sets(shingles: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndar
     new = np.ones(len(s), bool)
     new[1:] = (s[1:] != s[:-1]) | (d[1:] != d[:-1])
     return s[new], np.bincount(d[new], minlength=len(many))
+
+
+def words_at(texts: pa.Array):
+    """Words of texts with their places: (hash, text, line, start, end), an array each.
+
+    Words lie between ASCII blanks; `line` numbers the lines of all texts in a row;
+    start and end are code points in the word's text.
+    """
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    buffers = texts.buffers()
+    offsets = np.frombuffer(buffers[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(buffers[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    blank = ((data >= 9) & (data <= 13)) | (data == 32)
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    full = ~blank
+    before = np.concatenate([[False], full[:-1]]) if len(full) else full
+    first = np.flatnonzero(full & (~before | edge[:-1]))
+    after = np.concatenate([full[1:], [False]]) if len(full) else full
+    last = np.flatnonzero(full & (~after | edge[1:])) + 1
+    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    text = np.searchsorted(offsets, first, "right") - 1
+    line = np.cumsum((data == 10) | edge[:-1])[first] if len(first) else np.zeros(0, np.int64)
+    sizes = last - first
+    # polynomial hash of each word's bytes
+    power = np.ones(int(sizes.max()) + 1 if len(sizes) else 1, np.uint64)
+    power[1:] = np.cumprod(np.full(len(power) - 1, MIX))
+    at = np.flatnonzero(full)
+    own = np.repeat(np.arange(len(first)), sizes)
+    terms = (data[at].astype(np.uint64) + np.uint64(1)) * power[at - first[own]]
+    h = np.add.reduceat(terms, np.cumsum(sizes) - sizes) if len(first) else np.zeros(0, np.uint64)
+    h = (h ^ (h >> np.uint64(31))) * MIX2
+    h ^= h >> np.uint64(29)
+    return h, text, line, chars[first] - chars[offsets[text]], chars[last] - chars[offsets[text]]
+
+
+def content_cuts(words: np.ndarray, line: np.ndarray, radius: int) -> np.ndarray:
+    """Whether a paragraph begins at each word: at lines, and where the content says so.
+
+    A cut lies at a word whose three-word hash is the least within `radius` words of the
+    same line on both sides. It depends on those words alone, so a passage is cut alike
+    wherever it stands.
+    """
+    n = len(words)
+    shift = lambda x, k, fill: np.concatenate([x[k:], np.full(min(k, n), fill, x.dtype)])
+    none = np.uint64(0)
+    two = np.where(shift(line, 1, -1) == line, shift(words, 1, none), none)
+    three = np.where(shift(line, 2, -1) == line, shift(words, 2, none), none)
+    h = ((words * MIX) ^ two) * MIX2
+    h = ((h ^ (h >> np.uint64(32))) ^ three) * MIX
+    h ^= h >> np.uint64(30)
+    least = np.ones(n, bool)
+    for k in range(1, min(radius, n - 1) + 1):
+        same = line[k:] == line[:-k]
+        least[:-k] &= ~same | (h[:-k] <= h[k:])
+        least[k:] &= ~same | (h[k:] < h[:-k])
+    begins = np.ones(n, bool)
+    begins[1:] = line[1:] != line[:-1]
+    return begins | least
