@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 
 #: Characters of text worked on at once, and distinct pieces remembered by a worker.
 SLICE_CHARS = 4_000_000
-REMEMBERED = 700_000
+REMEMBERED = 1_400_000
 #: Pieces joined to one text for the tokenizers library, and such texts given at once.
 JOINED = 1000
 AT_ONCE = 20
@@ -70,6 +70,8 @@ class PieceEncoder:
     def _joins(self, piece: str) -> bool:
         """Whether a piece may be joined with others: it has blanks at most as its first space."""
         word = piece if self.words_only else piece.removeprefix(" ")
+        if word.isalnum():
+            return True
         return self.mark not in word and len(word.split()) == 1 and not (word[0].isspace() or word[-1].isspace())
 
     def _encode(self, pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -99,6 +101,8 @@ class PieceEncoder:
     def _atoms(self, piece: str) -> list[str]:
         """What a piece may be cut into further: at single line breaks, and before a last comma or full stop."""
         parts = [piece]
+        if piece.isalpha() or piece[1:].isalpha():
+            return parts
         if "\n" in piece and not self.words_only:
             lines = piece.removeprefix(" ").split("\n")
             if all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
@@ -155,8 +159,10 @@ class PieceEncoder:
             head = np.zeros(len(index), bool)
             head[ends[:-1][counts > 0]] = True
             # a cut is safe between a space and anything but blanks
-            opens = np.array([not w or w[0].isspace() for w in distinct], bool)[index]
-            closes = np.array([not w or w[-1].isspace() for w in distinct], bool)[index]
+            size = pc.binary_length(words.dictionary)
+            bare = [pc.binary_length(f(words.dictionary)) for f in (pc.utf8_ltrim_whitespace, pc.utf8_rtrim_whitespace)]
+            odd = [pc.or_(pc.not_equal(n, size), pc.equal(size, 0)).to_numpy(zero_copy_only=False) for n in bare]
+            opens, closes = odd[0][index], odd[1][index]
             unsafe = ~head & opens
             unsafe[1:] |= ~head[1:] & closes[:-1]
             whole = np.unique(np.searchsorted(ends, np.flatnonzero(unsafe), "right") - 1)
