@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,13 +35,31 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/rhetree-{what}-{uuid.uuid4().hex}"
 
 
+#: Paths of the tables that `written` has made, in order.
+_made: list[str] = []
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """`df` as a table in the shared folder: cuts the lineage, survives lost executors."""
     path = new_path(df.sparkSession, what)
     df.write.option("compression", "zstd").parquet(path)
+    _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def concluded(make: Callable[[], DataFrame], what: str) -> DataFrame:
+    """What `make` returns as a table; the tables that were written on the way to it are deleted."""
+    before = len(_made)
+    out = written(make(), what)
+    sc = out.sparkSession.sparkContext
+    jvm, conf = sc._jvm, sc._jsc.hadoopConfiguration()
+    for name in _made[before:-1]:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+    del _made[before:]
+    return out
+
+
 def text_of(column: str = "text") -> Column:
     """A text column with null read as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_buckets, text_of, written
+from .common import concluded, in_buckets, text_of, written
 from .components import components
 from .encoding import slices
 from .shingles import as_sets, minhashes, multipliers, shingle_hashes, word_hashes
@@ -267,14 +267,14 @@ def near_classes(docs: DataFrame, target: float = TARGET_RECALL) -> DataFrame:
     Texts without a word link with nothing; shorter texts than five words are one
     shingle. Repeated rows are documents of their own.
     """
+    return concluded(lambda: _classes(docs, target), "classes")
+
+
+def _classes(docs: DataFrame, target: float) -> DataFrame:
     rows, named, _ = near_links(docs, target)
     placed = rows.select("doc_id", "text_key", "set_id").join(named, "set_id", "left")
-    least = (
-        placed.where("component IS NOT NULL").groupBy("component")
-        .agg(F.min("doc_id").alias("class_id"))
-    )
-    out = placed.join(least, "component", "left")
-    return out.select(
+    least = placed.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("class_id"))
+    return placed.join(least, "component", "left").select(
         "doc_id", "text_key",
         F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
@@ -294,7 +294,7 @@ def near_filter(docs: DataFrame) -> DataFrame:
     Where rows share that doc_id, one of them stays (that of the smallest text hash).
     Documents without a word are classes of their own.
     """
-    classes = written(near_classes(docs), "classes")
+    classes = near_classes(docs)
     stays = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id")))
     stays = stays.groupBy("doc_id").agg(F.min("text_key").alias("text_key"), F.count(F.lit(1)).alias("rows"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.xxhash64("text").alias("text_key"))

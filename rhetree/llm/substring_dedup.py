@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_buckets, text_of, written
+from .common import concluded, in_buckets, text_of, written
 from .components import components
 from .encoding import slices
 from .shingles import MIX, MIX2, SHINGLE, content_cuts, minhashes, multipliers, shingle_hashes, words_at
@@ -99,9 +99,10 @@ def paragraphs(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def _sets(docs: DataFrame, places: DataFrame) -> DataFrame:
     """(pid, shingles array<string>) of paragraphs given by (pid, text_key, start, end)."""
     texts = docs.select(text_of().alias("text"), F.xxhash64("text").alias("text_key"))
-    found = in_buckets(texts, places, "text_key").join(places, "text_key").dropDuplicates(["pid"])
-    words = F.split(F.expr("substring(text, start + 1, end - start)"), r"[\x20\x09-\x0D]+")
-    found = found.select("pid", words.alias("w"))
+    found = in_buckets(texts, places, "text_key").join(places, "text_key")
+    # copies of a text give its paragraphs again; only these are shuffled, not the texts
+    found = found.select("pid", F.expr("substring(text, start + 1, end - start)").alias("t")).groupBy("pid").agg(F.min("t").alias("t"))
+    found = found.select("pid", F.split("t", r"[\x20\x09-\x0D]+").alias("w"))
     whole = F.array(F.array_join("w", " "))
     each = F.expr(f"transform(sequence(1, size(w) - {SHINGLE - 1}), i -> array_join(slice(w, i, {SHINGLE}), ' '))")
     return found.select("pid", F.array_distinct(F.when(F.size("w") < SHINGLE, whole).otherwise(each)).alias("s"))
@@ -160,6 +161,10 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     passages of a document. Rows equal in doc_id and text are one document. Null and
     empty texts have no paragraph.
     """
+    return concluded(lambda: _repeated(docs, min_words), "repeated")
+
+
+def _repeated(docs: DataFrame, min_words: int) -> DataFrame:
     pars = written(paragraphs(docs), "paragraphs")
     links = components(paragraph_links(docs, pars), "paragraph-links")
     linked = links.unionAll(links.select(F.col("component").alias("node"), "component")).distinct()
