@@ -17,8 +17,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Characters of text worked on at once, and distinct pieces remembered by a worker.
-SLICE_CHARS = 4_000_000
-REMEMBERED = 1_400_000
+SLICE_CHARS = 6_000_000
+REMEMBERED = 2_000_000
 #: Pieces joined to one text for the tokenizers library, and such texts given at once.
 JOINED = 1000
 AT_ONCE = 20
@@ -162,16 +162,19 @@ class PieceEncoder:
             size = pc.binary_length(words.dictionary)
             bare = [pc.binary_length(f(words.dictionary)) for f in (pc.utf8_ltrim_whitespace, pc.utf8_rtrim_whitespace)]
             odd = [pc.or_(pc.not_equal(n, size), pc.equal(size, 0)).to_numpy(zero_copy_only=False) for n in bare]
-            opens, closes = odd[0][index], odd[1][index]
-            unsafe = ~head & opens
-            unsafe[1:] |= ~head[1:] & closes[:-1]
-            whole = np.unique(np.searchsorted(ends, np.flatnonzero(unsafe), "right") - 1)
+            if any(x.any() for x in odd):
+                unsafe = ~head & odd[0][index]
+                unsafe[1:] |= ~head[1:] & odd[1][index[:-1]]
+                whole = np.unique(np.searchsorted(ends, np.flatnonzero(unsafe), "right") - 1)
             # one look-up for both, as it may begin a new memory
-            used = [np.unique(index[own]) for own in (head, ~head)]
+            firsts = index[head]
+            opening = np.bincount(firsts, minlength=len(distinct))
+            used = [np.flatnonzero(opening), np.flatnonzero(np.bincount(index, minlength=len(distinct)) > opening)]
             found = self._places([lead + distinct[u] for own, lead in zip(used, ("", " "), strict=True) for u in own])
             to = np.zeros((2, len(distinct)), np.int64)
             to[0, used[0]], to[1, used[1]] = found[: len(used[0])], found[len(used[0]) :]
-            place = to[(~head).astype(np.int64), index]
+            place = to[1][index]
+            place[head] = to[0][firsts]
         sizes = (self.first[1:] - self.first[:-1])[place]
         ids = self.flat[_ranges(self.first[:-1][place], sizes)]
         sums = np.concatenate([[0], np.cumsum(sizes)])
@@ -201,7 +204,8 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     if not total:
         return np.zeros(0, np.int64)
     before = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    return np.repeat(starts - before, sizes) + np.arange(total)
+    kind = np.int32 if max(total, int(starts.max()) + 1) < 1 << 31 else np.int64
+    return np.repeat((starts - before).astype(kind), sizes) + np.arange(total, dtype=kind)
 
 
 def with_end(ids: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
