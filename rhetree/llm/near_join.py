@@ -168,22 +168,23 @@ def _round(docs: DataFrame, sets: DataFrame, depth: int, done: int | None) -> Da
     """Links of pairs that share a prefix of `depth` levels, but none of `done`: (a, b, n, found, expected)."""
     prefix = F.substring(F.col("labels"), F.col("tree") * DEPTH * LEVEL + 1, F.lit(depth * LEVEL))
     placed = (
-        sets.select("sid", "labels", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-        .select("sid", "tree", F.xxhash64("tree", prefix).alias("node"))
+        sets.select("sid", "n_shingles", "labels", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+        .select("sid", "n_shingles", "tree", F.xxhash64("tree", prefix).alias("node"))
     )
     subtrees = placed.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = written(placed.join(subtrees, "node"), "members")
-    slim = sets.select("sid", "mult", "n_shingles", "labels")
-    small = members.where(F.col("size") <= SMALL).select("node", "tree", "sid")
-    left = small.select("node", "tree", F.col("sid").alias("a"))
-    pairs = left.join(small.select("node", F.col("sid").alias("b")), "node").where("a < b").select("tree", "a", "b")
+    slim = sets.select("sid", "mult", "labels")
+    small = members.where(F.col("size") <= SMALL)
+    left = small.select("node", "tree", F.col("sid").alias("a"), F.col("n_shingles").alias("n_a"))
+    right = small.select("node", F.col("sid").alias("b"), F.col("n_shingles").alias("n_b"))
+    # sets of too different sizes cannot be similar enough
+    fits = (F.col("a") < F.col("b")) & (F.greatest("n_a", "n_b") * 4 <= F.least("n_a", "n_b") * 5)
+    pairs = left.join(right, (left["node"] == right["node"]) & fits).select("tree", "a", "b")
     # all trees of a pair in one row, so that labels are fetched once a pair
     met = pairs.groupBy("a", "b").agg(F.min("tree").alias("tree"))
     side = lambda x: slim.select(*[F.col(c).alias(f"{c}_{x}") for c in slim.columns])
     met = met.join(side("a"), F.col("a") == F.col("sid_a")).join(side("b"), F.col("b") == F.col("sid_b"))
-    fits = (F.greatest("n_shingles_a", "n_shingles_b") * 4 <= F.least("n_shingles_a", "n_shingles_b") * 5) & _meet(
-        F.col("tree"), "labels_a", "labels_b", depth, done
-    )
+    fits = _meet(F.col("tree"), "labels_a", "labels_b", depth, done)
     met = written(met.where(fits).select("a", "b", "mult_a", "mult_b"), "pairs")
     large = members.where(F.col("size") > SMALL)
     wanted = met.select(F.col("a").alias("sid")).unionAll(met.select("b")).unionAll(large.select("sid")).distinct()
