@@ -1,0 +1,263 @@
+"""Search decoders, one document to a task's group.
+
+Spark deals the candidate pairs out by grouping; a group holds one document's pairs with
+six columns. Select windows and best labels beforehand: a group's cost is cubic in units.
+"""
+
+from __future__ import annotations
+
+import heapq
+from collections.abc import Callable, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from rhetree.functions.columns import CAP, ROOT, best_label
+
+#: Stands for a link that is not among the candidates.
+ABSENT = -CAP
+
+
+class Graph:
+    """A document's candidates as matrices over its units in reading order, ROOT first."""
+
+    def __init__(self, pairs: pd.DataFrame):
+        ends = [(r.p_start, r.p_end, r.parent) for r in pairs.itertuples()] + [(r.c_start, r.c_end, r.child) for r in pairs.itertuples()]
+        spans = {u: (s, e) for s, e, u in ends}
+        self.units = sorted(spans, key=lambda u: (u != ROOT, *spans[u], u))
+        self.start, self.end = (np.array([spans[u][i] for u in self.units]) for i in (0, 1))
+        place = {u: i for i, u in enumerate(self.units)}
+        n = len(self.units)
+        self.weight, self.row = np.full((n, n), np.nan), np.full((n, n), -1)
+        for k, r in enumerate(pairs.itertuples()):
+            i, j = place[r.parent], place[r.child]
+            if i != j and self.row[i, j] < 0:
+                self.weight[i, j], self.row[i, j] = r.attach, k
+
+    def score(self, use_prob: bool, odds: bool = False) -> np.ndarray:
+        """log(p), or its logit if `odds`, clamped; raw scores if they are no probabilities; ABSENT without a candidate."""
+        with np.errstate(divide="ignore", invalid="ignore"):
+            raw = self.weight
+            if use_prob:
+                raw = np.log(raw / (1 - raw)) if odds else np.log(raw)
+        return np.where(np.isnan(self.weight), ABSENT, np.clip(np.nan_to_num(raw, nan=ABSENT, posinf=CAP, neginf=-CAP), -CAP, CAP))
+
+
+def _cycle(parent: np.ndarray, root: int) -> list[int] | None:
+    seen = np.zeros(len(parent), int)
+    for s in range(len(parent)):
+        path, v = [], s
+        while v != root and not seen[v]:
+            seen[v] = s + 1
+            path.append(v)
+            v = parent[v]
+        if v != root and seen[v] == s + 1 and v in path:
+            return path[path.index(v):]
+    return None
+
+
+def arborescence(score: np.ndarray, root: int) -> np.ndarray:
+    """The parents of the best tree that spans all nodes from `root` (contracting cycles)."""
+    score = score.copy()
+    np.fill_diagonal(score, -np.inf)
+    score[:, root] = -np.inf
+    parent = score.argmax(axis=0)
+    parent[root] = root
+    cycle = _cycle(parent, root)
+    if cycle is None:
+        return parent
+    rest = [v for v in range(len(score)) if v not in set(cycle)]
+    m, ring = len(rest), np.array(cycle)
+    inner = np.full((m + 1, m + 1), -np.inf)
+    inner[:m, :m] = score[np.ix_(rest, rest)]
+    enter = score[np.ix_(rest, ring)] - score[parent[ring], ring]
+    leave = score[np.ix_(ring, rest)]
+    inner[:m, m], inner[m, :m] = enter.max(axis=1), leave.max(axis=0)
+    found = arborescence(inner, rest.index(root))
+    out = parent.copy()
+    for k, v in enumerate(rest):
+        if v != root:
+            out[v] = rest[found[k]] if found[k] < m else ring[leave[:, k].argmax()]
+    into = found[m]
+    out[ring[enter[into].argmax()]] = rest[into]
+    return out
+
+
+def mst_links(g: Graph, use_prob: bool = True) -> list[tuple[int, int]]:
+    """Links of the maximum spanning tree from ROOT, or from the first unit."""
+    if len(g.units) < 2:
+        return []
+    parent = arborescence(g.score(use_prob, odds=True), 0)
+    return [(int(p), j) for j, p in enumerate(parent) if j and g.row[p, j] >= 0]
+
+
+def msdag_links(g: Graph, use_prob: bool = True) -> list[tuple[int, int]]:
+    """The tree's links, then all others by falling score that close no cycle."""
+    links = mst_links(g, use_prob)
+    n, score = len(g.units), g.score(use_prob, odds=True)
+    reach = np.eye(n, dtype=bool)
+
+    def add(i: int, j: int) -> None:
+        reach[np.ix_(np.flatnonzero(reach[:, i]), np.flatnonzero(reach[j]))] = True
+
+    for i, j in links:
+        add(i, j)
+    have = set(links)
+    for k in np.argsort(-score, axis=None, kind="stable"):
+        i, j = divmod(int(k), n)
+        if j and g.row[i, j] >= 0 and (i, j) not in have and not reach[j, i]:
+            add(i, j)
+            links.append((i, j))
+    return links
+
+
+def eisner_links(g: Graph, use_prob: bool = True, one_root: bool = True) -> list[tuple[int, int]]:
+    """Links of the best projective tree from the first unit; `one_root`: it has a single child."""
+    n, score = len(g.units), g.score(use_prob)
+    if n < 2:
+        return []
+    # best[direction][closed]: spans whose head is their left (0) or right (1) end
+    best = np.zeros((2, 2, n, n))
+    cut = np.zeros((2, 2, n, n), int)
+    for width in range(1, n):
+        for i in range(n - width):
+            j = i + width
+            joined = best[0, 1, i, i:j] + best[1, 1, i + 1 : j + 1, j]
+            k = int(joined.argmax())
+            best[1, 0, i, j], cut[1, 0, i, j] = joined[k] + (score[j, i] if i else ABSENT), i + k
+            if one_root and not i:
+                k = 0
+            best[0, 0, i, j], cut[0, 0, i, j] = joined[k] + score[i, j], i + k
+            left = best[1, 1, i, i:j] + best[1, 0, i:j, j]
+            k = int(left.argmax())
+            best[1, 1, i, j], cut[1, 1, i, j] = left[k], i + k
+            right = best[0, 0, i, i + 1 : j + 1] + best[0, 1, i + 1 : j + 1, j]
+            k = int(right.argmax())
+            best[0, 1, i, j], cut[0, 1, i, j] = right[k], i + 1 + k
+    links, todo = [], [(0, 1, 0, n - 1)]
+    while todo:
+        side, closed, i, j = todo.pop()
+        if i == j:
+            continue
+        k = int(cut[side, closed, i, j])
+        if closed:
+            todo += [(side, int(side), i, k), (side, int(not side), k, j)]
+        else:
+            links.append((j, i) if side else (i, j))
+            todo += [(0, 1, i, k), (1, 1, k + 1, j)]
+    return [x for x in links if g.row[x] >= 0]
+
+
+def _near(g: Graph) -> list[list[int]]:
+    """Units next to each unit: none in between, or one holds the other."""
+    n, s, e = len(g.units), g.start, g.end
+    out = []
+    for a in range(n):
+        own = []
+        for b in range(n):
+            if a == b:
+                continue
+            nested = (s[b] <= s[a] and e[a] <= e[b]) or (s[a] <= s[b] and e[b] <= e[a])
+            mids = [m for m in range(n) if m not in (a, b)]
+            between = any((e[x] <= p <= s[y]) for m in mids for p in (s[m], e[m]) for x, y in ((a, b), (b, a)))
+            if nested or not between:
+                own.append(b)
+        out.append(own)
+    return out
+
+
+def greedy_links(g: Graph, use_prob: bool = True) -> list[tuple[int, int]]:
+    """Again and again the best link from a unit left to a neighbour; its source goes and leaves its neighbours to the target.
+
+    A unit that has gone can still be a target.
+    """
+    near, left, links = _near(g), list(range(len(g.units))), []
+    while len(left) > 1:
+        best, link = 0.0, None
+        for i in left:
+            for j in near[i]:
+                if i != j and g.row[i, j] >= 0 and g.weight[i, j] > best:
+                    best, link = g.weight[i, j], (i, j)
+        if link is None:
+            break
+        links.append(link)
+        left.remove(link[0])
+        near[link[1]] = near[link[1]] + near[link[0]]
+    return links
+
+
+def reading_order_links(
+    g: Graph, use_prob: bool = True, heuristic: str = "best", frontier: str = "none", beam: int | None = None,
+    nbest: int = 1, coordinating: Callable[[int], bool] = lambda row: False,
+) -> list[list[tuple[int, int]]]:
+    """The n best ways to attach units in reading order to an accessible earlier one, by best-first search.
+
+    The cost of a link is -log of its weight (minus the raw score if it is no probability).
+    `frontier`: none keeps all earlier units accessible; simple drops those below the point
+    of attachment; full also the point itself under a coordinating label. `beam` keeps so
+    many states. `heuristic` is zero, max, best or average (which may overestimate).
+    """
+    n = len(g.units)
+    cost = np.where(np.isnan(g.weight), np.inf, -g.score(use_prob))
+    into = [cost[:j, j][np.isfinite(cost[:j, j])] for j in range(n)]
+    low = min((c.min() for c in into if len(c)), default=0.0)
+    ahead = {
+        "zero": lambda j: 0.0, "max": lambda j: low, "best": lambda j: into[j].min() if len(into[j]) else 0.0,
+        "average": lambda j: into[j].mean() if len(into[j]) else 0.0,
+    }[heuristic]
+    future = np.zeros(n + 1)
+    for j in range(n - 1, 0, -1):
+        future[j] = future[j + 1] + ahead(j)
+    queue, ticket, found = [(future[1], 0, 0.0, 1, (0,), ())], 0, []
+    while queue and len(found) < nbest:
+        _, _, spent, j, open_, links = heapq.heappop(queue)
+        if j >= n:
+            found.append(list(links))
+            continue
+        for at, i in enumerate(open_):
+            if not np.isfinite(cost[i, j]):
+                continue
+            keep = open_ if frontier == "none" else open_[: at + 1]
+            if frontier == "full" and coordinating(int(g.row[i, j])):
+                keep = open_[:at]
+            ticket += 1
+            total = spent + cost[i, j]
+            heapq.heappush(queue, (total + future[j + 1], ticket, total, j + 1, (*keep, j), (*links, (i, j))))
+        if beam and len(queue) > beam:
+            queue = heapq.nsmallest(beam, queue)
+            heapq.heapify(queue)
+    return found
+
+
+DECODERS: dict[str, Callable[..., list]] = {
+    "mst": mst_links, "msdag": msdag_links, "eisner": eisner_links, "greedy": greedy_links,
+    "reading_order": lambda g, use_prob=True, **k: next(iter(reading_order_links(g, use_prob, **k)), []),
+}
+
+
+def decode_corpus(
+    weights: DataFrame, units: DataFrame, decoder: str | Callable[[Graph], list[tuple[int, int]]], unrelated: int,
+    use_prob: bool = True, key: Sequence[str] = ("grouping",), **options,
+) -> DataFrame:
+    """Weights with the `prediction` of a decoder of DECODERS, or of any function of a Graph, run per `key`."""
+    fn = decoder if callable(decoder) else lambda g: DECODERS[decoder](g, use_prob, **options)
+    spans = units.select("grouping", F.col("id"), "span_start", "span_end")
+    side = lambda c, x: spans.select("grouping", F.col("id").alias(c), F.col("span_start").alias(f"{x}_start"), F.col("span_end").alias(f"{x}_end"))
+    extra = [k for k in key if k != "grouping"]
+    slim = weights.select("grouping", *extra, "pair_ix", "parent", "child", F.col("attach").cast("double").alias("attach"))
+    slim = slim.join(side("child", "c"), ["grouping", "child"]).join(side("parent", "p"), ["grouping", "parent"], "left")
+    slim = slim.fillna(-1, ["p_start", "p_end"])
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("pair_ix", kind="stable").reset_index(drop=True)
+        g = Graph(group)
+        rows = [g.row[i, j] for i, j in fn(g)]
+        return group.loc[rows, ["grouping", "pair_ix"]]
+
+    kind = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
+    chosen = slim.groupBy(*key).applyInPandas(run, f"grouping {kind['grouping']}, pair_ix {kind['pair_ix']}").distinct()
+    marked = weights.join(chosen.withColumn("_link", F.lit(True)), ["grouping", "pair_ix"], "left")
+    label = best_label(F.col("label_w")) if "label_w" in weights.columns else F.lit(0)
+    return marked.withColumn("prediction", F.when(F.col("_link"), label).otherwise(F.lit(unrelated))).drop("_link")
