@@ -269,3 +269,25 @@ def c3_train_test(b):
     folds = C.make_folds(b.units, 5, seed=7)
     each = [f(b.pairs, folds, 2).select("grouping", "pair_ix", F.lit(t).alias("test")) for f, t in ((C.test_rows, True), (C.train_rows, False))]
     return P.stack(*each)
+
+
+LINE_WEIGHTS = """((p.doc_id * 7919 + p.pos * 104729 + c.pos * 1299709 + 17) % 1000003 + 1) / CAST(1000005 AS DOUBLE)"""
+
+
+@query(f"""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1)::BIGINT AS pos FROM documents),
+           w AS (SELECT p.doc_id, p.pos AS ppos, c.pos AS cpos, {LINE_WEIGHTS} AS attach FROM l p JOIN l c ON p.doc_id = c.doc_id AND p.pos <> c.pos AND abs(p.pos - c.pos) <= 5)
+           SELECT doc_id, cpos, ppos FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, cpos ORDER BY attach DESC, cpos * 1000000 + ppos) AS k FROM w) WHERE k = 1""")
+def document_lines_window(b):
+    """The lines of every document as units, candidate pairs in a window of five lines, the best parent of each line."""
+    lines = b.table("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = lines.select("doc_id", (F.col("pos") + 1).cast("long").alias("pos"))
+    # a window needs no join on the document alone: each line names the places it may hang from
+    near = F.filter(F.sequence(F.col("pos") - 5, F.col("pos") + 5), lambda x: x != F.col("pos"))
+    pairs = lines.select("doc_id", F.col("pos").alias("cpos"), F.explode(near).alias("ppos"))
+    there = lines.select("doc_id", F.col("pos").alias("ppos"))
+    weights = pairs.join(there, ["doc_id", "ppos"]).select(
+        F.col("doc_id").alias("grouping"), F.col("cpos").alias("child"), F.col("ppos").alias("parent"), (F.col("cpos") * 1000000 + F.col("ppos")).alias("pair_ix"),
+        F.expr("((doc_id * 7919 + ppos * 104729 + cpos * 1299709 + 17) % 1000003 + 1) / CAST(1000005 AS DOUBLE)").alias("attach"),
+    )
+    out = D.decode_best_incoming(weights, UNRELATED_IX).where(F.col("prediction") != UNRELATED_IX)
+    return out.select(F.col("grouping").alias("doc_id"), F.col("child").alias("cpos"), F.col("parent").alias("ppos"))
