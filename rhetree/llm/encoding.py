@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 
 #: Characters of text worked on at once, and distinct pieces remembered by a worker.
 SLICE_CHARS = 6_000_000
-REMEMBERED = 2_000_000
+REMEMBERED = 1_200_000
 #: Pieces joined to one text for the tokenizers library, and such texts given at once.
 JOINED = 1000
 AT_ONCE = 20
