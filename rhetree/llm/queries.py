@@ -8,8 +8,9 @@ from .embedding_dedup import embedding_links
 from .language_id import language_digest
 from .near_join import near_digest
 from .packing import packing_digest
-from .quality import quality_digest
-from .secrets import secrets_digest
+from .quality import PRODUCTION, mask_of, quality_digest
+from .quality import RULES as QUALITY_RULES
+from .secrets import RULES, SecretRule, secrets_digest
 from .sharding import sharding_digest
 from .substring_dedup import substring_digest
 from .token_files import token_file_digest
@@ -62,4 +63,52 @@ QUERIES = {
         op9_language_id, op10_packing,
     )
 }
-SQL: dict[str, str] = {}
+
+
+def _kind_sql(rule: SecretRule, place: int) -> str:
+    """(doc_id, place, start, end) of a rule's matches: each starts after the gaps and matches before it."""
+    pattern = rule.pattern.replace("'", "''")
+    total = lambda part: f"coalesce(list_sum(list_transform({part}, lambda x: length(x))), 0)"
+    return f"""SELECT doc_id, {place} AS place, start, start + length(m[k]) AS stop FROM (
+        SELECT doc_id, m, p, k, {total("g[1:k]")} + {total("m[1:k - 1]")} AS start FROM (
+            SELECT doc_id, m, g, p, unnest(range(1, len(m) + 1)) AS k FROM (
+                SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{pattern}', 0) AS m, regexp_extract_all(coalesce(text, ''), '{pattern}', {rule.group}) AS p,
+                       regexp_split_to_array(coalesce(text, ''), '{pattern}') AS g FROM documents))) WHERE length(p[k]) >= {rule.least}"""
+
+
+KINDS = ", ".join(f"'{r.kind}'" for r in RULES)
+SPANS = f"string_agg(concat(list_extract([{KINDS}], place + 1), ':', start, ':', stop), ',' ORDER BY start, place)"
+SECRET_SQL = f"""
+WITH s AS ({" UNION ALL ".join(_kind_sql(r, i) for i, r in enumerate(RULES))}),
+     f AS (SELECT doc_id, count(*) FILTER (WHERE place = 0) AS a, count(*) FILTER (WHERE place = 1) AS b, count(*) FILTER (WHERE place = 2) AS c,
+                  {SPANS} FILTER (WHERE place < 3) AS base, {SPANS} AS spans FROM s GROUP BY 1)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN f USING (doc_id)
+"""
+BITS = " + ".join(f"CASE WHEN {r.fails} THEN {1 << i} ELSE 0 END" for i, r in enumerate(QUALITY_RULES))
+QUALITY_SQL = f"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+                  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
+     g AS (SELECT doc_id, i, concat(w[i], ' ', w[i + 1], ' ', w[i + 2]) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+     r AS (SELECT doc_id, count(DISTINCT word) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS word FROM (
+                SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS k FROM g) WHERE k > 1) GROUP BY 1),
+     m AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+                  length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(l) AS n_lines,
+                  len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words FROM w LEFT JOIN r USING (doc_id)),
+     f AS (SELECT *, ({BITS})::BIGINT AS failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, failed, failed & {mask_of("base")} <> 0 AS base_failed,
+       failed & {mask_of("base") | mask_of(PRODUCTION)} = 0 AS kept FROM f
+"""
+EMBEDDING_SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE len(embedding) > 0
+                       AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+     l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+     r AS (SELECT vec_id, vec_id AS m FROM embeddings UNION SELECT r.vec_id, l.y FROM r JOIN l ON l.x = r.m),
+     c AS (SELECT vec_id, min(m) AS component_id FROM r GROUP BY 1),
+     n AS (SELECT x AS vec_id, count(*) AS n FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+"""
+#: The others have no SQL: it has no tokenizer, MinHash, crc32 or language model; tests hold them against brute force.
+SQL: dict[str, str] = {
+    "op1_secret_scan": SECRET_SQL, "op3_quality_rules": QUALITY_SQL, "op6_embedding_dedup": EMBEDDING_SQL,
+}
