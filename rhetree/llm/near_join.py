@@ -166,19 +166,21 @@ def _blocks(group: pd.DataFrame, depth: int, done: int | None, nine: int) -> pd.
 
 def _round(docs: DataFrame, sets: DataFrame, depth: int, done: int | None) -> DataFrame:
     """Links of pairs that share a prefix of `depth` levels, but none of `done`: (a, b, n, found, expected)."""
-    prefix = F.substring(F.col("labels"), F.col("tree") * DEPTH * LEVEL + 1, F.lit(depth * LEVEL))
+    prefix = lambda d: F.xxhash64("tree", F.substring(F.col("labels"), F.col("tree") * DEPTH * LEVEL + 1, F.lit(d * LEVEL)))
+    # the subtree in which members of one met in the round before
+    met_in = F.xxhash64("sid") if done is None else prefix(done)
     placed = (
         sets.select("sid", "n_shingles", "labels", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-        .select("sid", "n_shingles", "tree", F.xxhash64("tree", prefix).alias("node"))
+        .select("sid", "n_shingles", "tree", prefix(depth).alias("node"), met_in.alias("deeper"))
     )
     subtrees = placed.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = written(placed.join(subtrees, "node"), "members")
     slim = sets.select("sid", "mult", "labels")
     small = members.where(F.col("size") <= SMALL)
-    left = small.select("node", "tree", F.col("sid").alias("a"), F.col("n_shingles").alias("n_a"))
-    right = small.select("node", F.col("sid").alias("b"), F.col("n_shingles").alias("n_b"))
-    # sets of too different sizes cannot be similar enough
-    fits = (F.col("a") < F.col("b")) & (F.greatest("n_a", "n_b") * 4 <= F.least("n_a", "n_b") * 5)
+    left = small.select("node", "tree", F.col("sid").alias("a"), F.col("n_shingles").alias("n_a"), F.col("deeper").alias("d_a"))
+    right = small.select("node", F.col("sid").alias("b"), F.col("n_shingles").alias("n_b"), F.col("deeper").alias("d_b"))
+    # sets of too different sizes cannot be similar enough; pairs of one deeper subtree are verified already
+    fits = (F.col("a") < F.col("b")) & (F.greatest("n_a", "n_b") * 4 <= F.least("n_a", "n_b") * 5) & (F.col("d_a") != F.col("d_b"))
     pairs = left.join(right, (left["node"] == right["node"]) & fits).select("tree", "a", "b")
     # all trees of a pair in one row, so that labels are fetched once a pair
     met = pairs.groupBy("a", "b").agg(F.min("tree").alias("tree"))
