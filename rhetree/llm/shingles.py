@@ -110,26 +110,32 @@ def words_at(texts: pa.Array):
     return h, text, line, chars[first] - chars[offsets[text]], chars[last] - chars[offsets[text]]
 
 
-def content_cuts(words: np.ndarray, line: np.ndarray, radius: int) -> np.ndarray:
-    """Whether a paragraph begins at each word: at lines, and where the content says so.
+def least_windows(words: np.ndarray, text: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the first word, hash) of windows of `size` words that are the least of `size` windows in a row.
 
-    A cut lies at a word whose three-word hash is the least within `radius` words of the
-    same line on both sides. It depends on those words alone, so a passage is cut alike
-    wherever it stands.
+    Of equal ones the first is the least. Whether a window is kept depends on the words
+    around it alone, so 2 * size - 1 equal words have a kept window in common wherever
+    they stand; windows do not leave their text.
     """
-    n = len(words)
-    shift = lambda x, k, fill: np.concatenate([x[k:], np.full(min(k, n), fill, x.dtype)])
-    none = np.uint64(0)
-    two = np.where(shift(line, 1, -1) == line, shift(words, 1, none), none)
-    three = np.where(shift(line, 2, -1) == line, shift(words, 2, none), none)
-    h = ((words * MIX) ^ two) * MIX2
-    h = ((h ^ (h >> np.uint64(32))) ^ three) * MIX
-    h ^= h >> np.uint64(30)
-    least = np.ones(n, bool)
-    for k in range(1, min(radius, n - 1) + 1):
-        same = line[k:] == line[:-k]
-        least[:-k] &= ~same | (h[:-k] <= h[k:])
-        least[k:] &= ~same | (h[k:] < h[:-k])
-    begins = np.ones(n, bool)
-    begins[1:] = line[1:] != line[:-1]
-    return begins | least
+    n = len(words) - size + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    h = np.zeros(n, np.uint64)
+    for k in range(size):
+        h = h * MIX + words[k : k + n]
+    h = (h ^ (h >> np.uint64(32))) * MIX2
+    h ^= h >> np.uint64(29)
+    whole = text[:n] == text[size - 1 :]
+    text = np.where(whole, text[:n], -1 - np.arange(n))
+    least = np.where(whole, 1, 0).astype(np.int16)
+    for forward in (True, False):
+        on = whole.copy()
+        for k in range(1, min(size, n)):
+            near, far = (slice(0, n - k), slice(k, n)) if forward else (slice(k, n), slice(0, n - k))
+            more = h[far] >= h[near] if forward else h[far] > h[near]
+            on[near] &= more & (text[far] == text[near])
+            on[n - k :] = on[n - k :] & (not forward)
+            on[:k] = on[:k] & forward
+            least += on
+    at = np.flatnonzero(least >= size)
+    return at, h[at]

@@ -1,13 +1,17 @@
-"""Substring dedup by MinHash banding of paragraphs.
+"""Substring dedup by MinHash banding of lines, and by windows of words within them.
 
-Texts are cut into paragraphs: at line breaks, and within lines where the content says
-so (`content_cuts`), so that a passage gives the same paragraphs wherever it stands, also
-in the middle of a line. Paragraphs whose MinHash bands collide are joined and verified
-by their exact Jaccard similarity over five-word shingles; links and equal paragraphs make
-classes. The first occurrence of a class, by doc_id and place, stays.
+Near copies: lines are the paragraphs. Lines whose MinHash bands collide are joined and
+verified by their exact Jaccard similarity over five-word shingles; links and equal lines
+make classes. The first occurrence of a class, by doc_id and place, stays.
 
-A run of consecutive paragraphs with copies is a repeated passage if it has at least
-MIN_WORDS words; its paragraphs that are not first occurrences are removed.
+Exact copies anywhere: of all windows of WINDOW words, those whose hash is the least of
+WINDOW neighbouring ones are kept (`least_windows`), so that two passages of
+2 * WINDOW - 1 equal words share one wherever they stand and whatever their lines. From
+the shared windows a match is extended word by word, as far as it is exact; the passage's
+ends lie within WINDOW words of a shared window.
+
+What copied lines and windows cover without a gap is a repeated passage if it has at least
+MIN_WORDS words; what later occurrences cover is removed.
 """
 
 from __future__ import annotations
@@ -17,25 +21,26 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import concluded, in_buckets, text_of, written
 from .components import components
 from .encoding import slices
-from .shingles import MIX, MIX2, SHINGLE, content_cuts, minhashes, multipliers, shingle_hashes, words_at
+from .shingles import MIX, MIX2, SHINGLE, least_windows, minhashes, multipliers, shingle_hashes, words_at
 
-#: Words on either side within which a cut must be the least: paragraphs have about twice as many.
-RADIUS = 8
-#: Words of a run of copied paragraphs from which it counts as a repeated passage.
+#: Words of a window, and windows in a row of which the least is kept.
+WINDOW = 18
+#: Words covered in a row from which they count as a repeated passage.
 MIN_WORDS = 20
 SIMILARITY = 0.8
 RECALL = 0.98
-#: Distinct paragraphs up to which a band's bucket gives pairs, and of a block of a larger one.
+#: Distinct lines up to which a band's bucket gives pairs, and of a block of a larger one.
 SMALL = 64
 BLOCK = 256
 SEED = 9
-PARAGRAPHS = "par int, start int, end int, n_words int, pid long, bands array<long>"
+PARAGRAPHS = "at int, n_words int, is_line boolean, start int, end int, pid long, bands array<long>"
+OCCURRENCE = ("doc_id", "text_key", "at")
 
 
 def bands_for(similarity: float = SIMILARITY, recall: float = RECALL, rows: int = 2) -> int:
@@ -46,11 +51,12 @@ def bands_for(similarity: float = SIMILARITY, recall: float = RECALL, rows: int
     return bands
 
 
-def paragraphs(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, text_key, par, start, end, n_words, pid, bands of each paragraph with a word.
+def paragraphs(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, at, n_words, is_line, start, end, pid, bands of lines with a word and of kept windows.
 
-    start and end are code points of the text; pid is a 64-bit hash of the paragraph's
-    words. Of equal paragraphs a task works on together, only the first has bands.
+    `at` is the place of the first word among the text's words; start and end are code
+    points, of lines only; pid is a 64-bit hash of the words. Of equal lines a task works
+    on together, only the first has bands.
     """
     rows, n_bands = 2, bands_for()
 
@@ -58,7 +64,9 @@ def paragraphs(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
         factors = multipliers(rows * n_bands, SEED)
         for batch in slices(batches, "text"):
             words, text, line, start, end = words_at(batch.column("text"))
-            first = np.flatnonzero(content_cuts(words, line, radius)) if len(words) else np.zeros(0, np.int64)
+            begins = np.ones(len(words), bool)
+            begins[1:] = line[1:] != line[:-1]
+            first = np.flatnonzero(begins)
             size = np.diff(np.append(first, len(words)))
             own = np.repeat(np.arange(len(first)), size)
             power = np.ones(int(size.max()) + 1 if len(size) else 1, np.uint64)
@@ -71,24 +79,27 @@ def paragraphs(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
             bands = ((low[:, ::2] << np.uint64(32)) | low[:, 1::2]) * (MIX + band * np.uint64(2)) + band
             bands ^= bands >> np.uint64(31)
             _, leads = np.unique(pid, return_index=True)
-            many = np.zeros(len(pid), np.int64)
+            kept, window = least_windows(words, text, WINDOW)
+            many = np.zeros(len(pid) + len(kept), np.int64)
             many[leads] = n_bands
             offsets = pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32))
-            of = text[first]
-            par = np.arange(len(first)) - np.searchsorted(of, of)
-            take = pa.array(of)
+            at = np.concatenate([first, kept])
+            take = pa.array(text[at])
+            none = np.arange(len(at)) >= len(first)
+            last = np.concatenate([first + size - 1, kept])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").take(take),
                     batch.column("text_key").take(take),
-                    pa.array(par.astype(np.int32)),
-                    pa.array(start[first].astype(np.int32)),
-                    pa.array(end[first + size - 1].astype(np.int32)),
-                    pa.array(size.astype(np.int32)),
-                    pa.array(pid.view(np.int64)),
-                    pa.ListArray.from_arrays(offsets, pa.array(bands[many > 0].ravel().view(np.int64))),
+                    pa.array((at - np.searchsorted(text, text[at])).astype(np.int32)),
+                    pa.array(np.concatenate([size, np.full(len(kept), WINDOW)]).astype(np.int32)),
+                    pa.array(~none),
+                    pa.array(start[at].astype(np.int32), mask=none),
+                    pa.array(end[last].astype(np.int32), mask=none),
+                    pa.array(np.concatenate([pid, window]).view(np.int64)),
+                    pa.ListArray.from_arrays(offsets, pa.array(bands[many[: len(pid)] > 0].ravel().view(np.int64))),
                 ],
-                ["doc_id", "text_key", "par", "start", "end", "n_words", "pid", "bands"],
+                ["doc_id", "text_key", "at", "n_words", "is_line", "start", "end", "pid", "bands"],
             )
 
     slim = docs.select("doc_id", text_of().alias("text"), F.xxhash64("text").alias("text_key"))
@@ -97,14 +108,14 @@ def paragraphs(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def _sets(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(pid, shingles array<string>) of paragraphs given by (pid, text_key, start, end)."""
+    """(pid, shingle hashes) of lines given by (pid, text_key, start, end)."""
     texts = docs.select(text_of().alias("text"), F.xxhash64("text").alias("text_key"))
     found = in_buckets(texts, places, "text_key").join(places, "text_key")
     # copies of a text give its paragraphs again; only these are shuffled, not the texts
     found = found.select("pid", F.expr("substring(text, start + 1, end - start)").alias("t")).groupBy("pid").agg(F.min("t").alias("t"))
     found = found.select("pid", F.split("t", r"[\x20\x09-\x0D]+").alias("w"))
-    whole = F.array(F.array_join("w", " "))
-    each = F.expr(f"transform(sequence(1, size(w) - {SHINGLE - 1}), i -> array_join(slice(w, i, {SHINGLE}), ' '))")
+    whole = F.array(F.xxhash64("w"))
+    each = F.expr(f"transform(sequence(1, size(w) - {SHINGLE - 1}), i -> xxhash64(slice(w, i, {SHINGLE})))")
     return found.select("pid", F.array_distinct(F.when(F.size("w") < SHINGLE, whole).otherwise(each)).alias("s"))
 
 
@@ -113,7 +124,7 @@ def _block_links(group: pd.DataFrame) -> pd.DataFrame:
     from .embedding_dedup import _labels
 
     ids, sizes = group["pid"].to_numpy(), group["s"].map(len).to_numpy()
-    flat, column = np.unique(np.concatenate(group["s"].to_list()).astype(str), return_inverse=True)
+    flat, column = np.unique(np.concatenate(group["s"].to_list()), return_inverse=True)
     hot = np.zeros((len(ids), len(flat)), np.float32)
     hot[np.repeat(np.arange(len(ids)), sizes), column] = 1
     common = hot @ hot.T
@@ -124,7 +135,7 @@ def _block_links(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def paragraph_links(docs: DataFrame, pars: DataFrame) -> DataFrame:
-    """(a, b): links between different paragraphs of Jaccard similarity 0.8 or more.
+    """(a, b): links between different lines of Jaccard similarity 0.8 or more.
 
     All pairs of a small bucket are verified once; a large bucket is dealt into blocks,
     whose pairs are verified in tasks that return a forest of the links.
@@ -157,43 +168,170 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Repeated passages: doc_id, text_key, passage, start, end, n_words, class_id, removed.
 
     A row is a stretch of a passage that is all first occurrences (removed is false) or
-    all later ones. class_id names the class of its first paragraph; passage numbers the
-    passages of a document. Rows equal in doc_id and text are one document. Null and
+    all later ones. class_id names the class of its first line or window; passage numbers
+    the passages of a document. Rows equal in doc_id and text are one document. Null and
     empty texts have no paragraph.
     """
     return concluded(lambda: _repeated(docs, min_words), "repeated")
 
 
-def _repeated(docs: DataFrame, min_words: int) -> DataFrame:
-    pars = written(paragraphs(docs), "paragraphs")
-    links = components(paragraph_links(docs, pars), "paragraph-links")
+def _copied_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(doc_id, text_key, lo, hi, gone_lo, gone_hi, class_id): words of lines that have copies; gone_ is null in first ones."""
+    links = components(paragraph_links(docs, lines), "paragraph-links")
     linked = links.unionAll(links.select(F.col("component").alias("node"), "component")).distinct()
-    first = F.min(F.struct("doc_id", "text_key", "par")).alias("first")
-    kinds = pars.groupBy("pid").agg(first, (F.count(F.lit(1)) > 1).alias("copied"))
+    at = F.struct(*OCCURRENCE)
+    kinds = lines.groupBy("pid").agg(F.min(at).alias("first"), F.max(at).alias("last"))
     kinds = kinds.join(linked.withColumnRenamed("node", "pid"), "pid", "left")
-    kinds = kinds.where("copied OR component IS NOT NULL").withColumn("class_id", F.coalesce("component", "pid"))
+    kinds = kinds.where("first <> last OR component IS NOT NULL").withColumn("class_id", F.coalesce("component", "pid"))
     kinds = written(kinds.select("pid", "class_id", "first"), "copied")
     least = kinds.groupBy("class_id").agg(F.min("first").alias("stays"))
     kinds = kinds.join(least, "class_id").select("pid", "class_id", "stays")
-    at = F.struct("doc_id", "text_key", "par")
-    found = pars.drop("bands").join(kinds, "pid").withColumn("removed", ~at.eqNullSafe(F.col("stays")))
-    found = found.select("doc_id", "text_key", "par", "start", "end", "n_words", "class_id", "removed")
-    found = found.groupBy("doc_id", "text_key", "par").agg(
-        *[F.first(c).alias(c) for c in ("start", "end", "n_words", "class_id", "removed")]
+    found = lines.drop("bands").join(kinds, "pid").withColumn("removed", ~at.eqNullSafe(F.col("stays")))
+    lo, hi = F.col("at"), F.col("at") + F.col("n_words")
+    gone = [F.when(F.col("removed"), c) for c in (lo, hi)]
+    return found.select("doc_id", "text_key", lo.alias("lo"), hi.alias("hi"), gone[0].alias("gone_lo"), gone[1].alias("gone_hi"), "class_id")
+
+
+def _later(first: str, words: Column) -> Column:
+    """Whether an occurrence of `words` words is not the first one and does not overlap it."""
+    same = F.col(f"{first}.doc_id").eqNullSafe(F.col("doc_id")) & (F.col(f"{first}.text_key") == F.col("text_key"))
+    return ~same | (F.col("at") - F.col(f"{first}.at") >= words)
+
+
+def _copied_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """The same of windows that have copies, each extended as far as a copy goes on (exactly)."""
+    at, slim = F.struct(*OCCURRENCE), windows.select(*OCCURRENCE, "pid")
+    often = slim.groupBy("pid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("pid")
+    hits = written(slim.join(often, "pid"), "windows")
+    ends = hits.groupBy("pid").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").select("pid", "first")
+    hits = hits.join(ends, "pid").withColumn("removed", _later("first", F.lit(WINDOW))).drop("first").distinct()
+    chain = Window.partitionBy("doc_id", "text_key", "removed").orderBy("at")
+    gap = lambda c: F.coalesce(c > WINDOW, F.lit(True))
+    hits = hits.withColumns({"left": gap(F.col("at") - F.lag("at").over(chain)), "right": gap(F.lead("at").over(chain) - F.col("at"))})
+    hits = written(hits, "copied-windows")
+    # all occurrences of a window are extended where one of them ends a chain
+    open_ = hits.where("left OR right").groupBy("pid").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    open_ = hits.select(*OCCURRENCE, "pid").join(open_, "pid")
+    open_ = open_.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("at", "pid", "left", "right")).alias("open"))
+    grown = written(_extensions(docs, written(open_, "open")), "extensions")
+    ends = grown.groupBy("key").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").select("key", "first")
+    grown = grown.join(ends, "key").withColumn("later", _later("first", F.col("step") + WINDOW))
+    most = lambda left, later: F.max(F.when((F.col("is_left") == left) & (F.col("later") | F.lit(not later)), F.col("step")))
+    grown = grown.groupBy(*[F.col(c).alias(f"_{c}") for c in OCCURRENCE]).agg(
+        most(True, False).alias("l"), most(False, False).alias("r"), most(True, True).alias("gone_l"), most(False, True).alias("gone_r")
+    )
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in OCCURRENCE]
+    hits = hits.select(*OCCURRENCE, "pid", "removed").join(grown, same, "left")
+    lo = lambda c: F.col("at") - F.coalesce(c, F.lit(0))
+    hi = lambda c: F.col("at") + WINDOW + F.coalesce(c, F.lit(0))
+    return hits.select(
+        "doc_id", "text_key", lo("l").alias("lo"), hi("r").alias("hi"), F.when(F.col("removed"), lo("gone_l")).alias("gone_lo"),
+        F.when(F.col("removed"), hi("gone_r")).alias("gone_hi"), F.col("pid").alias("class_id"),
     )
-    doc = Window.partitionBy("doc_id", "text_key")
-    # consecutive paragraphs share `par` less their rank
-    found = found.withColumn("passage", F.col("par") - F.row_number().over(doc.orderBy("par")))
-    words = F.sum("n_words").over(Window.partitionBy("doc_id", "text_key", "passage"))
-    found = found.withColumn("_words", words).where(F.col("_words") >= min_words)
-    kind = Window.partitionBy("doc_id", "text_key", "passage", "removed").orderBy("par")
-    found = found.withColumn("_stretch", F.col("par") - F.row_number().over(kind))
-    return found.groupBy("doc_id", "text_key", "passage", "removed", "_stretch").agg(
-        F.min("start").cast("long").alias("start"),
-        F.max("end").cast("long").alias("end"),
-        F.sum("n_words").alias("n_words"),
-        F.min_by("class_id", "par").alias("class_id"),
-    ).drop("_stretch")
+
+
+def _with_texts(docs: DataFrame, gathered: DataFrame, column: str) -> DataFrame:
+    """doc_id, text_key, text and a gathered column of the documents that have it."""
+    texts = docs.select("doc_id", text_of().alias("text"), F.xxhash64("text").alias("text_key"))
+    own = gathered.select(F.col("doc_id").alias("_d"), "text_key", column)
+    found = in_buckets(texts, gathered, "text_key").alias("t").join(own.alias("g"), F.expr("t.text_key = g.text_key AND t.doc_id <=> g._d"))
+    return found.select("t.doc_id", "t.text_key", "t.text", column)
+
+
+def _flat(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, pa.StructArray]:
+    """(row of each struct, the structs) of a column of arrays of structs."""
+    lists = batch.column(column)
+    return np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten()
+
+
+def _extensions(docs: DataFrame, open_: DataFrame) -> DataFrame:
+    """(doc_id, text_key, at, is_left, step, key): key is a hash of a window with `step` more words on one side."""
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            words, text, *_ = words_at(batch.column("text"))
+            row, rest = _flat(batch, "open")
+            at = rest.field("at").to_numpy(zero_copy_only=False)
+            begin, stop = np.searchsorted(text, row), np.searchsorted(text, row, "right")
+            for is_left, name in ((True, "left"), (False, "right")):
+                own = np.flatnonzero(rest.field(name).to_numpy(zero_copy_only=False))
+                key = rest.field("pid").to_numpy(zero_copy_only=False)[own].view(np.uint64) ^ np.uint64(is_left)
+                for step in range(1, WINDOW):
+                    place = (begin + at)[own] + (-step if is_left else WINDOW - 1 + step)
+                    inside = (place >= begin[own]) & (place < stop[own])
+                    own, place = own[inside], place[inside]
+                    key = ((key[inside] * MIX) ^ words[place]) * MIX2
+                    key ^= key >> np.uint64(31)
+                    take = pa.array(row[own])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column("doc_id").take(take), batch.column("text_key").take(take), pa.array(at[own].astype(np.int32)),
+                            pa.array(np.full(len(own), is_left)), pa.array(np.full(len(own), step, np.int32)), pa.array(key.view(np.int64)),
+                        ],
+                        ["doc_id", "text_key", "at", "is_left", "step", "key"],
+                    )
+
+    rows = _with_texts(docs, open_, "open")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(grow, f"doc_id {kind}, text_key long, at int, is_left boolean, step int, key long")
+
+
+def _stretches(docs: DataFrame, covers: DataFrame, min_words: int) -> DataFrame:
+    """Stretches of passages from what copies cover in each document."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            words, text, _, start, end = words_at(batch.column("text"))
+            row, rest = _flat(batch, "covers")
+            n, begin = len(words), np.searchsorted(text, row)
+            lo, hi, gone_lo, gone_hi = (rest.field(c).fill_null(-1).to_numpy(zero_copy_only=False) + begin for c in ("lo", "hi", "gone_lo", "gone_hi"))
+            is_gone = rest.field("gone_lo").is_valid().to_numpy(zero_copy_only=False)
+            over = lambda a, b: np.cumsum(np.bincount(a, minlength=n + 1) - np.bincount(b, minlength=n + 1))[:n] > 0
+            copied, removed = over(lo, hi), over(gone_lo[is_gone], gone_hi[is_gone])
+            # 0: no copy, 1: first occurrences, 2: later ones
+            state = np.where(removed, 2, np.where(copied, 1, 0))
+            new_text = np.ones(n, bool)
+            new_text[1:] = text[1:] != text[:-1]
+            turn, shift = new_text.copy(), new_text.copy()
+            turn[1:] |= (state[1:] > 0) != (state[:-1] > 0)
+            shift[1:] |= state[1:] != state[:-1]
+            passage = np.cumsum(turn) - 1
+            long = np.bincount(passage, state > 0) >= min_words if n else np.zeros(0, bool)
+            at = np.flatnonzero(shift)
+            size = np.diff(np.append(at, n))
+            keep = long[passage[at]] & (state[at] > 0)
+            at, size = at[keep], size[keep]
+            # the class of the first line or window that covers a stretch's first word
+            label = np.zeros(len(at), np.int64)
+            ids = rest.field("class_id").to_numpy(zero_copy_only=False)
+            for gone, a, b in ((1, lo, hi), (2, gone_lo, gone_hi)):
+                some = np.flatnonzero(is_gone) if gone == 2 else np.arange(len(lo))
+                some = some[np.lexsort((ids[some], a[some]))]
+                mine = np.flatnonzero(state[at] == gone)
+                reach = np.maximum.accumulate(b[some]) if len(some) else b[some]
+                label[mine] = ids[some[np.searchsorted(reach, at[mine], "right")]]
+            take = pa.array(text[at])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id").take(take), batch.column("text_key").take(take),
+                    pa.array((passage[at] - passage[np.searchsorted(text, text[at])]).astype(np.int32)), pa.array(state[at] == 2),
+                    pa.array(start[at].astype(np.int64)), pa.array(end[at + size - 1].astype(np.int64)), pa.array(size.astype(np.int64)), pa.array(label),
+                ],
+                ["doc_id", "text_key", "passage", "removed", "start", "end", "n_words", "class_id"],
+            )
+
+    rows = _with_texts(docs, covers, "covers")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    kinds = "text_key long, passage int, removed boolean, start long, end long, n_words long, class_id long"
+    return rows.mapInArrow(merge, f"doc_id {kind}, {kinds}").distinct()
+
+
+def _repeated(docs: DataFrame, min_words: int) -> DataFrame:
+    pars = written(paragraphs(docs), "paragraphs")
+    lines = _copied_lines(docs, pars.where("is_line"))
+    covers = lines.unionByName(_copied_windows(docs, pars.where("NOT is_line")))
+    covers = covers.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("lo", "hi", "gone_lo", "gone_hi", "class_id")).alias("covers"))
+    return _stretches(docs, written(covers, "covers"), min_words)
 
 
 def substring_digest(docs: DataFrame) -> DataFrame:
