@@ -43,8 +43,10 @@ POLICIES = {
     "base": ("few_words", "repeated_words"),
     "v1": ("few_words", "repeated_words", "symbols"),
     "v2": tuple(r.name for r in RULES),
+    # length alone rejects no document: many_words is measured only
+    "v3": ("few_words", "repeated_words", "repeated_lines", "symbols", "short_words", "long_words"),
 }
-PRODUCTION = "v2"
+PRODUCTION = "v3"
 
 
 def mask_of(policy: str | tuple[str, ...]) -> int:
