@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rhetree.functions.columns import ROOT, best_label, id_number
 
 from .pairs import group_intra_pairs, inter_pairs, intra_targets, is_intra, is_root
+from .rounds import reached
 
 Step = Callable[[DataFrame], DataFrame]
 LINK = ["grouping", "parent", "child"]
@@ -96,7 +97,7 @@ def inter_training_set(pairs: DataFrame, mode: str, unrelated: int) -> DataFrame
     raise ValueError(f"unknown mode {mode}")
 
 
-def frontiers(pairs: DataFrame, label: str, unrelated: int, depth: int = 100) -> DataFrame:
+def frontiers(pairs: DataFrame, label: str, unrelated: int) -> DataFrame:
     """(grouping, unit, side): units on the left or right frontier of their subgrouping's tree.
 
     From each head (a unit that no link of its subgrouping reaches) the frontier follows
@@ -109,14 +110,8 @@ def frontiers(pairs: DataFrame, label: str, unrelated: int, depth: int = 100) ->
     steps = right.withColumn("side", F.lit("right")).unionByName(left.withColumn("side", F.lit("left")))
     units = pairs.select("grouping", F.col("child").alias("unit")).distinct()
     heads = units.join(_headed(pairs, label, unrelated).withColumnRenamed("child", "unit"), ["grouping", "unit"], "left_anti")
-    return pairs.sparkSession.sql(
-        f"""WITH RECURSIVE f MAX RECURSION LEVEL {depth} AS (
-              SELECT grouping, unit, s.side FROM {{heads}} CROSS JOIN (VALUES ('left'), ('right')) AS s(side)
-              UNION ALL
-              SELECT f.grouping, n.next, f.side FROM f JOIN {{steps}} n ON n.grouping = f.grouping AND n.parent = f.unit AND n.side = f.side)
-            SELECT DISTINCT grouping, unit, side FROM f""",
-        heads=heads, steps=steps,
-    )
+    both = heads.select("grouping", "unit", F.explode(F.array(F.lit("left"), F.lit("right"))).alias("side"))
+    return reached(both, steps.withColumnRenamed("parent", "unit"), ["grouping", "side"], "unit", "next").select("grouping", "unit", "side")
 
 
 def frontier_pairs(pairs: DataFrame, label: str, unrelated: int, own_links: bool = True) -> DataFrame:

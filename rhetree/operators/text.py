@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rounds import ancestors
+
 #: Characters of a cell that a range join deals spans into.
 CELL = 256
 
@@ -41,42 +43,29 @@ def complex_unit_members(complex_units: DataFrame, units: DataFrame) -> DataFram
     return members.join(units, ["grouping", "id"])
 
 
-def token_descents(tokens: DataFrame, sentence: str = "unit_id", depth: int = 100) -> DataFrame:
-    """(sentence, tok_ix, dependent) of all transitive dependents, by a recursive query of at most `depth` steps."""
-    return tokens.sparkSession.sql(
-        f"""WITH RECURSIVE down MAX RECURSION LEVEL {depth} AS (
-              SELECT {sentence} AS s, head_ix AS tok_ix, tok_ix AS dependent FROM {{tokens}} WHERE head_ix >= 0
-              UNION ALL
-              SELECT d.s, t.head_ix, d.dependent FROM down d JOIN {{tokens}} t ON t.{sentence} = d.s AND t.tok_ix = d.tok_ix
-              WHERE t.head_ix >= 0)
-            SELECT s AS {sentence}, tok_ix, dependent FROM down""",
-        tokens=tokens,
-    )
+def token_descents(tokens: DataFrame, sentence: str = "unit_id") -> DataFrame:
+    """(sentence, tok_ix, dependent) of all transitive dependents."""
+    up = ancestors(tokens.where("head_ix >= 0"), [sentence], "tok_ix", "head_ix")
+    return up.select(sentence, F.col("ancestor").alias("tok_ix"), F.col("tok_ix").alias("dependent"))
 
 
-def token_dependents(tokens: DataFrame, sentence: str = "unit_id", depth: int = 100) -> DataFrame:
+def token_dependents(tokens: DataFrame, sentence: str = "unit_id") -> DataFrame:
     """n_dependents and yield_length (last less first dependent, 0 if none) of each token."""
-    own = token_descents(tokens, sentence, depth).groupBy(sentence, "tok_ix").agg(
+    own = token_descents(tokens, sentence).groupBy(sentence, "tok_ix").agg(
         F.count(F.lit(1)).alias("n_dependents"), (F.max("dependent") - F.min("dependent")).alias("yield_length")
     )
     return tokens.select(sentence, "tok_ix").join(own, [sentence, "tok_ix"], "left").fillna(0, ["n_dependents", "yield_length"])
 
 
-def path_to_root(tokens: DataFrame, sentence: str = "unit_id", depth: int = 100) -> DataFrame:
+def path_to_root(tokens: DataFrame, sentence: str = "unit_id") -> DataFrame:
     """(sentence, tok_ix, path): the categories of the governors up to the root, nearest first."""
-    up = tokens.sparkSession.sql(
-        f"""WITH RECURSIVE up MAX RECURSION LEVEL {depth} AS (
-              SELECT {sentence} AS s, tok_ix, head_ix, 0 AS step, CAST('' AS STRING) AS tag FROM {{tokens}}
-              UNION ALL
-              SELECT u.s, u.tok_ix, t.head_ix, u.step + 1, t.cpos_tag FROM up u
-              JOIN {{tokens}} t ON t.{sentence} = u.s AND t.tok_ix = u.head_ix)
-            SELECT s, tok_ix, step, tag FROM up""",
-        tokens=tokens,
-    )
-    path = F.transform(F.sort_array(F.collect_list(F.struct("step", "tag"))), lambda x: x["tag"])
-    return up.groupBy(F.col("s").alias(sentence), "tok_ix").agg(path.alias("p")).select(
-        sentence, "tok_ix", F.slice("p", F.lit(2), F.greatest(F.size("p") - 1, F.lit(0))).alias("path")
-    )
+    own = tokens.select(sentence, F.col("tok_ix").alias("head_ix"), F.col("cpos_tag").alias("tag"))
+    links = tokens.join(own, [sentence, "head_ix"], "left_semi")
+    up = ancestors(links, [sentence], "tok_ix", "head_ix").withColumnRenamed("ancestor", "head_ix").join(own, [sentence, "head_ix"])
+    path = F.transform(F.sort_array(F.collect_list(F.struct("dist", "tag"))), lambda x: x["tag"])
+    paths = up.groupBy(sentence, "tok_ix").agg(path.alias("path"))
+    every = tokens.select(sentence, "tok_ix").distinct().join(paths, [sentence, "tok_ix"], "left")
+    return every.withColumn("path", F.coalesce("path", F.array().cast("array<string>")))
 
 
 def mentions(tokens: DataFrame, sentence: str = "unit_id") -> DataFrame:
