@@ -17,6 +17,7 @@ MIN_WORDS words; what later occurrences cover is removed.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -213,12 +214,10 @@ def _copied_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
     open_ = hits.where("left OR right").groupBy("pid").agg(F.max("left").alias("left"), F.max("right").alias("right"))
     open_ = hits.select(*OCCURRENCE, "pid").join(open_, "pid")
     open_ = open_.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("at", "pid", "left", "right")).alias("open"))
-    grown = written(_extensions(docs, written(open_, "open")), "extensions")
-    ends = grown.groupBy("key").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").select("key", "first")
-    grown = grown.join(ends, "key").withColumn("later", _later("first", F.col("step") + WINDOW))
-    most = lambda left, later: F.max(F.when((F.col("is_left") == left) & (F.col("later") | F.lit(not later)), F.col("step")))
+    grown = _grown(written(_contexts(docs, written(open_, "open")), "contexts"))
+    most = lambda left, c: F.max(F.when(F.col("is_left") == left, F.col(c)))
     grown = grown.groupBy(*[F.col(c).alias(f"_{c}") for c in OCCURRENCE]).agg(
-        most(True, False).alias("l"), most(False, False).alias("r"), most(True, True).alias("gone_l"), most(False, True).alias("gone_r")
+        most(True, "step").alias("l"), most(False, "step").alias("r"), most(True, "gone").alias("gone_l"), most(False, "gone").alias("gone_r")
     )
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in OCCURRENCE]
     hits = hits.select(*OCCURRENCE, "pid", "removed").join(grown, same, "left")
@@ -244,36 +243,60 @@ def _flat(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, pa.StructArra
     return np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten()
 
 
-def _extensions(docs: DataFrame, open_: DataFrame) -> DataFrame:
-    """(doc_id, text_key, at, is_left, step, key): key is a hash of a window with `step` more words on one side."""
+def _contexts(docs: DataFrame, open_: DataFrame) -> DataFrame:
+    """(doc_id, text_key, at, pid, is_left, near): near has 32-bit hashes of the words beside a window, the nearest first."""
 
-    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             words, text, *_ = words_at(batch.column("text"))
+            short = (words >> np.uint64(32)).astype(np.uint32).view(np.int32)
             row, rest = _flat(batch, "open")
             at = rest.field("at").to_numpy(zero_copy_only=False)
             begin, stop = np.searchsorted(text, row), np.searchsorted(text, row, "right")
             for is_left, name in ((True, "left"), (False, "right")):
                 own = np.flatnonzero(rest.field(name).to_numpy(zero_copy_only=False))
-                key = rest.field("pid").to_numpy(zero_copy_only=False)[own].view(np.uint64) ^ np.uint64(is_left)
-                for step in range(1, WINDOW):
-                    place = (begin + at)[own] + (-step if is_left else WINDOW - 1 + step)
-                    inside = (place >= begin[own]) & (place < stop[own])
-                    own, place = own[inside], place[inside]
-                    key = ((key[inside] * MIX) ^ words[place]) * MIX2
-                    key ^= key >> np.uint64(31)
-                    take = pa.array(row[own])
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column("doc_id").take(take), batch.column("text_key").take(take), pa.array(at[own].astype(np.int32)),
-                            pa.array(np.full(len(own), is_left)), pa.array(np.full(len(own), step, np.int32)), pa.array(key.view(np.int64)),
-                        ],
-                        ["doc_id", "text_key", "at", "is_left", "step", "key"],
-                    )
+                steps = np.arange(1, WINDOW)
+                place = (begin + at)[own, None] + (-steps if is_left else WINDOW - 1 + steps)
+                inside = (place >= begin[own, None]) & (place < stop[own, None])
+                offsets = np.concatenate([[0], np.cumsum(inside.sum(axis=1))]).astype(np.int32)
+                take = pa.array(row[own])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").take(take), batch.column("text_key").take(take), pa.array(at[own].astype(np.int32)),
+                        rest.field("pid").take(pa.array(own)), pa.array(np.full(len(own), is_left)),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(short[place[inside]])),
+                    ],
+                    ["doc_id", "text_key", "at", "pid", "is_left", "near"],
+                )
 
     rows = _with_texts(docs, open_, "open")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(grow, f"doc_id {kind}, text_key long, at int, is_left boolean, step int, key long")
+    return rows.mapInArrow(look, f"doc_id {kind}, text_key long, at int, pid long, is_left boolean, near array<int>")
+
+
+def _grown(rows: DataFrame) -> DataFrame:
+    """(doc_id, text_key, at, is_left, step, gone): words by which a window and another go on alike; gone if that one is earlier.
+
+    All occurrences of a window are compared with the first one. Those that leave it at
+    the same place by the same word may have more in common: they are a group of the next
+    round, with its own first one, until no group has two.
+    """
+    at, parts, depth = F.struct(*OCCURRENCE), [], F.lit(0)
+    while True:
+        rows = rows.withColumn("key", F.xxhash64("pid", "is_left", F.slice("near", F.lit(1), depth))).select(*OCCURRENCE, "pid", "is_left", "near", "key")
+        lead = rows.groupBy("key").agg(F.min(F.struct(*OCCURRENCE, "near")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        both = rows.join(lead, "key").withColumn("first", F.struct(*[F.col(f"lead.{c}").alias(c) for c in OCCURRENCE]))
+        differ = F.expr("array_position(zip_with(near, lead.near, (x, y) -> coalesce(x = y, false)), false)")
+        both = both.where(~at.eqNullSafe(F.col("first"))).withColumn("step", F.when(differ > 0, differ - 1).otherwise(F.size("near")).cast("int"))
+        # a passage is not removed for a copy that it overlaps
+        apart = F.greatest(F.col("at") - F.col("first.at") - WINDOW, F.lit(0))
+        both = both.withColumn("gone", F.when(_later("first", F.col("step") + WINDOW), F.col("step")).otherwise(F.least("step", apart)))
+        both = written(both.select(*OCCURRENCE, "pid", "is_left", "near", "first", "step", "gone"), "grown")
+        parts += [both.select(*OCCURRENCE, "is_left", "step", "gone"), both.select("first.*", "is_left", "step", F.lit(None).cast("int").alias("gone"))]
+        rows = both.where(F.col("step") < F.size("near"))
+        if rows.isEmpty():
+            return reduce(DataFrame.unionByName, parts)
+        depth = F.col("step") + 1
 
 
 def _stretches(docs: DataFrame, covers: DataFrame, min_words: int) -> DataFrame:
