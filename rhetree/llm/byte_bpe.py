@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
-from .encoding import PieceEncoder, slices
+from .encoding import ENCODE_BYTES, PieceEncoder, slices
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Bytes of words that one recursive query starts from.
@@ -66,9 +66,10 @@ class RecursiveBpe(PieceEncoder):
         import regex
 
         self.words_only = False
-        self.known, self.first, self.flat = {}, np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.added: list[tuple[str, bool]] = []
+        self._forget()
         self.split = regex.compile(pattern).findall
-        self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.db = duckdb.connect(config=DUCKDB)
         pairs = [
             (ranks[t[:i]], ranks[t[i:]], r)
@@ -98,7 +99,7 @@ class RecursiveBpe(PieceEncoder):
     def _words(self, words: list[bytes]) -> list[np.ndarray]:
         """The ids of distinct words, by the recursive query."""
         sizes = np.array([len(w) for w in words], np.int64)
-        tokens = self.bytes[np.frombuffer(b"".join(words), np.uint8)]
+        tokens = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
         rows = pa.table(
             {
                 "word": np.repeat(np.arange(len(words), dtype=np.int32), sizes),
@@ -186,7 +187,7 @@ def encoded(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
     """(doc_id, ids array<int>) of each document; a null or empty text has no ids."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", ENCODE_BYTES):
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), _list_of(*coder(ranks).encode(batch.column("text")))], ["doc_id", "ids"]
             )
@@ -227,7 +228,7 @@ def round_trip(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
     """`decoded` of `encoded`, in one pass of one worker: the ids stay in the task that made them."""
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", ENCODE_BYTES):
             yield _decoded(batch.column("doc_id"), *coder(ranks).encode(batch.column("text")), ranks)
 
     slim = docs.select("doc_id", text_of().alias("text"))

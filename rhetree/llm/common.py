@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,11 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: `spark.checkpoint.dir`.
 
-    Only where the cluster names none (as in local tests) a temporary folder is set.
+    Where none is named, a local session (as in tests) gets a temporary folder; on a
+    cluster that would be a folder of one machine, so it is an error there.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="rhetree-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
         sc.setCheckpointDir(named)
@@ -35,29 +39,43 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/rhetree-{what}-{uuid.uuid4().hex}"
 
 
-#: Paths of the tables that `written` has made, in order.
-_made: list[str] = []
+#: Paths of the tables that the operator now being run (in this thread) has written.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """`df` as a table in the shared folder: cuts the lineage, survives lost executors."""
     path = new_path(df.sparkSession, what)
+    if (made := _made.get()) is not None:
+        made.append(path)
     df.write.option("compression", "zstd").parquet(path)
-    _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def concluded(make: Callable[[], DataFrame], what: str) -> DataFrame:
-    """What `make` returns as a table; the tables that were written on the way to it are deleted."""
-    before = len(_made)
-    out = written(make(), what)
-    sc = out.sparkSession.sparkContext
-    jvm, conf = sc._jvm, sc._jsc.hadoopConfiguration()
-    for name in _made[before:-1]:
+def deleted(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables of the shared folder."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in paths:
         path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
-    del _made[before:]
-    return out
+
+
+def concluded(make: Callable[[], DataFrame], what: str) -> DataFrame:
+    """What `make` returns as a table; the tables that were written on the way to it are deleted.
+
+    They are deleted on an error as well. The table itself belongs to the operator
+    around this one, if there is one, and else stays: the frame returned reads it.
+    """
+    spark, own = SparkSession.active(), []
+    token = _made.set(own)
+    try:
+        out = make()
+        _made.reset(token)
+        return written(out, what)
+    finally:
+        if _made.get() is own:
+            _made.reset(token)
+        deleted(spark, own)
 
 
 def text_of(column: str = "text") -> Column:
@@ -78,3 +96,19 @@ def in_buckets(rows: DataFrame, wanted: DataFrame, key: str, how: str = "left_se
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
     some = wanted.select(bucket(key).alias("_bucket")).distinct()
     return rows.withColumn("_b", bucket(key)).join(F.broadcast(some), F.col("_b") == F.col("_bucket"), how).drop("_b", "_bucket")
+
+
+#: Keys that hold more than one row in so many are hot; there are fewer of them than that.
+HOT = 10_000
+
+
+def spread_join(rows: DataFrame, values: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """Inner join of `rows` with one row per key of `values`; no task gets all rows of a hot key.
+
+    `weight` is a column of `values`: how many of the `total` rows a key has. Keys of more
+    than total / HOT rows are fewer than HOT, so they are broadcast, and their rows stay
+    where they are; the others are shuffled. Null keys match nothing.
+    """
+    hot = F.broadcast(values.where(F.col(weight) > total // HOT).drop(weight))
+    cold = values.where(F.col(weight) <= total // HOT).drop(weight)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))

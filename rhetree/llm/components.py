@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,3 +35,17 @@ def components(edges: DataFrame, what: str = "links") -> DataFrame:
         if seen == before or not seen[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
         before, now = seen, written(_stars(now), what)
+
+
+def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest node of each node's component, for the nodes 0 to n - 1 of one task."""
+    own = np.arange(n)
+    while True:
+        low = np.minimum(own[a], own[b])
+        new = own.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if np.array_equal(new, own):
+            return own
+        own = new

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .components import components
+from .components import components, least_labels
 
 THRESHOLD = 0.9
 #: Vectors of a tile; rows of a tile that are multiplied at once.
@@ -42,20 +42,6 @@ def _quantised(unit: np.ndarray):
     )
 
 
-def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest node of each node's component."""
-    own = np.arange(n)
-    while True:
-        low = np.minimum(own[a], own[b])
-        new = own.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if np.array_equal(new, own):
-            return own
-        own = new
-
-
 def tile_links(left: np.ndarray, right: np.ndarray, threshold: float, same: bool):
     """Yields (i, j) arrays of linked pairs of two tiles, rows of `left` in blocks."""
     ln, rn = np.linalg.norm(left, axis=1), np.linalg.norm(right, axis=1)
@@ -96,12 +82,12 @@ def _pair(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
             np.add.at(sums, i, many_r[j])
             if not same:
                 np.add.at(sums, j + shift, many_l[i])
-            label = _labels(len(ids), i, j + shift)
+            label = least_labels(len(ids), i, j + shift)
             moved = np.flatnonzero(label != np.arange(len(ids)))
             forest_a.append(moved)
             forest_b.append(label[moved])
     if forest_a:
-        label = _labels(len(ids), np.concatenate(forest_a), np.concatenate(forest_b))
+        label = least_labels(len(ids), np.concatenate(forest_a), np.concatenate(forest_b))
         moved = np.flatnonzero(label != np.arange(len(ids)))
     else:
         moved = label = np.zeros(0, np.int64)

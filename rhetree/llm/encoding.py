@@ -16,23 +16,27 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Characters of text worked on at once, and distinct pieces remembered by a worker.
-SLICE_CHARS = 6_000_000
-REMEMBERED = 1_200_000
+#: Bytes of text worked on at once by array operations, and encoded at once.
+SLICE_BYTES = 2_000_000
+ENCODE_BYTES = 6_000_000
+#: Bytes of pieces that a worker remembers (about).
+REMEMBERED_BYTES = 200_000_000
+#: Bytes of a remembered piece besides its characters and ids.
+PIECE_BYTES = 130
 #: Pieces joined to one text for the tokenizers library, and such texts given at once.
 JOINED = 1000
 AT_ONCE = 20
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """Batches cut to about SLICE_CHARS of text each (a single longer text stands alone)."""
+def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut to about `size` bytes of text each (a single longer text stands alone)."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes, dtype=np.int64)
         start = 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, before + SLICE_CHARS, "right")))
+            stop = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
             yield batch.slice(start, stop - start)
             start = stop
 
@@ -41,7 +45,8 @@ class PieceEncoder:
     """Ids of many texts by a tokenizers file.
 
     `words_only`: the file's tokenizer drops all blanks, so that texts may be cut at any of
-    them; otherwise a space belongs to the word after it.
+    them; otherwise a space belongs to the word after it. Texts that hold a token added
+    to the file (in letters of either case) are encoded whole, as the library finds it.
     """
 
     def __init__(self, path: str, words_only: bool):
@@ -51,17 +56,19 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [(t.content, t.normalized) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words_only = words_only
-        self.known: dict[str, int] = {}
-        self.first = np.zeros(1, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        self._forget()
         # what may stand between pieces without a change to their ids, and its own id
         marks = ["\u2665", "\u2605", "\u00ae", "\u00a3", "|"] if words_only else ["\n"]
         self.mark = next(m for m in marks if len(self._ids([m])[0]) == 1)
         self.between = f" {self.mark} " if words_only else self.mark
         self.mark_id = self._ids([self.mark])[0][0]
 
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.first, self.flat, self.bytes = np.zeros(1, np.int64), np.zeros(0, np.uint32), 0
+
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -119,14 +126,15 @@ class PieceEncoder:
     def _keep(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         """Remembers the ids of new pieces."""
         n = len(self.first) - 1
+        self.bytes += PIECE_BYTES * len(pieces) + sum(map(len, pieces)) + ids.nbytes
         self.known.update(zip(pieces, range(n, n + len(pieces)), strict=True))
         self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(lengths)])
         self.flat = np.concatenate([self.flat, ids])
 
     def _places(self, pieces: list[str]) -> np.ndarray:
         """The places of distinct pieces in the remembered ids; unknown ones are encoded."""
-        if len(self.known) > REMEMBERED:
-            self.known, self.first, self.flat = {}, np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        if self.bytes > REMEMBERED_BYTES:
+            self._forget()
         known = self.known
         new = [p for p in pieces if p not in known]
         if new:
@@ -153,6 +161,8 @@ class PieceEncoder:
         index = words.indices.to_numpy(zero_copy_only=False)
         distinct = words.dictionary.to_pylist()
         whole = np.zeros(0, np.int64)
+        for token, anyhow in self.added:
+            whole = np.union1d(whole, np.flatnonzero(pc.match_substring(texts, token, ignore_case=anyhow).to_numpy(zero_copy_only=False)))
         if self.words_only:
             place = self._places(distinct)[index]
         else:
@@ -165,7 +175,7 @@ class PieceEncoder:
             if any(x.any() for x in odd):
                 unsafe = ~head & odd[0][index]
                 unsafe[1:] |= ~head[1:] & odd[1][index[:-1]]
-                whole = np.unique(np.searchsorted(ends, np.flatnonzero(unsafe), "right") - 1)
+                whole = np.union1d(whole, np.searchsorted(ends, np.flatnonzero(unsafe), "right") - 1)
             # one look-up for both, as it may begin a new memory
             firsts = index[head]
             opening = np.bincount(firsts, minlength=len(distinct))
@@ -190,7 +200,7 @@ class PieceEncoder:
         return ids, lengths
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder(name: str, words_only: bool) -> PieceEncoder:
     """The encoder of a public tokenizer file; a Python worker keeps it for its next tasks."""
     import public_tokenizers

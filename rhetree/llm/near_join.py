@@ -7,9 +7,11 @@ links found how many it missed (a pair of similarity s shares a prefix of depth
 of L trees with probability 1 - (1 - s^d)^L). While the estimated recall is under the
 target, prefixes are made one shorter, and only pairs that did not meet before are new.
 
-A pair belongs to the first tree in which it meets, so it is verified once. Small
-subtrees give pairs; a large one is dealt into blocks, and pairs of blocks are verified
-inside tasks that return sums and a forest of links, never the pairs themselves.
+Members of small subtrees give pairs. A large subtree is named by its least member, its
+leader; sets that share a leader in any tree form one group, which is dealt into blocks
+of bounded size. Pairs of blocks are verified inside tasks that return sums and a forest
+of links, never the pairs themselves. A pair of several groups counts in that of the
+least leader, and a pair that shares a leader is no pair of a small subtree.
 """
 
 from __future__ import annotations
@@ -18,32 +20,35 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import concluded, in_buckets, text_of, written
-from .components import components
+from .common import concluded, in_buckets, spread_join, text_of, written
+from .components import components, least_labels
 from .encoding import slices
-from .shingles import as_sets, minhashes, multipliers, shingle_hashes, word_hashes
+from .shingles import as_sets, common_counts, minhashes, multipliers, shingle_hashes, word_hashes
 
 TREES = 32
 DEPTH = 8
 #: Bytes of a level of a label.
 LEVEL = 2
 TARGET_RECALL = 0.9995
-#: Members up to which a subtree gives pairs, and of a block of a larger one.
+#: The least chance of a pair at the threshold to share a prefix; the first prefixes reach it.
+LEAST_CHANCE = 0.999
+#: Members up to which a subtree gives pairs; members and shingles of a block of a group.
 SMALL = 64
-BLOCK = 128
+BLOCK = 512
+BLOCK_SHINGLES = 1_000_000
 SEED = 5
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, set_id, n_shingles, labels of each document.
+    """doc_id, text_key, row_key, set_id, n_shingles, labels of each document.
 
     set_id names the set of shingles (128 bits), null if the text has no word; text_key
-    is a hash of the text; labels holds TREES labels of DEPTH levels of LEVEL bytes.
+    is a hash of the text, row_key of doc_id and text; labels holds TREES labels of DEPTH
+    levels of LEVEL bytes.
     """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,20 +64,26 @@ def sketches(docs: DataFrame) -> DataFrame:
                 [
                     batch.column("doc_id"),
                     batch.column("text_key"),
+                    batch.column("row_key"),
                     pa.array(names, pa.binary()),
                     pa.array(sizes.astype(np.int32)),
                     pa.array([row.tobytes() if n else None for row, n in zip(mixed, sizes, strict=True)], pa.binary()),
                 ],
-                ["doc_id", "text_key", "set_id", "n_shingles", "labels"],
+                ["doc_id", "text_key", "row_key", "set_id", "n_shingles", "labels"],
             )
 
-    slim = docs.select("doc_id", text_of().alias("text"), F.xxhash64("text").alias("text_key"))
+    slim = docs.select("doc_id", text_of().alias("text"), F.xxhash64("text").alias("text_key"), _row_key())
     kind = slim.schema["doc_id"].dataType.simpleString()
     return slim.mapInArrow(
-        sketch, f"doc_id {kind}, text_key long, set_id binary, n_shingles int, labels binary"
+        sketch, f"doc_id {kind}, text_key long, row_key long, set_id binary, n_shingles int, labels binary"
     )
 
 
+def _row_key() -> Column:
+    """A hash of doc_id and text: copies of a text differ in it, so that they never meet in one task."""
+    return F.xxhash64("doc_id", "text").alias("row_key")
+
+
 def _names(sets: np.ndarray, sizes: np.ndarray) -> list[bytes | None]:
     ends = np.cumsum(sizes)
     return [
@@ -82,85 +93,86 @@ def _names(sets: np.ndarray, sizes: np.ndarray) -> list[bytes | None]:
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sid, shingles array<long>) of the wanted sets (sid, set_id, text_key), from the texts."""
+    """(sid, shingles array<long>) of the wanted sets (sid, set_id, row_key), from one text of each."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             found, sizes = as_sets(*shingle_hashes(*word_hashes(batch.column("text"))))
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
             lists = pa.ListArray.from_arrays(offsets, pa.array(found.view(np.int64)))
-            same = pa.array([a == b for a, b in zip(_names(found, sizes), batch.column("set_id").to_pylist(), strict=True)])
+            same = pa.array([a == b for a, b in zip(_names(found, sizes), batch.column("set_id").to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("sid"), lists], ["sid", "shingles"]).filter(same)
 
-    texts = docs.select(text_of().alias("text"), F.xxhash64("text").alias("text_key"))
-    rows = in_buckets(texts, wanted, "text_key").join(wanted, "text_key").select("sid", "set_id", "text")
-    # copies of a text give its set again
+    texts = docs.select(text_of().alias("text"), _row_key())
+    rows = in_buckets(texts, wanted, "row_key").join(wanted, "row_key").select("sid", "set_id", "text")
+    # repeated rows give their set again
     return rows.mapInArrow(sets, "sid long, shingles array<long>").dropDuplicates(["sid"])
 
 
-def _meet(tree: Column, a: str, b: str, depth: int, done: int | None) -> Column:
-    """Whether labels a and b, which share a prefix in `tree`, did not meet earlier."""
-    at = lambda t, d, x: F.substring(F.col(x), t * DEPTH * LEVEL + 1, F.lit(d * LEVEL))
-    earlier = F.exists(
-        F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: (t < tree) & (at(t, depth, a) == at(t, depth, b))
-    )
-    if done is None:
-        return ~earlier
-    before = F.exists(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: at(t, done, a) == at(t, done, b))
-    return ~earlier & ~before
-
-
 def _chance(similarity, depth: int):
     return 1 - (1 - similarity**depth) ** TREES
 
 
-def _blocks(group: pd.DataFrame, depth: int, done: int | None, nine: int) -> pd.DataFrame:
-    """Verifies a pair of blocks of one large subtree: sums (a, null, n), forest (a, b, 0), and the estimate's sums."""
-    tree, lo, hi = int(group["tree"].iloc[0]), group["lo"].iloc[0], group["hi"].iloc[0]
-    one = group[group["block"] == lo]
-    two = one if lo == hi else group[group["block"] == hi]
-    empty = pd.DataFrame({"a": [], "b": [], "n": [], "found": [], "expected": []})
-    if not len(one) or not len(two):
-        return empty.astype({"a": "int64", "b": "Int64", "n": "int64", "found": "float64", "expected": "float64"})
-    both = pd.concat([one, two]) if lo != hi else one
-    ids, mult = both["sid"].to_numpy(), both["mult"].to_numpy()
-    sizes = both["shingles"].map(len).to_numpy()
-    flat, column = np.unique(np.concatenate(both["shingles"].to_list()), return_inverse=True)
-    hot = np.zeros((len(ids), len(flat)), np.float32)
-    hot[np.repeat(np.arange(len(ids)), sizes), column] = 1
-    shift = 0 if lo == hi else len(one)
-    common = (hot[: len(one)] @ hot[shift:].T).astype(np.int64)
-    i, j = np.nonzero(nine * common >= 4 * (sizes[: len(one), None] + sizes[None, shift:]))
-    j = j + shift
+def _met(label: np.ndarray, depth: int, first: int, shift: int) -> np.ndarray:
+    """Whether sets 0 .. first - 1 share a prefix of `depth` levels with sets shift, shift + 1, ... in any tree."""
+    out = np.zeros((first, len(label) - shift), bool)
+    for tree in range(TREES):
+        _, node = np.unique(np.ascontiguousarray(label[:, tree, :depth]).view(f"V{depth * LEVEL}"), return_inverse=True)
+        node = node.ravel()
+        out |= node[:first, None] == node[None, shift:]
+    return out
+
+
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    lists = column.combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    return lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
+
+
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("found", pa.float64()), ("expected", pa.float64())])
+
+
+def _blocks(group: pa.Table, depth: int, done: int | None) -> pa.Table:
+    """Verifies a pair of blocks of one group: sums (a, null, n), a forest (a, b, 0), and the estimate's sums."""
+    lo, hi, leader = (group.column(c)[0].as_py() for c in ("lo", "hi", "leader"))
+    block = group.column("block").to_numpy()
+    one = np.flatnonzero(block == lo)
+    both = one if lo == hi else np.concatenate([one, np.flatnonzero(block == hi)])
+    n, shift = len(one), 0 if lo == hi else len(one)
+    if not n or len(both) == shift:
+        return LINKS.empty_table()
+    group = group.take(pa.array(both))
+    ids, mult = group.column("sid").to_numpy(), group.column("mult").to_numpy()
+    flat, sizes = _lists(group.column("shingles"))
+    common = common_counts(flat, sizes, n, shift)
+    label = np.frombuffer(b"".join(group.column("labels").to_pylist()), ">u2").reshape(len(both), TREES, DEPTH)
+    linked = (9 * common >= 4 * (sizes[:n, None] + sizes[None, shift:])) & _met(label, depth, n, shift)
+    if done is not None:
+        linked &= ~_met(label, done, n, shift)
+    leaders, many = _lists(group.column("leaders"))
+    less = leaders < leader
+    many = np.add.reduceat(less, np.cumsum(many) - many, dtype=np.int64)
+    linked &= common_counts(leaders[less], many, n, shift) == 0
     if lo == hi:
-        i, j = i[i < j], j[i < j]
-    label = np.stack([np.frombuffer(x, ">u2").reshape(TREES, DEPTH) for x in both["labels"]])
-    keep = np.ones(len(i), bool)
-    for at in range(0, len(i), 4096):
-        a, b = label[i[at : at + 4096]], label[j[at : at + 4096]]
-        keep[at : at + 4096] = ~(a[:, :tree, :depth] == b[:, :tree, :depth]).all(axis=2).any(axis=1)
-        if done is not None:
-            keep[at : at + 4096] &= ~(a[:, :, :done] == b[:, :, :done]).all(axis=2).any(axis=1)
-    i, j = i[keep], j[keep]
-    both_sizes = sizes[i] + sizes[j]
-    shared = common[i, j - shift]
-    chance = _chance(shared / (both_sizes - shared), depth)
-    sums = np.zeros(len(ids), np.int64)
-    np.add.at(sums, i, mult[j])
-    np.add.at(sums, j, mult[i])
-    from .embedding_dedup import _labels
-
-    own = _labels(len(ids), i, j)
-    moved, some = np.flatnonzero(own != np.arange(len(ids))), np.flatnonzero(sums)
-    n = len(some) + len(moved)
-    return pd.DataFrame(
-        {
-            "a": np.concatenate([ids[some], ids[moved]]),
-            "b": pd.array([None] * len(some) + ids[own[moved]].tolist(), dtype="Int64"),
-            "n": np.concatenate([sums[some], np.zeros(len(moved), np.int64)]),
-            "found": np.concatenate([[float(len(i))], np.zeros(n - 1)]) if n else np.zeros(0),
-            "expected": np.concatenate([[(1 / chance).sum()], np.zeros(n - 1)]) if n else np.zeros(0),
-        }
+        linked = np.triu(linked, 1)
+    i, j = np.nonzero(linked)
+    if not len(i):
+        return LINKS.empty_table()
+    shared, j = common[i, j], j + shift
+    chance = _chance(shared / (sizes[i] + sizes[j] - shared), depth)
+    sums = np.bincount(i, mult[j], len(both)) + np.bincount(j, mult[i], len(both))
+    own = least_labels(len(both), i, j)
+    moved, some = np.flatnonzero(own != np.arange(len(both))), np.flatnonzero(sums)
+    rest = np.zeros(len(some) + len(moved) - 1)
+    return pa.Table.from_arrays(
+        [
+            pa.array(np.concatenate([ids[some], ids[moved]])),
+            pa.array(np.concatenate([ids[some], ids[own[moved]]]), mask=np.arange(len(rest) + 1) < len(some)),
+            pa.array(np.concatenate([sums[some], np.zeros(len(moved))]).astype(np.int64)),
+            pa.array(np.concatenate([[float(len(i))], rest])),
+            pa.array(np.concatenate([[(1 / chance).sum()], rest])),
+        ],
+        schema=LINKS,
     )
 
 
@@ -171,26 +183,33 @@ def _round(docs: DataFrame, sets: DataFrame, depth: int, done: int | None) -> Da
     met_in = F.xxhash64("sid") if done is None else prefix(done)
     placed = (
         sets.select("sid", "n_shingles", "labels", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-        .select("sid", "n_shingles", "tree", prefix(depth).alias("node"), met_in.alias("deeper"))
+        .select("sid", "n_shingles", prefix(depth).alias("node"), met_in.alias("deeper"))
     )
-    subtrees = placed.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    subtrees = placed.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("sid").alias("leader")).where("size > 1")
     members = written(placed.join(subtrees, "node"), "members")
-    slim = sets.select("sid", "mult", "labels")
+    large = members.where(F.col("size") > SMALL).groupBy("leader", "sid").agg(F.first("n_shingles").alias("n_shingles"))
+    large = written(large, "groups")
+    # a set has a leader for each tree at most
+    leaders = large.groupBy("sid").agg(F.collect_set("leader").alias("leaders"))
+    slim = written(sets.select("sid", "set_id", "row_key", "mult", "labels").join(leaders, "sid", "left"), "led-sets")
     small = members.where(F.col("size") <= SMALL)
-    left = small.select("node", "tree", F.col("sid").alias("a"), F.col("n_shingles").alias("n_a"), F.col("deeper").alias("d_a"))
+    left = small.select("node", F.col("sid").alias("a"), F.col("n_shingles").alias("n_a"), F.col("deeper").alias("d_a"))
     right = small.select("node", F.col("sid").alias("b"), F.col("n_shingles").alias("n_b"), F.col("deeper").alias("d_b"))
     # sets of too different sizes cannot be similar enough; pairs of one deeper subtree are verified already
     fits = (F.col("a") < F.col("b")) & (F.greatest("n_a", "n_b") * 4 <= F.least("n_a", "n_b") * 5) & (F.col("d_a") != F.col("d_b"))
-    pairs = left.join(right, (left["node"] == right["node"]) & fits).select("tree", "a", "b")
-    # all trees of a pair in one row, so that labels are fetched once a pair
-    met = pairs.groupBy("a", "b").agg(F.min("tree").alias("tree"))
-    side = lambda x: slim.select(*[F.col(c).alias(f"{c}_{x}") for c in slim.columns])
+    pairs = left.join(right, (left["node"] == right["node"]) & fits).select("a", "b")
+    # all trees of a pair in one row
+    met = pairs.groupBy("a", "b").agg(F.lit(1).alias("one")).drop("one")
+    own = ["sid", "mult", "leaders"] + (["labels"] if done else [])
+    side = lambda x: slim.select(*[F.col(c).alias(f"{c}_{x}") for c in own])
     met = met.join(side("a"), F.col("a") == F.col("sid_a")).join(side("b"), F.col("b") == F.col("sid_b"))
-    fits = _meet(F.col("tree"), "labels_a", "labels_b", depth, done)
-    met = written(met.where(fits).select("a", "b", "mult_a", "mult_b"), "pairs")
-    large = members.where(F.col("size") > SMALL)
+    met = met.where(~F.coalesce(F.arrays_overlap("leaders_a", "leaders_b"), F.lit(False)))
+    if done:
+        at = lambda t, x: F.substring(F.col(x), t * DEPTH * LEVEL + 1, F.lit(done * LEVEL))
+        met = met.where(~F.exists(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: at(t, "labels_a") == at(t, "labels_b")))
+    met = written(met.select("a", "b", "mult_a", "mult_b"), "pairs")
     wanted = met.select(F.col("a").alias("sid")).unionAll(met.select("b")).unionAll(large.select("sid")).distinct()
-    known = written(_shingle_sets(docs, sets.join(wanted, "sid").select("sid", "set_id", "text_key")), "sets")
+    known = written(_shingle_sets(docs, slim.join(wanted, "sid").select("sid", "set_id", "row_key")), "sets")
     set_of = lambda x: known.select(F.col("sid").alias(x), F.col("shingles").alias(f"s_{x}"))
     checked = met.join(set_of("a"), "a").join(set_of("b"), "b")
     common = F.size(F.array_intersect("s_a", "s_b"))
@@ -206,24 +225,25 @@ def _round(docs: DataFrame, sets: DataFrame, depth: int, done: int | None) -> Da
             )
         ).alias("x")
     ).select("x.*")
-    # large subtrees: every member goes to the pairs of blocks that its block is in
-    n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = large.withColumn("block", F.pmod(F.xxhash64("sid"), n_blocks).cast("int")).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), n_blocks - 1))
+    # groups: every member goes to the pairs of blocks that its block is in
+    sizes = large.groupBy("leader").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("n_blocks")
     )
     dealt = (
-        dealt.select("node", "tree", "sid", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-        .join(slim.select("sid", "mult", "labels"), "sid")
-        .join(known, "sid")
+        large.drop("n_shingles").join(sizes, "leader")
+        .withColumn("block", F.pmod(F.xxhash64("sid"), F.col("n_blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+        .select("leader", "sid", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+        .join(slim.select("sid", "mult", "labels", "leaders").join(known, "sid"), "sid")
     )
-    in_blocks = dealt.groupBy("node", "lo", "hi").applyInPandas(
-        lambda g: _blocks(g, depth, done, 9), "a long, b long, n long, found double, expected double"
+    in_blocks = dealt.groupBy("leader", "lo", "hi").applyInArrow(
+        lambda g: _blocks(g, depth, done), "a long, b long, n long, found double, expected double"
     )
     return written(direct.unionAll(in_blocks), "near-links")
 
 
 def near_links(docs: DataFrame, target: float = TARGET_RECALL) -> tuple[DataFrame, DataFrame, list[tuple[int, float]]]:
-    """(sketches, (set_id, component, n_links) of each set, [(depth, estimated recall)]).
+    """(sketches, (set_id, mult, class_id, n_links) of each set, [(depth, estimated recall)]).
 
     Two documents link if the Jaccard similarity of their sets of five-word shingles is
     0.8 or more. n_links counts the documents of linked sets and the other documents of
@@ -232,13 +252,15 @@ def near_links(docs: DataFrame, target: float = TARGET_RECALL) -> tuple[DataFram
     rows = written(sketches(docs), "sketches")
     grouped = rows.where("set_id IS NOT NULL").groupBy("set_id").agg(
         F.count(F.lit(1)).alias("mult"),
-        F.min("text_key").alias("text_key"),
+        F.min("doc_id").alias("least"),
+        F.min("row_key").alias("row_key"),
         F.first("n_shingles").alias("n_shingles"),
         F.first("labels").alias("labels"),
     )
     sets = written(grouped.withColumn("sid", F.monotonically_increasing_id()), "distinct-sets")
     found, history, done = None, [], None
-    for depth in range(DEPTH, 0, -1):
+    start = max(d for d in range(1, DEPTH + 1) if d == 1 or _chance(0.8, d) >= LEAST_CHANCE)
+    for depth in range(start, 0, -1):
         part = _round(docs, sets, depth, done)
         found = part if found is None else found.unionAll(part)
         seen = part.agg(F.sum("found"), F.sum("expected")).first()
@@ -249,39 +271,37 @@ def near_links(docs: DataFrame, target: float = TARGET_RECALL) -> tuple[DataFram
         recall = total / (total + missed) if total else 1.0
         history.append((depth, recall, seen[0] or 0.0, missed))
         done = depth
-        if recall >= target and _chance(0.8, depth) >= 0.999:
+        if recall >= target:
             break
     sums = found.groupBy(F.col("a").alias("sid")).agg(F.sum("n").alias("n"))
     parts = components(found.where("b IS NOT NULL").select("a", "b"), "set-links").withColumnRenamed("node", "sid")
-    named = (
-        sets.select("sid", "set_id", "mult").join(sums, "sid", "left").join(parts, "sid", "left")
-        .select(
-            "set_id", F.coalesce("component", "sid").alias("component"),
-            (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).cast("long").alias("n_links"),
-        )
+    linked = written(
+        sets.select("sid", "set_id", "mult", "least").join(sums, "sid", "left").join(parts, "sid", "left")
+        .withColumn("component", F.coalesce("component", "sid")), "linked-sets"
     )
-    return rows, named, [h[:2] for h in history]
+    # a component's least doc_id goes to its sets
+    least = linked.groupBy("component").agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("n_sets"))
+    named = spread_join(linked, least, "component", "n_sets", linked.count())
+    named = named.select("set_id", "mult", "class_id", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).cast("long").alias("n_links"))
+    return rows, written(named, "named-sets"), [h[:2] for h in history]
 
 
 def near_classes(docs: DataFrame, target: float = TARGET_RECALL) -> DataFrame:
-    """doc_id, text_key, class_id, n_links of each document.
+    """doc_id, text_key, row_key, class_id, n_links of each document.
 
     class_id is the smallest doc_id (null last) among the documents that links connect.
     Texts without a word link with nothing; shorter texts than five words are one
-    shingle. Repeated rows are documents of their own.
+    shingle. Repeated rows are documents of their own; an empty table has no classes.
     """
     return concluded(lambda: _classes(docs, target), "classes")
 
 
 def _classes(docs: DataFrame, target: float) -> DataFrame:
     rows, named, _ = near_links(docs, target)
-    placed = rows.select("doc_id", "text_key", "set_id").join(named, "set_id", "left")
-    least = placed.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    return placed.join(least, "component", "left").select(
-        "doc_id", "text_key",
-        F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-    )
+    slim = rows.select("doc_id", "text_key", "row_key", "set_id")
+    placed = spread_join(slim.where("set_id IS NOT NULL"), named, "set_id", "mult", rows.count()).drop("set_id")
+    alone = slim.where("set_id IS NULL").select("doc_id", "text_key", "row_key", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return placed.unionByName(alone)
 
 
 def near_digest(docs: DataFrame) -> DataFrame:
@@ -298,12 +318,19 @@ def near_filter(docs: DataFrame) -> DataFrame:
     Documents without a word are classes of their own.
     """
     classes = near_classes(docs)
-    stays = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    stays = stays.groupBy("doc_id").agg(F.min("text_key").alias("text_key"), F.count(F.lit(1)).alias("rows"))
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.xxhash64("text").alias("text_key"))
-    stays = stays.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), "rows")
-    kept = whole.join(stays, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_k")))
+    stays = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg(F.min("text_key").alias("text_key"))
+    # null doc_ids are no copies of each other: they stay as they are
+    stays = stays.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"))
+    here = classes.groupBy("doc_id", "text_key", "row_key", "class_id").agg(F.count(F.lit(1)).alias("rows"))
+    here = here.join(stays, F.col("doc_id") == F.col("_d"), "left").withColumn(
+        "gone", ~F.coalesce(F.col("doc_id").eqNullSafe(F.col("class_id")) & ((F.col("text_key") == F.col("_k")) | F.col("doc_id").isNull()), F.lit(False))
+    )
+    # only rows that may have to go are shuffled
+    touched = written(here.where("gone OR (rows > 1 AND doc_id IS NOT NULL)").groupBy("row_key").agg(F.max("gone").alias("gone")), "touched")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", _row_key())
     columns = [F.col(f"row.`{c}`") for c in docs.columns]
-    once = kept.where("rows = 1").select(*columns)
-    repeated = kept.where("rows > 1").dropDuplicates(["doc_id", "text_key"]).select(*columns)
-    return once.unionAll(repeated)
+    rest = in_buckets(whole, touched, "row_key", "left_anti").select(*columns)
+    hit = in_buckets(whole, touched, "row_key").join(touched, "row_key", "left")
+    passed = hit.where("gone IS NULL").select(*columns)
+    repeated = hit.where("NOT gone").dropDuplicates(["row_key"]).select(*columns)
+    return rest.unionAll(passed).unionAll(repeated)

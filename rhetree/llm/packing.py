@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of, written
-from .encoding import encoder, slices, with_end
+from .encoding import ENCODE_BYTES, encoder, slices, with_end
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 1
@@ -38,7 +38,7 @@ def pieces(docs: DataFrame, window: int = WINDOW, tokenizer: str = TOKENIZER, en
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = encoder(tokenizer, words_only=False)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", ENCODE_BYTES):
             ids, lengths = with_end(*pieces.encode(batch.column("text")), end_id)
             ids = ids.astype("<u4")
             many = -(-lengths // window)

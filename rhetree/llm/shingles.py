@@ -7,6 +7,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SHINGLE = 5
+#: Cells of a 0/1 matrix held at once.
+CELLS = 4_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -75,6 +77,30 @@ def as_sets(shingles: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndar
     return s[new], np.bincount(d[new], minlength=len(many))
 
 
+def common_counts(flat: np.ndarray, sizes: np.ndarray, first: int, shift: int) -> np.ndarray:
+    """How many members the sets 0 .. first - 1 share with the sets shift, shift + 1, ...
+
+    `flat` holds the sets in a row. Members of all sets are counted at once, those of one
+    set not at all; the others are multiplied as 0/1 columns, CELLS of them at a time.
+    """
+    n = len(sizes)
+    _, column, often = np.unique(flat, return_inverse=True, return_counts=True)
+    out = np.full((first, n - shift), np.float32((often == n).sum()) if n > 1 else 0, np.float32)
+    partial = (often > 1) & (often < n)
+    number = np.cumsum(partial) - 1
+    keep = partial[column]
+    row, column = np.repeat(np.arange(n, dtype=np.int32), sizes)[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    width, many = max(1, CELLS // n), int(partial.sum())
+    for at in range(0, many, width):
+        lo, hi = np.searchsorted(column, (at, at + width))
+        hot = np.zeros((n, min(width, many - at)), np.float32)
+        hot[row[lo:hi], column[lo:hi] - at] = 1
+        out += hot[:first] @ hot[shift:].T
+    return out
+
+
 def words_at(texts: pa.Array):
     """Words of texts with their places: (hash, text, line, start, end), an array each.
 

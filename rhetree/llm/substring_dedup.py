@@ -20,15 +20,14 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import concluded, in_buckets, text_of, written
-from .components import components
+from .common import concluded, in_buckets, spread_join, text_of, written
+from .components import components, least_labels
 from .encoding import slices
-from .shingles import MIX, MIX2, SHINGLE, least_windows, minhashes, multipliers, shingle_hashes, words_at
+from .shingles import MIX, MIX2, SHINGLE, common_counts, least_windows, minhashes, multipliers, shingle_hashes, words_at
 
 #: Words of a window, and windows in a row of which the least is kept.
 WINDOW = 18
@@ -36,9 +35,10 @@ WINDOW = 18
 MIN_WORDS = 20
 SIMILARITY = 0.8
 RECALL = 0.98
-#: Distinct lines up to which a band's bucket gives pairs, and of a block of a larger one.
+#: Distinct lines up to which a band's bucket gives pairs; lines and shingles of a block of a larger one.
 SMALL = 64
-BLOCK = 256
+BLOCK = 512
+BLOCK_SHINGLES = 1_000_000
 SEED = 9
 PARAGRAPHS = "at int, n_words int, is_line boolean, start int, end int, pid long, bands array<long>"
 OCCURRENCE = ("doc_id", "text_key", "at")
@@ -108,11 +108,17 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return slim.mapInArrow(cut, f"doc_id {kind}, text_key long, {PARAGRAPHS}")
 
 
+def _row_key(text_key: str = "text_key") -> Column:
+    """A hash of doc_id and text_key: copies of a text differ in it, so that they never meet in one task."""
+    return F.xxhash64("doc_id", text_key).alias("row_key")
+
+
 def _sets(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(pid, shingle hashes) of lines given by (pid, text_key, start, end)."""
-    texts = docs.select(text_of().alias("text"), F.xxhash64("text").alias("text_key"))
-    found = in_buckets(texts, places, "text_key").join(places, "text_key")
-    # copies of a text give its paragraphs again; only these are shuffled, not the texts
+    """(pid, shingle hashes) of lines given by (pid, row_key, start, end)."""
+    texts = docs.select("doc_id", text_of().alias("text"), F.xxhash64("text").alias("text_key"))
+    texts = texts.select("text", _row_key())
+    found = in_buckets(texts, places, "row_key").join(places, "row_key")
+    # repeated rows give their paragraphs again; only these are shuffled, not the texts
     found = found.select("pid", F.expr("substring(text, start + 1, end - start)").alias("t")).groupBy("pid").agg(F.min("t").alias("t"))
     found = found.select("pid", F.split("t", r"[\x20\x09-\x0D]+").alias("w"))
     whole = F.array(F.xxhash64("w"))
@@ -120,19 +126,20 @@ def _sets(docs: DataFrame, places: DataFrame) -> DataFrame:
     return found.select("pid", F.array_distinct(F.when(F.size("w") < SHINGLE, whole).otherwise(each)).alias("s"))
 
 
-def _block_links(group: pd.DataFrame) -> pd.DataFrame:
-    """A forest of the links between two blocks of a bucket."""
-    from .embedding_dedup import _labels
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
 
-    ids, sizes = group["pid"].to_numpy(), group["s"].map(len).to_numpy()
-    flat, column = np.unique(np.concatenate(group["s"].to_list()), return_inverse=True)
-    hot = np.zeros((len(ids), len(flat)), np.float32)
-    hot[np.repeat(np.arange(len(ids)), sizes), column] = 1
-    common = hot @ hot.T
+def _block_links(group: pa.Table) -> pa.Table:
+    """A forest of the links between two blocks of a bucket (or within one)."""
+    ids = group.column("pid").to_numpy()
+    lists = group.column("s").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    sizes = np.diff(lists.offsets.to_numpy())
+    common = common_counts(lists.flatten().to_numpy(zero_copy_only=False), sizes, len(ids), 0)
     i, j = np.nonzero(np.triu(9 * common >= 4 * (sizes[:, None] + sizes), 1))
-    own = _labels(len(ids), i, j)
+    own = least_labels(len(ids), i, j)
     moved = np.flatnonzero(own != np.arange(len(ids)))
-    return pd.DataFrame({"a": ids[moved], "b": ids[own[moved]]})
+    return pa.Table.from_arrays([pa.array(ids[moved]), pa.array(ids[own[moved]])], schema=LINKS)
 
 
 def paragraph_links(docs: DataFrame, pars: DataFrame) -> DataFrame:
@@ -148,21 +155,24 @@ def paragraph_links(docs: DataFrame, pars: DataFrame) -> DataFrame:
     other = small.select("band", F.col("pid").alias("b"))
     pairs = small.select("band", F.col("pid").alias("a")).join(other, "band").where("a < b").select("a", "b").distinct()
     wanted = members.select("pid").distinct()
-    places = pars.select("pid", F.struct("text_key", "start", "end").alias("at")).join(wanted, "pid")
+    # only rows with bands: of a line that repeats, one a task slice
+    places = pars.where("size(bands) > 0").select("pid", F.struct(_row_key(), "start", "end").alias("at")).join(wanted, "pid")
     places = places.groupBy("pid").agg(F.min("at").alias("at")).select("pid", "at.*")
     sets = written(_sets(docs, written(places, "places")), "paragraph-sets")
     side = lambda x: sets.select(F.col("pid").alias(x), F.col("s").alias(f"s_{x}"))
     common, total = F.size(F.array_intersect("s_a", "s_b")), F.size("s_a") + F.size("s_b")
     direct = pairs.join(side("a"), "a").join(side("b"), "b").where(9 * common >= 4 * total).select("a", "b")
-    n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    large = members.where(F.col("size") > SMALL).select("band", "pid").join(sets, "pid")
+    blocks = large.groupBy("band").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.size("s")) / BLOCK_SHINGLES)).cast("int").alias("n_blocks")
+    )
     dealt = (
-        members.where(F.col("size") > SMALL)
-        .withColumn("block", F.pmod(F.xxhash64("pid"), n_blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-        .select("band", "pid", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-        .join(sets, "pid")
+        large.join(blocks, "band")
+        .withColumn("block", F.pmod(F.xxhash64("pid"), F.col("n_blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+        .select("band", "pid", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "s")
     )
-    return direct.unionAll(dealt.groupBy("band", "lo", "hi").applyInPandas(_block_links, "a long, b long"))
+    return direct.unionAll(dealt.groupBy("band", "lo", "hi").applyInArrow(_block_links, "a long, b long"))
 
 
 def repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -181,13 +191,13 @@ def _copied_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     links = components(paragraph_links(docs, lines), "paragraph-links")
     linked = links.unionAll(links.select(F.col("component").alias("node"), "component")).distinct()
     at = F.struct(*OCCURRENCE)
-    kinds = lines.groupBy("pid").agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    kinds = lines.groupBy("pid").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count(F.lit(1)).alias("n"))
     kinds = kinds.join(linked.withColumnRenamed("node", "pid"), "pid", "left")
     kinds = kinds.where("first <> last OR component IS NOT NULL").withColumn("class_id", F.coalesce("component", "pid"))
-    kinds = written(kinds.select("pid", "class_id", "first"), "copied")
-    least = kinds.groupBy("class_id").agg(F.min("first").alias("stays"))
-    kinds = kinds.join(least, "class_id").select("pid", "class_id", "stays")
-    found = lines.drop("bands").join(kinds, "pid").withColumn("removed", ~at.eqNullSafe(F.col("stays")))
+    kinds = written(kinds.select("pid", "class_id", "first", "n"), "copied")
+    least = kinds.groupBy("class_id").agg(F.min("first").alias("stays"), F.count(F.lit(1)).alias("n_kinds"))
+    kinds = spread_join(kinds.drop("first"), least, "class_id", "n_kinds", kinds.count())
+    found = spread_join(lines.drop("bands"), written(kinds, "classed"), "pid", "n", lines.count()).withColumn("removed", ~at.eqNullSafe(F.col("stays")))
     lo, hi = F.col("at"), F.col("at") + F.col("n_words")
     gone = [F.when(F.col("removed"), c) for c in (lo, hi)]
     return found.select("doc_id", "text_key", lo.alias("lo"), hi.alias("hi"), gone[0].alias("gone_lo"), gone[1].alias("gone_hi"), "class_id")
@@ -202,17 +212,17 @@ def _later(first: str, words: Column) -> Column:
 def _copied_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """The same of windows that have copies, each extended as far as a copy goes on (exactly)."""
     at, slim = F.struct(*OCCURRENCE), windows.select(*OCCURRENCE, "pid")
-    often = slim.groupBy("pid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("pid")
-    hits = written(slim.join(often, "pid"), "windows")
-    ends = hits.groupBy("pid").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").select("pid", "first")
-    hits = hits.join(ends, "pid").withColumn("removed", _later("first", F.lit(WINDOW))).drop("first").distinct()
+    ends = slim.groupBy("pid").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count(F.lit(1)).alias("n"))
+    ends = written(ends.where("first <> last").select("pid", "first", "n"), "window-kinds")
+    hits = spread_join(slim, ends, "pid", "n", slim.count())
+    hits = hits.withColumn("removed", _later("first", F.lit(WINDOW))).drop("first").distinct()
     chain = Window.partitionBy("doc_id", "text_key", "removed").orderBy("at")
     gap = lambda c: F.coalesce(c > WINDOW, F.lit(True))
     hits = hits.withColumns({"left": gap(F.col("at") - F.lag("at").over(chain)), "right": gap(F.lead("at").over(chain) - F.col("at"))})
     hits = written(hits, "copied-windows")
     # all occurrences of a window are extended where one of them ends a chain
-    open_ = hits.where("left OR right").groupBy("pid").agg(F.max("left").alias("left"), F.max("right").alias("right"))
-    open_ = hits.select(*OCCURRENCE, "pid").join(open_, "pid")
+    open_ = hits.groupBy("pid").agg(F.max("left").alias("left"), F.max("right").alias("right"), F.count(F.lit(1)).alias("n"))
+    open_ = spread_join(hits.select(*OCCURRENCE, "pid"), open_.where("left OR right"), "pid", "n", hits.count())
     open_ = open_.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("at", "pid", "left", "right")).alias("open"))
     grown = _grown(written(_contexts(docs, written(open_, "open")), "contexts"))
     most = lambda left, c: F.max(F.when(F.col("is_left") == left, F.col(c)))
@@ -232,9 +242,9 @@ def _copied_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
 def _with_texts(docs: DataFrame, gathered: DataFrame, column: str) -> DataFrame:
     """doc_id, text_key, text and a gathered column of the documents that have it."""
     texts = docs.select("doc_id", text_of().alias("text"), F.xxhash64("text").alias("text_key"))
-    own = gathered.select(F.col("doc_id").alias("_d"), "text_key", column)
-    found = in_buckets(texts, gathered, "text_key").alias("t").join(own.alias("g"), F.expr("t.text_key = g.text_key AND t.doc_id <=> g._d"))
-    return found.select("t.doc_id", "t.text_key", "t.text", column)
+    own = gathered.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), column, _row_key())
+    found = in_buckets(texts.withColumn("row_key", _row_key()), own, "row_key").join(own, "row_key").where("text_key = _k AND doc_id <=> _d")
+    return found.select("doc_id", "text_key", "text", column)
 
 
 def _flat(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, pa.StructArray]:
@@ -284,8 +294,8 @@ def _grown(rows: DataFrame) -> DataFrame:
     at, parts, depth = F.struct(*OCCURRENCE), [], F.lit(0)
     while True:
         rows = rows.withColumn("key", F.xxhash64("pid", "is_left", F.slice("near", F.lit(1), depth))).select(*OCCURRENCE, "pid", "is_left", "near", "key")
-        lead = rows.groupBy("key").agg(F.min(F.struct(*OCCURRENCE, "near")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        both = rows.join(lead, "key").withColumn("first", F.struct(*[F.col(f"lead.{c}").alias(c) for c in OCCURRENCE]))
+        lead = rows.groupBy("key").agg(F.min(F.struct(*OCCURRENCE, "near")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        both = spread_join(rows, lead, "key", "n", rows.count()).withColumn("first", F.struct(*[F.col(f"lead.{c}").alias(c) for c in OCCURRENCE]))
         differ = F.expr("array_position(zip_with(near, lead.near, (x, y) -> coalesce(x = y, false)), false)")
         both = both.where(~at.eqNullSafe(F.col("first"))).withColumn("step", F.when(differ > 0, differ - 1).otherwise(F.size("near")).cast("int"))
         # a passage is not removed for a copy that it overlaps
@@ -367,16 +377,16 @@ def substring_filter(docs: DataFrame) -> DataFrame:
     gone = repeated(docs).where("removed").groupBy("doc_id", "text_key").agg(
         F.sort_array(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")))).alias("spans")
     )
-    gone = written(gone, "removed").select(F.col("doc_id").alias("_d"), F.col("text_key"), "spans")
+    gone = written(gone.select(_row_key(), F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), "spans"), "removed")
     whole = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text",
         F.xxhash64("text").alias("text_key"),
-    )
+    ).withColumn("row_key", _row_key())
     columns = [F.col(f"row.`{c}`") for c in docs.columns]
-    rest = in_buckets(whole, gone, "text_key", "left_anti").select(*columns)
-    hit = in_buckets(whole, gone, "text_key").alias("h").join(
-        gone.alias("g"), F.expr("h.text_key = g.text_key AND h.doc_id <=> g._d"), "left"
-    )
+    rest = in_buckets(whole, gone, "row_key", "left_anti").select(*columns)
+    hit = in_buckets(whole, gone, "row_key").join(gone, "row_key", "left")
+    # a clash of keys is no hit
+    hit = hit.withColumn("spans", F.when(F.col("text_key").eqNullSafe(F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")), F.col("spans")))
     start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
     step = lambda s, x: F.struct(
         x["end"].alias("pos"), F.concat(s["out"], F.substring(F.col("text"), s["pos"] + 1, x["start"] - s["pos"])).alias("out")

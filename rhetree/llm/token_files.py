@@ -14,11 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, text_of
-from .encoding import encoder, slices, with_end
+from .encoding import ENCODE_BYTES, encoder, slices, with_end
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -45,7 +45,7 @@ def tokenized(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = encoder(tokenizer, words_only=True)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", ENCODE_BYTES):
             ids, lengths = with_end(*pieces.encode(batch.column("text")), end_id)
             offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
@@ -70,22 +70,31 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
     tokenized(ordered, tokenizer, end_id).write.options(**LAYOUT).parquet(path)
 
 
-def read_tokens(spark, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids and where a row lies: `file` and `row`, its number in the file."""
-    rows = spark.read.schema("doc_id long, n_tokens long, ids array<int>").parquet(path)
+def read_tokens(spark, path: str, key_type: str = "long") -> DataFrame:
+    """doc_id, n_tokens, ids and where a row lies: `file` and `row`, its number in the file.
+
+    `key_type` is the type of doc_id in the files.
+    """
+    rows = spark.read.schema(f"doc_id {key_type}, n_tokens long, ids array<int>").parquet(path)
     return rows.select(
         "doc_id", "n_tokens", "ids", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")
     )
 
 
-def starts(spark, path: str) -> DataFrame:
+def file_number(file: Column) -> Column:
+    """The number of a file in the order of writing: names as text go wrong from 100,000 files on."""
+    return F.regexp_extract(file, r"part-(\d+)", 1).cast("long")
+
+
+def starts(spark, path: str, key_type: str = "long") -> DataFrame:
     """(file, row, start): the ids of all documents before each, from the metadata columns alone.
 
-    Only one sum per file is ordered as a whole; running sums are within files.
+    Only one sum per file is ordered as a whole; running sums are within files. A task
+    that writes several files numbers them in its order after its own number.
     """
-    rows = read_tokens(spark, path).select("file", "row", "n_tokens")
+    rows = read_tokens(spark, path, key_type).select("file", "row", "n_tokens")
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(file_number(F.col("file")), "file").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     ahead = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     within = rows.withColumn("own", F.coalesce(F.sum("n_tokens").over(ahead), F.lit(0)))
@@ -116,7 +125,7 @@ def checksums(tokens: DataFrame) -> DataFrame:
 def token_file_digest(docs: DataFrame) -> DataFrame:
     """Writes the files, reads them back: doc_id, start, n_tokens, ids_crc32 of each document."""
     spark = docs.sparkSession
-    path = new_path(spark, "tokens")
+    path, kind = new_path(spark, "tokens"), docs.schema["doc_id"].dataType.simpleString()
     write_tokens(docs, path)
-    found = checksums(read_tokens(spark, path))
-    return found.join(starts(spark, path), ["file", "row"]).select("doc_id", "start", "n_tokens", "ids_crc32")
+    found = checksums(read_tokens(spark, path, kind))
+    return found.join(starts(spark, path, kind), ["file", "row"]).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -136,7 +136,7 @@ def test_mixture_in_every_shard(spark):
         assert len(counts) == 24 and max(counts) - min(counts) <= 3, source
 
 
-ODD = ["", " ", "  a  b ", "a\n b", "don't  stop", "<|endoftext|> hi", "É é", "a\tb\r\nc", "🙂🙂 ok.", "♥ x ♥", "x\n\ny.\nz,", "\x1c a", " ́b"]
+ODD = ["", " ", "  a  b ", "a\n b", "don't  stop", "<|endoftext|> hi", "a <|startoftext|>b<|endoftext|>", "x <|ENDOFTEXT|>  y", "É é", "a\tb\r\nc", "🙂🙂 ok.", "♥ x ♥", "x\n\ny.\nz,", "\x1c a", " ́b"]
 
 
 @pytest.mark.parametrize("name,words_only", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
@@ -148,14 +148,12 @@ def test_pieces_encode_as_whole_texts(name, words_only):
     ids, n = encoder.encode(pa.array(texts))
     at = np.concatenate([[0], np.cumsum(n)])
     plain = Tokenizer.from_file(public_tokenizers.path(name))
-    plain.encode_special_tokens = True
     for i, e in enumerate(plain.encode_batch(texts, add_special_tokens=False)):
         assert ids[at[i] : at[i + 1]].tolist() == e.ids, repr(texts[i])
 
 
 def whole_ids(docs, name):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return [(d, [*t.encode(x, add_special_tokens=False).ids, 1]) for d, x in rows_of(docs)]
 
 
@@ -233,7 +231,7 @@ def test_embeddings(spark):
     n = np.linalg.norm(x, axis=1)
     link = (x @ x.T) / np.outer(n, n) >= 0.9
     np.fill_diagonal(link, False)
-    label = embedding_dedup._labels(len(good), *np.nonzero(link))
+    label = components.least_labels(len(good), *np.nonzero(link))
     assert link.sum() > 100
     for k, i in enumerate(good):
         c = good[int(label[k])]
@@ -298,7 +296,7 @@ def brute_links(texts):
 @pytest.mark.parametrize("small", [64, 1])
 def test_near_join(spark, monkeypatch, small):
     monkeypatch.setattr(near_join, "SMALL", small)
-    monkeypatch.setattr(near_join, "BLOCK", 2)
+    monkeypatch.setattr(near_join, "BLOCK", 4)
     texts = near_copies()
     rows = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, class_id string")
     got = {r.doc_id: (r.class_id, r.n_links) for r in near_join.near_digest(rows).collect()}
