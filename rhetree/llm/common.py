@@ -6,7 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,22 +61,32 @@ def deleted(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written within are deleted at its end, also on an error."""
+    own: list[str] = []
+    token = _made.set(own)
+    try:
+        yield
+    finally:
+        _made.reset(token)
+        deleted(spark, own)
+
+
 def concluded(make: Callable[[], DataFrame], what: str) -> DataFrame:
     """What `make` returns as a table; the tables that were written on the way to it are deleted.
 
-    They are deleted on an error as well. The table itself belongs to the operator
-    around this one, if there is one, and else stays: the frame returned reads it.
+    The table itself belongs to the operator around this one, if there is one, and else
+    stays: the frame returned reads it.
     """
-    spark, own = SparkSession.active(), []
-    token = _made.set(own)
-    try:
+    spark = SparkSession.active()
+    path = new_path(spark, what)
+    if (made := _made.get()) is not None:
+        made.append(path)
+    with scratch(spark):
         out = make()
-        _made.reset(token)
-        return written(out, what)
-    finally:
-        if _made.get() is own:
-            _made.reset(token)
-        deleted(spark, own)
+        out.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(out.schema).parquet(path)
 
 
 def text_of(column: str = "text") -> Column:

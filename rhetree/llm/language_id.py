@@ -1,9 +1,11 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-One model of order ORDER is learned per language. Probabilities of all n-grams seen in
-any language are worked out beforehand and kept in arrays sorted by the n-grams' hashes,
-one row of log-probabilities (a column per language) each, and so are the back-off
-weights of histories. A text's cross-entropy per character under each language follows
+One model of order ORDER is learned per language. Counts, continuation counts and the
+probabilities of all n-grams seen in any language are worked out by aggregations and
+joins of DataFrames, none of them is left out, and kept in arrays sorted by the n-grams'
+hashes, one row of log-probabilities (a column per language) each, and so are the back-off
+weights of histories. The arrays pass the driver once, to be broadcast: the sample that
+they are learned from has MAX_CHARS characters a language, so they are bounded by it. A text's cross-entropy per character under each language follows
 from binary searches; the lowest wins. A temperature and a rejection threshold are
 calibrated on training documents that the models did not see.
 """
@@ -11,25 +13,28 @@ calibrated on training documents that the models did not see.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import scratch, written
 
 ORDER = 4
 DISCOUNT = 0.75
-#: Bounds of the training sample: labelled documents per language (in expectation), and
-#: distinct n-grams that a model keeps (the most frequent ones).
+#: Bounds of the training sample, in expectation: labelled documents of a language, and
+#: their characters (texts are taken whole).
 MAX_DOCS = 1500
-MAX_GRAMS = 2_000_000
+MAX_CHARS = 4_000_000
 #: One training document in so many calibrates instead of training.
 CALIBRATE = 8
+#: Calibration documents below which the defaults stay: temperature 1, nothing rejected.
+LEAST_CALIBRATION = 20
 #: Text positions scored at once.
 AT_ONCE = 1_000_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -87,62 +92,74 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, (keys[at] == wanted) if len(keys) else np.zeros(len(wanted), bool)
 
 
-def _learn(counts: dict[str, dict[str, int]]) -> Models:
-    """Interpolated Kneser-Ney from the counts of ORDER-grams of each language."""
-    languages = sorted(counts)
-    size = len({g[-1] for c in counts.values() for g in c}) + 1
-    # by order: counts of n-grams (continuations below the highest), of histories, and of what follows them
-    grams = [[None] * ORDER for _ in languages]
-    totals = [[None] * ORDER for _ in languages]
-    kinds = [[None] * ORDER for _ in languages]
-    for i, language in enumerate(languages):
-        own = Counter(counts[language])
-        for order in range(ORDER, 0, -1):
-            total, kind = defaultdict(int), Counter()
-            for g, c in own.items():
-                total[g[:-1]] += c
-                kind[g[:-1]] += 1
-            grams[i][order - 1], totals[i][order - 1], kinds[i][order - 1] = own, total, kind
-            own = Counter(g[1:] for g in own)
+def _by_language(rows: DataFrame, key: str, value: Column) -> DataFrame:
+    """(key, m): one map from language number to value for each key."""
+    return rows.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("ix", value))).alias("m"))
+
+
+def fit(counts: DataFrame) -> Models | None:
+    """Interpolated Kneser-Ney from (lang, gram, n), the counts of ORDER-grams; None if there are none.
+
+    Below the highest order, an n-gram counts as often as different characters precede
+    it. A language has as many rows as n-grams; a gram's languages meet in one row.
+    """
+    languages = sorted(r[0] for r in counts.select("lang").distinct().collect())
+    if not languages:
+        return None
+    numbered = F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("lang")) - 1
+    own = {ORDER: written(counts.select(numbered.cast("int").alias("ix"), "gram", F.col("n").alias("c")), "grams")}
+    for k in range(ORDER - 1, 0, -1):
+        shorter = own[k + 1].groupBy("ix", F.substring("gram", 2, k).alias("gram")).agg(F.count(F.lit(1)).alias("c"))
+        own[k] = written(shorter, "grams")
+    size = own[1].select("gram").distinct().count() + 1
+    base = {r["ix"]: r for r in own[1].groupBy("ix").agg(F.sum("c").alias("t"), (DISCOUNT * F.count(F.lit(1)) / F.sum("c")).alias("w")).collect()}
+    each = F.sequence(F.lit(0), F.lit(len(languages) - 1))
+    of = lambda values: F.array(*[F.lit(float(v)) for v in values])
+    total, floor = of(base[i]["t"] for i in range(len(languages))), of(base[i]["w"] / size for i in range(len(languages)))
+    # share of the discounted count, and what the shorter gram adds
+    p = lambda i: F.get(floor, i) + F.coalesce((F.col("m")[i] - DISCOUNT) / F.get(total, i), F.lit(0.0))
+    table = written(_by_language(own[1], "gram", F.col("c")).select("gram", F.transform(each, p).alias("p")), "order-1")
     keys, logs, histories, weights = [], [], [], []
-    known: list[dict[str, float]] = [{} for _ in languages]
-
-    def weight(i: int, order: int, history: str) -> float:
-        total = totals[i][order - 1].get(history)
-        return DISCOUNT * kinds[i][order - 1][history] / total if total else 1.0
-
-    for order in range(1, ORDER + 1):
-        every = sorted({g for own in grams for g in own[order - 1]})
-        table = np.empty((len(every), len(languages)))
-        for i in range(len(languages)):
-            now = {}
-            for k, g in enumerate(every):
-                history = g[:-1]
-                lower = known[i].get(g[1:], weight(i, 1, "") / size) if order > 1 else 1 / size
-                total = totals[i][order - 1].get(history)
-                p = weight(i, order, history) * lower
-                if total:
-                    p += max(grams[i][order - 1].get(g, 0) - DISCOUNT, 0) / total
-                now[g] = table[k, i] = p
-            known[i] = now
-        sort, hashes = _sorted(every, order)
-        keys.append(hashes)
-        logs.append(np.log(table[sort]).astype(np.float32))
-        if order > 1:
-            past = sorted({h for own in totals for h in own[order - 1]})
-            sort, hashes = _sorted(past, order - 1)
-            histories.append(hashes)
-            bow = [[weight(i, order, h) for i in range(len(languages))] for h in past]
-            weights.append(np.log(np.array(bow).reshape(len(past), len(languages))[sort]).astype(np.float32))
-    floor = np.log([weight(i, 1, "") / size for i in range(len(languages))]).astype(np.float32)
-    return Models(languages, keys, logs, histories, weights, floor)
-
-
-def _sorted(grams: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
-    codes = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(grams), order)
-    hashes = _hash([codes[:, i] for i in range(order)])
+
+    def keep(rows: DataFrame, order: int, to_keys: list, to_values: list) -> None:
+        hashes, values = _arrays(rows, order, len(languages))
+        to_keys.append(hashes)
+        to_values.append(values)
+
+    keep(table, 1, keys, logs)
+    for k in range(2, ORDER + 1):
+        past = own[k].groupBy("ix", F.substring("gram", 1, k - 1).alias("h")).agg(
+            F.struct(F.sum("c").alias("t"), (DISCOUNT * F.count(F.lit(1)) / F.sum("c")).alias("w")).alias("v")
+        )
+        past = written(_by_language(past, "h", F.col("v")).withColumnRenamed("m", "past"), "histories")
+        w = lambda i: F.coalesce(F.col("past")[i]["w"], F.lit(1.0))
+        keep(past.select(F.col("h").alias("gram"), F.transform(each, w).alias("p")), k - 1, histories, weights)
+        p = lambda i: w(i) * F.get("low", i) + F.coalesce((F.col("m")[i] - DISCOUNT) / F.col("past")[i]["t"], F.lit(0.0))  # noqa: E731, B023
+        low = table.select(F.col("gram").alias("shorter"), F.col("p").alias("low"))
+        now = _by_language(own[k], "gram", F.col("c"))
+        now = now.join(past, F.substring("gram", 1, k - 1) == F.col("h")).join(low, F.substring("gram", 2, k - 1) == F.col("shorter"))
+        table = written(now.select("gram", F.transform(each, p).alias("p")), f"order-{k}")
+        keep(table, k, keys, logs)
+    return Models(languages, keys, logs, histories, weights, np.log([base[i]["w"] / size for i in range(len(languages))]).astype(np.float32))
+
+
+def _arrays(rows: DataFrame, order: int, n_languages: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the grams in ascending order, and the logarithms of their values (grams x languages)."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = "".join(batch.column("gram").to_pylist()).encode("utf-32-le", "surrogatepass")
+            codes = np.frombuffer(text, "<u4").reshape(batch.num_rows, order)
+            h = _hash([codes[:, i] for i in range(order)]).view(np.int64)
+            values = np.log(batch.column("p").flatten().to_numpy(zero_copy_only=False)).astype(np.float32)
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(values), n_languages).cast(pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([pa.array(h), lists], ["h", "v"])
+
+    found = rows.select("gram", "p").mapInArrow(hashed, "h long, v array<float>").toArrow()
+    hashes = found.column("h").to_numpy().view(np.uint64)
+    values = np.concatenate([np.zeros(0, np.float32), *(c.flatten().to_numpy(zero_copy_only=False) for c in found.column("v").chunks)])
     sort = np.argsort(hashes)
-    return sort, hashes[sort]
+    return hashes[sort], values.reshape(len(hashes), n_languages)[sort]
 
 
 def held_out():
@@ -170,33 +187,32 @@ def _gram_counts(sample: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def learn(docs: DataFrame, max_docs: int = MAX_DOCS, max_grams: int = MAX_GRAMS) -> Models | None:
+def learn(docs: DataFrame, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS) -> Models | None:
     """Models of the languages in (doc_id, text, lang), from a bounded sample of the training rows.
 
-    The sample takes each row of a language with the same chance, by its doc_id's hash.
-    None if there is no labelled training row with a letter.
+    The sample takes each row of a language with the same chance, by its doc_id's hash,
+    so that about `max_docs` rows and `max_chars` characters of it are taken at most; all
+    n-grams of the sample count. None if there is no labelled training row with a text.
+    Where fewer than LEAST_CALIBRATION rows calibrate, the temperature is 1 and no text
+    is rejected.
     """
     spark = docs.sparkSession
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).collect()
     if not n:
         return None
-    share = spark.createDataFrame([(k, min(1.0, max_docs / v)) for k, v in n.items()], "lang string, share double")
+    shares = [(r["lang"], float(min(1.0, max_docs / r["n"], max_chars / max(r["chars"], 1)))) for r in n]
+    share = spark.createDataFrame(shares, "lang string, share double")
     chance = (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) + 0.5) / (1 << 20)
     rows = rows.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     sample = written(rows.join(F.broadcast(share), "lang").where(chance < F.col("share")), "language-sample")
     apart = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(CALIBRATE)) == 0
-    counted = _gram_counts(sample.where(~apart)).orderBy(F.desc("n"), "lang", "gram").limit(max_grams)
-    counts: dict[str, dict[str, int]] = {}
-    for lang, gram, k in counted.toPandas().itertuples(index=False):
-        # '<U' arrays drop nulls at a gram's end
-        counts.setdefault(lang, {})[gram.ljust(ORDER, "\0")] = k
-    if not counts:
+    models = fit(_gram_counts(sample.where(~apart)))
+    if models is None:
         return None
-    models = _learn(counts)
     seen = _entropies(sample.where(apart), models, keep="lang").toPandas()
     seen = seen[seen["lang"].isin(models.languages)]
-    if len(seen) >= 20:
+    if len(seen) >= LEAST_CALIBRATION:
         entropy = np.stack(seen["entropy"].to_numpy())
         truth = seen["lang"].map({x: i for i, x in enumerate(models.languages)}).to_numpy()
         right = entropy[np.arange(len(truth)), truth]
@@ -258,7 +274,9 @@ def _mean_scores(model: Models, texts: list[np.ndarray]) -> np.ndarray:
 def identify(docs: DataFrame, models: Models | None) -> DataFrame:
     """doc_id, lang_pred, score (0 to 1), entropy, rejected of each document, from its text alone.
 
-    `und` with score 0 if the text is null or has no letter, or nothing was learned. The
+    `und` with score 0 if the text is null or has no letter, or nothing was learned. Of
+    languages with equal cross-entropy the first by name is taken; repeated rows are
+    predicted alike, whole texts of any length are scored a part at a time. The
     score is the calibrated probability of lang_pred; `rejected` marks texts that are
     less likely under every model than practically all training texts of the language.
     """
@@ -281,6 +299,8 @@ def identify(docs: DataFrame, models: Models | None) -> DataFrame:
 
 
 def language_digest(docs: DataFrame) -> DataFrame:
-    """Learns from the training rows and predicts all documents."""
-    found = identify(docs, learn(docs.select("doc_id", "text", "lang")))
+    """Learns from the training rows and predicts all documents, one row each; see `learn` and `identify`."""
+    with scratch(docs.sparkSession):
+        models = learn(docs.select("doc_id", "text", "lang"))
+    found = identify(docs, models)
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "entropy", "rejected")

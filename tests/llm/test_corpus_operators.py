@@ -354,13 +354,39 @@ def test_language_held_out(spark):
     assert all(0 <= r.score <= 1 for r in out.values())
 
 
-def test_language_models_sum_to_one(spark):
-    counts = {"a": collections.Counter({"   x": 3, "  xy": 2, " xyx": 1, "xyxx": 1}), "b": collections.Counter({"   y": 1, "  yy": 4})}
-    models = language_id._learn(counts)
-    for history in ("   ", "  x", "qqq"):
-        codes = [np.array([ord(c) for c in history + x], np.uint32) for x in "xyሴ"]
-        p = np.exp([models.score(c)[0] for c in codes])
-        assert (p.sum(axis=0) <= 1.0001).all() and (p > 0).all()
+def plain_kneser_ney(texts, alphabet_size, d=language_id.DISCOUNT, order=language_id.ORDER):
+    """p(x, history) by the textbook recursion over counted lists of n-grams."""
+    grams = {order: collections.Counter(t[i : i + order] for t in texts for i in range(len(t) - order + 1))}
+    for k in range(order - 1, 0, -1):
+        grams[k] = collections.Counter(g[1:] for g in grams[k + 1])
+
+    def p(x, history):
+        k = len(history) + 1
+        lower = p(x, history[1:]) if history else 1 / alphabet_size
+        follow = {g: c for g, c in grams[k].items() if g[:-1] == history}
+        if not follow:
+            return lower
+        total = sum(follow.values())
+        return max(follow.get(history + x, 0) - d, 0) / total + d * len(follow) / total * lower
+
+    return p
+
+
+def test_language_models_are_kneser_ney(spark):
+    texts = {"a": ["   xyxxy", "   xxyy zx"], "b": ["   yyzy y", "   zz"], "c": ["   é"]}
+    rows = [(x, g, n) for x, own in texts.items() for g, n in collections.Counter(t[i : i + 4] for t in own for i in range(len(t) - 3)).items()]
+    models = language_id.fit(spark.createDataFrame(rows, "lang string, gram string, n long"))
+    assert models.languages == list(texts)
+    alphabet = sorted({g[-1] for _, g, _ in rows})
+    plain = [plain_kneser_ney(own, len(alphabet) + 1) for own in texts.values()]
+    for history in ("   ", "  x", " xy", "xyx", "yyz", "qqq", "qxy", "  é"):
+        sums = np.zeros(3)
+        for x in [*alphabet, "ሴ"]:
+            got = np.exp(models.score(np.array([ord(c) for c in history + x], np.uint32))[0])
+            assert np.allclose(got, [p(x, history) for p in plain], rtol=1e-5), (history, x)
+            sums += got
+        assert np.allclose(sums, 1, atol=1e-5)
+    assert language_id.fit(spark.createDataFrame([], "lang string, gram string, n long")) is None
 
 
 @pytest.mark.parametrize(
