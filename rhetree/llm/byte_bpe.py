@@ -6,6 +6,12 @@ contracts each word's leftmost pair of the lowest rank, until no pair of the wor
 rank. Decoding joins ids with the vocabulary and aggregates the bytes in order.
 
 The queries run inside each Spark task on what that task holds: every distinct word once.
+
+Words of more than LONG bytes (text without blanks, long numbers) would take as many steps
+as they have merges. They are first cut where no token of the vocabulary can reach across,
+and what stays long contracts all places of its lowest rank in one step. That gives the
+same ids if the new token is in no pair of a lower rank; where it is (`lonely`, looked up
+in the file), one place a step is contracted there too.
 """
 
 from __future__ import annotations
@@ -27,7 +33,10 @@ from .encoding import ENCODE_BYTES, PieceEncoder, slices
 RANKS = "byte_bpe_50k.tiktoken"
 #: Bytes of words that one recursive query starts from.
 BYTES_AT_ONCE = 150_000
-DUCKDB = {"threads": 1, "memory_limit": "250MB"}
+#: Bytes from which a word counts as long.
+LONG = 256
+#: Nothing is spilled to a local folder.
+DUCKDB = {"threads": 1, "memory_limit": "250MB", "max_temp_directory_size": "0KB"}
 
 #: `pos` numbers the tokens of all words in a row; `best` is the lowest rank of a word's
 #: pairs, then the leftmost place, in one number. Words without a pair are finished.
@@ -47,6 +56,27 @@ CONTRACT = f"""
 WITH RECURSIVE state AS ({PAIRS.format(tokens="words")} UNION ALL {PAIRS.format(tokens=CONTRACTED)})
 SELECT word, tok FROM state WHERE best IS NULL ORDER BY pos
 """
+#: The same for long words, whose lowest rank is contracted wherever it is, from the left:
+#: `run` counts places of that rank in a row, and every other one of them is taken.
+ALL_PAIRS = """
+    SELECT *, min(rank) OVER (PARTITION BY word) AS best
+    FROM (SELECT s.word, s.pos, s.tok, g.merged * 4294967296 + CASE WHEN g.lonely THEN s.pos ELSE 0 END AS rank
+          FROM (SELECT word, pos, tok, lead(tok) OVER w AS following, lead(word) OVER w AS next_word
+                FROM {tokens} WINDOW w AS (ORDER BY pos)) s
+          LEFT JOIN merges g ON g.lhs = s.tok AND g.rhs = s.following AND s.word = s.next_word)
+"""
+ALL_CONTRACTED = """(
+    SELECT word, pos, CASE WHEN taken THEN (best >> 32)::INTEGER ELSE tok END AS tok
+    FROM (SELECT word, pos, tok, best, taken, lag(taken) OVER (ORDER BY pos) AS gone
+          FROM (SELECT *, coalesce(rank = best, false)
+                       AND (k - max(CASE WHEN rank = best THEN 0 ELSE k END) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING)) % 2 = 1 AS taken
+                FROM (SELECT *, row_number() OVER (ORDER BY pos) AS k FROM state WHERE best IS NOT NULL)))
+    WHERE NOT coalesce(gone, false))
+"""
+CONTRACT_ALL = f"""
+WITH RECURSIVE state AS ({ALL_PAIRS.format(tokens="words")} UNION ALL {ALL_PAIRS.format(tokens=ALL_CONTRACTED)})
+SELECT word, tok FROM state WHERE best IS NULL ORDER BY pos
+"""
 DECODE = """
 SELECT string_agg(v.hex, '' ORDER BY r.pos) AS hex
 FROM runs r JOIN vocab v ON v.id = r.id GROUP BY r.run ORDER BY r.run
@@ -77,12 +107,15 @@ class RecursiveBpe(PieceEncoder):
             for i in range(1, len(t))
             if t[:i] in ranks and t[i:] in ranks
         ]
+        lonely = {x for a, b, r in pairs for x in (a, b) if x > r}
+        self.inside = _inside(list(ranks))
         columns = zip(*pairs, strict=True) if pairs else ((), (), ())
         merges = pa.table(dict(zip(("lhs", "rhs", "merged"), (pa.array(c, pa.int64()) for c in columns), strict=True)))
+        merges = merges.append_column("lonely", pa.array([r in lonely for *_, r in pairs], pa.bool_()))
         vocab = pa.table({"id": pa.array(ranks.values(), pa.int64()), "hex": [t.hex() for t in ranks]})
         self.db.register("given_merges", merges)
         self.db.register("given_vocab", vocab)
-        self.db.execute("CREATE TABLE merges AS SELECT lhs::INTEGER AS lhs, rhs::INTEGER AS rhs, merged FROM given_merges")
+        self.db.execute("CREATE TABLE merges AS SELECT lhs::INTEGER AS lhs, rhs::INTEGER AS rhs, merged, lonely FROM given_merges")
         self.db.execute("CREATE TABLE vocab AS SELECT id::INTEGER AS id, hex FROM given_vocab")
         self.leads = np.zeros(max(ranks.values()) + 1, bool)
         self.leads[[r for t, r in ranks.items() if t[:1] == b" "]] = True
@@ -96,7 +129,7 @@ class RecursiveBpe(PieceEncoder):
             self.db.unregister(name)
         return out
 
-    def _words(self, words: list[bytes]) -> list[np.ndarray]:
+    def _words(self, words: list[bytes], sql: str = CONTRACT) -> list[np.ndarray]:
         """The ids of distinct words, by the recursive query."""
         sizes = np.array([len(w) for w in words], np.int64)
         tokens = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
@@ -107,10 +140,30 @@ class RecursiveBpe(PieceEncoder):
                 "tok": tokens,
             }
         )
-        out = self._query(CONTRACT, words=rows)
+        out = self._query(sql, words=rows)
         word, tok = out.column("word").to_numpy(), out.column("tok").to_numpy()
         return np.split(tok, np.searchsorted(word, np.arange(1, len(words))))
 
+    def _long(self, word: bytes) -> np.ndarray:
+        """The ids of a long word: cut where no token reaches across, then by the queries."""
+        data = np.frombuffer(word, np.uint8)
+        crossed = np.zeros(len(data) - 1, bool)
+        for n, known in self.inside.items():
+            grams = np.zeros(len(data) - n + 1, np.uint64)
+            for k in range(n):
+                grams = grams << np.uint64(8) | data[k : len(data) - n + 1 + k].astype(np.uint64)
+            hit = known[np.minimum(np.searchsorted(known, grams), len(known) - 1)] == grams
+            for k in range(n - 1):
+                crossed[k : k + len(hit)] |= hit
+        cuts = [0, *(np.flatnonzero(~crossed) + 1).tolist(), len(word)]
+        parts = [word[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        ids: dict[bytes, np.ndarray] = {}
+        for long in (False, True):
+            some = list(dict.fromkeys(p for p in parts if (len(p) > LONG) == long))
+            for batch in _batches(some):
+                ids.update(zip(batch, self._words(batch, CONTRACT_ALL if long else CONTRACT), strict=True))
+        return np.concatenate([ids[p] for p in parts])
+
     def _encode(self, pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         ids = self._whole(pieces)
         sizes = np.fromiter(map(len, ids), np.int64, count=len(ids))
@@ -119,15 +172,12 @@ class RecursiveBpe(PieceEncoder):
     def _whole(self, texts: list[str]) -> list[list[int]]:
         cut = [self.split(t) for t in texts]
         distinct = list(dict.fromkeys(w for words in cut for w in words))
-        ids: dict[str, list[int]] = {}
-        batch, size = [], 0
-        for i, w in enumerate(distinct):
-            batch.append(w)
-            size += len(w.encode())
-            if size >= BYTES_AT_ONCE or i + 1 == len(distinct):
-                found = self._words([x.encode() for x in batch])
-                ids.update(zip(batch, (x.tolist() for x in found), strict=True))
-                batch, size = [], 0
+        ids: dict[bytes, list[int]] = {}
+        coded = {w: w.encode() for w in distinct}
+        for batch in _batches([w for w in coded.values() if len(w) <= LONG]):
+            ids.update(zip(batch, (x.tolist() for x in self._words(batch)), strict=True))
+        ids.update((w, self._long(w).tolist()) for w in coded.values() if len(w) > LONG)
+        ids = {w: ids[x] for w, x in coded.items()}
         return [[i for w in words for i in ids[w]] for words in cut]
 
     def decode(self, ids: np.ndarray, lengths: np.ndarray) -> Iterator[bytes]:
@@ -170,6 +220,30 @@ class RecursiveBpe(PieceEncoder):
         return [bytes.fromhex(h) for h in self._query(DECODE, runs=rows).column("hex").to_pylist()]
 
 
+def _batches(words: list[bytes]) -> Iterator[list[bytes]]:
+    """The words in lists of about BYTES_AT_ONCE bytes."""
+    batch, size = [], 0
+    for w in words:
+        batch.append(w)
+        size += len(w)
+        if size >= BYTES_AT_ONCE:
+            yield batch
+            batch, size = [], 0
+    if batch:
+        yield batch
+
+
+def _inside(tokens: list[bytes]) -> dict[int, np.ndarray]:
+    """By length, sorted: tokens of 2 and 3 bytes, and all runs of 4 bytes within tokens.
+
+    A token that reaches across a place of a text is one of the first, or shows one of the
+    last there.
+    """
+    found = {n: {int.from_bytes(t, "big") for t in tokens if len(t) == n} for n in (2, 3)}
+    found[4] = {int.from_bytes(t[i : i + 4], "big") for t in tokens for i in range(len(t) - 3)}
+    return {n: np.array(sorted(x), np.uint64) for n, x in found.items() if x}
+
+
 @lru_cache(maxsize=1)
 def coder(name: str) -> RecursiveBpe:
     """The coder of a public rank file; a Python worker keeps it for its next tasks."""
@@ -184,7 +258,7 @@ def _list_of(ids: np.ndarray, lengths: np.ndarray) -> pa.Array:
 
 
 def encoded(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
-    """(doc_id, ids array<int>) of each document; a null or empty text has no ids."""
+    """(doc_id, ids array<int>) of each document; a null or empty text has no ids, a text of any length is encoded whole."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", ENCODE_BYTES):
