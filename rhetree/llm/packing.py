@@ -121,23 +121,28 @@ def packed(piece_rows: DataFrame, window: int = WINDOW, group_pieces: int = GROU
     """Adds sequence_id and offset to rows with a `length` from 1 to `window`.
 
     Groups are dealt by where a row lies in the written table, so that any number of
-    equal rows spreads evenly; sequences of different groups have different ids.
+    equal rows spreads evenly; sequences of different groups have different ids. Columns
+    called sequence_id and offset are replaced, all others pass through. An empty table
+    gives no row; of pieces of equal length any may come first.
     """
+    piece_rows = piece_rows.drop("sequence_id", "offset")
+    free = max([0, *map(len, piece_rows.columns)]) * "_"
+    place, number = f"{free}place", f"{free}group"
     rows = written(piece_rows, "pieces").select(
-        "*", F.xxhash64("_metadata.file_name", "_metadata.row_index").alias("_h")
+        "*", F.xxhash64("_metadata.file_name", "_metadata.row_index").alias(place)
     )
     n_groups = max(1, -(-rows.count() // group_pieces))
-    keyed = rows.withColumn("_group", F.expr(f"pmod(_h, {n_groups}L)"))
+    keyed = rows.withColumn(number, F.pmod(F.col(place), F.lit(n_groups).cast("long")))
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_h", kind="stable")
+        group = group.sort_values(place, kind="stable")
         sequence, offset = fill_sequences(group["length"].to_numpy(), window)
-        group["sequence_id"] = group["_group"] * (1 << 32) + sequence
+        group["sequence_id"] = group[number] * (1 << 32) + sequence
         group["offset"] = offset
-        return group.drop(columns=["_h", "_group"])
+        return group.drop(columns=[place, number])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in piece_rows.schema.fields)
-    return keyed.groupBy("_group").applyInPandas(fill, f"{fields}, sequence_id long, offset long")
+    return keyed.groupBy(number).applyInPandas(fill, f"{fields}, sequence_id long, offset long")
 
 
 def packing_digest(docs: DataFrame) -> DataFrame:

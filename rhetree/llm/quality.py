@@ -13,11 +13,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, written
 
 #: What separates words: space, tab to carriage return.
 BLANKS = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
 @dataclass(frozen=True)
@@ -59,16 +60,15 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words (long).
 
     Words are runs of anything but blanks; a line counts if it has a word; a null text
-    has no words. Other columns pass through (their names must not begin with `_`).
+    has no words. Other columns pass through; those of these names are replaced.
 
     3-word windows are compared through 64-bit hashes first: without two equal hashes
     there is no repeat. Only otherwise the windows themselves are sorted with their
     positions; equal neighbours are the repeated ones, and the words they cover are
     counted by walking their positions once.
     """
-    step = docs.withColumn("_t", text_of(text)).withColumn(
-        "_w", F.filter(F.split("_t", BLANKS), lambda w: w != "")
-    )
+    kept = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c not in MEASURES]).alias("_row")
+    step = docs.select(kept, text_of(text).alias("_t")).withColumn("_w", F.filter(F.split("_t", BLANKS), lambda w: w != ""))
     step = step.withColumn(
         "_lines", F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     )
@@ -101,7 +101,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         "coalesce(aggregate(transform(_at, (p, k) -> "
         "if(k + 1 < size(_at), least(3, _at[k + 1] - p), 3)), 0L, (n, x) -> n + x), 0L)"
     )
-    return step.withColumns(
+    rows = step.withColumns(
         {
             "n_words": F.size("_w").cast("long"),
             "word_chars": F.aggregate("_w", F.lit(0).cast("long"), lambda n, w: n + F.length(w)),
@@ -110,11 +110,12 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "n_repeat_words": covered,
         }
-    ).drop("_t", "_w", "_lines", "_hashes", "_sorted", "_at")
+    )
+    return rows.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c not in MEASURES], *MEASURES)
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`measured` plus `failed` (long): bit i is set if rule i of RULES fails."""
+    """`measured` plus `failed` (long, replaced if there): bit i is set if rule i of RULES fails."""
     bits = " | ".join(f"IF({r.fails}, {1 << i}L, 0L)" for i, r in enumerate(RULES))
     return measured(docs, text).withColumn("failed", F.expr(bits))
 
@@ -148,13 +149,28 @@ def ablation(rows: DataFrame, policy: str = PRODUCTION) -> DataFrame:
     )
 
 
+def sole_rule(policy: str = PRODUCTION) -> Column:
+    """The rule of a policy that alone rejects a ledger row; null if none or several do."""
+    bits, mask = F.col("failed").bitwiseAND(F.lit(mask_of(policy)).cast("long")), mask_of(policy)
+    return F.coalesce(*[F.when(bits == 1 << i, F.lit(r.name)) for i, r in enumerate(RULES) if mask >> i & 1])
+
+
 def quality_digest(docs: DataFrame) -> DataFrame:
-    """One row per document: measurements, base_failed, kept, the failure bits."""
-    rows = ledger(docs.select("doc_id", "text"))
+    """One row per document: measurements, base_failed, kept, the failure bits, and what the stored ledger gives.
+
+    The ledger is written once; all the rest is read from it: the verdicts of the other
+    policies (kept_v1, kept_v2), sole_rule, and from the ablation how many documents that
+    rule alone rejects (n_sole; null without one). Null and empty texts have no words and
+    fail few_words; repeated rows are rows of their own, and an empty table has none.
+    """
+    rows = written(ledger(docs.select("doc_id", "text")), "ledger").withColumn("sole_rule", sole_rule())
     base = passes("base")
-    return rows.select(
+    # a row per rule
+    costs = ablation(rows).select(F.col("rule").alias("sole_rule"), F.col("n_only").alias("n_sole"))
+    return rows.join(F.broadcast(costs), "sole_rule", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (~base).alias("base_failed"), (base & passes(PRODUCTION)).alias("kept"), "failed", "n_lines",
+        (base & passes("v1")).alias("kept_v1"), (base & passes("v2")).alias("kept_v2"), "sole_rule", "n_sole",
     )
 
 

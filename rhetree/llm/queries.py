@@ -86,6 +86,7 @@ SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN f USING (doc_id)
 """
 BITS = " + ".join(f"CASE WHEN {r.fails} THEN {1 << i} ELSE 0 END" for i, r in enumerate(QUALITY_RULES))
+SOLE = " ".join(f"WHEN {1 << i} THEN '{r.name}'" for i, r in enumerate(QUALITY_RULES) if mask_of(PRODUCTION) >> i & 1)
 QUALITY_SQL = f"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
@@ -97,7 +98,9 @@ WITH w AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_a
                   len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words FROM w LEFT JOIN r USING (doc_id)),
      f AS (SELECT *, ({BITS})::BIGINT AS failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, failed, failed & {mask_of("base")} <> 0 AS base_failed,
-       failed & {mask_of("base") | mask_of(PRODUCTION)} = 0 AS kept FROM f
+       failed & {mask_of("base") | mask_of(PRODUCTION)} = 0 AS kept, failed & {mask_of("v1")} = 0 AS kept_v1, failed & {mask_of("v2")} = 0 AS kept_v2,
+       sole_rule, CASE WHEN sole_rule IS NOT NULL THEN count(*) OVER (PARTITION BY sole_rule) END AS n_sole
+FROM (SELECT *, CASE failed & {mask_of(PRODUCTION)} {SOLE} END AS sole_rule FROM f)
 """
 EMBEDDING_SQL = """
 WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE len(embedding) > 0

@@ -206,15 +206,17 @@ def _running(found: Column) -> Column:
     return F.flatten(F.transform(with_f, lambda v: rows(v["m"], v["f"])))
 
 
-def scan(docs: DataFrame, text: str = "text", rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", rules: tuple[SecretRule, ...] = RULES, spread: str = "doc_id") -> DataFrame:
     """Adds `secrets`: array<(start, kind, end)> sorted, kind being the rule's place in `rules`.
 
-    A null or empty text has none; other columns pass through. Equal rows share a key,
-    and a clash of keys only adds candidates, which the search then turns down.
+    A null or empty text has none; other columns pass through (one called `secrets` is
+    replaced). Candidates are joined by a hash of the text and of the column `spread` (if
+    there is one), so that copies of a text do not meet in one task; a clash of hashes
+    only adds candidates, which the search then turns down.
     """
     kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "secrets"]).alias("_row")
-    keyed = docs.select(kept, text_of(text).alias("_t"))
-    keyed = keyed.withColumn("_key", F.xxhash64("_t", F.length("_t")))
+    key = F.xxhash64(text_of(text), *[F.col(f"`{c}`") for c in (spread,) if c in docs.columns])
+    keyed = docs.select(kept, text_of(text).alias("_t"), key.alias("_key"))
     found = candidates(keyed.select("_key", "_t"), rules)
     matched = keyed.join(found, "_key", "left")
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
