@@ -2,7 +2,8 @@
 
 A tokenizer never merges across the blanks it splits at, so a text's ids are those of its
 pieces in a row. Pieces repeat: each worker encodes a distinct piece once with the
-tokenizers library and lays the ids of all texts out with array operations. Texts in
+tokenizers library and lays the ids of all texts out with array operations. It remembers
+pieces by two 64-bit hashes each, in sorted arrays, up to REMEMBERED_BYTES. Texts in
 which a cut next to a blank would matter are encoded whole.
 """
 
@@ -19,10 +20,8 @@ import pyarrow.compute as pc
 #: Bytes of text worked on at once by array operations, and encoded at once.
 SLICE_BYTES = 2_000_000
 ENCODE_BYTES = 6_000_000
-#: Bytes of pieces that a worker remembers (about).
-REMEMBERED_BYTES = 200_000_000
-#: Bytes of a remembered piece besides its characters and ids.
-PIECE_BYTES = 130
+#: Bytes that the pieces take that a worker remembers.
+REMEMBERED_BYTES = 80_000_000
 #: Pieces joined to one text for the tokenizers library, and such texts given at once.
 JOINED = 1000
 AT_ONCE = 20
@@ -66,8 +65,9 @@ class PieceEncoder:
         self.mark_id = self._ids([self.mark])[0][0]
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.first, self.flat, self.bytes = np.zeros(1, np.int64), np.zeros(0, np.uint32), 0
+        # hashes of the pieces in ascending order, a second hash of each, and its place in `first`
+        self.keys, self.checks, self.at = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.first, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -123,33 +123,61 @@ class PieceEncoder:
                 out.append(x)
         return out
 
+    def _hashes(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        from xxhash import xxh3_64_intdigest
+
+        return np.fromiter(map(hash, pieces), np.int64, count=len(pieces)), np.fromiter(map(xxh3_64_intdigest, pieces), np.uint64, count=len(pieces))
+
+    def _find(self, pieces: list[str]) -> np.ndarray:
+        """The places of pieces in the remembered ids, -1 for unknown ones."""
+        key, check = self._hashes(pieces)
+        if not len(self.keys):
+            return np.full(len(key), -1)
+        last = len(self.keys) - 1
+        at = np.minimum(np.searchsorted(self.keys, key), last)
+        same = self.keys[at] == key
+        # past pieces that share the first hash
+        while (clash := same & (self.checks[at] != check) & (at < last)).any():
+            at[clash] += 1
+            same = self.keys[at] == key
+        return np.where(same & (self.checks[at] == check), self.at[at], -1)
+
     def _keep(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         """Remembers the ids of new pieces."""
         n = len(self.first) - 1
-        self.bytes += PIECE_BYTES * len(pieces) + sum(map(len, pieces)) + ids.nbytes
-        self.known.update(zip(pieces, range(n, n + len(pieces)), strict=True))
         self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(lengths)])
         self.flat = np.concatenate([self.flat, ids])
+        key, check = self._hashes(pieces)
+        order = np.argsort(key)
+        key = np.concatenate([self.keys, key[order]])
+        # two sorted runs: merged in one pass
+        merged = np.argsort(key, kind="stable")
+        self.keys = key[merged]
+        self.checks = np.concatenate([self.checks, check[order]])[merged]
+        self.at = np.concatenate([self.at, (n + order).astype(np.int32)])[merged]
 
     def _places(self, pieces: list[str]) -> np.ndarray:
         """The places of distinct pieces in the remembered ids; unknown ones are encoded."""
-        if self.bytes > REMEMBERED_BYTES:
+        if sum(x.nbytes for x in (self.keys, self.checks, self.at, self.first, self.flat)) > REMEMBERED_BYTES:
             self._forget()
-        known = self.known
-        new = [p for p in pieces if p not in known]
+        place = self._find(pieces)
+        unknown = np.flatnonzero(place < 0)
+        new = [pieces[i] for i in unknown]
         if new:
             cuts = [self._atoms(p) for p in new]
-            atoms = [a for a in dict.fromkeys(chain.from_iterable(cuts)) if a not in known]
+            atoms = list(dict.fromkeys(chain.from_iterable(cuts)))
+            atoms = [atoms[i] for i in np.flatnonzero(self._find(atoms) < 0)]
             if atoms:
                 self._keep(*self._encode(atoms))
             joined = {p: c for p, c in zip(new, cuts, strict=True) if len(c) > 1}
             if joined:
-                place = np.fromiter(map(known.__getitem__, chain.from_iterable(joined.values())), np.int64)
-                sizes = self.first[place + 1] - self.first[place]
+                own = self._find(list(chain.from_iterable(joined.values())))
+                sizes = self.first[own + 1] - self.first[own]
                 many = np.fromiter(map(len, joined.values()), np.int64, count=len(joined))
                 lengths = np.add.reduceat(sizes, np.cumsum(many) - many)
-                self._keep(list(joined), self.flat[_ranges(self.first[place], sizes)], lengths)
-        return np.fromiter(map(known.__getitem__, pieces), np.int64, count=len(pieces))
+                self._keep(list(joined), self.flat[_ranges(self.first[own], sizes)], lengths)
+            place[unknown] = self._find(new)
+        return place
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in a row, the number of ids of each text)."""
@@ -208,6 +236,11 @@ def encoder(name: str, words_only: bool) -> PieceEncoder:
     return PieceEncoder(public_tokenizers.path(name), words_only)
 
 
+def release() -> None:
+    """Frees what this worker remembers of pieces: for tasks of other operators, which may run in it next."""
+    encoder.cache_clear()
+
+
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """starts[0], starts[0] + 1, ... for sizes[0], then the next, all in a row."""
     total = int(sizes.sum())

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import concluded, in_buckets, spread_join, text_of, written
 from .components import components, least_labels
-from .encoding import slices
+from .encoding import release, slices
 from .shingles import as_sets, common_counts, minhashes, multipliers, shingle_hashes, word_hashes
 
 TREES = 32
@@ -52,6 +52,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         factors = multipliers(TREES * DEPTH, SEED)
         for batch in slices(batches, "text"):
             shingles, many = shingle_hashes(*word_hashes(batch.column("text")))
@@ -96,6 +97,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(sid, shingles array<long>) of the wanted sets (sid, set_id, row_key), from one text of each."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in slices(batches, "text"):
             found, sizes = as_sets(*shingle_hashes(*word_hashes(batch.column("text"))))
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import concluded, in_buckets, spread_join, text_of, written
 from .components import components, least_labels
-from .encoding import slices
+from .encoding import release, slices
 from .shingles import MIX, MIX2, SHINGLE, common_counts, least_windows, minhashes, multipliers, shingle_hashes, words_at
 
 #: Words of a window, and windows in a row of which the least is kept.
@@ -62,6 +62,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     rows, n_bands = 2, bands_for()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         factors = multipliers(rows * n_bands, SEED)
         for batch in slices(batches, "text"):
             words, text, line, start, end = words_at(batch.column("text"))
@@ -257,6 +258,7 @@ def _contexts(docs: DataFrame, open_: DataFrame) -> DataFrame:
     """(doc_id, text_key, at, pid, is_left, near): near has 32-bit hashes of the words beside a window, the nearest first."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in slices(batches, "text"):
             words, text, *_ = words_at(batch.column("text"))
             short = (words >> np.uint64(32)).astype(np.uint32).view(np.int32)
@@ -313,6 +315,7 @@ def _stretches(docs: DataFrame, covers: DataFrame, min_words: int) -> DataFrame:
     """Stretches of passages from what copies cover in each document."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in slices(batches, "text"):
             words, text, _, start, end = words_at(batch.column("text"))
             row, rest = _flat(batch, "covers")
