@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
-from .encoding import ENCODE_BYTES, PieceEncoder, slices
+from .encoding import ENCODE_BYTES, PieceEncoder, slices, tidied
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Bytes of words that one recursive query starts from.
@@ -268,7 +268,7 @@ def encoded(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
 
     slim = docs.select("doc_id", text_of().alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInArrow(encode, f"doc_id {kind}, ids array<int>")
+    return slim.mapInArrow(tidied(encode), f"doc_id {kind}, ids array<int>")
 
 
 def _decoded(doc_id: pa.Array, ids: np.ndarray, lengths: np.ndarray, ranks: str) -> pa.RecordBatch:
@@ -294,7 +294,7 @@ def decoded(rows: DataFrame, ranks: str = RANKS) -> DataFrame:
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.select("doc_id", "ids").mapInArrow(
-        decode, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded binary"
+        tidied(decode), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded binary"
     )
 
 
@@ -307,7 +307,7 @@ def round_trip(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
 
     slim = docs.select("doc_id", text_of().alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInArrow(both, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded binary")
+    return slim.mapInArrow(tidied(both), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded binary")
 
 
 def bpe_digest(docs: DataFrame) -> DataFrame:

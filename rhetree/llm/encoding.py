@@ -9,7 +9,9 @@ which a cut next to a blank would matter are encoded whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 from functools import lru_cache
 from itertools import chain
 
@@ -38,6 +40,26 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = SLICE_BYTES
             stop = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+            tidy()
+
+
+def tidy() -> None:
+    """Returns freed memory to the system: a Python worker lives on beside the executor's JVM."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidied(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`work` on the batches of a task, and `tidy` when it is done."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            tidy()
+
+    return run
 
 
 class PieceEncoder:

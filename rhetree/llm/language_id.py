@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import scratch, written
+from .encoding import tidied
 
 ORDER = 4
 DISCOUNT = 0.75
@@ -155,7 +156,7 @@ def _arrays(rows: DataFrame, order: int, n_languages: int) -> tuple[np.ndarray,
             lists = pa.FixedSizeListArray.from_arrays(pa.array(values), n_languages).cast(pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([pa.array(h), lists], ["h", "v"])
 
-    found = rows.select("gram", "p").mapInArrow(hashed, "h long, v array<float>").toArrow()
+    found = rows.select("gram", "p").mapInArrow(tidied(hashed), "h long, v array<float>").toArrow()
     hashes = found.column("h").to_numpy().view(np.uint64)
     values = np.concatenate([np.zeros(0, np.float32), *(c.flatten().to_numpy(zero_copy_only=False) for c in found.column("v").chunks)])
     sort = np.argsort(hashes)
@@ -183,7 +184,7 @@ def _gram_counts(sample: DataFrame) -> DataFrame:
                         total.update(dict(zip(*(x.tolist() for x in np.unique(grams, return_counts=True)), strict=True)))
                 yield pd.DataFrame({"lang": lang, "gram": list(total), "n": list(total.values())})
 
-    rows = sample.select("lang", "text").mapInPandas(count, "lang string, gram string, n long")
+    rows = sample.select("lang", "text").mapInPandas(tidied(count), "lang string, gram string, n long")
     return rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -248,7 +249,7 @@ def _entropies(rows: DataFrame, models: Models, keep: str) -> DataFrame:
             yield pd.DataFrame({keep: frame[keep], "entropy": out})
 
     kind = rows.schema[keep].dataType.simpleString()
-    return rows.select(keep, "text").mapInPandas(run, f"{keep} {kind}, entropy array<double>")
+    return rows.select(keep, "text").mapInPandas(tidied(run), f"{keep} {kind}, entropy array<double>")
 
 
 def _mean_scores(model: Models, texts: list[np.ndarray]) -> np.ndarray:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import concluded, in_buckets, spread_join, text_of, written
 from .components import components, least_labels
-from .encoding import release, slices
+from .encoding import release, slices, tidied
 from .shingles import as_sets, common_counts, minhashes, multipliers, shingle_hashes, word_hashes
 
 TREES = 32
@@ -76,7 +76,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     slim = docs.select("doc_id", text_of().alias("text"), F.xxhash64("text").alias("text_key"), _row_key())
     kind = slim.schema["doc_id"].dataType.simpleString()
     return slim.mapInArrow(
-        sketch, f"doc_id {kind}, text_key long, row_key long, set_id binary, n_shingles int, labels binary"
+        tidied(sketch), f"doc_id {kind}, text_key long, row_key long, set_id binary, n_shingles int, labels binary"
     )
 
 
@@ -108,7 +108,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     texts = docs.select(text_of().alias("text"), _row_key())
     rows = in_buckets(texts, wanted, "row_key").join(wanted, "row_key").select("sid", "set_id", "text")
     # repeated rows give their set again
-    return rows.mapInArrow(sets, "sid long, shingles array<long>").dropDuplicates(["sid"])
+    return rows.mapInArrow(tidied(sets), "sid long, shingles array<long>").dropDuplicates(["sid"])
 
 
 def _chance(similarity, depth: int):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of, written
-from .encoding import ENCODE_BYTES, encoder, slices, with_end
+from .encoding import ENCODE_BYTES, encoder, slices, tidied, with_end
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 1
@@ -60,7 +60,7 @@ def pieces(docs: DataFrame, window: int = WINDOW, tokenizer: str = TOKENIZER, en
 
     slim = docs.select("doc_id", text_of().alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInArrow(cut, f"doc_id {kind}, {PIECES}")
+    return slim.mapInArrow(tidied(cut), f"doc_id {kind}, {PIECES}")
 
 
 def best_fill(counts: dict[int, int], room: int) -> dict[int, int]:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import concluded, in_buckets, spread_join, text_of, written
 from .components import components, least_labels
-from .encoding import release, slices
+from .encoding import release, slices, tidied
 from .shingles import MIX, MIX2, SHINGLE, common_counts, least_windows, minhashes, multipliers, shingle_hashes, words_at
 
 #: Words of a window, and windows in a row of which the least is kept.
@@ -106,7 +106,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 
     slim = docs.select("doc_id", text_of().alias("text"), F.xxhash64("text").alias("text_key"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInArrow(cut, f"doc_id {kind}, text_key long, {PARAGRAPHS}")
+    return slim.mapInArrow(tidied(cut), f"doc_id {kind}, text_key long, {PARAGRAPHS}")
 
 
 def _row_key(text_key: str = "text_key") -> Column:
@@ -283,7 +283,7 @@ def _contexts(docs: DataFrame, open_: DataFrame) -> DataFrame:
 
     rows = _with_texts(docs, open_, "open")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(look, f"doc_id {kind}, text_key long, at int, pid long, is_left boolean, near array<int>")
+    return rows.mapInArrow(tidied(look), f"doc_id {kind}, text_key long, at int, pid long, is_left boolean, near array<int>")
 
 
 def _grown(rows: DataFrame) -> DataFrame:
@@ -359,7 +359,7 @@ def _stretches(docs: DataFrame, covers: DataFrame, min_words: int) -> DataFrame:
     rows = _with_texts(docs, covers, "covers")
     kind = rows.schema["doc_id"].dataType.simpleString()
     kinds = "text_key long, passage int, removed boolean, start long, end long, n_words long, class_id long"
-    return rows.mapInArrow(merge, f"doc_id {kind}, {kinds}").distinct()
+    return rows.mapInArrow(tidied(merge), f"doc_id {kind}, {kinds}").distinct()
 
 
 def _repeated(docs: DataFrame, min_words: int) -> DataFrame:

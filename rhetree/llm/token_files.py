@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, text_of
-from .encoding import ENCODE_BYTES, encoder, slices, with_end
+from .encoding import ENCODE_BYTES, encoder, slices, tidied, with_end
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -55,7 +55,7 @@ def tokenized(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID)
 
     slim = docs.select("doc_id", text_of().alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInArrow(encode, f"doc_id {kind}, n_tokens long, ids array<int>")
+    return slim.mapInArrow(tidied(encode), f"doc_id {kind}, n_tokens long, ids array<int>")
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> None:
@@ -118,7 +118,7 @@ def checksums(tokens: DataFrame) -> DataFrame:
 
     kind = tokens.schema["doc_id"].dataType.simpleString()
     return tokens.select("doc_id", "file", "row", "ids").mapInArrow(
-        sums, f"doc_id {kind}, file string, row long, n_tokens long, ids_crc32 long"
+        tidied(sums), f"doc_id {kind}, file string, row long, n_tokens long, ids_crc32 long"
     )
 
 
