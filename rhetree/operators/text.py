@@ -124,14 +124,18 @@ def _agree(a: Column, b: Column) -> Column:
     return F.when((a == "unk") | (b == "unk"), F.lit("unk")).when(a == b, F.lit("True")).otherwise(F.lit("False"))
 
 
-def mention_pair_match(rows: DataFrame, key: str = "grouping") -> DataFrame:
-    """Pairs of mentions of a document, the first before the second, with what they share.
+def mention_pair_match(rows: DataFrame, links: DataFrame, key: str = "grouping") -> DataFrame:
+    """Pairs of mentions of linked units, the first before the second, with what they share.
 
-    Rows have key, mention_id, at (place), lemma, is_name, is_pronoun, gender, number.
+    Rows have key, unit_id, mention_id, at (place), lemma, is_name, is_pronoun, gender,
+    number; links have key, parent, child. Mentions of units that no link joins are not
+    paired: the pairs grow with the links, not with the square of a document.
     """
-    fields = ["mention_id", "at", "lemma", "is_name", "is_pronoun", "gender", "number"]
+    fields = ["unit_id", "mention_id", "at", "lemma", "is_name", "is_pronoun", "gender", "number"]
     side = lambda x: rows.select(key, *[F.col(c).alias(f"{c}_{x}") for c in fields])
-    both = side("a").join(side("b"), key).where("at_a < at_b")
+    ends = lambda a, b: links.select(key, F.col(a).alias("unit_id_a"), F.col(b).alias("unit_id_b"))
+    linked = ends("parent", "child").unionByName(ends("child", "parent")).distinct()
+    both = linked.join(side("a"), [key, "unit_id_a"]).join(side("b"), [key, "unit_id_b"]).where("at_a < at_b")
     same = F.col("lemma_a") == F.col("lemma_b")
     g, n = _agree(F.col("gender_a"), F.col("gender_b")), _agree(F.col("number_a"), F.col("number_b"))
     out = both.withColumns(
@@ -151,22 +155,30 @@ def mention_pair_match(rows: DataFrame, key: str = "grouping") -> DataFrame:
     )
 
 
-def anaphora_features(pairs: DataFrame, mention_units: DataFrame, matches: DataFrame) -> DataFrame:
-    """Per unit pair: mentions of each member and whether any two of their mentions match (any, not the last)."""
-    count = mention_units.groupBy("grouping", "unit_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("is_pronoun").alias("n_pronouns")
+def anaphora_features(pairs: DataFrame, mentions: DataFrame) -> DataFrame:
+    """Per unit pair: mentions of each member and whether any two of their mentions match (any, not the last).
+
+    A unit's mentions are summed up first, as its lemmas and its kinds of mentions
+    (gender and number), so that mentions are never paired. Units do not overlap: all
+    mentions of the earlier one precede those of the other.
+    """
+    kind = F.struct("gender", "number")
+    units = mentions.groupBy("grouping", "unit_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("is_pronoun").alias("n_pronouns"), F.min("at").alias("at"), F.collect_set("lemma").alias("lemmas"),
+        F.collect_set(kind).alias("kinds"), F.collect_set(F.when(F.col("is_pronoun"), kind)).alias("pronouns"),
     )
-    side = lambda k, x: count.select("grouping", F.col("unit_id").alias(k), F.col("n").alias(f"n_{x}"), F.col("n_pronouns").alias(f"n_pronouns_{x}"))
-    unit = lambda m, k: mention_units.select("grouping", F.col("mention_id").alias(m), F.col("unit_id").alias(k))
-    found = matches.join(unit("mention_id_a", "parent"), ["grouping", "mention_id_a"]).join(unit("mention_id_b", "child"), ["grouping", "mention_id_b"])
-    back = [F.col("child").alias("parent"), F.col("parent").alias("child")]
-    either = found.select("grouping", "parent", "child", "string_match", "compatible").unionByName(
-        found.select("grouping", *back, "string_match", "compatible")
+    names = [c for c in units.columns if c not in ("grouping", "unit_id")]
+    side = lambda x: units.select("grouping", F.col("unit_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in names])
+    out = pairs.join(side("parent"), ["grouping", "parent"], "left").join(side("child"), ["grouping", "child"], "left")
+    differ = lambda a, b: (a != b) & (a != "unk") & (b != "unk")
+    agree = lambda one, two: F.exists(
+        one, lambda a: F.exists(two, lambda b: ~differ(a["gender"], b["gender"]) & ~differ(a["number"], b["number"]))
     )
-    any_of = either.groupBy("grouping", "parent", "child").agg(*[F.bool_or(c).alias(f"any_{c}") for c in ("string_match", "compatible")])
-    out = pairs.join(side("parent", "parent"), ["grouping", "parent"], "left").join(side("child", "child"), ["grouping", "child"], "left")
-    out = out.join(any_of, ["grouping", "parent", "child"], "left")
-    return out.fillna(0, ["n_parent", "n_child", "n_pronouns_parent", "n_pronouns_child"]).fillna(False, ["any_string_match", "any_compatible"])
+    by_morphology = F.when(F.col("at_parent") < F.col("at_child"), agree("kinds_parent", "pronouns_child")).otherwise(agree("kinds_child", "pronouns_parent"))
+    same = F.coalesce(F.arrays_overlap("lemmas_parent", "lemmas_child"), F.lit(False))
+    out = out.withColumns({"any_string_match": same, "any_compatible": same | F.coalesce(by_morphology, F.lit(False))})
+    keep = [c for c in out.columns if c not in {f"{n}_{x}" for n in ("at", "lemmas", "kinds", "pronouns") for x in ("parent", "child")}]
+    return out.select(*keep).fillna(0, ["n_parent", "n_child", "n_pronouns_parent", "n_pronouns_child"])
 
 
 def time_verb_features(pairs: DataFrame, attributes: DataFrame, defaults: dict[str, str]) -> DataFrame:

@@ -20,7 +20,7 @@ SELECT conv_id, turn + 1 AS pos, concat('c', conv_id, '_', turn + 1) AS id, text
 FROM conversations
 """
 PAIRS = """
-SELECT c.conv_id, c.grouping, p.pos AS ppos, c.pos AS cpos, c.pos * 1000 + p.pos AS pair_ix,
+SELECT c.conv_id, c.grouping, p.pos AS ppos, c.pos AS cpos, c.pos * 4294967296 + p.pos AS pair_ix,
        p.id AS parent, c.id AS child, p.subgrouping AS psub, c.subgrouping AS csub,
        CASE WHEN p.pos <> CASE WHEN c.pos = 1 THEN 0
                  ELSE c.pos - 1 - (c.conv_id + c.pos) % least(c.pos - 1, 3) END THEN 4

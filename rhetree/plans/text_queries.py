@@ -97,33 +97,39 @@ def x8_gender_number(b):
     return b.tagged.select("unit_id", "tok_ix", X.gender(feats, F.col("form")).alias("gender"), X.number(feats, F.col("form")).alias("number"))
 
 
-#: A few mentions per document: the first two tokens of each unit.
-MENTION = """SELECT grouping, unit_id, concat(unit_id, '_', tok_ix) AS mention_id, pos * 1000 + tok_ix AS at, lemma, length(form) % 2 = 0 AS is_name, cpos_tag = 'PRO' AS is_pronoun,
-    CASE length(form) % 3 WHEN 0 THEN 'm' WHEN 1 THEN 'f' ELSE 'unk' END AS gender, CASE length(form) % 4 WHEN 0 THEN 's' WHEN 1 THEN 'unk' ELSE 'p' END AS number FROM tagged WHERE tok_ix < 2"""
-MATCH = f"""SELECT a.grouping, a.unit_id AS unit_a, b.unit_id AS unit_b, a.mention_id AS mention_id_a, b.mention_id AS mention_id_b, a.lemma = b.lemma AS string_match, a.lemma = b.lemma AND a.is_name AND b.is_name AS name_match,
-    CASE WHEN (a.gender <> b.gender AND a.gender <> 'unk' AND b.gender <> 'unk') OR (a.number <> b.number AND a.number <> 'unk' AND b.number <> 'unk') THEN 'False'
-         WHEN a.gender = 'unk' OR b.gender = 'unk' OR a.number = 'unk' OR b.number = 'unk' THEN 'unk' ELSE 'True' END AS morph_match, b.is_pronoun AS bp
-    FROM ({MENTION}) a JOIN ({MENTION}) b ON a.grouping = b.grouping AND a.at < b.at"""
-
-
-def some_mentions(b):
+#: Mentions: all nouns and pronouns.
+MENTION = """SELECT grouping, unit_id, concat(unit_id, '_', tok_ix) AS mention_id, pos * 4294967296 + tok_ix AS at, lemma, length(form) % 2 = 0 AS is_name, cpos_tag = 'PRO' AS is_pronoun,
+    CASE length(form) % 3 WHEN 0 THEN 'm' WHEN 1 THEN 'f' ELSE 'unk' END AS gender, CASE length(form) % 4 WHEN 0 THEN 's' WHEN 1 THEN 'unk' ELSE 'p' END AS number FROM tagged WHERE cpos_tag IN ('N', 'PRO')"""
+#: Linked units, either way round.
+LINKED = "SELECT parent AS unit_a, child AS unit_b FROM pairs WHERE target <> 4 UNION SELECT child, parent FROM pairs WHERE target <> 4"
+MORPH = """CASE WHEN (a.gender <> b.gender AND a.gender <> 'unk' AND b.gender <> 'unk') OR (a.number <> b.number AND a.number <> 'unk' AND b.number <> 'unk') THEN 'False'
+         WHEN a.gender = 'unk' OR b.gender = 'unk' OR a.number = 'unk' OR b.number = 'unk' THEN 'unk' ELSE 'True' END"""
+MATCH = f"""SELECT a.grouping, a.mention_id AS mention_id_a, b.mention_id AS mention_id_b, a.lemma = b.lemma AS string_match, a.lemma = b.lemma AND a.is_name AND b.is_name AS name_match,
+    {MORPH} AS morph_match, b.is_pronoun AS bp FROM ({LINKED}) l JOIN ({MENTION}) a ON a.unit_id = l.unit_a JOIN ({MENTION}) b ON b.unit_id = l.unit_b WHERE a.at < b.at"""
+#: Lemmas, and kinds of mentions, of a unit.
+UNIT_LEMMAS = f"SELECT DISTINCT unit_id, lemma FROM ({MENTION})"
+UNIT_KINDS = f"SELECT DISTINCT pos, id AS unit_id, gender, number, is_pronoun FROM ({MENTION}) m JOIN units u ON u.id = m.unit_id"
+
+
+def all_mentions(b):
     return b._sql(MENTION, tagged=b.tagged)
 
 
 @query(f"SELECT grouping, mention_id_a, mention_id_b, string_match, name_match, morph_match, (bp AND morph_match <> 'False') OR string_match AS compatible FROM ({MATCH})")
 def x9_mention_pair_match(b):
-    out = X.mention_pair_match(some_mentions(b))
+    out = X.mention_pair_match(all_mentions(b), b.pairs.where("target <> 4").select("grouping", "parent", "child"))
     return out.select("grouping", "mention_id_a", "mention_id_b", "string_match", "name_match", "morph_match", "compatible")
 
 
-@query(f"""SELECT p.grouping, p.parent, p.child, coalesce(a.n, 0) AS n_parent, coalesce(c.n, 0) AS n_child, coalesce(m.s, false) AS any_string_match FROM pairs p
+@query(f"""SELECT p.grouping, p.parent, p.child, coalesce(a.n, 0) AS n_parent, coalesce(c.n, 0) AS n_child, s.parent IS NOT NULL AS any_string_match, s.parent IS NOT NULL OR k.parent IS NOT NULL AS any_compatible FROM pairs p
            LEFT JOIN (SELECT unit_id, count(*) AS n FROM ({MENTION}) GROUP BY 1) a ON a.unit_id = p.parent LEFT JOIN (SELECT unit_id, count(*) AS n FROM ({MENTION}) GROUP BY 1) c ON c.unit_id = p.child
-           LEFT JOIN (SELECT x, y, bool_or(string_match) AS s FROM (SELECT unit_a AS x, unit_b AS y, string_match FROM ({MATCH}) UNION ALL SELECT unit_b, unit_a, string_match FROM ({MATCH})) GROUP BY 1, 2) m
-           ON m.x = p.parent AND m.y = p.child""")
+           LEFT JOIN (SELECT DISTINCT p.parent, p.child FROM pairs p JOIN ({UNIT_LEMMAS}) a ON a.unit_id = p.parent JOIN ({UNIT_LEMMAS}) b ON b.unit_id = p.child AND b.lemma = a.lemma) s ON s.parent = p.parent AND s.child = p.child
+           LEFT JOIN (SELECT DISTINCT p.parent, p.child FROM pairs p JOIN ({UNIT_KINDS}) x ON x.unit_id = p.parent JOIN ({UNIT_KINDS}) y ON y.unit_id = p.child
+                      WHERE CASE WHEN p.ppos < p.cpos THEN y.is_pronoun ELSE x.is_pronoun END AND NOT (x.gender <> y.gender AND x.gender <> 'unk' AND y.gender <> 'unk')
+                      AND NOT (x.number <> y.number AND x.number <> 'unk' AND y.number <> 'unk')) k ON k.parent = p.parent AND k.child = p.child""")
 def x10_anaphora_features(b):
-    own = some_mentions(b)
-    out = X.anaphora_features(b.pairs.select("grouping", "parent", "child"), own, X.mention_pair_match(own))
-    return out.select("grouping", "parent", "child", "n_parent", "n_child", "any_string_match")
+    out = X.anaphora_features(b.pairs.select("grouping", "parent", "child"), all_mentions(b))
+    return out.select("grouping", "parent", "child", "n_parent", "n_child", "any_string_match", "any_compatible")
 
 
 @query("""SELECT p.grouping, p.pair_ix, CASE WHEN p.ppos % 2 = 1 THEN concat('t', p.ppos) ELSE 'none' END AS parent_timex, CASE WHEN p.cpos % 2 = 1 THEN concat('t', p.cpos) ELSE 'none' END AS child_timex FROM pairs p""")
@@ -138,16 +144,18 @@ def x12_relation_feature(b):
     return X.relation_feature(b.pairs, relations(b), symmetric=True).select("grouping", "pair_ix", "relation")
 
 
+#: All words of `benchmark`; those that begin with the same two letters are compared.
+WORDS = "SELECT DISTINCT lower(w) AS form FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark) WHERE w <> ''"
 SIMILAR = """SELECT a.form AS word, b.form AS neighbour, 1 / CAST(1 + abs(length(a.form) * 7 - length(b.form) * 5) + ascii(b.form) % 9 AS DOUBLE) AS similarity
-    FROM (SELECT form FROM ({g}) WHERE major_type = 't2') a JOIN (SELECT form FROM ({g}) WHERE major_type IN ('t2', 't3')) b ON left(a.form, 1) = left(b.form, 1) AND a.form <> b.form"""
+    FROM ({g}) a JOIN ({g}) b ON left(a.form, 2) = left(b.form, 2) AND a.form <> b.form"""
 RANKED = f"""SELECT word, neighbour, 1 / CAST(row_number() OVER (PARTITION BY word ORDER BY CASE WHEN word = neighbour THEN 0 ELSE 1 END, similarity DESC, neighbour) AS DOUBLE) AS score
-    FROM ({SIMILAR.format(g=GAZETTEER)} UNION ALL SELECT DISTINCT word, word, 1.0 FROM ({SIMILAR.format(g=GAZETTEER)}))"""
+    FROM ({SIMILAR.format(g=WORDS)} UNION ALL SELECT DISTINCT word, word, 1.0 FROM ({SIMILAR.format(g=WORDS)}))"""
 
 
 def similar(b):
-    g = gazetteer(b)
-    query = SIMILAR.replace("({g})", "gaz")
-    return X.lexical_neighbours(b._sql(query, gaz=g))
+    words = b.table("benchmark").select(F.explode(F.split("text", " ")).alias("w")).where("w <> ''").select(F.lower("w").alias("form")).distinct()
+    query = SIMILAR.replace("({g})", "words")
+    return X.lexical_neighbours(b._sql(query, words=words))
 
 
 @query(f"SELECT word, neighbour, round(score, 9) AS score FROM ({RANKED})")
