@@ -130,8 +130,6 @@ class PieceEncoder:
     def _atoms(self, piece: str) -> list[str]:
         """What a piece may be cut into further: at single line breaks, and before a last comma or full stop."""
         parts = [piece]
-        if piece.isalpha() or piece[1:].isalpha():
-            return parts
         if "\n" in piece and not self.words_only:
             lines = piece.removeprefix(" ").split("\n")
             if all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
@@ -150,9 +148,8 @@ class PieceEncoder:
 
         return np.fromiter(map(hash, pieces), np.int64, count=len(pieces)), np.fromiter(map(xxh3_64_intdigest, pieces), np.uint64, count=len(pieces))
 
-    def _find(self, pieces: list[str]) -> np.ndarray:
-        """The places of pieces in the remembered ids, -1 for unknown ones."""
-        key, check = self._hashes(pieces)
+    def _find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """The places of pieces of these hashes in the remembered ids, -1 for unknown ones."""
         if not len(self.keys):
             return np.full(len(key), -1)
         last = len(self.keys) - 1
@@ -164,12 +161,11 @@ class PieceEncoder:
             same = self.keys[at] == key
         return np.where(same & (self.checks[at] == check), self.at[at], -1)
 
-    def _keep(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        """Remembers the ids of new pieces."""
+    def _keep(self, key: np.ndarray, check: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Remembers the ids of new pieces by their hashes."""
         n = len(self.first) - 1
         self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(lengths)])
         self.flat = np.concatenate([self.flat, ids])
-        key, check = self._hashes(pieces)
         order = np.argsort(key)
         key = np.concatenate([self.keys, key[order]])
         # two sorted runs: merged in one pass
@@ -182,23 +178,26 @@ class PieceEncoder:
         """The places of distinct pieces in the remembered ids; unknown ones are encoded."""
         if sum(x.nbytes for x in (self.keys, self.checks, self.at, self.first, self.flat)) > REMEMBERED_BYTES:
             self._forget()
-        place = self._find(pieces)
+        key, check = self._hashes(pieces)
+        place = self._find(key, check)
         unknown = np.flatnonzero(place < 0)
-        new = [pieces[i] for i in unknown]
-        if new:
-            cuts = [self._atoms(p) for p in new]
+        if len(unknown):
+            new = [pieces[i] for i in unknown.tolist()]
+            cuts = [(p,) if p.isalpha() or p[1:].isalpha() else self._atoms(p) for p in new]
             atoms = list(dict.fromkeys(chain.from_iterable(cuts)))
-            atoms = [atoms[i] for i in np.flatnonzero(self._find(atoms) < 0)]
-            if atoms:
-                self._keep(*self._encode(atoms))
-            joined = {p: c for p, c in zip(new, cuts, strict=True) if len(c) > 1}
-            if joined:
-                own = self._find(list(chain.from_iterable(joined.values())))
-                sizes = self.first[own + 1] - self.first[own]
-                many = np.fromiter(map(len, joined.values()), np.int64, count=len(joined))
+            strange = np.flatnonzero(self._find(*self._hashes(atoms)) < 0).tolist()
+            if strange:
+                atoms, ids, lengths = self._encode([atoms[i] for i in strange])
+                self._keep(*self._hashes(atoms), ids, lengths)
+            many = np.fromiter(map(len, cuts), np.int64, count=len(cuts))
+            joined = np.flatnonzero(many > 1)
+            if len(joined):
+                own = self._find(*self._hashes(list(chain.from_iterable(cuts[i] for i in joined.tolist()))))
+                sizes, many = self.first[own + 1] - self.first[own], many[joined]
                 lengths = np.add.reduceat(sizes, np.cumsum(many) - many)
-                self._keep(list(joined), self.flat[_ranges(self.first[own], sizes)], lengths)
-            place[unknown] = self._find(new)
+                at = unknown[joined]
+                self._keep(key[at], check[at], self.flat[_ranges(self.first[own], sizes)], lengths)
+            place[unknown] = self._find(key[unknown], check[unknown])
         return place
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -209,7 +208,7 @@ class PieceEncoder:
         ends, counts = ends - ends[0], np.diff(ends)
         words = lists.flatten().dictionary_encode()
         index = words.indices.to_numpy(zero_copy_only=False)
-        distinct = words.dictionary.to_pylist()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         whole = np.zeros(0, np.int64)
         for token, anyhow in self.added:
             whole = np.union1d(whole, np.flatnonzero(pc.match_substring(texts, token, ignore_case=anyhow).to_numpy(zero_copy_only=False)))
