@@ -107,6 +107,26 @@ def p12_head_to_head(b):
     return out.select(*KEY, "prediction")
 
 
+def best_links(rows):
+    return D.decode_best_incoming(rows, UNRELATED_IX)
+
+
+#: Pairs with what the sentences' parses say (sp, null if nothing), and attach and the best label with sentence links fixed.
+FIXED = f"""SELECT w.*, s.sp, CASE WHEN w.ppos > 0 AND s.sp <> 4 THEN 1 ELSE w.attach END AS fixed_attach, CASE WHEN w.ppos > 0 AND s.sp <> 4 THEN s.sp ELSE {BEST} END AS fixed_label
+           FROM weights w LEFT JOIN (SELECT grouping, pair_ix, sp FROM ({SENTENCE})) s ON s.grouping = w.grouping AND s.pair_ix = w.pair_ix"""
+#: Predictions for the pairs that `doc` (grouping, pair_ix, dp) does not decide come from the sentences.
+MERGED = "SELECT j.grouping, j.pair_ix, coalesce(d.dp, CASE WHEN j.ppos > 0 THEN j.sp END, 4) AS prediction FROM j LEFT JOIN doc d ON d.grouping = j.grouping AND d.pair_ix = j.pair_ix"
+HEAD_TO_HEAD = f"""WITH j AS ({FIXED}), heads AS (SELECT grouping, child FROM j WHERE ppos = 0 AND sp <> 4),
+    doc AS (SELECT grouping, pair_ix, CASE WHEN row_number() OVER (PARTITION BY grouping, child ORDER BY attach DESC, pair_ix) = 1 THEN {BEST} ELSE 4 END AS dp
+            FROM j WHERE child IN (SELECT child FROM heads) AND (ppos = 0 OR parent IN (SELECT child FROM heads)))
+    {MERGED}"""
+
+
+@query(HEAD_TO_HEAD)
+def p12_head_to_head_best(b):
+    return S.head_to_head(b.weights, sentence(b), best_links, UNRELATED_IX).select(*KEY, "prediction")
+
+
 FRONTIERS = f"""WITH RECURSIVE l AS (SELECT grouping, parent, ppos, child, cpos FROM pairs WHERE {INTRA} AND target <> 4),
     steps AS (SELECT grouping, ppos AS at, max(cpos) AS nxt, 'right' AS side FROM l WHERE ppos < cpos GROUP BY 1, 2 UNION ALL SELECT grouping, ppos, min(cpos), 'left' FROM l WHERE ppos > cpos GROUP BY 1, 2),
     f AS (SELECT u.grouping, u.pos AS at, s.side FROM units u, (VALUES ('left'), ('right')) s(side) WHERE u.id NOT IN (SELECT child FROM l)
@@ -125,6 +145,24 @@ def p14_frontier_to_head(b):
     return out.select(*KEY, "prediction")
 
 
+FRONTIER_TO_HEAD = f"""WITH RECURSIVE j AS ({FIXED}), l AS (SELECT grouping, parent, ppos, child, cpos FROM j WHERE {INTRA} AND sp <> 4),
+    steps AS (SELECT grouping, ppos AS at, max(cpos) AS nxt, 'right' AS side FROM l WHERE ppos < cpos GROUP BY 1, 2 UNION ALL SELECT grouping, ppos, min(cpos), 'left' FROM l WHERE ppos > cpos GROUP BY 1, 2),
+    heads AS (SELECT * FROM units WHERE id NOT IN (SELECT child FROM l)),
+    f AS (SELECT u.grouping, u.pos AS at, s.side FROM heads u, (VALUES ('left'), ('right')) s(side)
+          UNION ALL SELECT f.grouping, n.nxt, f.side FROM f JOIN steps n ON n.grouping = f.grouping AND n.at = f.at AND n.side = f.side),
+    chosen AS (SELECT * FROM j WHERE cpos IN (SELECT pos FROM heads h WHERE h.grouping = j.grouping) AND (ppos = 0 OR (psub <> csub AND
+                   EXISTS (SELECT 1 FROM f WHERE f.grouping = j.grouping AND f.at = j.ppos AND f.side = CASE WHEN j.cpos > j.ppos THEN 'right' ELSE 'left' END)))
+               UNION ALL SELECT * FROM j WHERE {INTRA} AND sp <> 4 AND
+                   EXISTS (SELECT 1 FROM f p JOIN f c ON c.grouping = p.grouping AND c.side = p.side WHERE p.grouping = j.grouping AND p.at = j.ppos AND c.at = j.cpos)),
+    doc AS (SELECT grouping, pair_ix, CASE WHEN row_number() OVER (PARTITION BY grouping, child ORDER BY fixed_attach DESC, pair_ix) = 1 THEN fixed_label ELSE 4 END AS dp FROM chosen)
+    {MERGED}"""
+
+
+@query(FRONTIER_TO_HEAD)
+def p14_frontier_to_head_best(b):
+    return S.frontier_to_head(b.weights, sentence(b), best_links, N, UNRELATED_IX).select(*KEY, "prediction")
+
+
 @query(f"""SELECT w.grouping, w.pair_ix, CASE WHEN w.ppos > 0 AND s.sp <> 4 THEN 1 ELSE w.attach END AS attach, CASE WHEN w.ppos > 0 AND s.sp <> 4 THEN CASE WHEN s.sp = 2 THEN 1 ELSE 0 END ELSE w.w_narration END AS w2
            FROM weights w LEFT JOIN ({SENTENCE}) s ON s.grouping = w.grouping AND s.pair_ix = w.pair_ix""")
 def p15_fix_intra_links(b):
@@ -137,6 +175,11 @@ def p16_soft(b):
     return S.soft(b.weights, sentence(b), lambda r: decode_corpus(r, b.units, "eisner", UNRELATED_IX), N, UNRELATED_IX).select(*KEY, "prediction")
 
 
+@query(f"SELECT grouping, pair_ix, CASE WHEN row_number() OVER (PARTITION BY grouping, child ORDER BY fixed_attach DESC, pair_ix) = 1 THEN fixed_label ELSE 4 END AS prediction FROM ({FIXED})")
+def p16_soft_best(b):
+    return S.soft(b.weights, sentence(b), best_links, N, UNRELATED_IX).select(*KEY, "prediction")
+
+
 @query(f"""SELECT grouping, CASE WHEN target <> 4 THEN 'lost' ELSE 'hallucinated' END AS kind, CASE WHEN psub = csub THEN 'intra' ELSE 'inter' END AS level, count(*) AS n FROM
            (SELECT *, CASE WHEN row_number() OVER (PARTITION BY grouping, child ORDER BY attach DESC, pair_ix) = 1 THEN {BEST} ELSE 4 END AS p FROM weights) WHERE ppos > 0 AND (target <> 4) <> (p <> 4) GROUP BY 1, 2, 3""")
 def p17_lost_and_hallucinated(b):
@@ -156,6 +199,12 @@ def p10_two_level(b):
     return S.two_level_transform(b.weights, decode_part, combine).select(*KEY, "prediction")
 
 
+@query(HEAD_TO_HEAD)
+def p10_two_level_best(b):
+    combine = lambda w, s: S.head_to_head(w, s, best_links, UNRELATED_IX)
+    return S.two_level_transform(b.weights, best_links, combine).select(*KEY, "prediction")
+
+
 def featured(b):
     """Pairs with a few features; the gold links of the bridge depend on the distance."""
     rows = b.pairs.withColumns(

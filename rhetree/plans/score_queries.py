@@ -381,6 +381,14 @@ def g2_diff_links(b):
     return G.diff_links(named(b, "target"), named(b, "prediction"))
 
 
-@query()
+DOT = f"""WITH links AS (SELECT grouping, parent, child, CASE WHEN target <> 4 AND prediction <> 4 THEN 'solid' WHEN target <> 4 THEN 'dashed' ELSE 'dotted' END AS style,
+        CASE WHEN target <> 4 AND prediction <> 4 AND target <> prediction THEN concat({T}, ' | ', {PR}) WHEN target <> 4 THEN {T} ELSE {PR} END AS label FROM ({BEST_PARENT}) WHERE target <> 4 OR prediction <> 4),
+    edges AS (SELECT grouping, string_agg(e, chr(10) ORDER BY e) AS edges FROM (SELECT grouping, concat('  "', parent, '" -> "', child, '" [label="', label, '", style=', style, '];') AS e FROM links) GROUP BY 1),
+    nodes AS (SELECT grouping, subgrouping, span_start, concat('    "', id, '" [label="', replace(replace(replace(text, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), ' '), '"];') AS n FROM units),
+    clusters AS (SELECT grouping, min(span_start) AS lo, concat('  subgraph "cluster_', subgrouping, '" {{', chr(10), string_agg(n, chr(10) ORDER BY span_start, n), chr(10), '  }}') AS c FROM nodes GROUP BY grouping, subgrouping)
+    SELECT e.grouping, concat('digraph "', e.grouping, '" {{', chr(10), string_agg(c, chr(10) ORDER BY lo, c), chr(10), any_value(edges), chr(10), '}}') AS dot FROM edges e JOIN clusters USING (grouping) GROUP BY 1"""
+
+
+@query(DOT)
 def g3_dot_text(b):
     return G.dot_text(b.units, G.diff_links(named(b, "target"), named(b, "prediction")))
