@@ -17,10 +17,10 @@ MIN_WORDS words; what later occurrences cover is removed.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +39,8 @@ RECALL = 0.98
 SMALL = 64
 BLOCK = 512
 BLOCK_SHINGLES = 1_000_000
+#: Kinds of a window's neighbourhood that are compared in one task.
+BUCKET_KINDS = 50_000
 SEED = 9
 PARAGRAPHS = "at int, n_words int, is_line boolean, start int, end int, pid long, bands array<long>"
 OCCURRENCE = ("doc_id", "text_key", "at")
@@ -286,29 +288,75 @@ def _contexts(docs: DataFrame, open_: DataFrame) -> DataFrame:
     return rows.mapInArrow(tidied(look), f"doc_id {kind}, text_key long, at int, pid long, is_left boolean, near array<int>")
 
 
+LEADS = pa.schema([("kind", pa.int64()), ("step", pa.int32()), ("lead", pa.int64()), ("n", pa.int64())])
+
+
+def _bucket_leads(group: pa.Table) -> pa.Table:
+    """(kind, step, lead, n): the kind that holds the first of all occurrences alike for `step` words, the most words per lead."""
+    keys = [("doc_id", "ascending"), ("text_key", "ascending"), ("at", "ascending")]
+    group = group.take(pc.sort_indices(group, sort_keys=keys, null_placement="at_start"))
+    lists = group.column("near").combine_chunks()
+    begin, values = lists.offsets.to_numpy()[:-1], lists.values.to_numpy(zero_copy_only=False)
+    size, n = np.diff(lists.offsets.to_numpy()), group.column("n").to_numpy()
+    prefix = group.column("beside").to_numpy().view(np.uint64).copy()
+    live, found = np.arange(len(size)), []
+    for step in range(1, WINDOW):
+        live = live[size[live] >= step]
+        if not len(live):
+            break
+        prefix[live] = (prefix[live] ^ values[begin[live] + step - 1].view(np.uint32)) * MIX
+        prefix[live] ^= prefix[live] >> np.uint64(31)
+        # rows are in order of their first occurrence, so that the first of a prefix leads
+        _, lead, own = np.unique(prefix[live], return_index=True, return_inverse=True)
+        lead, more = live[lead][own], np.bincount(own, n[live])[own] > 1
+        live = live[more]
+        found.append(np.stack([live, np.full(len(live), step), lead[more]]))
+    row, step, lead = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+    order = np.lexsort((step, row))
+    row, step, lead = row[order], step[order], lead[order]
+    last = np.ones(len(row), bool)
+    last[:-1] = (row[1:] != row[:-1]) | (lead[1:] != lead[:-1])
+    kind = group.column("kind").to_numpy()
+    columns = [kind[row[last]], step[last].astype(np.int32), kind[lead[last]], n[row[last]]]
+    return pa.Table.from_arrays([pa.array(c) for c in columns], schema=LEADS)
+
+
+def _kind_leads(kinds: DataFrame) -> DataFrame:
+    """The same for kinds whose neighbouring word holds too many of them for a task: a row per prefix."""
+    each = kinds.select("kind", "n", F.struct(*OCCURRENCE, "kind").alias("first"), "near", "beside", F.explode(F.sequence(F.lit(1), F.size("near"))).alias("step"))
+    each = written(each.select("kind", "n", "first", "step", F.xxhash64("beside", F.slice("near", F.lit(1), F.col("step"))).alias("key")), "prefixes")
+    leads = each.groupBy("key").agg(F.min("first").alias("lead"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("rows")).where("all > 1")
+    both = spread_join(each.drop("first"), leads.select("key", F.col("lead.kind").alias("lead"), "rows"), "key", "rows", each.count())
+    return both.select("kind", F.col("step").cast("int"), "lead", "n")
+
+
 def _grown(rows: DataFrame) -> DataFrame:
     """(doc_id, text_key, at, is_left, step, gone): words by which a window and another go on alike; gone if that one is earlier.
 
-    All occurrences of a window are compared with the first one. Those that leave it at
-    the same place by the same word may have more in common: they are a group of the next
-    round, with its own first one, until no group has two.
+    Occurrences of a window with the same words beside it are one kind. Kinds that begin
+    with the same word are compared in one task, in buckets of about BUCKET_KINDS; those of
+    a word with more than that by a row per prefix. Of all that share a prefix the first
+    one leads: a kind has a row per lead.
     """
-    at, parts, depth = F.struct(*OCCURRENCE), [], F.lit(0)
-    while True:
-        rows = rows.withColumn("key", F.xxhash64("pid", "is_left", F.slice("near", F.lit(1), depth))).select(*OCCURRENCE, "pid", "is_left", "near", "key")
-        lead = rows.groupBy("key").agg(F.min(F.struct(*OCCURRENCE, "near")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        both = spread_join(rows, lead, "key", "n", rows.count()).withColumn("first", F.struct(*[F.col(f"lead.{c}").alias(c) for c in OCCURRENCE]))
-        differ = F.expr("array_position(zip_with(near, lead.near, (x, y) -> coalesce(x = y, false)), false)")
-        both = both.where(~at.eqNullSafe(F.col("first"))).withColumn("step", F.when(differ > 0, differ - 1).otherwise(F.size("near")).cast("int"))
-        # a passage is not removed for a copy that it overlaps
-        apart = F.greatest(F.col("at") - F.col("first.at") - WINDOW, F.lit(0))
-        both = both.withColumn("gone", F.when(_later("first", F.col("step") + WINDOW), F.col("step")).otherwise(F.least("step", apart)))
-        both = written(both.select(*OCCURRENCE, "pid", "is_left", "near", "first", "step", "gone"), "grown")
-        parts += [both.select(*OCCURRENCE, "is_left", "step", "gone"), both.select("first.*", "is_left", "step", F.lit(None).cast("int").alias("gone"))]
-        rows = both.where(F.col("step") < F.size("near"))
-        if rows.isEmpty():
-            return reduce(DataFrame.unionByName, parts)
-        depth = F.col("step") + 1
+    at = F.struct(*OCCURRENCE)
+    rows = rows.where("size(near) > 0").withColumn("kind", F.xxhash64("pid", "is_left", "near"))
+    first = F.min(F.struct(*OCCURRENCE, F.xxhash64("pid", "is_left", F.slice("near", 1, 1)).alias("beside"), "near"))
+    kinds = rows.groupBy("kind").agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
+    kinds = written(kinds.select("kind", "n", "first.*"), "kinds")
+    hot = kinds.groupBy("beside").count().where(F.col("count") > BUCKET_KINDS).select("beside")
+    n_buckets = kinds.count() // BUCKET_KINDS + 1
+    near = in_buckets(kinds, hot, "beside", "left_anti").withColumn("bucket", F.pmod("beside", F.lit(n_buckets)))
+    rest = in_buckets(kinds, hot, "beside")
+    leads = written(near.groupBy("bucket").applyInArrow(_bucket_leads, "kind long, step int, lead long, n long").unionAll(_kind_leads(rest)), "leads")
+    # the lead's place is looked up by its kind
+    places = kinds.select(F.col("kind").alias("lead"), F.struct(*OCCURRENCE).alias("first"))
+    followers = leads.groupBy("lead").agg(F.count(F.lit(1)).alias("followers"))
+    leads = spread_join(leads, places.join(followers, "lead"), "lead", "followers", leads.count())
+    both = spread_join(rows.select(*OCCURRENCE, "is_left", "kind"), written(leads.drop("lead"), "led"), "kind", "n", rows.count())
+    # a passage is not removed for a copy that it overlaps
+    apart = F.greatest(F.col("at") - F.col("first.at") - WINDOW, F.lit(0))
+    gone = F.when(_later("first", F.col("step") + WINDOW), F.col("step")).otherwise(F.least("step", apart))
+    return both.select(*OCCURRENCE, "is_left", "step", F.when(~at.eqNullSafe(F.col("first")), gone).alias("gone"))
 
 
 def _stretches(docs: DataFrame, covers: DataFrame, min_words: int) -> DataFrame:

@@ -80,3 +80,43 @@ def test_shared_words_share_a_window():
             at, h = shingles.least_windows(words, np.zeros(len(words), np.int64), 18)
             kept.append(set(h[(at >= before) & (at + 18 <= before + 35)].tolist()))
         assert kept[0] & kept[1]
+
+
+def test_kinds_of_a_window_are_led_by_the_first_occurrence_that_goes_on_alike(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = []
+    for i in range(300):
+        text, size = rng.randrange(60), rng.choice((2, 5, 17))
+        rows.append((text, text % 7, i, rng.randrange(3), rng.random() < 0.5, [rng.randrange(2) for _ in range(size)]))
+    rows += [(100, 1, 0, 1, True, []), (None, 2, 1, 1, True, [0, 1])]
+    table = spark.createDataFrame(rows, "doc_id long, text_key long, at int, pid long, is_left boolean, near array<int>").cache()
+
+    def alike(x, y):
+        return next((k for k, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
+
+    key = lambda r: (-1 if r[0] is None else r[0], r[1], r[2])
+    want = {}
+    for r in rows:
+        others = [(alike(r[5], o[5]), o) for o in rows if o is not r and o[3:5] == r[3:5]]
+        step = max((k for k, _ in others), default=0)
+        gone = 0
+        for k, o in others:
+            if key(o) < key(r):
+                same = o[0] == r[0] and o[1] == r[1]
+                gone = max(gone, k if not same or r[2] - o[2] >= k + 18 else min(k, max(r[2] - o[2] - 18, 0)))
+        want[key(r)[0], r[1], r[2], r[4]] = (step, gone)
+    for bound in (50_000, 10):
+        monkeypatch.setattr(substring_dedup, "BUCKET_KINDS", bound)
+        found = {}
+        for r in substring_dedup._grown(table).collect():
+            at = (-1 if r.doc_id is None else r.doc_id, r.text_key, r.at, r.is_left)
+            step, gone = found.get(at, (0, 0))
+            found[at] = (max(step, r.step), max(gone, r.gone or 0))
+        assert {k: found.get(k, (0, 0))[0] for k in want} == {k: v[0] for k, v in want.items()}
+        # an overlapping lead may hide a later one: never more than brute force, and equal where no copy overlaps
+        assert all(found.get(k, (0, 0))[1] <= v[1] for k, v in want.items())
+        texts = {}
+        for r in rows:
+            texts.setdefault((r[0], r[1]), []).append(r[2])
+        alone = [k for k in want if len(texts[(None if k[0] == -1 else k[0], k[1])]) == 1]
+        assert alone and all(found.get(k, (0, 0))[1] == want[k][1] for k in alone)
