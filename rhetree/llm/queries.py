@@ -8,12 +8,16 @@ from .embedding_dedup import embedding_links
 from .language_id import language_digest
 from .near_join import near_digest
 from .packing import packing_digest
+from .periodic_runs import runs_digest
+from .phrases import phrase_digest
 from .quality import PRODUCTION, mask_of, quality_digest
 from .quality import RULES as QUALITY_RULES
 from .secrets import RULES, SecretRule, secrets_digest
 from .sharding import sharding_digest
 from .substring_dedup import substring_digest
 from .token_files import token_file_digest
+from .url_filter import BLOCKED_HOSTS, LOWER, PARTS, UPPER, url_digest
+from .url_filter import RULES as URL_RULES
 
 
 def op1_secret_scan(spark, sf_dir):
@@ -56,11 +60,23 @@ def op10_packing(spark, sf_dir):
     return packing_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_url_filter(spark, sf_dir):
+    return url_digest(table(spark, sf_dir, "pages"))
+
+
+def op12_periodic_runs(spark, sf_dir):
+    return runs_digest(table(spark, sf_dir, "documents"))
+
+
+def op13_phrase_mining(spark, sf_dir):
+    return phrase_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_near_join, op3_quality_rules, op4_sharding, op5_token_files, op6_embedding_dedup, op7_substring_dedup, op8_byte_bpe,
-        op9_language_id, op10_packing,
+        op9_language_id, op10_packing, op11_url_filter, op12_periodic_runs, op13_phrase_mining,
     )
 }
 
@@ -111,7 +127,32 @@ WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHE
      n AS (SELECT x AS vec_id, count(*) AS n FROM l GROUP BY 1)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
 """
+#: Rules in the order in which they win, as a list of DuckDB.
+URL_LIST = ", ".join(f"{{'h': '{h}', 'p': '{p}', 'v': '{v}'}}" for h, p, v in sorted(URL_RULES, key=lambda r: (-len(r[0] + r[1]), -r[0].count("."))))
+URL_HOSTS = ", ".join(f"'{h}'" for h in BLOCKED_HOSTS)
+URL_SQL = f"""
+WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '{PARTS}', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(url, ''), '{PARTS}', 2) AS path FROM pages),
+     r AS (SELECT *, list_filter([{URL_LIST}], lambda x: (host = x.h OR ends_with(host, '.' || x.h)) AND starts_with(path, x.p))[1] AS own,
+                  len(list_filter([{URL_HOSTS}], lambda x: host = x OR ends_with(host, '.' || x))) > 0 AS listed FROM u)
+SELECT page_id, host, path, own.h || own.p AS rule, CASE WHEN own.v IS NOT NULL THEN own.v WHEN listed THEN 'block' ELSE 'allow' END AS verdict FROM r
+"""
+PHRASE_SQL = f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+     w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+     t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY 1),
+     f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS n FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 6) x(k)) GROUP BY 1, 2, 3 HAVING count(*) >= 100),
+     c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS s, n AS a FROM f WHERE k > 1),
+     cuts AS (SELECT c.*, l.n AS l, r.n AS r, cut, (1000::HUGEINT * a * t.n) // (l.n::HUGEINT * r.n) AS score, t.n
+              FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) c JOIN t USING (lang)
+              JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(s[1:cut], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(s[cut + 1:], ' ')),
+     best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+     parts AS (SELECT lang, array_to_string(s[i:i + m - 1], ' ') AS phrase, max(a) AS beyond
+               FROM (SELECT lang, s, a, m, unnest(range(1, k - m + 2)) AS i FROM c, range(2, 5) y(m) WHERE m < k) GROUP BY 1, 2)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM best LEFT JOIN parts USING (lang, phrase) WHERE beyond IS NULL OR beyond < a QUALIFY rank <= 2000
+"""
 #: The others have no SQL: it has no tokenizer, MinHash, crc32 or language model; tests hold them against brute force.
 SQL: dict[str, str] = {
-    "op1_secret_scan": SECRET_SQL, "op3_quality_rules": QUALITY_SQL, "op6_embedding_dedup": EMBEDDING_SQL,
+    "op1_secret_scan": SECRET_SQL, "op3_quality_rules": QUALITY_SQL, "op6_embedding_dedup": EMBEDDING_SQL, "op11_url_filter": URL_SQL,
+    "op13_phrase_mining": PHRASE_SQL,
 }
