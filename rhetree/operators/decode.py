@@ -6,6 +6,8 @@ link, UNRELATED otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,23 +51,37 @@ def decode_best_incoming(weights: DataFrame, unrelated: int) -> DataFrame:
     return _predict(marked, F.col("pair_ix") == F.col("_best"), unrelated).drop("_best")
 
 
-def neighbours(units: DataFrame) -> DataFrame:
-    """(grouping, one, two) in both orders: no third unit lies between, or one holds the other."""
-    side = lambda x: units.select("grouping", F.col("id").alias(x), F.col("span_start").alias(f"{x}_s"), F.col("span_end").alias(f"{x}_e"))
-    both = side("one").join(side("two"), "grouping").where("one <> two")
-    within = lambda a, b: (F.col(f"{b}_s") <= F.col(f"{a}_s")) & (F.col(f"{a}_e") <= F.col(f"{b}_e"))
-    lies = lambda x, a, b: (F.col(f"{a}_e") <= F.col(x)) & (F.col(x) <= F.col(f"{b}_s"))
-    third = side("mid").withColumnRenamed("grouping", "_g")
-    between = F.lit(False)
-    for a, b in (("one", "two"), ("two", "one")):
-        between = between | lies("mid_s", a, b) | lies("mid_e", a, b)
-    clear = both.join(
-        third,
-        (F.col("grouping") == F.col("_g")) & (F.col("mid") != F.col("one")) & (F.col("mid") != F.col("two")) & between,
-        "left_anti",
+def neighbours(units: DataFrame, key: Sequence[str] = ("grouping",)) -> DataFrame:
+    """(key, one, two) in both orders: no third unit lies between, or one holds the other.
+
+    No units are paired but those that may overlap. Of units apart, one's only possible
+    neighbour after it is the unit whose start is the next place at which any other unit
+    begins or ends, if no further one does so there. Units that overlap lie in one run of
+    units that start before the furthest end so far.
+    """
+    own = list(key)
+    spans = units.select(*own, "id", F.col("span_start").alias("s"), F.col("span_end").alias("e"))
+    places = spans.select(*own, "id", "s", F.explode(F.array_distinct(F.array("s", "e"))).alias("x"))
+    at = places.groupBy(*own, "x").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "s")).alias("u"), F.max(F.struct("id", "s")).alias("v"))
+    ahead = Window.partitionBy(*own).orderBy("x")
+    at = at.withColumn("_next", F.lead(F.struct("x", "n", "u")).over(ahead))
+    here = spans.join(at.withColumnRenamed("x", "e"), [*own, "e"])
+    # at the unit's own end: itself and perhaps others; else the next place
+    other = F.when(F.col("u.id") == F.col("id"), F.col("v")).otherwise(F.col("u"))
+    after = F.when((F.col("n") == 2) & (other["s"] == F.col("e")), other["id"]).when(
+        (F.col("n") == 1) & (F.col("_next.n") == 1) & (F.col("_next.u.s") == F.col("_next.x")), F.col("_next.u.id")
     )
-    nested = both.where(within("one", "two") | within("two", "one"))
-    return clear.unionByName(nested).select("grouping", "one", "two").distinct()
+    apart = here.select(*own, F.col("id").alias("one"), after.alias("two")).where("two IS NOT NULL")
+    by_start = Window.partitionBy(*own).orderBy("s", "e", "id")
+    far = F.max("e").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    begins = spans.withColumn("_far", far).withColumn("_new", F.coalesce((F.col("s") > F.col("_far")).cast("int"), F.lit(1)))
+    grouped = begins.withColumn("_run", F.sum("_new").over(by_start)).select(*own, "_run", "id", "s", "e")
+    side = lambda x: grouped.select(*own, "_run", F.col("id").alias(x), F.col("s").alias(f"{x}_s"), F.col("e").alias(f"{x}_e"))
+    both = side("one").join(side("two"), [*own, "_run"]).where("one <> two")
+    within = lambda a, b: (F.col(f"{b}_s") <= F.col(f"{a}_s")) & (F.col(f"{a}_e") <= F.col(f"{b}_e"))
+    crossing = (F.col("one_s") < F.col("two_e")) & (F.col("two_s") < F.col("one_e"))
+    nested = both.where(within("one", "two") | within("two", "one") | crossing).select(*own, "one", "two")
+    return apart.unionByName(apart.select(*own, F.col("two").alias("one"), F.col("one").alias("two"))).unionByName(nested).distinct()
 
 
 def heuristic_stats(weights: DataFrame) -> DataFrame:

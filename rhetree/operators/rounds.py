@@ -2,28 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """`df` as a Parquet table in the folder that `spark.checkpoint.dir` names, else (as in local tests) a temporary one."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="rhetree-")
-        atexit.register(shutil.rmtree, shared, ignore_errors=True)
-        sc.setCheckpointDir(shared)
-    path = f"{shared.rstrip('/')}/rhetree-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from .storage import concluded, written
 
 
 def ancestors(links: DataFrame, key: list[str], node: str, head: str) -> DataFrame:
@@ -32,6 +16,10 @@ def ancestors(links: DataFrame, key: list[str], node: str, head: str) -> DataFra
     Round k joins the pairs of up to 2 ** k steps with the jumps of exactly 2 ** k, until
     no jump is left; a circle of heads is an error. There is no limit on depth or rows.
     """
+    return concluded(lambda: _ancestors(links, key, node, head), "ancestors")
+
+
+def _ancestors(links: DataFrame, key: list[str], node: str, head: str) -> DataFrame:
     one = links.where(F.col(node).isNotNull() & F.col(head).isNotNull()).select(*key, F.col(node).alias("node"), F.col(head).alias("ancestor"))
     jump = written(one, "jumps")
     longest = jump.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
@@ -52,6 +40,10 @@ def ancestors(links: DataFrame, key: list[str], node: str, head: str) -> DataFra
 
 def reached(starts: DataFrame, links: DataFrame, key: list[str], node: str, following: str) -> DataFrame:
     """(key, node), distinct: the starts and all that links lead to from them; a node has one link at most, none in a circle."""
+    return concluded(lambda: _reached(starts, links, key, node, following), "reached")
+
+
+def _reached(starts: DataFrame, links: DataFrame, key: list[str], node: str, following: str) -> DataFrame:
     jump = written(links.select(*key, F.col(node).alias("_from"), F.col(following).alias("_to")), "jumps")
     found = written(starts.select(*key, node).distinct(), "reached")
     while not jump.isEmpty():

@@ -11,8 +11,9 @@ from rhetree.operators import folds as C
 from rhetree.operators import learn as L
 from rhetree.operators import parse as S
 from rhetree.operators import pairs as P
-from rhetree.operators.decode_grouped import decode_corpus, mst_links
+from rhetree.operators.decode_corpus import decode_corpus, decode_nbest, with_coordinating
 
+from . import tree_sql
 from .bridge import BEST, LABELS, ROOT_IX, UNRELATED_IX
 from .pair_queries import INTER, INTRA, INTRA_TARGETS
 from .registry import query
@@ -26,22 +27,42 @@ def decoded(b, decoder, **options):
     return decode_corpus(b.weights, b.units, decoder, UNRELATED_IX, **options).select(*KEY, "parent", "child", "prediction")
 
 
-@query()
+#: The candidates of whole documents, and of their parts.
+DOCS = f"SELECT grouping AS g, ppos AS p, cpos AS c, pair_ix, attach, {BEST} IN (2, 3) AS coord FROM weights"
+PARTS = f"SELECT csub AS g, ppos AS p, cpos AS c, pair_ix, attach FROM weights WHERE {INTRA} OR ppos = 0"
+
+
+def marked(ctes: str, tree: str, label: str = BEST, recursive: str = "RECURSIVE ") -> str:
+    """SQL of a decoder's predictions: the best label of the links in the CTE `tree`, UNRELATED for all others."""
+    return f"""WITH {recursive}cand AS ({DOCS}), {ctes}
+        SELECT w.grouping, w.pair_ix, w.parent, w.child, CASE WHEN t.pair_ix IS NULL THEN 4 ELSE {label} END AS prediction
+        FROM weights w LEFT JOIN {tree} t ON t.g = w.grouping AND t.pair_ix = w.pair_ix"""
+
+
+@query(marked(tree_sql.greedy("cand", "x"), "xgreedy"))
 def d6_decode_greedy(b):
     return decoded(b, "greedy")
 
 
-@query()
+@query(marked(tree_sql.mst("cand", "x"), "xtree"))
 def d7_decode_mst(b):
     return decoded(b, "mst")
 
 
-@query()
+LEFTMOST = "left_cand AS (SELECT g, p - 1 AS p, c - 1 AS c, pair_ix, attach FROM cand WHERE p > 0)"
+
+
+@query(marked(f"{LEFTMOST}, {tree_sql.mst('left_cand', 'x')}", "xtree"))
+def d7_decode_mst_leftmost(b):
+    return decoded(b, "mst", root="leftmost")
+
+
+@query(marked(tree_sql.msdag("cand", "x"), "xdag"))
 def d8_decode_msdag(b):
     return decoded(b, "msdag")
 
 
-@query()
+@query(marked(tree_sql.eisner("cand", "x"), "xproj"))
 def d9_decode_eisner(b):
     return decoded(b, "eisner")
 
@@ -52,9 +73,22 @@ def d10_decode_reading_order(b):
     return decoded(b, "reading_order", heuristic="best", frontier="none").select(*KEY, "prediction")
 
 
-@query()
+@query(marked(tree_sql.reading_order("cand", "x"), "xorder"))
 def d10_decode_reading_order_frontier(b):
-    return decoded(b, "reading_order", heuristic="best", frontier="simple", beam=20)
+    return decoded(b, "reading_order", heuristic="best", frontier="simple")
+
+
+@query()
+def d10_decode_reading_order_beam(b):
+    return decoded(b, "reading_order", frontier="simple", beam=20)
+
+
+@query(f"""WITH RECURSIVE cand AS ({DOCS}), {tree_sql.reading_order("cand", "x", nbest=3, full=True)}
+           SELECT g AS grouping, k, count(*) AS n_links, sum(pair_ix)::BIGINT AS links FROM xorder GROUP BY 1, 2""")
+def d10_decode_reading_order_full_nbest(b):
+    rows = with_coordinating(b.weights, LABELS)
+    out = decode_nbest(rows, b.units, UNRELATED_IX, 3, frontier="full").where(F.col("prediction") != UNRELATED_IX)
+    return out.groupBy("grouping", F.col("k").cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n_links"), F.sum("pair_ix").alias("links"))
 
 
 def sentence(b):
@@ -101,7 +135,25 @@ def p11_sentences_only(b):
     return S.sentences_only(b.weights, sentence(b), UNRELATED_IX).select(*KEY, "prediction")
 
 
-@query()
+#: Pairs with what the sentences' parses say (sp, null if nothing), and attach and the best label with sentence links fixed.
+FIXED = f"""SELECT w.*, s.sp, CASE WHEN w.ppos > 0 AND s.sp <> 4 THEN 1 ELSE w.attach END AS fixed_attach, CASE WHEN w.ppos > 0 AND s.sp <> 4 THEN s.sp ELSE {BEST} END AS fixed_label
+           FROM weights w LEFT JOIN (SELECT grouping, pair_ix, sp FROM ({SENTENCE})) s ON s.grouping = w.grouping AND s.pair_ix = w.pair_ix"""
+
+
+#: The pairs that head_to_head decodes, given j (pairs with what the sentences' parses say).
+BETWEEN = """heads AS (SELECT grouping, child FROM j WHERE ppos = 0 AND sp <> 4),
+    cand AS (SELECT grouping AS g, ppos AS p, cpos AS c, pair_ix, attach FROM j
+             WHERE child IN (SELECT child FROM heads) AND (ppos = 0 OR parent IN (SELECT child FROM heads)))"""
+
+
+def merged(j: str, ctes: str, tree: str, label: str) -> str:
+    """SQL of what a decoder says of its candidates `cand`, and of what the sentences' parses say of all others."""
+    return f"""WITH RECURSIVE {j}, {ctes}, doc AS (SELECT j.grouping, j.pair_ix, CASE WHEN t.pair_ix IS NULL THEN 4 ELSE {label} END AS dp
+        FROM j JOIN cand ON cand.g = j.grouping AND cand.pair_ix = j.pair_ix LEFT JOIN {tree} t ON t.g = j.grouping AND t.pair_ix = j.pair_ix)
+        SELECT j.grouping, j.pair_ix, coalesce(d.dp, CASE WHEN j.ppos > 0 THEN j.sp END, 4) AS prediction FROM j LEFT JOIN doc d ON d.grouping = j.grouping AND d.pair_ix = j.pair_ix"""
+
+
+@query(merged(f"j AS ({FIXED})", f"{BETWEEN}, {tree_sql.mst('cand', 'x')}", "xtree", BEST))
 def p12_head_to_head(b):
     out = S.head_to_head(b.weights, sentence(b), lambda r: decode_corpus(r, b.units, "mst", UNRELATED_IX), UNRELATED_IX)
     return out.select(*KEY, "prediction")
@@ -111,9 +163,6 @@ def best_links(rows):
     return D.decode_best_incoming(rows, UNRELATED_IX)
 
 
-#: Pairs with what the sentences' parses say (sp, null if nothing), and attach and the best label with sentence links fixed.
-FIXED = f"""SELECT w.*, s.sp, CASE WHEN w.ppos > 0 AND s.sp <> 4 THEN 1 ELSE w.attach END AS fixed_attach, CASE WHEN w.ppos > 0 AND s.sp <> 4 THEN s.sp ELSE {BEST} END AS fixed_label
-           FROM weights w LEFT JOIN (SELECT grouping, pair_ix, sp FROM ({SENTENCE})) s ON s.grouping = w.grouping AND s.pair_ix = w.pair_ix"""
 #: Predictions for the pairs that `doc` (grouping, pair_ix, dp) does not decide come from the sentences.
 MERGED = "SELECT j.grouping, j.pair_ix, coalesce(d.dp, CASE WHEN j.ppos > 0 THEN j.sp END, 4) AS prediction FROM j LEFT JOIN doc d ON d.grouping = j.grouping AND d.pair_ix = j.pair_ix"
 HEAD_TO_HEAD = f"""WITH j AS ({FIXED}), heads AS (SELECT grouping, child FROM j WHERE ppos = 0 AND sp <> 4),
@@ -139,13 +188,8 @@ def p13_frontiers(b):
     return S.frontiers(b.pairs, "target", UNRELATED_IX)
 
 
-@query()
-def p14_frontier_to_head(b):
-    out = S.frontier_to_head(b.weights, sentence(b), lambda r: decode_corpus(r, b.units, "mst", UNRELATED_IX), N, UNRELATED_IX)
-    return out.select(*KEY, "prediction")
-
-
-FRONTIER_TO_HEAD = f"""WITH RECURSIVE j AS ({FIXED}), l AS (SELECT grouping, parent, ppos, child, cpos FROM j WHERE {INTRA} AND sp <> 4),
+#: The pairs that frontier_to_head decodes, given j.
+CHOSEN = f"""l AS (SELECT grouping, parent, ppos, child, cpos FROM j WHERE {INTRA} AND sp <> 4),
     steps AS (SELECT grouping, ppos AS at, max(cpos) AS nxt, 'right' AS side FROM l WHERE ppos < cpos GROUP BY 1, 2 UNION ALL SELECT grouping, ppos, min(cpos), 'left' FROM l WHERE ppos > cpos GROUP BY 1, 2),
     heads AS (SELECT * FROM units WHERE id NOT IN (SELECT child FROM l)),
     f AS (SELECT u.grouping, u.pos AS at, s.side FROM heads u, (VALUES ('left'), ('right')) s(side)
@@ -153,9 +197,17 @@ FRONTIER_TO_HEAD = f"""WITH RECURSIVE j AS ({FIXED}), l AS (SELECT grouping, par
     chosen AS (SELECT * FROM j WHERE cpos IN (SELECT pos FROM heads h WHERE h.grouping = j.grouping) AND (ppos = 0 OR (psub <> csub AND
                    EXISTS (SELECT 1 FROM f WHERE f.grouping = j.grouping AND f.at = j.ppos AND f.side = CASE WHEN j.cpos > j.ppos THEN 'right' ELSE 'left' END)))
                UNION ALL SELECT * FROM j WHERE {INTRA} AND sp <> 4 AND
-                   EXISTS (SELECT 1 FROM f p JOIN f c ON c.grouping = p.grouping AND c.side = p.side WHERE p.grouping = j.grouping AND p.at = j.ppos AND c.at = j.cpos)),
+                   EXISTS (SELECT 1 FROM f p JOIN f c ON c.grouping = p.grouping AND c.side = p.side WHERE p.grouping = j.grouping AND p.at = j.ppos AND c.at = j.cpos))"""
+FRONTIER_TO_HEAD = f"""WITH RECURSIVE j AS ({FIXED}), {CHOSEN},
     doc AS (SELECT grouping, pair_ix, CASE WHEN row_number() OVER (PARTITION BY grouping, child ORDER BY fixed_attach DESC, pair_ix) = 1 THEN fixed_label ELSE 4 END AS dp FROM chosen)
     {MERGED}"""
+TO_HEADS = f"{CHOSEN}, cand AS (SELECT grouping AS g, ppos AS p, cpos AS c, pair_ix, fixed_attach AS attach FROM chosen), {tree_sql.mst('cand', 'x')}"
+
+
+@query(merged(f"j AS ({FIXED})", TO_HEADS, "xtree", "fixed_label"))
+def p14_frontier_to_head(b):
+    out = S.frontier_to_head(b.weights, sentence(b), lambda r: decode_corpus(r, b.units, "mst", UNRELATED_IX), N, UNRELATED_IX)
+    return out.select(*KEY, "prediction")
 
 
 @query(FRONTIER_TO_HEAD)
@@ -170,7 +222,8 @@ def p15_fix_intra_links(b):
     return out.select(*KEY, "attach", F.get("label_w", F.lit(2)).alias("w2"))
 
 
-@query()
+@query(f"""WITH RECURSIVE j AS ({FIXED}), cand AS (SELECT grouping AS g, ppos AS p, cpos AS c, pair_ix, fixed_attach AS attach FROM j), {tree_sql.eisner("cand", "x")}
+           SELECT j.grouping, j.pair_ix, CASE WHEN t.pair_ix IS NULL THEN 4 ELSE fixed_label END AS prediction FROM j LEFT JOIN xproj t ON t.g = j.grouping AND t.pair_ix = j.pair_ix""")
 def p16_soft(b):
     return S.soft(b.weights, sentence(b), lambda r: decode_corpus(r, b.units, "eisner", UNRELATED_IX), N, UNRELATED_IX).select(*KEY, "prediction")
 
@@ -192,7 +245,13 @@ def p18_zip_nbest(b):
     return S.zip_nbest(rows).select("grouping", "k", F.size("links").cast("long").alias("n"))
 
 
-@query()
+#: Pairs with what trees of the parts say, null outside them.
+TREES = f"""parts AS ({PARTS}), {tree_sql.mst("parts", "s")},
+    j AS (SELECT w.*, CASE WHEN o.pair_ix IS NULL THEN NULL WHEN t.pair_ix IS NULL THEN 4 ELSE {BEST} END AS sp FROM weights w
+          LEFT JOIN parts o ON o.g = w.csub AND o.pair_ix = w.pair_ix LEFT JOIN stree t ON t.g = w.csub AND t.pair_ix = w.pair_ix)"""
+
+
+@query(merged(TREES, f"{BETWEEN}, {tree_sql.mst('cand', 'x')}", "xtree", BEST))
 def p10_two_level(b):
     decode_part = lambda r: decode_corpus(r, b.units, "mst", UNRELATED_IX, key=("grouping", "part"))
     combine = lambda w, s: S.head_to_head(w, s, lambda r: decode_corpus(r, b.units, "mst", UNRELATED_IX), UNRELATED_IX)
@@ -303,7 +362,7 @@ def trained(b, decoder):
 def c4_p2_p4_cross_validate(b):
     configs = {
         "best": trained(b, lambda r: D.decode_best_incoming(r, UNRELATED_IX)),
-        "mst": trained(b, lambda r: decode_corpus(r, b.units, mst_links, UNRELATED_IX)),
+        "mst": trained(b, lambda r: decode_corpus(r, b.units, "mst", UNRELATED_IX)),
     }
     return C.cross_validate(featured(b), C.make_folds(b.units, 2, seed=7), configs)
 

@@ -1,96 +1,147 @@
-"""Search decoders against brute force over all trees, and their invariants."""
+"""Search decoders over tables, many documents at once, against plain versions of one document."""
 
 import itertools
+import random
 
 import numpy as np
-import pandas as pd
 import pytest
-
-from rhetree.operators import decode_grouped as D
-
-
-def graph(n, seed, drop=0.0, root=True):
-    rng = np.random.default_rng(seed)
-    names = ["ROOT" if root else "x0", *[f"x{i}" for i in range(1, n)]]
-    rows = []
-    for i, j in itertools.product(range(n), range(1, n)):
-        if i != j and rng.random() >= drop:
-            rows.append((names[i], names[j], rng.uniform(0.05, 0.95), i - 1 if not i else i, i, j, j))
-    frame = pd.DataFrame(rows, columns=["parent", "child", "attach", "p_start", "p_end", "c_start", "c_end"])
-    return D.Graph(frame)
-
-
-def trees(n):
-    for parents in itertools.product(range(n), repeat=n - 1):
-        p = [0, *parents]
-        if all(_reaches(p, v) for v in range(1, n)):
-            yield p
-
-
-def _reaches(p, v):
-    for _ in range(len(p)):
-        if v == 0:
-            return True
-        if p[v] == v:
-            return False
-        v = p[v]
-    return v == 0
-
-
-def projective(p):
-    links = [(min(a, b), max(a, b)) for b, a in enumerate(p) if b]
-    return not any(a < c < b < d for (a, b), (c, d) in itertools.permutations(links, 2))
-
-
-@pytest.mark.parametrize("n,seed", [(n, s) for n in (2, 3, 4, 5) for s in range(6)])
-def test_trees_are_best(n, seed):
-    g = graph(n, seed)
-    odds, logs = g.score(True, odds=True), g.score(True)
-    every = list(trees(n))
-    total = lambda s, links: sum(s[i, j] for i, j in links)
-    of = lambda p: [(p[j], j) for j in range(1, n)]
-    assert total(odds, D.mst_links(g)) == pytest.approx(max(total(odds, of(p)) for p in every))
-    plain = [p for p in every if projective(p)]
-    assert total(logs, D.eisner_links(g, one_root=False)) == pytest.approx(max(total(logs, of(p)) for p in plain))
-    single = [p for p in plain if sum(x == 0 for x in p[1:]) == 1]
-    assert total(logs, D.eisner_links(g)) == pytest.approx(max(total(logs, of(p)) for p in single))
-
-
-@pytest.mark.parametrize("seed", range(5))
-def test_msdag_holds_the_tree_and_no_cycle(seed):
-    g = graph(6, seed, drop=0.2)
-    tree, dag = set(D.mst_links(g)), D.msdag_links(g)
-    assert tree <= set(dag)
-    order, left = [], set(range(6))
-    while left:
-        free = [v for v in left if not any(j == v and i in left for i, j in dag)]
-        assert free, "a cycle"
-        order += free
-        left -= set(free)
-
-
-def test_four_units():
-    pairs = [(0, 1, 0.8), (0, 2, 0.4), (0, 3, 0.5), (1, 2, 0.2), (1, 3, 0.2), (2, 3, 0.2)]
-    frame = pd.DataFrame([(f"x{i}", f"x{j}", w, i, i, j, j) for i, j, w in pairs], columns=["parent", "child", "attach", "p_start", "p_end", "c_start", "c_end"])
-    g = D.Graph(frame)
-    assert len(D.mst_links(g)) == 3 and len(D.msdag_links(g)) == 6
-    assert D.reading_order_links(g, heuristic="zero")[0] == [(0, 1), (0, 2), (0, 3)]
-    assert len(D.reading_order_links(g, nbest=3)) == 3
-    assert D.greedy_links(g)
-
-
-@pytest.mark.parametrize("heuristic", ["zero", "max", "best"])
-def test_reading_order_is_best_earlier_parent(heuristic):
-    g = graph(5, 3)
-    best = [(int(np.nanargmax(g.weight[:j, j])), j) for j in range(1, 5)]
-    assert D.reading_order_links(g, heuristic=heuristic)[0] == best
-    assert D.reading_order_links(g, heuristic=heuristic, frontier="simple", beam=50)
-
-
-def test_frontier_limits_attachment():
-    g = graph(6, 1)
-    for links in D.reading_order_links(g, frontier="simple", nbest=5):
-        open_ = [0]
-        for i, j in links:
-            assert i in open_
-            open_ = [*open_[: open_.index(i) + 1], j]
+from pyspark.sql import functions as F
+
+import plain_decoders as plain
+from rhetree.operators import decode as D
+from rhetree.operators.decode_corpus import chosen_links, decode_corpus, decode_nbest
+
+PAIRS = "grouping string, pair_ix long, parent string, child string, attach double, coordinating boolean"
+UNITS = "grouping string, id string, span_start int, span_end int"
+
+
+def corpus(seed, docs, most, drop=0.15, odd=0.05):
+    """Random documents: some without ROOT, with overlapping units, without some links, with certain and impossible links."""
+    rng, pairs, units, out = random.Random(seed), [], [], {}
+    for d in range(docs):
+        n, fake, wild = rng.randrange(2, most + 1), rng.random() < 0.7, d % 3 == 0
+        name = lambda i, fake=fake: "ROOT" if fake and not i else f"x{i:03}"
+        spans = [(-1, -1) if fake else (-100, -90)] + [(s := 10 * i + (rng.randrange(-12, 12) if wild else 0), s + (rng.randrange(15) if wild else 9)) for i in range(1, n)]
+        order = [0, *sorted(range(1, n), key=lambda i: (spans[i], name(i)))]
+        place = {i: k for k, i in enumerate(order)}
+        links = {}
+        for i, j in itertools.product(range(n), range(1, n)):
+            if rng.random() >= drop:
+                w = rng.choice([0.0, 1.0]) if rng.random() < odd else rng.uniform(0.05, 0.95)
+                row = (f"g{d}", len(links), name(i), name(j), w, rng.random() < 0.5)
+                pairs.append(row)
+                if i != j:
+                    links[place[i], place[j]] = (row[1], w, row[5])
+                else:
+                    links[place[i], place[j]] = (row[1], w, False)
+        seen = {x for link in links for x in link}
+        units += [(f"g{d}", name(i), *spans[i]) for i in range(n) if name(i) != "ROOT"]
+        if len(seen) == n:
+            out[f"g{d}"] = plain.Doc(n, {x: v for x, v in links.items() if x[0] != x[1]}, [spans[i] for i in order])
+    return pairs, units, out
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    pairs, units, docs = corpus(5, 60, 6)
+    return spark.createDataFrame(pairs, PAIRS), spark.createDataFrame(units, UNITS), docs
+
+
+def found(small, decoder, **options):
+    weights, units, docs = small
+    got = {}
+    for r in chosen_links(weights, units, decoder, **options).collect():
+        got.setdefault((r.grouping, r.k), []).append(r.pair_ix)
+    for name, doc in docs.items():
+        at = {ix: link for link, (ix, *_) in doc.links.items()}
+        k = max((k for g, k in got if g == name), default=0)
+        yield name, doc, [[at[ix] for ix in got[name, i]] for i in range(1, k + 1)]
+
+
+def test_neighbours(spark, small):
+    for name, doc, _ in found(small, "greedy"):
+        near = plain.near(doc)
+        rows = [(name, str(i), *doc.spans[i]) for i in range(doc.n)]
+        if name in ("g0", "g1", "g3", "g6", "g9", "g12"):
+            got = {(int(r.one), int(r.two)) for r in D.neighbours(spark.createDataFrame(rows, UNITS)).collect()}
+            assert got == {(a, b) for a in range(doc.n) for b in near[a]}
+
+
+def test_trees_are_best(small):
+    for _, doc, ways in found(small, "mst"):
+        tree = ways[0] if ways else []
+        assert len({c for _, c in tree}) == len(tree)
+        left = (doc.n - 1 - len(tree)) * -plain.FAR**2
+        assert doc.total(tree, True) + left == pytest.approx(plain.best_tree(doc))
+
+
+def test_dag_is_greedy(small):
+    trees = {name: ways for name, _, ways in found(small, "mst")}
+    for name, doc, ways in found(small, "msdag"):
+        assert set(ways[0] if ways else []) == plain.dag(doc, trees[name][0] if trees[name] else [])
+
+
+@pytest.mark.parametrize("one_root", [True, False])
+def test_projective_trees_are_best(small, one_root):
+    for _, doc, ways in found(small, "eisner", one_root=one_root):
+        tree = ways[0] if ways else []
+        fit = lambda t: plain.projective(t) and (not one_root or sum(p == 0 for p, _ in t) == 1)
+        assert plain.projective(tree)
+        left = (doc.n - 1 - len(tree)) * -plain.FAR**2
+        assert doc.total(tree, False) + left == pytest.approx(plain.best_tree(doc, fit, odds=False))
+
+
+def test_greedy(small):
+    for _, doc, ways in found(small, "greedy"):
+        assert set(ways[0] if ways else []) == plain.greedy(doc)
+
+
+@pytest.mark.parametrize("frontier", ["none", "simple", "full"])
+@pytest.mark.parametrize("nbest,options", [(1, {"heuristic": "best"}), (1, {"heuristic": "max"}), (3, {}), (2, {"beam": 2000})])
+def test_reading_order(small, frontier, nbest, options):
+    for _, doc, ways in found(small, "reading_order", frontier=frontier, nbest=nbest, **options):
+        want = plain.reading_order(doc, frontier, nbest)
+        assert [-doc.total(w, False) for w in ways] == pytest.approx([cost for cost, _ in want])
+
+
+def test_beam_and_heuristics(small):
+    best = {name: ways for name, _, ways in found(small, "reading_order", frontier="simple")}
+    for name, doc, ways in found(small, "reading_order", frontier="simple", beam=1):
+        assert not ways or doc.total(ways[0], False) <= doc.total(best[name][0], False) + 1e-9
+    with pytest.raises(ValueError, match="heuristic"):
+        list(found(small, "reading_order", heuristic="worst"))
+    with pytest.raises(ValueError, match="decoder"):
+        list(found(small, "other"))
+
+
+def test_four_units(spark):
+    pairs = [("g", k, f"x{i}", f"x{j}", w, False) for k, (i, j, w) in enumerate([(0, 1, 0.8), (0, 2, 0.4), (0, 3, 0.5), (1, 2, 0.2), (1, 3, 0.2), (2, 3, 0.2)])]
+    weights, units = spark.createDataFrame(pairs, PAIRS), spark.createDataFrame([("g", f"x{i}", i, i) for i in range(4)], UNITS)
+    n = lambda d, **o: decode_corpus(weights, units, d, 9, **o).where("prediction <> 9").count()
+    assert n("mst") == 3 and n("msdag") == 6 and n("greedy") > 0 and n("mst", root="leftmost") == 3
+    assert sorted(r.pair_ix for r in decode_corpus(weights, units, "reading_order", 9).where("prediction = 0").collect()) == [0, 1, 2]
+    three = decode_nbest(weights, units, 9, 3).groupBy("k").agg(F.count_if(F.col("prediction") == 0).alias("n")).collect()
+    assert sorted((r.k, r.n) for r in three) == [(1, 3), (2, 3), (3, 3)]
+    raw = decode_corpus(weights.withColumn("attach", F.col("attach") * 10 - 4), units, "eisner", 9, use_prob=False)
+    assert raw.where("prediction = 0").count() == 3
+    assert decode_corpus(weights.limit(0), units, "mst", 9).collect() == []
+    mine = decode_corpus(weights, units, lambda rows: rows.where("attach > 0.45").select("grouping", "pair_ix"), 9)
+    assert mine.where("prediction = 0").count() == 2
+
+
+def test_tree_of_300_units(spark):
+    """One long document beside short ones: a link is a row, whatever document it is in."""
+    n = 300
+    w = np.random.default_rng(3).uniform(0.01, 0.99, (n, n))
+    name = lambda i: f"u{i:03}" if i else "ROOT"
+    pairs = [("long", i * n + j, name(i), name(j), float(w[i, j]), False) for i in range(n) for j in range(1, n) if i != j]
+    short, units, _ = corpus(8, 5, 5)
+    weights = spark.createDataFrame(pairs + short, PAIRS).repartition(4)
+    spans = spark.createDataFrame(units + [("long", name(i), i, i) for i in range(1, n)], UNITS)
+    got = {r.pair_ix % n: r.pair_ix // n for r in chosen_links(weights, spans, "mst").where("grouping = 'long'").collect()}
+    odds = np.log(w / (1 - w))
+    want = plain.arborescence(odds)
+    assert len(got) == n - 1
+    assert sum(odds[p, c] for c, p in got.items()) == pytest.approx(sum(odds[want[c], c] for c in range(1, n)))
+    order = {r.pair_ix % n: r.pair_ix // n for r in chosen_links(weights, spans, "reading_order").where("grouping = 'long'").collect()}
+    assert order == {c: int(w[:c, c].argmax()) for c in range(1, n)}

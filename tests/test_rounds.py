@@ -1,9 +1,12 @@
 """Chains deeper than a recursive query's limit, and more rows than it allows."""
 
+import os
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
-from rhetree.operators import parse, rounds, text
+from rhetree.operators import parse, rounds, storage, text
 
 
 def tokens(spark, n, head):
@@ -36,3 +39,23 @@ def test_frontier_of_300(spark):
     first = spark.createDataFrame([("g", "ROOT", "g_1", None, "s", 5)], links.schema.simpleString().removeprefix("struct<").removesuffix(">"))
     found = parse.frontiers(links.unionByName(first), "target", 4)
     assert {(r.side, r.unit) for r in found.collect()} == {("left", "g_1")} | {("right", f"g_{i}") for i in range(1, 302)}
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    none = SimpleNamespace(get=lambda *_: None)
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            storage.shared_dir(SimpleNamespace(sparkContext=context, conf=none))
+
+
+def test_tables_of_the_rounds_are_deleted(spark):
+    folder = storage.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    found = rounds.ancestors(tokens(spark, 40, "id - 1"), ["unit_id"], "tok_ix", "head_ix")
+    assert found.count() == 820
+    left = set(os.listdir(folder)) - before
+    assert len(left) == 1 and next(iter(left)).startswith("rhetree-ancestors")
+    with pytest.raises(ValueError, match="circle"):
+        rounds.ancestors(tokens(spark, 6, "(id + 1) % 6"), ["unit_id"], "tok_ix", "head_ix")
+    assert set(os.listdir(folder)) - before == left
