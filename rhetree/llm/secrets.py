@@ -20,7 +20,8 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import in_buckets, text_of
+from .splicing import spliced
 
 #: Trigrams kept of a clause: fewer make a weaker filter, never a wrong one.
 MAX_TRIGRAMS = 3
@@ -117,9 +118,9 @@ def trigram_query(pattern: str) -> list[list[str]]:
 def postings(keyed: DataFrame, trigrams: list[str]) -> DataFrame:
     """The index: (trigram, key) for each of `trigrams` in each row's text, in lower case."""
     wanted = F.array(*[F.lit(t) for t in trigrams])
-    return keyed.select(
-        F.col("_key"), F.explode(F.filter(wanted, lambda t: F.contains(F.lower("_t"), t))).alias("trigram")
-    )
+    # lower-cased in a step of its own: within the lambda it would be done for each trigram
+    low = keyed.select("_key", F.lower("_t").alias("_low"))
+    return low.select("_key", F.explode(F.filter(wanted, lambda t: F.contains(F.col("_low"), t))).alias("trigram"))
 
 
 def candidates(keyed: DataFrame, rules: tuple[SecretRule, ...]) -> DataFrame:
@@ -218,7 +219,10 @@ def scan(docs: DataFrame, text: str = "text", rules: tuple[SecretRule, ...] = RU
     key = F.xxhash64(text_of(text), *[F.col(f"`{c}`") for c in (spread,) if c in docs.columns])
     keyed = docs.select(kept, text_of(text).alias("_t"), key.alias("_key"))
     found = candidates(keyed.select("_key", "_t"), rules)
-    matched = keyed.join(found, "_key", "left")
+    # only candidates are shuffled (and the few others in their buckets)
+    hit = in_buckets(keyed, found, "_key").join(found, "_key", "left")
+    rest = in_buckets(keyed, found, "_key", "left_anti").withColumn("_rules", F.lit(None).cast("long"))
+    matched = hit.unionByName(rest)
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     each = []
     for i, r in enumerate(rules):
@@ -267,17 +271,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     text where that changes.
     """
     rows = scan(docs)
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    step = lambda s, x: F.struct(
-        F.greatest(s["pos"], x["end"]).alias("pos"),
-        F.when(
-            x["start"] >= s["pos"],
-            F.concat(s["out"], F.substring(F.col("text"), s["pos"] + 1, x["start"] - s["pos"]), F.lit(mark)),
-        ).otherwise(s["out"]).alias("out"),
-    )
-    rest = lambda s: F.concat(s["out"], F.substring(F.col("text"), s["pos"] + 1, F.length("text")))
     has = F.size("secrets") > 0
-    rows = rows.withColumn("_new", F.when(has, F.aggregate("secrets", start, step, rest)).otherwise(F.col("text")))
+    rows = rows.withColumn("_new", F.when(has, spliced(F.col("text"), F.col("secrets"), mark)).otherwise(F.col("text")))
     new = {"text": F.col("_new").alias("text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType

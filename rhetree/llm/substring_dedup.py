@@ -28,6 +28,7 @@ from .common import concluded, in_buckets, spread_join, text_of, written
 from .components import components, least_labels
 from .encoding import release, slices, tidied
 from .shingles import MIX, MIX2, SHINGLE, common_counts, least_windows, minhashes, multipliers, shingle_hashes, words_at
+from .splicing import spliced
 
 #: Words of a window, and windows in a row of which the least is kept.
 WINDOW = 18
@@ -438,12 +439,7 @@ def substring_filter(docs: DataFrame) -> DataFrame:
     hit = in_buckets(whole, gone, "row_key").join(gone, "row_key", "left")
     # a clash of keys is no hit
     hit = hit.withColumn("spans", F.when(F.col("text_key").eqNullSafe(F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")), F.col("spans")))
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    step = lambda s, x: F.struct(
-        x["end"].alias("pos"), F.concat(s["out"], F.substring(F.col("text"), s["pos"] + 1, x["start"] - s["pos"])).alias("out")
-    )
-    rest_of = lambda s: F.concat(s["out"], F.substring(F.col("text"), s["pos"] + 1, F.length("text")))
-    new_text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.aggregate("spans", start, step, rest_of))
+    new_text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(spliced(F.col("text"), F.col("spans")))
     hit = hit.withColumn("_new", new_text)
     new = {"text": F.col("_new").alias("text")}
     if "n_chars" in docs.columns:
