@@ -12,6 +12,7 @@ from rhetree.functions.columns import ratio
 
 from . import score as M
 from .pairs import is_intra, is_root
+from .storage import concluded, written
 
 
 def with_prf(counts: DataFrame, tpos: str = "tpos", prefix: str = "", correction: float | None = None) -> DataFrame:
@@ -138,12 +139,30 @@ def confidence_interval(scores: DataFrame, value: str, level: float = 0.95) -> t
     return row["mean"], row["mean"] - half, row["mean"] + half
 
 
-def _average_ranks(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Adds rank (ties share their average) and ties, the rows of equal value."""
-    same = Window.partitionBy(*by, value)
-    first = F.rank().over(Window.partitionBy(*by).orderBy(value))
-    out = rows.withColumn("ties", F.count(F.lit(1)).over(same)).withColumn("_first", first)
-    return out.withColumn("rank", F.col("_first") + (F.col("ties") - 1) / 2).drop("_first")
+#: Ranges that values are dealt into before they are ranked.
+RANGES = 256
+
+
+def ranked_values(rows: DataFrame, by: Sequence[str], value: str, **counts: Column) -> DataFrame:
+    """A row per distinct value of each group: n rows, `counts` (aggregates over them), and rank, which ties share as their average.
+
+    Values are counted first, so that ties are one row. Counts of value ranges (at
+    approximate quantiles of all rows) give each range its first rank, and only within a
+    range are values put in order: no group is sorted as a whole. Null values are left out.
+    """
+    own = list(by)
+    each = rows.where(F.col(value).isNotNull()).groupBy(*own, value).agg(F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in counts.items()])
+    steps = [i / RANGES for i in range(1, RANGES)]
+    cuts = each.agg(F.percentile_approx(value, steps, 10 * RANGES)).first()[0] or []
+    cuts = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array(F.lit(0.0))
+    each = each.withColumn("_range", F.size(F.filter(cuts, lambda c: c <= F.col(value))))
+    total = each.groupBy(*own, "_range").agg(F.sum("n").alias("_n"))
+    # RANGES rows a group at most
+    before = Window.partitionBy(*own).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    total = total.select(*own, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    within = Window.partitionBy(*own, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    placed = each.withColumn("_ahead", F.coalesce(F.sum("n").over(within), F.lit(0))).join(total, [*own, "_range"])
+    return placed.withColumn("rank", F.col("_first") + F.col("_ahead") + (F.col("n") + 1) / 2).drop("_range", "_first", "_ahead")
 
 
 def _two_sided(z: Column) -> Column:
@@ -161,12 +180,12 @@ def wilcoxon(pairs: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFr
     Zero differences are dropped; ties share ranks and lower the variance.
     """
     d = pairs.withColumn("_d", F.round(F.col(x) - F.col(y), 12)).where("_d <> 0").withColumn("_a", F.abs("_d"))
-    ranked = _average_ranks(d, by, "_a")
+    ranked = ranked_values(d, by, "_a", ups=F.count_if(F.col("_d") > 0))
     sums = ranked.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.sum(F.when(F.col("_d") > 0, F.col("rank"))), F.lit(0.0)).alias("up"),
-        F.coalesce(F.sum(F.when(F.col("_d") < 0, F.col("rank"))), F.lit(0.0)).alias("down"),
-        F.sum(F.col("ties") * F.col("ties") - 1).alias("_ties"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
+        F.coalesce(F.sum(F.col("rank") * F.col("ups")), F.lit(0.0)).alias("up"),
+        F.coalesce(F.sum(F.col("rank") * (F.col("n") - F.col("ups"))), F.lit(0.0)).alias("down"),
+        F.sum(F.col("n").cast("double") * (F.col("n").cast("double") * F.col("n") - 1)).alias("_ties"),
     )
     n = F.col("n").cast("double")
     spread = F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("_ties") / 2) / 24)
@@ -189,11 +208,10 @@ def t_p_value(t: float, n: int) -> float:
 
 def mann_whitney(rows: DataFrame, value: str, group: str, first: str) -> DataFrame:
     """Independent rank sums: u of the first group, z and p by the normal approximation."""
-    ranked = _average_ranks(rows, [], value)
-    own = F.col(group) == first
+    ranked = ranked_values(rows, [], value, own=F.count_if(F.col(group) == first))
     sums = ranked.agg(
-        F.count_if(own).alias("n1"), F.count_if(~own).alias("n2"), F.sum(F.when(own, F.col("rank"))).alias("r"),
-        F.sum(F.col("ties") * F.col("ties") - 1).alias("_ties"),
+        F.sum("own").alias("n1"), F.sum(F.col("n") - F.col("own")).alias("n2"), F.sum(F.col("rank") * F.col("own")).alias("r"),
+        F.sum(F.col("n").cast("double") * (F.col("n").cast("double") * F.col("n") - 1)).alias("_ties"),
     )
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
@@ -203,19 +221,59 @@ def mann_whitney(rows: DataFrame, value: str, group: str, first: str) -> DataFra
     return out.withColumn("p", _two_sided(F.col("z"))).select("n1", "n2", "u", "z", "p")
 
 
+#: Bits of a hash that each step of the refinement looks at, and rows of a permutation that are then put in order.
+REFINED_BITS, ORDERED = 12, 4096
+
+
 def permutation_test(rows: DataFrame, value: str, group: str, first: str, n: int = 1000, seed: int = 0) -> DataFrame:
     """The share of n permutations of the joined series whose first part sums to less than the first series.
 
-    Every permutation orders the rows by a hash of its number and the row's place.
+    A permutation's first part are the rows of the least hashes of its number and the row's
+    place. All permutations' rows are counted and summed up by the first bits of their
+    hashes; what lies below the bin that holds the last row of the first part is settled,
+    and only that bin's rows are looked at again, by their next bits, until few are left
+    to be put in order. Null values count as nothing.
     """
-    series = rows.select(F.col(value).alias("v"), (F.col(group) == first).alias("own"))
-    placed = series.withColumn("i", F.monotonically_increasing_id())
-    size = placed.agg(F.count_if("own").alias("n1"), F.sum(F.when(F.col("own"), F.col("v"))).alias("observed"))
-    every = placed.crossJoin(rows.sparkSession.range(n).withColumnRenamed("id", "perm"))
-    order = Window.partitionBy("perm").orderBy(F.xxhash64(F.lit(seed), "perm", "i"), "i")
-    ranked = every.withColumn("k", F.row_number().over(order)).crossJoin(F.broadcast(size))
-    sums = ranked.groupBy("perm", "observed").agg(F.coalesce(F.sum(F.when(F.col("k") <= F.col("n1"), F.col("v"))), F.lit(0)).alias("s"))
-    return sums.agg(F.avg((F.col("s") < F.col("observed")).cast("double")).alias("share"))
+    return concluded(lambda: _permutation_test(rows, value, group, first, n, seed), "permutations")
+
+
+def permutation_hash(seed: int) -> Column:
+    """The hash of a permutation `perm` and a row's place `i`, without a sign."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "perm", "i"), 4)
+
+
+def _permutation_test(rows: DataFrame, value: str, group: str, first: str, n: int, seed: int) -> DataFrame:
+    series = rows.select(F.col(value).alias("v"), F.coalesce(F.col(group) == first, F.lit(False)).alias("own"))
+    placed = written(series.withColumn("i", F.monotonically_increasing_id()), "series")
+    size = placed.agg(F.count_if("own").alias("n1"), F.coalesce(F.sum(F.when(F.col("own"), F.col("v"))), F.lit(0)).alias("observed")).first()
+    every = placed.select("v", "i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("perm")).withColumn("h", permutation_hash(seed))
+    total = F.coalesce(F.sum("v"), F.lit(0))
+    # a row per permutation: rows still to be taken, the sum so far, and the bin to be looked into
+    state = rows.sparkSession.range(n).select(F.col("id").cast("int").alias("perm"), F.lit(size["n1"]).cast("long").alias("want"), F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("bin"))
+    bits, rest = 60, every.withColumn("bin", F.lit(0).cast("long"))
+    while True:
+        bits = max(0, bits - REFINED_BITS)
+        fine = rest.drop("bin").withColumn("bin", F.shiftrightunsigned("h", bits))
+        bins = fine.groupBy("perm", "bin").agg(F.count(F.lit(1)).alias("rows"), total.cast("double").alias("part"))
+        ahead = Window.partitionBy("perm").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+        bins = bins.withColumns({"before": F.coalesce(F.sum("rows").over(ahead), F.lit(0)), "below": F.coalesce(F.sum("part").over(ahead), F.lit(0.0))})
+        # the bin in which the last wanted row lies; all wanted: past the last bin
+        at = bins.join(state.select("perm", "want", "sum"), "perm").where("before < want").groupBy("perm").agg(F.max_by(F.struct("*"), "bin").alias("x")).select("x.*")
+        step = at.select("perm", (F.col("want") - F.col("before")).alias("want"), (F.col("sum") + F.col("below")).alias("sum"), "bin", "rows", "part")
+        step = step.withColumn("whole", F.col("want") >= F.col("rows"))
+        step = written(step.select("perm", F.when(F.col("whole"), 0).otherwise(F.col("want")).alias("want"), (F.col("sum") + F.when(F.col("whole"), F.col("part")).otherwise(0.0)).alias("sum"), "bin", "rows"), "bins")
+        open_ = step.where("want > 0")
+        rest = every.withColumn("bin", F.shiftrightunsigned("h", bits)).join(F.broadcast(open_.select("perm", "bin")), ["perm", "bin"], "left_semi")
+        done = state.join(step.select("perm"), "perm", "left_anti").select("perm", "want", "sum", "bin").unionByName(step.drop("rows"))
+        state = written(done, "state")
+        most = open_.agg(F.max("rows")).first()[0] or 0
+        if most <= ORDERED or bits == 0:
+            break
+    order = Window.partitionBy("perm").orderBy("h", "i")
+    last = rest.join(state.select("perm", "want"), "perm").withColumn("k", F.row_number().over(order)).where("k <= want")
+    last = last.groupBy("perm").agg(total.cast("double").alias("more"))
+    sums = state.join(last, "perm", "left").select("perm", (F.col("sum") + F.coalesce("more", F.lit(0.0))).alias("s"))
+    return sums.agg(F.avg((F.col("s") < F.lit(float(size["observed"]))).cast("double")).alias("share"))
 
 
 def effect_size(rows: DataFrame, value: str, group: str, first: str) -> DataFrame:

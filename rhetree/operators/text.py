@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rounds import ancestors
+from .rounds import ancestors, reached
 
 #: Characters of a cell that a range join deals spans into.
 CELL = 256
@@ -262,20 +262,31 @@ def time_tagging(units: DataFrame, hits: DataFrame, lemmas: DataFrame, verb_clas
     return out.withColumn("has_signal", F.col("signals").isNotNull()).fillna("", ["signals", "verb_class"])
 
 
-def marker_tagging(hits: DataFrame, relations: DataFrame, key: list[str]) -> DataFrame:
-    """Connectives: the longest hit at a place wins, hits that it covers go, ambiguous forms join their relations.
+def leftmost_longest(hits: DataFrame, key: list[str]) -> DataFrame:
+    """Hits (start, end) that a scan of each text keeps: the longest at the first place, then at the next place at or after its end, and so on.
 
-    A hit stays if no kept or longer hit of its text overlaps it: a hit goes if another
-    one overlaps it that starts earlier, or at the same place but is longer.
+    Every hit's next one is found in one sorted pass, and the kept ones by pointer doubling from
+    each text's first hit: a hit does not go for an overlap with one that has itself gone.
     """
+    rest = [c for c in hits.columns if c not in (*key, "start", "end")]
+    at = hits.where("end > start").groupBy(*key, "start").agg(F.max_by(F.struct("end", *rest), F.struct("end", *rest)).alias("_h")).select(*key, "start", "_h.*")
+    # a hit's end, and all starts: the first start that is not before the end
+    ends = at.select(*key, F.col("end").alias("x"), F.lit(None).cast("long").alias("s"), F.col("start").cast("long").alias("own"))
+    starts = at.select(*key, F.col("start").alias("x"), F.col("start").cast("long").alias("s"), F.lit(None).cast("long").alias("own"))
+    after = Window.partitionBy(*key).orderBy("x", F.col("s").isNotNull()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    following = ends.unionByName(starts).withColumn("following", F.min("s").over(after)).where("own IS NOT NULL AND following IS NOT NULL")
+    first = at.groupBy(*key).agg(F.min("start").cast("long").alias("_at"))
+    kept = reached(first, following.select(*key, F.col("own").alias("_at"), "following"), key, "_at", "following")
+    return at.join(kept, [*[at[c].eqNullSafe(kept[c]) for c in key], at["start"].cast("long") == kept["_at"]], "left_semi")
+
+
+def marker_tagging(hits: DataFrame, relations: DataFrame, key: list[str]) -> DataFrame:
+    """Connectives: of the hits those that a leftmost-longest scan keeps; ambiguous forms join their relations and ids."""
     merged = relations.groupBy(F.lower("form").alias("_form")).agg(
         F.array_join(F.sort_array(F.collect_set("relation")), "/").alias("relations"), F.array_join(F.sort_array(F.collect_set("id")), "/").alias("ids")
     )
     own = hits.select(*key, "start", "end", F.lower("form").alias("_form")).distinct()
-    at = own.groupBy(*key, "start").agg(F.max("end").alias("end"), F.max_by("_form", "end").alias("_form"))
-    covered = F.max("end").over(Window.partitionBy(*key).orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
-    free = at.withColumn("_to", covered).where(F.coalesce(F.col("_to") <= F.col("start"), F.lit(True))).drop("_to")
-    return free.join(merged, "_form").withColumnRenamed("_form", "form")
+    return leftmost_longest(own, key).join(merged, "_form").withColumnRenamed("_form", "form")
 
 
 def marker_agreement(one: DataFrame, two: DataFrame, key: list[str], plain: bool = False) -> DataFrame:

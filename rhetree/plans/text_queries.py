@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rhetree.operators import text as X
@@ -222,6 +223,31 @@ def x18_marker_tagging(b):
     return X.marker_tagging(hits(b), relations, ["grouping", "unit_id"])
 
 
+#: Hits of two and three words that overlap in many ways, and what a scan of each unit keeps of them.
+SCANNED = """WITH RECURSIVE w AS (SELECT grouping, unit_id, tok_ix, tok_start, form, lead(form) OVER u AS f1, lead(form, 2) OVER u AS f2, lead(tok_start + length(form)) OVER u AS e1,
+        lead(tok_start + length(form), 2) OVER u AS e2 FROM tagged WINDOW u AS (PARTITION BY unit_id ORDER BY tok_ix)),
+    h AS (SELECT grouping, unit_id, tok_start AS start, e1 AS stop, lower(concat(form, ' ', f1)) AS form, 'r2' AS relations FROM w WHERE e1 IS NOT NULL AND (tok_ix * 7 + length(form)) % 3 = 0
+          UNION ALL SELECT grouping, unit_id, tok_start, e2, lower(concat(form, ' ', f1, ' ', f2)), 'r3' FROM w WHERE e2 IS NOT NULL AND (tok_ix * 5 + length(form)) % 4 = 0),
+    l AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY unit_id, start ORDER BY stop DESC) = 1),
+    s AS (SELECT unit_id, min(start) AS at FROM l GROUP BY 1
+          UNION ALL SELECT s.unit_id, min(n.start) FROM s JOIN l c ON c.unit_id = s.unit_id AND c.start = s.at JOIN l n ON n.unit_id = s.unit_id AND n.start >= c.stop GROUP BY s.unit_id)
+    SELECT l.grouping, l.unit_id, l.start, l.stop AS "end", l.form, l.relations, l.form AS ids FROM l JOIN s ON s.unit_id = l.unit_id AND s.at = l.start"""
+
+
+@query(SCANNED)
+def x18_marker_tagging_overlapping(b):
+    unit = Window.partitionBy("unit_id").orderBy("tok_ix")
+    ends = F.col("tok_start") + F.length("form")
+    hits = None
+    for more, chosen in ((1, (F.col("tok_ix") * 7 + F.length("form")) % 3 == 0), (2, (F.col("tok_ix") * 5 + F.length("form")) % 4 == 0)):
+        form = F.concat_ws(" ", "form", *[F.lead("form", i).over(unit) for i in range(1, more + 1)])
+        rows = b.tagged.select("grouping", "unit_id", F.col("tok_start").alias("start"), F.lead(ends, more).over(unit).alias("end"), form.alias("form"), chosen.alias("chosen"))
+        rows = rows.where("end IS NOT NULL AND chosen").drop("chosen")
+        hits = rows if hits is None else hits.unionByName(rows)
+    forms = hits.select("form", F.concat(F.lit("r"), F.size(F.split("form", " "))).alias("relation"), F.lower("form").alias("id")).distinct()
+    return X.marker_tagging(hits, forms, ["grouping", "unit_id"])
+
+
 SECOND = "CASE WHEN ppos <> CASE WHEN cpos = 1 THEN 0 ELSE cpos - 1 - (conv_id + 1 + cpos) % least(cpos - 1, 3) END THEN NULL WHEN ppos = 0 THEN 'altlex' ELSE concat('r', (conv_id + ppos + cpos) % 3, ':x') END"
 
 

@@ -1,5 +1,7 @@
 """Hand-made cases of scores, statistics, learners and invariants."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -133,6 +135,33 @@ def test_markers_longest_first(spark):
     assert rows == {"even if": "concession", "but": "contrast/result"}
 
 
+def scanned(hits):
+    """Starts of what a scan from left to right keeps, the longest hit at a place."""
+    kept, at = [], 0
+    for start in sorted({s for s, _ in hits}):
+        if start >= at:
+            kept.append(start)
+            at = max(e for s, e in hits if s == start)
+    return kept
+
+
+def test_a_dropped_hit_drops_no_other(spark):
+    """as long as if only then: the second of three overlapping hits goes, the third stays."""
+    hits = spark.createDataFrame([("d", 0, 10, "as long as"), ("d", 8, 13, "as if"), ("d", 11, 18, "if only")], "doc string, start int, end int, form string")
+    rel = hits.select("form", F.lit("r").alias("relation"), F.lit("i").alias("id"))
+    assert sorted(r.form for r in X.marker_tagging(hits, rel, ["doc"]).collect()) == ["as long as", "if only"]
+
+
+def test_leftmost_longest_against_a_scan(spark):
+    rng = random.Random(6)
+    rows = [(f"d{d}", s, s + rng.randrange(1, 9)) for d in range(40) for s in (rng.randrange(60) for _ in range(rng.randrange(1, 40)))]
+    got = X.leftmost_longest(spark.createDataFrame(rows, "doc string, start int, end int"), ["doc"]).collect()
+    by = {}
+    for d, s, e in rows:
+        by.setdefault(d, []).append((s, e))
+    assert sorted((r.doc, r.start, r.end) for r in got) == sorted((d, s, max(e for x, e in own if x == s)) for d, own in by.items() for s in scanned(own))
+
+
 def test_embedded_units_keep_their_tokens(spark):
     units = spark.createDataFrame([("g", "a", 0, 100), ("g", "b", 10, 20)], "grouping string, id string, span_start int, span_end int")
     spans = spark.createDataFrame([("g", 12, 15), ("g", 30, 35)], "grouping string, start int, end int")
