@@ -31,9 +31,11 @@ from .shingles import MIX, MIX2, SHINGLE, common_counts, least_windows, minhashe
 from .splicing import spliced
 
 #: Words of a window, and windows in a row of which the least is kept.
-WINDOW = 18
-#: Words covered in a row from which they count as a repeated passage.
-MIN_WORDS = 20
+WINDOW = 13
+#: Words covered in a row from which they count as a repeated passage: from so many on, equal passages always share a kept window.
+MIN_WORDS = 2 * WINDOW - 1
+#: Bytes of text that a task works on at once.
+AT_ONCE = 1_000_000
 SIMILARITY = 0.8
 RECALL = 0.98
 #: Distinct lines up to which a band's bucket gives pairs; lines and shingles of a block of a larger one.
@@ -43,7 +45,7 @@ BLOCK_SHINGLES = 1_000_000
 #: Kinds of a window's neighbourhood that are compared in one task.
 BUCKET_KINDS = 50_000
 SEED = 9
-PARAGRAPHS = "at int, n_words int, is_line boolean, start int, end int, pid long, bands array<long>"
+PARAGRAPHS = "at int, n_words int, is_line boolean, start int, end int, pid long, check long, bands array<long>"
 OCCURRENCE = ("doc_id", "text_key", "at")
 
 
@@ -56,10 +58,11 @@ def bands_for(similarity: float = SIMILARITY, recall: float = RECALL, rows: int
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, at, n_words, is_line, start, end, pid, bands of lines with a word and of kept windows.
+    """doc_id, text_key, at, n_words, is_line, start, end, pid, check, bands of lines with a word and of kept windows.
 
     `at` is the place of the first word among the text's words; start and end are code
-    points, of lines only; pid is a 64-bit hash of the words. Of equal lines a task works
+    points, of lines only; pid and check are two 64-bit hashes of the words: rows are
+    brought together by pid, and count as equal if both are. Of equal lines a task works
     on together, only the first has bands.
     """
     rows, n_bands = 2, bands_for()
@@ -67,7 +70,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         factors = multipliers(rows * n_bands, SEED)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", AT_ONCE):
             words, text, line, start, end = words_at(batch.column("text"))
             begins = np.ones(len(words), bool)
             begins[1:] = line[1:] != line[:-1]
@@ -79,12 +82,17 @@ def paragraphs(docs: DataFrame) -> DataFrame:
             pid = np.add.reduceat(words * power[np.arange(len(words)) - first[own]], first) if len(first) else np.zeros(0, np.uint64)
             pid = (pid ^ (pid >> np.uint64(32))) * MIX2
             pid ^= pid >> np.uint64(29)
+            check = np.add.reduceat((words ^ (words >> np.uint64(23))) * (power * MIX2)[np.arange(len(words)) - first[own]], first) if len(first) else pid
             low = minhashes(*shingle_hashes(words, size), factors).astype(np.uint64)
             band = np.arange(n_bands, dtype=np.uint64) + np.uint64(1)
             bands = ((low[:, ::2] << np.uint64(32)) | low[:, 1::2]) * (MIX + band * np.uint64(2)) + band
             bands ^= bands >> np.uint64(31)
             _, leads = np.unique(pid, return_index=True)
             kept, window = least_windows(words, text, WINDOW)
+            check_window = np.zeros(len(kept), np.uint64)
+            for k in range(WINDOW):
+                check_window = (check_window ^ words[kept + k]) * MIX2
+                check_window ^= check_window >> np.uint64(32)
             many = np.zeros(len(pid) + len(kept), np.int64)
             many[leads] = n_bands
             offsets = pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32))
@@ -102,9 +110,10 @@ def paragraphs(docs: DataFrame) -> DataFrame:
                     pa.array(start[at].astype(np.int32), mask=none),
                     pa.array(end[last].astype(np.int32), mask=none),
                     pa.array(np.concatenate([pid, window]).view(np.int64)),
+                    pa.array(np.concatenate([check, check_window]).view(np.int64)),
                     pa.ListArray.from_arrays(offsets, pa.array(bands[many[: len(pid)] > 0].ravel().view(np.int64))),
                 ],
-                ["doc_id", "text_key", "at", "n_words", "is_line", "start", "end", "pid", "bands"],
+                ["doc_id", "text_key", "at", "n_words", "is_line", "start", "end", "pid", "check", "bands"],
             )
 
     slim = docs.select("doc_id", text_of().alias("text"), F.xxhash64("text").alias("text_key"))
@@ -195,13 +204,16 @@ def _copied_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     links = components(paragraph_links(docs, lines), "paragraph-links")
     linked = links.unionAll(links.select(F.col("component").alias("node"), "component")).distinct()
     at = F.struct(*OCCURRENCE)
-    kinds = lines.groupBy("pid").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count(F.lit(1)).alias("n"))
+    kinds = lines.groupBy("pid").agg(F.min(F.struct(*OCCURRENCE, "check")).alias("f"), F.max(at).alias("last"), F.count(F.lit(1)).alias("n"))
+    kinds = kinds.select("pid", F.struct(*[F.col(f"f.{c}") for c in OCCURRENCE]).alias("first"), F.col("f.check").alias("_check"), "last", "n")
     kinds = kinds.join(linked.withColumnRenamed("node", "pid"), "pid", "left")
     kinds = kinds.where("first <> last OR component IS NOT NULL").withColumn("class_id", F.coalesce("component", "pid"))
-    kinds = written(kinds.select("pid", "class_id", "first", "n"), "copied")
+    kinds = written(kinds.select("pid", "class_id", "first", "_check", "n"), "copied")
     least = kinds.groupBy("class_id").agg(F.min("first").alias("stays"), F.count(F.lit(1)).alias("n_kinds"))
     kinds = spread_join(kinds.drop("first"), least, "class_id", "n_kinds", kinds.count())
-    found = spread_join(lines.drop("bands"), written(kinds, "classed"), "pid", "n", lines.count()).withColumn("removed", ~at.eqNullSafe(F.col("stays")))
+    found = spread_join(lines.drop("bands"), written(kinds, "classed"), "pid", "n", lines.count())
+    # lines that share one hash with another only are none of its copies
+    found = found.where("check = _check").withColumn("removed", ~at.eqNullSafe(F.col("stays")))
     lo, hi = F.col("at"), F.col("at") + F.col("n_words")
     gone = [F.when(F.col("removed"), c) for c in (lo, hi)]
     return found.select("doc_id", "text_key", lo.alias("lo"), hi.alias("hi"), gone[0].alias("gone_lo"), gone[1].alias("gone_hi"), "class_id")
@@ -215,10 +227,11 @@ def _later(first: str, words: Column) -> Column:
 
 def _copied_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """The same of windows that have copies, each extended as far as a copy goes on (exactly)."""
-    at, slim = F.struct(*OCCURRENCE), windows.select(*OCCURRENCE, "pid")
-    ends = slim.groupBy("pid").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count(F.lit(1)).alias("n"))
-    ends = written(ends.where("first <> last").select("pid", "first", "n"), "window-kinds")
-    hits = spread_join(slim, ends, "pid", "n", slim.count())
+    at, slim = F.struct(*OCCURRENCE), windows.select(*OCCURRENCE, "pid", "check")
+    ends = slim.groupBy("pid").agg(F.min(F.struct(*OCCURRENCE, "check")).alias("f"), F.max(at).alias("last"), F.count(F.lit(1)).alias("n"))
+    ends = ends.select("pid", F.struct(*[F.col(f"f.{c}") for c in OCCURRENCE]).alias("first"), F.col("f.check").alias("_check"), "last", "n")
+    ends = written(ends.where("first <> last").select("pid", "first", "_check", "n"), "window-kinds")
+    hits = spread_join(slim, ends, "pid", "n", slim.count()).where("check = _check").drop("check", "_check")
     hits = hits.withColumn("removed", _later("first", F.lit(WINDOW))).drop("first").distinct()
     chain = Window.partitionBy("doc_id", "text_key", "removed").orderBy("at")
     gap = lambda c: F.coalesce(c > WINDOW, F.lit(True))
@@ -258,13 +271,13 @@ def _flat(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, pa.StructArra
 
 
 def _contexts(docs: DataFrame, open_: DataFrame) -> DataFrame:
-    """(doc_id, text_key, at, pid, is_left, near): near has 32-bit hashes of the words beside a window, the nearest first."""
+    """(doc_id, text_key, at, pid, is_left, near): near has the 64-bit hashes of the words beside a window, the nearest first."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", AT_ONCE):
             words, text, *_ = words_at(batch.column("text"))
-            short = (words >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            each = words.view(np.int64)
             row, rest = _flat(batch, "open")
             at = rest.field("at").to_numpy(zero_copy_only=False)
             begin, stop = np.searchsorted(text, row), np.searchsorted(text, row, "right")
@@ -279,14 +292,14 @@ def _contexts(docs: DataFrame, open_: DataFrame) -> DataFrame:
                     [
                         batch.column("doc_id").take(take), batch.column("text_key").take(take), pa.array(at[own].astype(np.int32)),
                         rest.field("pid").take(pa.array(own)), pa.array(np.full(len(own), is_left)),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(short[place[inside]])),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(each[place[inside]])),
                     ],
                     ["doc_id", "text_key", "at", "pid", "is_left", "near"],
                 )
 
     rows = _with_texts(docs, open_, "open")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(tidied(look), f"doc_id {kind}, text_key long, at int, pid long, is_left boolean, near array<int>")
+    return rows.mapInArrow(tidied(look), f"doc_id {kind}, text_key long, at int, pid long, is_left boolean, near array<long>")
 
 
 LEADS = pa.schema([("kind", pa.int64()), ("step", pa.int32()), ("lead", pa.int64()), ("n", pa.int64())])
@@ -305,7 +318,7 @@ def _bucket_leads(group: pa.Table) -> pa.Table:
         live = live[size[live] >= step]
         if not len(live):
             break
-        prefix[live] = (prefix[live] ^ values[begin[live] + step - 1].view(np.uint32)) * MIX
+        prefix[live] = (prefix[live] ^ values[begin[live] + step - 1].view(np.uint64)) * MIX
         prefix[live] ^= prefix[live] >> np.uint64(31)
         # rows are in order of their first occurrence, so that the first of a prefix leads
         _, lead, own = np.unique(prefix[live], return_index=True, return_inverse=True)
@@ -365,7 +378,7 @@ def _stretches(docs: DataFrame, covers: DataFrame, min_words: int) -> DataFrame:
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", AT_ONCE):
             words, text, _, start, end = words_at(batch.column("text"))
             row, rest = _flat(batch, "covers")
             n, begin = len(words), np.searchsorted(text, row)

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from rhetree.llm import shingles, substring_dedup
 
@@ -86,10 +87,10 @@ def test_kinds_of_a_window_are_led_by_the_first_occurrence_that_goes_on_alike(sp
     rng = random.Random(3)
     rows = []
     for i in range(300):
-        text, size = rng.randrange(60), rng.choice((2, 5, 17))
+        text, size = rng.randrange(60), rng.choice((2, 5, substring_dedup.WINDOW - 1))
         rows.append((text, text % 7, i, rng.randrange(3), rng.random() < 0.5, [rng.randrange(2) for _ in range(size)]))
     rows += [(100, 1, 0, 1, True, []), (None, 2, 1, 1, True, [0, 1])]
-    table = spark.createDataFrame(rows, "doc_id long, text_key long, at int, pid long, is_left boolean, near array<int>").cache()
+    table = spark.createDataFrame(rows, "doc_id long, text_key long, at int, pid long, is_left boolean, near array<long>").cache()
 
     def alike(x, y):
         return next((k for k, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
@@ -103,7 +104,7 @@ def test_kinds_of_a_window_are_led_by_the_first_occurrence_that_goes_on_alike(sp
         for k, o in others:
             if key(o) < key(r):
                 same = o[0] == r[0] and o[1] == r[1]
-                gone = max(gone, k if not same or r[2] - o[2] >= k + 18 else min(k, max(r[2] - o[2] - 18, 0)))
+                gone = max(gone, k if not same or r[2] - o[2] >= k + substring_dedup.WINDOW else min(k, max(r[2] - o[2] - substring_dedup.WINDOW, 0)))
         want[key(r)[0], r[1], r[2], r[4]] = (step, gone)
     for bound in (50_000, 10):
         monkeypatch.setattr(substring_dedup, "BUCKET_KINDS", bound)
@@ -120,3 +121,35 @@ def test_kinds_of_a_window_are_led_by_the_first_occurrence_that_goes_on_alike(sp
             texts.setdefault((r[0], r[1]), []).append(r[2])
         alone = [k for k in want if len(texts[(None if k[0] == -1 else k[0], k[1])]) == 1]
         assert alone and all(found.get(k, (0, 0))[1] == want[k][1] for k in alone)
+
+
+def test_every_exact_passage_of_the_least_length_is_found(spark):
+    """Exact passages in mid-line, 40 of each length: all from MIN_WORDS on are removed, to their last word, and nothing else is."""
+    rng = random.Random(21)
+    lengths = [n for n in (*range(20, substring_dedup.MIN_WORDS + 11), 40, 50, 60) for _ in range(40)]
+    texts, passages = [], []
+    for i, n in enumerate(lengths):
+        passage = prose(n, rng)
+        for k in range(2):
+            texts.append(" ".join([*prose(rng.randrange(15, 40), rng), f"l{i}{k}", *passage, f"r{i}{k}", *prose(rng.randrange(15, 40), rng)]))
+        passages.append(" ".join(passage))
+    found = gone(spark, texts)
+    for i, n in enumerate(lengths):
+        assert not found[2 * i].any()
+        text = texts[2 * i + 1]
+        want = np.zeros(len(text), bool)
+        if n >= substring_dedup.MIN_WORDS:
+            at = text.index(passages[i])
+            want[at : at + len(passages[i])] = True
+        assert (found[2 * i + 1] == want).all(), n
+
+
+def test_a_clash_of_one_hash_removes_nothing(spark, monkeypatch):
+    """Two lines, and two windows, that share one of their two hashes only are no copies."""
+    plain = substring_dedup.paragraphs
+    rng = random.Random(5)
+    texts = [" ".join(prose(60, rng)) for _ in range(3)]
+    texts.append(texts[2])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(substring_dedup, "paragraphs", lambda docs: plain(docs).withColumn("pid", F.when(F.col("doc_id") < 2, F.lit(77)).otherwise(F.col("pid"))))
+    assert {r.doc_id for r in substring_dedup.substring_digest(docs).where("removed").collect()} == {3}
