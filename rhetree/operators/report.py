@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -140,7 +141,7 @@ def confidence_interval(scores: DataFrame, value: str, level: float = 0.95) -> t
 
 
 #: Ranges that values are dealt into before they are ranked.
-RANGES = 256
+RANGES = 64
 
 
 def ranked_values(rows: DataFrame, by: Sequence[str], value: str, **counts: Column) -> DataFrame:
@@ -154,8 +155,8 @@ def ranked_values(rows: DataFrame, by: Sequence[str], value: str, **counts: Colu
     each = rows.where(F.col(value).isNotNull()).groupBy(*own, value).agg(F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in counts.items()])
     steps = [i / RANGES for i in range(1, RANGES)]
     cuts = each.agg(F.percentile_approx(value, steps, 10 * RANGES)).first()[0] or []
-    cuts = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array(F.lit(0.0))
-    each = each.withColumn("_range", F.size(F.filter(cuts, lambda c: c <= F.col(value))))
+    over = [(F.col(value) >= c).cast("int") for c in sorted(set(cuts))]
+    each = each.withColumn("_range", reduce(Column.__add__, over, F.lit(0)))
     total = each.groupBy(*own, "_range").agg(F.sum("n").alias("_n"))
     # RANGES rows a group at most
     before = Window.partitionBy(*own).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
