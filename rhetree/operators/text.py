@@ -213,14 +213,21 @@ def neighbour_score(words: DataFrame, neighbours: DataFrame) -> DataFrame:
     return words.join(neighbours, ["word", "neighbour"], "left").fillna(0.0, ["score"])
 
 
-def _best_matches(pairs: DataFrame, lemmas: DataFrame, neighbours: DataFrame, one: str, two: str, how: str) -> DataFrame:
+def _best_matches(lemmas: DataFrame, neighbours: DataFrame, one: str, two: str, matched_only: bool) -> DataFrame:
+    """(grouping, one, two, from_one): the mean best score of one's lemmas among two's, for units that have any match.
+
+    A lemma's neighbours are looked up once a unit, and meet the other units' lemmas by
+    (grouping, neighbour): only matches become rows, and what has none counts by number.
+    """
     own = lemmas.select("grouping", F.col("unit_id").alias(one), F.col("lemma").alias("word")).distinct()
     other = lemmas.select("grouping", F.col("unit_id").alias(two), F.col("lemma").alias("neighbour")).distinct()
-    words = pairs.select("grouping", "parent", "child").join(own, ["grouping", one])
-    hits = words.join(other, ["grouping", two]).join(neighbours, ["word", "neighbour"])
-    best = hits.groupBy("grouping", "parent", "child", "word").agg(F.max("score").alias("score"))
-    every = words.join(best, ["grouping", "parent", "child", "word"], how).fillna(0.0, ["score"])
-    return every.groupBy("grouping", "parent", "child").agg(F.avg("score").alias(f"from_{one}"))
+    hits = own.join(neighbours, "word").join(other, ["grouping", "neighbour"]).where(F.col(one) != F.col(two))
+    best = hits.groupBy("grouping", one, two, "word").agg(F.max("score").alias("score"))
+    sums = best.groupBy("grouping", one, two).agg(F.sum("score").alias("_sum"), F.count(F.lit(1)).alias("_n"))
+    if not matched_only:
+        n = own.groupBy("grouping", one).agg(F.count(F.lit(1)).alias("_words"))
+        sums = sums.join(n, ["grouping", one]).withColumn("_n", F.col("_words")).drop("_words")
+    return sums.select("grouping", one, two, (F.col("_sum") / F.col("_n")).alias(f"from_{one}"))
 
 
 def set_similarity(pairs: DataFrame, lemmas: DataFrame, neighbours: DataFrame, matched_only: bool = False) -> DataFrame:
@@ -228,10 +235,9 @@ def set_similarity(pairs: DataFrame, lemmas: DataFrame, neighbours: DataFrame, m
 
     `matched_only` averages over the lemmas that have a match at all (the older form).
     """
-    how = "inner" if matched_only else "left"
     out = pairs
     for one, two in (("parent", "child"), ("child", "parent")):
-        out = out.join(_best_matches(pairs, lemmas, neighbours, one, two, how), ["grouping", "parent", "child"], "left")
+        out = out.join(_best_matches(lemmas, neighbours, one, two, matched_only), ["grouping", "parent", "child"], "left")
     total = (F.coalesce("from_parent", F.lit(0.0)) + F.coalesce("from_child", F.lit(0.0))) / 2
     return out.withColumn("similarity", total).drop("from_parent", "from_child")
 

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rhetree.functions.columns import ROOT
@@ -12,14 +11,30 @@ from rhetree.operators.pairs import link_units, unknown_ids, validate_corpus
 UNIT_COLUMNS = ("id", "text", "grouping", "subgrouping", "span_start", "span_end")
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, value): lines of a text file or folder, numbered from 0 in file order.
+def numbered(scan: DataFrame, keep: Column | None = None, number: str = "line_no") -> DataFrame:
+    """Rows of a file scan (all columns) with their place, from 0, by file name and place in the file.
 
-    Spark has no line numbers; they are given once, at ingest. Write the result as a
-    table and keep the numbers.
+    A scan reads a file block by block and a block's rows in order. Rows that `keep` lets
+    pass are counted per block, the counts of the blocks before are summed up, and a row
+    adds its place in its own block: no row moves for its number, and what is ordered as
+    a whole are the blocks. The numbers hold as long as the files do.
     """
-    lines = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
-    return spark.createDataFrame(lines, "line_no long, value string")
+    own = scan.columns
+    at = ["_file", "_block"]
+    rows = scan.select(*own, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    rows = (rows if keep is None else rows.where(keep)).withColumn("_id", F.monotonically_increasing_id())
+    blocks = rows.groupBy(*at).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    files = blocks.groupBy("_file").agg(F.sum("_n").alias("_n"))
+    files = files.select("_file", F.coalesce(F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    ahead = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_ahead", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).join(files, "_file")
+    place = F.col("_before") + F.col("_ahead") + F.col("_id") - F.col("_first")
+    return rows.join(blocks.drop("_n"), at).select(place.cast("long").alias(number), *own)
+
+
+def numbered_lines(spark: SparkSession, path: str, keep: Column | None = None) -> DataFrame:
+    """(line_no, value): lines of a text file or folder, those that `keep` lets pass numbered from 0 in file order."""
+    return numbered(spark.read.text(path), keep)
 
 
 def read_units(spark: SparkSession, path: str) -> DataFrame:
@@ -38,37 +53,40 @@ def read_units(spark: SparkSession, path: str) -> DataFrame:
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     """(pair_ix, parent, child) from lines of two or three columns; the third is left out."""
-    rows = numbered_lines(spark, path).where("trim(value) <> ''").withColumn("c", F.split("value", "\t"))
+    rows = numbered_lines(spark, path, F.trim("value") != "").withColumn("c", F.split("value", "\t"))
     return rows.select(F.col("line_no").alias("pair_ix"), F.col("c")[0].alias("parent"), F.col("c")[1].alias("child"))
 
 
 def read_label_list(spark: SparkSession, path: str) -> list[str]:
     """__UNK__ and the labels of the first line `# labels: ...`."""
-    first = spark.read.text(path).first()
+    first = numbered_lines(spark, path).where("line_no = 0").select("value").first()
     line = first[0] if first else ""
     mark = "# labels:"
     return ["__UNK__", *(line[len(mark):].split() if line.startswith(mark) else [])]
 
 
 def read_features(spark: SparkSession, path: str, n: int) -> DataFrame:
-    """(pair_ix, target, features) from lines `label index:value ...`, indices from 1 up to n.
+    """(pair_ix, target, features) from lines `label index:value ...`, indices from 1 up to n; features are sparse vectors.
 
     Lines that begin with # are left out before numbering, so that numbers are those of
     the pairs; a line may hold a label alone.
     """
-    lines = spark.read.text(path).where(~F.col("value").startswith("#") & (F.trim("value") != ""))
-    rows = spark.createDataFrame(lines.rdd.zipWithIndex().map(lambda x: (x[1], x[0][0])), "pair_ix long, value string")
-    parts = rows.withColumn("p", F.split(F.trim("value"), r"\s+"))
-    items = F.transform(F.slice("p", F.lit(2), F.greatest(F.size("p") - 1, F.lit(0))), lambda x: F.split(x, ":"))
-    filled = F.map_from_entries(F.transform(items, lambda x: F.struct(x[0].cast("int").alias("k"), x[1].cast("double").alias("v"))))
-    dense = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)))
-    parts = parts.withColumn("m", filled).withColumn("target", F.col("p")[0].cast("double").cast("int"))
-    return parts.select("pair_ix", "target", array_to_vector(dense).alias("features"))
+    rows = numbered(spark.read.format("libsvm").option("numFeatures", str(n)).load(path), number="pair_ix")
+    return rows.select("pair_ix", F.col("label").cast("int").alias("target"), "features")
+
+
+def read_feature_items(spark: SparkSession, path: str) -> DataFrame:
+    """(pair_ix, target, items): the same with features as an array of (ix from 0, value), of no width, for learners over tables."""
+    keep = ~F.col("value").startswith("#") & (F.trim("value") != "")
+    parts = numbered_lines(spark, path, keep).withColumn("p", F.split(F.trim("value"), r"\s+"))
+    pair = lambda x: F.struct((F.split(x, ":")[0].cast("long") - 1).alias("ix"), F.split(x, ":")[1].cast("double").alias("value"))
+    items = F.transform(F.slice("p", F.lit(2), F.greatest(F.size("p") - 1, F.lit(0))), pair)
+    return parts.select(F.col("line_no").alias("pair_ix"), F.col("p")[0].cast("double").cast("int").alias("target"), items.alias("items"))
 
 
 def read_vocab(spark: SparkSession, path: str) -> DataFrame:
     """(feature_ix, name): the first column of each line."""
-    rows = numbered_lines(spark, path).where("value <> ''")
+    rows = numbered_lines(spark, path, F.col("value") != "")
     return rows.select(F.col("line_no").cast("int").alias("feature_ix"), F.split("value", "\t")[0].alias("name"))
 
 
@@ -102,7 +120,7 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_folds(folds: DataFrame, path: str) -> None:
-    """One JSON object from groupings to folds."""
+    """One JSON object from groupings to folds: as the format is a single object, all groupings pass through one row."""
     entries = F.sort_array(F.collect_list(F.struct("grouping", "fold")))
     folds.agg(F.to_json(F.map_from_entries(entries)).alias("value")).write.text(path)
 

@@ -114,3 +114,33 @@ def test_parsed_tokens(spark, tmp_path):
 def test_root_rows(spark, corpus):
     rows = S.with_root(S.read_units(spark, str(corpus / "units")))
     assert rows.where(F.col("id") == "ROOT").count() == 2
+
+
+def test_line_numbers_over_many_files_and_blocks(spark, tmp_path):
+    """Files of all sizes, empty ones among them, read in small blocks: numbers follow the files' names and the lines in them."""
+    import random
+
+    rng, want = random.Random(4), []
+    for k in range(12):
+        lines = [f"{k}-{i} " + "é" * rng.randrange(60) if rng.random() < 0.9 else "#" for i in range(rng.choice([0, 1, 7, 400]))]
+        (tmp_path / f"f{k:02}.txt").write_text("".join(f"{x}\n" for x in lines))
+        want += lines
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("700b", "4k", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = {r.line_no: r.value for r in S.numbered_lines(spark, str(tmp_path)).collect()}
+            assert [got[i] for i in range(len(want))] == want and len(got) == len(want)
+            kept = {r.line_no: r.value for r in S.numbered_lines(spark, str(tmp_path), F.col("value") != "#").collect()}
+            assert [kept[i] for i in range(len(kept))] == [x for x in want if x != "#"]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_sparse_features(spark, tmp_path):
+    (tmp_path / "f").write_text("# labels: a b\n1 2:0.5 900000:3\n2\n0 1:1\n")
+    rows = {r.pair_ix: (r.target, r.features) for r in S.read_features(spark, str(tmp_path / "f"), 1_000_000).collect()}
+    assert [rows[i][0] for i in range(3)] == [1, 2, 0] and rows[0][1].indices.tolist() == [1, 899_999] and rows[1][1].numNonzeros() == 0 and rows[2][1].size == 1_000_000
+    items = {r.pair_ix: [tuple(x) for x in r["items"]] for r in S.read_feature_items(spark, str(tmp_path / "f")).collect()}
+    assert items == {0: [(1, 0.5), (899_999, 3.0)], 1: [], 2: [(0, 1.0)]}
+    assert S.read_label_list(spark, str(tmp_path / "f")) == ["__UNK__", "a", "b"]
