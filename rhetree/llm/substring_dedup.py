@@ -11,7 +11,10 @@ the shared windows a match is extended word by word, as far as it is exact; the
 ends lie within WINDOW words of a shared window.
 
 What copied lines and windows cover without a gap is a repeated passage if it has at least
-MIN_WORDS words; what later occurrences cover is removed.
+MIN_WORDS words; what later occurrences cover is removed. Copied lines are found from that
+length on; passages within lines for certain from CERTAIN_WORDS on, shorter ones if they
+hold a kept window. Windows short enough to make that certain from MIN_WORDS on would
+match in so many common phrases that the tables of matches outgrow their budget.
 """
 
 from __future__ import annotations
@@ -31,9 +34,11 @@ from .shingles import MIX, MIX2, SHINGLE, common_counts, least_windows, minhashe
 from .splicing import spliced
 
 #: Words of a window, and windows in a row of which the least is kept.
-WINDOW = 13
-#: Words covered in a row from which they count as a repeated passage: from so many on, equal passages always share a kept window.
-MIN_WORDS = 2 * WINDOW - 1
+WINDOW = 18
+#: Words covered in a row from which they count as a repeated passage.
+MIN_WORDS = 20
+#: Words from which on equal passages always share a kept window, wherever they stand.
+CERTAIN_WORDS = 2 * WINDOW - 1
 #: Bytes of text that a task works on at once.
 AT_ONCE = 1_000_000
 SIMILARITY = 0.8
