@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.util import MLReadable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import mixing
 from .pairs import attached_only, for_attachment
 
 #: Learners by name; each takes rows with features (a vector) and label (0 to k - 1).
@@ -111,106 +111,26 @@ def margin(long_rows: DataFrame, weights: DataFrame, by: Sequence[str] = ("group
     return scored.withColumn("sign", F.when(F.col("score") > 0, 1).otherwise(-1))
 
 
-def _step(kind: str, y: float, score: float, norm: float, c: float, eta: float) -> float:
-    """How far a row moves the weights: perceptron, pa (hinge, capped at c) or pa2 (softened by c)."""
-    if kind == "perceptron":
-        return eta * y if y * score <= 0 else 0.0
-    loss = max(0.0, 1 - y * score)
-    if not loss or not norm:
-        return 0.0
-    return y * (min(c, loss / norm) if kind == "pa" else loss / (norm + 1 / (2 * c)))
+def sparse_items(features: Column) -> Column:
+    """The items (ix, value) of an array of doubles, zeros left out."""
+    each = F.transform(features, lambda v, i: F.struct(i.cast("long").alias("ix"), v.cast("double").alias("value")))
+    return F.filter(each, lambda x: x["value"] != 0)
+
+
+def weight_vector(weights: DataFrame, n_features: int) -> np.ndarray:
+    """The weights of a small feature space as an array; for wide ones use the table with `margin`."""
+    out = np.zeros(n_features)
+    for r in weights.where(F.col("feature_ix") < n_features).collect():
+        out[r["feature_ix"]] = r["w"]
+    return out
 
 
 def train_linear(
     rows: DataFrame, n_features: int, kind: str = "perceptron", epochs: int = 5, c: float = 1.0, eta: float = 1.0, average: bool = True
 ) -> np.ndarray:
-    """Weights of a +-1 model by iterative parameter mixing.
-
-    Rows have features (an array of doubles), y (+1 or -1) and pair_ix. Each epoch every partition runs
-    over its rows in order from the common weights; the partitions' weights are then
-    averaged. With one partition this is the plain online algorithm. `average` returns
-    the sum of the weights over all steps.
-    """
-    w, total = np.zeros(n_features), np.zeros(n_features)
-    for _ in range(epochs):
-        start = w
-
-        def run(frames: Iterator[pd.DataFrame], start=start) -> Iterator[pd.DataFrame]:
-            own, steps, seen = start.copy(), np.zeros_like(start), 0
-            for frame in frames:
-                for x, y in zip(frame["features"], frame["y"], strict=True):
-                    x = np.asarray(x, float)
-                    own = own + _step(kind, y, float(x @ own), float(x @ x), c, eta) * x
-                    steps += own
-                    seen += 1
-            if seen:
-                yield pd.DataFrame({"w": [own.tolist()], "total": [steps.tolist()]})
-
-        parts = rows.select("features", "y").mapInPandas(run, "w array<double>, total array<double>").collect()
-        if not parts:
-            return w
-        w = np.mean([p["w"] for p in parts], axis=0)
-        total += np.mean([p["total"] for p in parts], axis=0)
-    return total if average else w
-
-
-def train_structured(
-    pairs: DataFrame, n_features: int, decode: Callable[[pd.DataFrame, np.ndarray], np.ndarray], kind: str = "perceptron",
-    epochs: int = 5, c: float = 1.0, eta: float = 1.0, average: bool = True,
-) -> np.ndarray:
-    """Weights from whole documents: decode with the current weights, move towards the gold graph.
-
-    Rows have grouping, pair_ix, parent, child, gold (boolean) and features. decode(document, scores) gives the
-    chosen rows as booleans. The cost of a prediction is its tree loss; perceptron steps
-    eta, pa and pa2 by the margin that the cost asks for. Documents are whole within
-    partitions; partitions are mixed after each epoch as in train_linear.
-    """
-    dealt = pairs.repartition("grouping").sortWithinPartitions("grouping", "pair_ix")
-    w, total = np.zeros(n_features), np.zeros(n_features)
-    for _ in range(epochs):
-        start = w
-
-        def run(frames: Iterator[pd.DataFrame], start=start) -> Iterator[pd.DataFrame]:
-            own, steps, seen = start.copy(), np.zeros_like(start), 0
-            held = None
-            for frame in [*frames, None]:
-                whole = frame if held is None else held if frame is None else pd.concat([held, frame])
-                if whole is None:
-                    break
-                last = None if frame is None else whole["grouping"].iloc[-1]
-                held = None if frame is None else whole[whole["grouping"] == last]
-                for name, doc in whole.groupby("grouping", sort=False):
-                    if name == last and frame is not None:
-                        continue
-                    own = own + _structured_step(doc, own, decode, kind, c, eta)
-                    steps += own
-                    seen += 1
-            if seen:
-                yield pd.DataFrame({"w": [own.tolist()], "total": [steps.tolist()]})
-
-        parts = dealt.mapInPandas(run, "w array<double>, total array<double>").collect()
-        if not parts:
-            return w
-        w = np.mean([p["w"] for p in parts], axis=0)
-        total += np.mean([p["total"] for p in parts], axis=0)
-    return total if average else w
-
-
-def _structured_step(doc: pd.DataFrame, w: np.ndarray, decode, kind: str, c: float, eta: float) -> np.ndarray:
-    x = np.stack(doc["features"].to_numpy()).astype(float)
-    gold = doc["gold"].to_numpy(bool)
-    pred = decode(doc, x @ w)
-    cost = 1 - (gold & pred).sum() / max(1, gold.sum())
-    if cost <= 0:
-        return np.zeros_like(w)
-    towards = x[gold].sum(axis=0) - x[pred].sum(axis=0)
-    if kind == "perceptron":
-        return eta * towards
-    norm = float(towards @ towards)
-    loss = max(0.0, float(-towards @ w) + cost**0.5)
-    if not norm:
-        return np.zeros_like(w)
-    return (min(c, loss / norm) if kind == "pa" else loss / (norm + 1 / (2 * c))) * towards
+    """`mixing.train_linear` for a few dense features: rows have features (an array of doubles) and y; partitions are the parts."""
+    own = rows.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("seq"), "y", sparse_items(F.col("features")).alias("items"))
+    return weight_vector(mixing.train_linear(own, kind, epochs, c, eta, average), n_features)
 
 
 def cached_model(path: str, kind: type[MLReadable], fit: Callable[[], object]):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .rounds import ancestors, reached
+from .storage import concluded, written
 
 #: Characters of a cell that a range join deals spans into.
 CELL = 256
@@ -342,21 +343,78 @@ def token_offsets(rows: DataFrame, text: str = "text", forms: str = "forms") ->
     return rows.withColumn("spans", F.aggregate(forms, start, step, lambda s: s["out"]))
 
 
-def sample_pairs(units: DataFrame, links: DataFrame, n: int | None, seed: int = 0, linked: bool | None = None, same_document: bool = True) -> DataFrame:
-    """Pairs of units: all linked ones if n is None, else n of them drawn by a seeded hash.
+#: Hex digits of a hash that deal groupings into buckets, in which they are numbered.
+BUCKET_DIGITS = 3
+
+
+def drawn(seed: int, draw: Column, what: int, below: Column) -> Column:
+    """A number from 0 to before `below` for a draw, the same for the same seed in any engine with md5."""
+    name = F.concat_ws(":", F.lit(seed).cast("string"), draw.cast("string"), F.lit(what).cast("string"))
+    return F.conv(F.substring(F.md5(name.cast("binary")), 1, 12), 16, 10).cast("long") % below
+
 
-    `linked` asks for linked (True), unlinked (False) or any pairs.
+def _numbered_documents(units: DataFrame) -> DataFrame:
+    """(doc, grouping, n): groupings numbered from 0 in the order of their md5, with their number of units."""
+    docs = units.groupBy("grouping").agg(F.count(F.lit(1)).alias("n")).withColumn("_h", F.md5(F.col("grouping").cast("binary")))
+    docs = docs.withColumn("_b", F.substring("_h", 1, BUCKET_DIGITS))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # 16 ** BUCKET_DIGITS rows at most
+    sizes = docs.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    place = F.row_number().over(Window.partitionBy("_b").orderBy("_h", "grouping")) - 1
+    return docs.join(F.broadcast(sizes), "_b").select((F.col("_first") + place).cast("long").alias("doc"), "grouping", "n")
+
+
+def sample_pairs(units: DataFrame, links: DataFrame, n: int | None, seed: int = 0, linked: bool | None = None, same_document: bool = True) -> DataFrame:
+    """All linked pairs if n is None; else (draw, grouping, parent, child_grouping, child, linked) of n pairs drawn with replacement.
+
+    A draw takes a document, then a unit of it, then another unit of it, or one of another
+    document (`same_document` False, where nothing is linked). Draws have numbers and are
+    looked up by joins: document number, then (document, unit number); no two units are
+    paired that were not drawn together. The first n draws stay that are not of one unit
+    twice and, if asked for, are linked (True, in either direction) or not (False); draws
+    are made in rounds, as many as the share of good ones asks for.
     """
-    side = lambda x, g: units.select(F.col("grouping").alias(g), F.col("id").alias(x))
-    key = ["grouping", "parent", "child"]
     if n is None:
-        return links.select(*key)
-    a, b = side("parent", "grouping"), side("child", "_g")
-    same = F.col("grouping") == F.col("_g")
-    both = a.join(b, (same if same_document else ~same) & (F.col("parent") != F.col("child"))).drop("_g")
-    if linked is not None:
-        both = both.join(links.select(*key), key, "left_semi" if linked else "left_anti")
-    return both.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)
+        return links.select("grouping", "parent", "child")
+    return concluded(lambda: _sample_pairs(units, links, n, seed, linked, same_document), "sample")
+
+
+def _sample_pairs(units: DataFrame, links: DataFrame, n: int, seed: int, linked: bool | None, same_document: bool) -> DataFrame:
+    spark = units.sparkSession
+    docs = written(_numbered_documents(units), "documents")
+    at = F.row_number().over(Window.partitionBy("grouping").orderBy("span_start", "id")) - 1
+    places = written(units.select("grouping", "id", at.cast("long").alias("place")), "places")
+    ways = written(links.select("grouping", F.least("parent", "child").alias("_low"), F.greatest("parent", "child").alias("_high")).distinct(), "links")
+    n_docs = docs.count()
+    if n_docs < (1 if same_document else 2):
+        raise ValueError("there are no documents to draw from")
+    found, made, kept = None, 0, 0
+    size = max(1000, 2 * n)
+    while kept < n:
+        draw = F.col("draw")
+        rows = spark.range(made, made + size).withColumnRenamed("id", "draw").withColumn("doc", drawn(seed, draw, 0, F.lit(n_docs)))
+        rows = rows.join(docs, "doc")
+        if same_document:
+            rows = rows.withColumns({"child_grouping": F.col("grouping"), "_n": F.col("n")})
+        else:
+            other = drawn(seed, draw, 1, F.lit(n_docs - 1))
+            rows = rows.withColumn("doc", other + (other >= F.col("doc")).cast("long"))
+            rows = rows.join(docs.select("doc", F.col("grouping").alias("child_grouping"), F.col("n").alias("_n")), "doc")
+        rows = rows.select("draw", "grouping", "child_grouping", drawn(seed, draw, 2, F.col("n")).alias("_a"), drawn(seed, draw, 3, F.col("_n")).alias("_b"))
+        one, two = (places.select(F.col("grouping").alias(g), F.col("place").alias(p), F.col("id").alias(u)) for g, p, u in (("grouping", "_a", "parent"), ("child_grouping", "_b", "child")))
+        rows = rows.join(one, ["grouping", "_a"]).join(two, ["child_grouping", "_b"]).where("grouping <> child_grouping OR parent <> child")
+        rows = rows.withColumns({"_low": F.least("parent", "child"), "_high": F.greatest("parent", "child")})
+        rows = rows.join(ways.withColumn("linked", F.col("grouping") == F.col("grouping")), ["grouping", "_low", "_high"], "left")
+        rows = rows.withColumn("linked", F.coalesce("linked", F.lit(False)) & (F.col("grouping") == F.col("child_grouping")))
+        if linked is not None:
+            rows = rows.where(F.col("linked") == linked)
+        rows = written(rows.select("draw", "grouping", "parent", "child_grouping", "child", "linked"), "drawn")
+        found = rows if found is None else found.unionByName(rows)
+        made, kept = made + size, kept + rows.count()
+        if not kept and made > 1_000_000:
+            raise ValueError("no draw gives such a pair")
+        size = int(min(10_000_000, max(1000, 1.2 * (n - kept) * made / max(kept, 0.1))))
+    return found.orderBy("draw").limit(n)
 
 
 def relation_index(relations: DataFrame, units: DataFrame, simple_only: bool = False) -> DataFrame:

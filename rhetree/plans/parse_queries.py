@@ -9,6 +9,7 @@ from rhetree.functions.columns import logistic
 from rhetree.operators import decode as D
 from rhetree.operators import folds as C
 from rhetree.operators import learn as L
+from rhetree.operators import mixing
 from rhetree.operators import parse as S
 from rhetree.operators import pairs as P
 from rhetree.operators.decode_corpus import decode_corpus, decode_nbest, with_coordinating
@@ -308,21 +309,25 @@ def l7_l8_l9_features(b):
     return L.discriminating_features(b.spark, attach, label, FEATURES, LABELS, 3)
 
 
-@query()
-def l10_l11_linear_weights(b):
+def item_rows(b):
+    """Pairs with their features as sparse items."""
     from pyspark.ml.functions import vector_to_array
 
-    rows = featured(b).select(*KEY, vector_to_array("features").alias("features"), F.when(F.col("target") == UNRELATED_IX, -1.0).otherwise(1.0).alias("y"))
-    rows = rows.repartition(4, "grouping").sortWithinPartitions("grouping", "pair_ix")
-    out = [(k, f, float(x)) for k in ("perceptron", "pa", "pa2") for f, x in zip(FEATURES, L.train_linear(rows, len(FEATURES), k, epochs=2), strict=True)]
-    return b.spark.createDataFrame(out, "learner string, feature string, w double")
+    return featured(b).withColumn("items", L.sparse_items(vector_to_array("features")))
 
 
 @query()
-def l12_l13_structured_weights(b):
-    from pyspark.ml.functions import vector_to_array
+def l10_l11_linear_weights(b):
+    rows = item_rows(b).select(
+        F.pmod(F.xxhash64("grouping"), F.lit(4)).alias("part"), F.struct("grouping", "pair_ix").alias("seq"), F.when(F.col("target") == UNRELATED_IX, -1.0).otherwise(1.0).alias("y"), "items"
+    )
+    each = [mixing.train_linear(rows, k, epochs=2).withColumn("learner", F.lit(k)) for k in ("perceptron", "pa", "pa2")]
+    return P.stack(*each).select("learner", "feature_ix", "w")
+
 
-    rows = featured(b).select(*KEY, "parent", "child", vector_to_array("features").alias("features"), (F.col("target") != UNRELATED_IX).alias("gold"))
+@query()
+def l12_l13_structured_weights(b):
+    rows = item_rows(b).select(*KEY, "parent", "child", "items", (F.col("target") != UNRELATED_IX).alias("gold"))
 
     def best_parents(doc, scores):
         import numpy as np
@@ -332,8 +337,8 @@ def l12_l13_structured_weights(b):
             chosen[at[int(np.argmax(scores[at]))]] = True
         return chosen
 
-    out = [(k, f, float(x)) for k in ("perceptron", "pa", "pa2") for f, x in zip(FEATURES, L.train_structured(rows, len(FEATURES), best_parents, k, epochs=2), strict=True)]
-    return b.spark.createDataFrame(out, "learner string, feature string, w double")
+    each = [mixing.train_structured(rows, best_parents, 4, k, epochs=2).withColumn("learner", F.lit(k)) for k in ("perceptron", "pa", "pa2")]
+    return P.stack(*each).select("learner", "feature_ix", "w")
 
 
 LONG = "SELECT grouping, pair_ix, 0 AS feature_ix, abs(cpos - ppos)::DOUBLE AS value FROM pairs UNION ALL SELECT grouping, pair_ix, 1, CASE WHEN cpos > ppos THEN 1 ELSE 0 END FROM pairs"

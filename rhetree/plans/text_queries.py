@@ -274,6 +274,35 @@ def x21_sample_pairs(b):
     return X.sample_pairs(b.units, links, None)
 
 
+def drawn_sql(n: int, draws: int, seed: int, linked: str, same: bool) -> str:
+    """The first n good draws of `draws`, as the library makes them."""
+    number = lambda what, below: f"(('0x' || md5(concat('{seed}:', draw, ':{what}'))[1:12])::BIGINT % {below})"
+    other = "doc" if same else f"{number(1, '(c - 1)')} + CASE WHEN {number(1, '(c - 1)')} >= doc THEN 1 ELSE 0 END"
+    return f"""WITH d AS (SELECT grouping, count(*) AS n, row_number() OVER (ORDER BY md5(grouping), grouping) - 1 AS doc FROM units GROUP BY 1),
+        p AS (SELECT grouping, id, row_number() OVER (PARTITION BY grouping ORDER BY span_start, id) - 1 AS place FROM units),
+        r AS (SELECT draw, doc, {other} AS doc2 FROM (SELECT draw, c, {number(0, 'c')} AS doc FROM range({draws}) x(draw), (SELECT count(*) AS c FROM d))),
+        s AS (SELECT draw, a.grouping, b.grouping AS child_grouping, {number(2, 'a.n')} AS i, {number(3, 'b.n')} AS j FROM r JOIN d a ON a.doc = r.doc JOIN d b ON b.doc = r.doc2),
+        u AS (SELECT draw, s.grouping, x.id AS parent, s.child_grouping, y.id AS child,
+                     s.grouping = s.child_grouping AND EXISTS (SELECT 1 FROM pairs l WHERE l.target <> 4 AND l.grouping = s.grouping AND ((l.parent = x.id AND l.child = y.id) OR (l.parent = y.id AND l.child = x.id))) AS linked
+              FROM s JOIN p x ON x.grouping = s.grouping AND x.place = s.i JOIN p y ON y.grouping = s.child_grouping AND y.place = s.j WHERE x.id <> y.id)
+        SELECT * FROM u WHERE {linked} ORDER BY draw LIMIT {n}"""
+
+
+@query(drawn_sql(300, 20_000, 5, "linked", True))
+def x21_sample_linked(b):
+    return X.sample_pairs(b.units, b.pairs.where("target <> 4"), 300, seed=5, linked=True)
+
+
+@query(drawn_sql(300, 20_000, 6, "NOT linked", True))
+def x21_sample_unlinked(b):
+    return X.sample_pairs(b.units, b.pairs.where("target <> 4"), 300, seed=6, linked=False)
+
+
+@query(drawn_sql(300, 20_000, 7, "true", False))
+def x21_sample_across_documents(b):
+    return X.sample_pairs(b.units, b.pairs.where("target <> 4"), 300, seed=7, same_document=False)
+
+
 @query(f"SELECT type, count(*) AS n FROM ({REL}) WHERE arg1 <> 'ROOT' GROUP BY 1")
 def x22_relation_index(b):
     return X.relation_index(relations(b), b.units, simple_only=True).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
