@@ -110,6 +110,16 @@ def p3_attach_times_best_label(b):
     return S.attach_times_best_label(b.weights).select(*KEY, F.round("attach", 12).alias("attach"))
 
 
+def oracle_parser():
+    """P2 with the gold links for weights."""
+    return S.attach_pipeline(lambda r: L.oracle_attach(r, UNRELATED_IX), lambda r: D.decode_best_incoming(r, UNRELATED_IX))
+
+
+@query(f"SELECT grouping, pair_ix, CASE WHEN target = 4 THEN 4 ELSE {BEST} END AS prediction FROM weights")
+def p2_attach_pipeline(b):
+    return oracle_parser().fit(b.weights).transform(b.weights).select(*KEY, "prediction")
+
+
 @query(f"SELECT grouping, pair_ix, CASE WHEN cpos % 2 = 0 THEN 4 ELSE {BEST} END AS prediction FROM weights")
 def p6_label_unknown(b):
     rows = b.weights.withColumn("prediction", F.when(F.col("cpos") % 2 == 0, UNRELATED_IX).otherwise(0))
@@ -368,10 +378,28 @@ def c4_p2_p4_cross_validate(b):
     configs = {
         "best": trained(b, lambda r: D.decode_best_incoming(r, UNRELATED_IX)),
         "mst": trained(b, lambda r: decode_corpus(r, b.units, "mst", UNRELATED_IX)),
+        "attach": lambda train, test: S.attach_pipeline(L.fit_attach(train, UNRELATED_IX, maxIter=5), lambda r: D.decode_best_incoming(r, UNRELATED_IX)).transform(test).select(
+            *KEY, "parent", "child", "target", "prediction"
+        ),
     }
     return C.cross_validate(featured(b), C.make_folds(b.units, 2, seed=7), configs)
 
 
+OWN = f"SELECT grouping, pair_ix, (conv_id % 3)::INTEGER AS fold, CASE WHEN target = 4 THEN 4 ELSE {BEST} END AS gold, CASE WHEN attach > 0.5 THEN {BEST} ELSE 4 END AS half FROM weights"
+
+
+@query(f"""SELECT 'gold' AS config, grouping, pair_ix, fold, gold AS prediction FROM ({OWN}) UNION ALL SELECT 'half', grouping, pair_ix, fold, half FROM ({OWN})
+           UNION ALL SELECT 'gold', grouping, pair_ix, NULL, gold FROM ({OWN}) UNION ALL SELECT 'half', grouping, pair_ix, NULL, half FROM ({OWN})""")
+def c4_cross_validate_and_test(b):
+    """Folds, and the parsers learned from all pairs on a test set (here the same documents)."""
+    configs = {
+        "gold": lambda train, rows: oracle_parser().fit(train).transform(rows).select(*KEY, "prediction"),
+        "half": lambda train, rows: D.decode_threshold(rows, UNRELATED_IX, 0.5).select(*KEY, "prediction"),
+    }
+    folds = b.units.select("grouping", (F.col("conv_id") % 3).cast("int").alias("fold")).distinct()
+    return C.cross_validate(b.weights, folds, configs, test=b.weights)
+
+
 @query()
 def p5_p9_two_level_fit(b):
     decode = lambda r: D.decode_best_incoming(r, UNRELATED_IX)

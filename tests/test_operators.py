@@ -162,6 +162,33 @@ def test_leftmost_longest_against_a_scan(spark):
     assert sorted((r.doc, r.start, r.end) for r in got) == sorted((d, s, max(e for x, e in own if x == s)) for d, own in by.items() for s in scanned(own))
 
 
+def test_cross_validation_goes_on_where_it_ended(b, tmp_path):
+    """Jobs in threads: one that fails stops the run, what had ended is kept and not run again."""
+    folds = b.units.select("grouping", (F.col("conv_id") % 2).cast("int").alias("fold")).distinct()
+    runs, broken = [], [True]
+
+    def config(name):
+        def run(train, test):
+            runs.append(name)
+            if name == "b" and broken[0]:
+                raise RuntimeError("lost")
+            return test.select("grouping", "pair_ix", "target")
+
+        return run
+
+    configs = {n: config(n) for n in "abc"}
+    with pytest.raises(RuntimeError, match="lost"):
+        C.cross_validate(b.pairs, folds, configs, str(tmp_path), test=b.pairs)
+    broken[0], before = False, runs.copy()
+    out = C.cross_validate(b.pairs, folds, configs, str(tmp_path), test=b.pairs)
+    assert sorted(runs[len(before):]) == ["b", "b", "b"]
+    n = b.pairs.count()
+    assert sorted(tuple(r) for r in out.groupBy("config", F.col("fold").isNull().alias("all")).count().collect()) == [(c, a, n) for c in "abc" for a in (False, True)]
+    jobs = C.manifest(b.spark, str(tmp_path)).collect()
+    assert sorted((j.config, -1 if j.fold is None else j.fold) for j in jobs) == [(c, f) for c in "abc" for f in (-1, 0, 1)]
+    assert sum(j.n_rows for j in jobs if j.fold is not None) == 3 * n
+
+
 def test_embedded_units_keep_their_tokens(spark):
     units = spark.createDataFrame([("g", "a", 0, 100), ("g", "b", 10, 20)], "grouping string, id string, span_start int, span_end int")
     spans = spark.createDataFrame([("g", 12, 15), ("g", 30, 35)], "grouping string, start int, end int")
