@@ -39,8 +39,6 @@ WINDOW = 18
 MIN_WORDS = 20
 #: Words from which on equal passages always share a kept window, wherever they stand.
 CERTAIN_WORDS = 2 * WINDOW - 1
-#: Bytes of text that a task works on at once.
-AT_ONCE = 1_000_000
 SIMILARITY = 0.8
 RECALL = 0.98
 #: Distinct lines up to which a band's bucket gives pairs; lines and shingles of a block of a larger one.
@@ -50,7 +48,7 @@ BLOCK_SHINGLES = 1_000_000
 #: Kinds of a window's neighbourhood that are compared in one task.
 BUCKET_KINDS = 50_000
 SEED = 9
-PARAGRAPHS = "at int, n_words int, is_line boolean, start int, end int, pid long, check long, bands array<long>"
+PARAGRAPHS = "at int, n_words int, is_line boolean, start int, end int, pid long, check int, bands array<long>"
 OCCURRENCE = ("doc_id", "text_key", "at")
 
 
@@ -66,8 +64,8 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, at, n_words, is_line, start, end, pid, check, bands of lines with a word and of kept windows.
 
     `at` is the place of the first word among the text's words; start and end are code
-    points, of lines only; pid and check are two 64-bit hashes of the words: rows are
-    brought together by pid, and count as equal if both are. Of equal lines a task works
+    points, of lines only; pid and check are hashes of the words, of 64 and 32 bits: rows
+    are brought together by pid, and count as equal if both are. Of equal lines a task works
     on together, only the first has bands.
     """
     rows, n_bands = 2, bands_for()
@@ -75,7 +73,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         factors = multipliers(rows * n_bands, SEED)
-        for batch in slices(batches, "text", AT_ONCE):
+        for batch in slices(batches, "text"):
             words, text, line, start, end = words_at(batch.column("text"))
             begins = np.ones(len(words), bool)
             begins[1:] = line[1:] != line[:-1]
@@ -115,7 +113,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
                     pa.array(start[at].astype(np.int32), mask=none),
                     pa.array(end[last].astype(np.int32), mask=none),
                     pa.array(np.concatenate([pid, window]).view(np.int64)),
-                    pa.array(np.concatenate([check, check_window]).view(np.int64)),
+                    pa.array((np.concatenate([check, check_window]) >> np.uint64(32)).astype(np.uint32).view(np.int32)),
                     pa.ListArray.from_arrays(offsets, pa.array(bands[many[: len(pid)] > 0].ravel().view(np.int64))),
                 ],
                 ["doc_id", "text_key", "at", "n_words", "is_line", "start", "end", "pid", "check", "bands"],
@@ -280,7 +278,7 @@ def _contexts(docs: DataFrame, open_: DataFrame) -> DataFrame:
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        for batch in slices(batches, "text", AT_ONCE):
+        for batch in slices(batches, "text"):
             words, text, *_ = words_at(batch.column("text"))
             each = words.view(np.int64)
             row, rest = _flat(batch, "open")
@@ -383,7 +381,7 @@ def _stretches(docs: DataFrame, covers: DataFrame, min_words: int) -> DataFrame:
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        for batch in slices(batches, "text", AT_ONCE):
+        for batch in slices(batches, "text"):
             words, text, _, start, end = words_at(batch.column("text"))
             row, rest = _flat(batch, "covers")
             n, begin = len(words), np.searchsorted(text, row)
