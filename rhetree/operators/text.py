@@ -109,6 +109,25 @@ def mention_flags(rows: DataFrame, determiner: str = "first_form") -> DataFrame:
     return rows.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in flags.items()})
 
 
+def mention_types(rows: DataFrame, short_name: int = 1, short_np: int = 2) -> DataFrame:
+    """The twelve types of mentions that annotated tokens tell, from their head's and their first token's attributes.
+
+    Rows have cpos and pos (the head's coarse and full category), form (the head's),
+    first_pos, first_lemma, first_s (the first token's category, lemma and morphological s:
+    def or ind) and n_tokens. A null attribute makes no type true.
+    """
+    first = lambda test: (F.col("first_pos") == "DET") & test
+    name, definite, demonstrative = F.col("pos") == "NPP", first(F.col("first_s") == "def"), first(F.col("first_lemma") == "ce")
+    types = {
+        "is_pro": F.col("cpos").isin("PRO", "CL"), "is_il": F.col("form").isin("Il", "il"), "is_cl_pro": F.col("cpos") == "CL",
+        "is_non_refl_cl_pro": F.col("pos").isin("CLS", "CLO"), "is_name": name, "is_short_name": name & (F.col("n_tokens") <= short_name),
+        "is_def_np": definite, "is_short_def_np": definite & (F.col("n_tokens") <= short_np), "is_dem_np": demonstrative,
+        "is_short_dem_np": demonstrative & (F.col("n_tokens") <= short_np), "is_indef_np": first(F.col("first_s") == "ind"),
+        "is_poss_np": first(F.col("first_lemma") == "son"),
+    }
+    return rows.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in types.items()})
+
+
 def gender(feats: Column, form: Column) -> Column:
     """m, f or unk: by morphology, else by the pronoun's form."""
     by_form = F.when(form.rlike(MASCULINE), "m").when(form.rlike(FEMININE), "f")

@@ -90,6 +90,23 @@ def x7_mention_flags(b):
     return X.mention_flags(rows).select("unit_id", "tok_ix", "is_pronoun", "is_name", "is_definite")
 
 
+#: Mentions with attributes of their heads and of first tokens, for both engines.
+MENTIONED = """SELECT unit_id, tok_ix, form, CASE WHEN cpos_tag = 'PRO' AND tok_ix % 2 = 0 THEN 'CL' ELSE cpos_tag END AS cpos,
+    CASE WHEN cpos_tag = 'PRO' AND tok_ix % 2 = 0 THEN CASE length(form) % 3 WHEN 0 THEN 'CLS' WHEN 1 THEN 'CLO' ELSE 'CLR' END WHEN cpos_tag = 'N' AND form <> lemma THEN 'NPP' ELSE cpos_tag END AS pos,
+    CASE WHEN tok_ix % 3 < 2 THEN 'DET' ELSE 'N' END AS first_pos, CASE tok_ix % 4 WHEN 0 THEN 'son' WHEN 1 THEN 'ce' ELSE lemma END AS first_lemma,
+    CASE tok_ix % 5 WHEN 0 THEN 'def' WHEN 1 THEN 'ind' END AS first_s, tok_ix % 4 + 1 AS n_tokens FROM tagged"""
+TYPES = """cpos IN ('PRO', 'CL') AS is_pro, form IN ('Il', 'il') AS is_il, cpos = 'CL' AS is_cl_pro, pos IN ('CLS', 'CLO') AS is_non_refl_cl_pro, pos = 'NPP' AS is_name,
+    pos = 'NPP' AND n_tokens = 1 AS is_short_name, first_pos = 'DET' AND coalesce(first_s = 'def', false) AS is_def_np, first_pos = 'DET' AND coalesce(first_s = 'def', false) AND n_tokens < 3 AS is_short_def_np,
+    first_pos = 'DET' AND first_lemma = 'ce' AS is_dem_np, first_pos = 'DET' AND first_lemma = 'ce' AND n_tokens < 3 AS is_short_dem_np,
+    first_pos = 'DET' AND coalesce(first_s = 'ind', false) AS is_indef_np, first_pos = 'DET' AND first_lemma = 'son' AS is_poss_np"""
+
+
+@query(f"SELECT unit_id, tok_ix, {TYPES} FROM ({MENTIONED})")
+def x7_mention_types(b):
+    out = X.mention_types(b._sql(MENTIONED, tagged=b.tagged))
+    return out.select("unit_id", "tok_ix", *[c for c in out.columns if c.startswith("is_")])
+
+
 @query("""SELECT unit_id, tok_ix, CASE WHEN tok_ix % 5 = 0 THEN 'm' WHEN lemma IN ('il', 'ils', 'lui', 'he', 'him') THEN 'm' WHEN lemma IN ('elle', 'elles', 'she', 'her') THEN 'f' ELSE 'unk' END AS gender,
           CASE WHEN tok_ix % 7 = 0 THEN 'p' WHEN lemma IN ('ils', 'elles', 'nous', 'vous', 'les', 'they', 'we') THEN 'p'
                WHEN lemma IN ('il', 'elle', 'je', 'tu', 'on', 'lui', 'he', 'she', 'it', 'i') THEN 's' ELSE 'unk' END AS number FROM tagged""")
@@ -133,10 +150,19 @@ def x10_anaphora_features(b):
     return out.select("grouping", "parent", "child", "n_parent", "n_child", "any_string_match", "any_compatible")
 
 
-@query("""SELECT p.grouping, p.pair_ix, CASE WHEN p.ppos % 2 = 1 THEN concat('t', p.ppos) ELSE 'none' END AS parent_timex, CASE WHEN p.cpos % 2 = 1 THEN concat('t', p.cpos) ELSE 'none' END AS child_timex FROM pairs p""")
+ATTRIBUTES = {"timex": ("False", 2, "'True'"), "timex_signal": ("None", 3, "concat('s', {x} % 5)"), "verb_class": ("unknown", 4, "concat('v', {x})")}
+#: A unit has an attribute if its place leaves 1 over; ROOT has none.
+SIDES = ", ".join(
+    f"CASE WHEN p.{x} > 0 AND p.{x} % {every} = 1 THEN {value.format(x='p.' + x)} ELSE '{default}' END AS {side}_{name}"
+    for x, side in (("ppos", "parent"), ("cpos", "child")) for name, (default, every, value) in ATTRIBUTES.items()
+)
+
+
+@query(f"SELECT p.grouping, p.pair_ix, {SIDES} FROM pairs p")
 def x11_time_verb_features(b):
-    own = b.units.where("pos % 2 = 1").select("grouping", "id", F.concat(F.lit("t"), "pos").alias("timex"))
-    return X.time_verb_features(b.pairs, own, {"timex": "none"}).select("grouping", "pair_ix", "parent_timex", "child_timex")
+    own = b.units.select("grouping", "id", *[F.when(F.col("pos") % every == 1, F.expr(value.format(x="pos"))).alias(name) for name, (_, every, value) in ATTRIBUTES.items()])
+    out = X.time_verb_features(b.pairs, own, {name: default for name, (default, *_) in ATTRIBUTES.items()})
+    return out.select("grouping", "pair_ix", *[f"{side}_{name}" for side in ("parent", "child") for name in ATTRIBUTES])
 
 
 @query(f"""SELECT p.grouping, p.pair_ix, coalesce(a.type, c.type) AS relation FROM pairs p LEFT JOIN ({REL}) a ON a.grouping = p.grouping AND a.arg1 = p.parent AND a.arg2 = p.child
