@@ -311,5 +311,9 @@ def round_trip(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
 
 
 def bpe_digest(docs: DataFrame) -> DataFrame:
-    """Encodes the documents and decodes the ids: counts and hashes of both."""
+    """Encodes the documents and decodes the ids: counts and hashes of both.
+
+    A null text counts as empty: no ids, and the hashes of nothing. Repeated rows give
+    equal rows, an empty table none; other columns are not read.
+    """
     return round_trip(docs).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -300,7 +300,12 @@ def identify(docs: DataFrame, models: Models | None) -> DataFrame:
 
 
 def language_digest(docs: DataFrame) -> DataFrame:
-    """Learns from the training rows and predicts all documents, one row each; see `learn` and `identify`."""
+    """Learns from the training rows and predicts all documents, one row each; see `learn` and `identify`.
+
+    A null text or one without a letter is `und` with score 0; a document of null lang is
+    never learned from. Repeated rows count and are predicted again, of equally good
+    languages the first by name wins, an empty table gives none; other columns are not read.
+    """
     with scratch(docs.sparkSession):
         models = learn(docs.select("doc_id", "text", "lang"))
     found = identify(docs, models)

@@ -328,11 +328,12 @@ def near_filter(docs: DataFrame) -> DataFrame:
         "gone", ~F.coalesce(F.col("doc_id").eqNullSafe(F.col("class_id")) & ((F.col("text_key") == F.col("_k")) | F.col("doc_id").isNull()), F.lit(False))
     )
     # only rows that may have to go are shuffled
-    touched = written(here.where("gone OR (rows > 1 AND doc_id IS NOT NULL)").groupBy("row_key").agg(F.max("gone").alias("gone")), "touched")
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", _row_key())
+    touched = written(here.where("gone OR (rows > 1 AND doc_id IS NOT NULL)").groupBy("row_key", "text_key").agg(F.max("gone").alias("gone")), "touched")
+    # rows are told apart by two hashes, of doc_id and text and of the text alone
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.xxhash64("text").alias("text_key"), _row_key())
     columns = [F.col(f"row.`{c}`") for c in docs.columns]
     rest = in_buckets(whole, touched, "row_key", "left_anti").select(*columns)
-    hit = in_buckets(whole, touched, "row_key").join(touched, "row_key", "left")
+    hit = in_buckets(whole, touched, "row_key").join(touched, ["row_key", "text_key"], "left")
     passed = hit.where("gone IS NULL").select(*columns)
-    repeated = hit.where("NOT gone").dropDuplicates(["row_key"]).select(*columns)
+    repeated = hit.where("NOT gone").dropDuplicates(["row_key", "text_key"]).select(*columns)
     return rest.unionAll(passed).unionAll(repeated)

@@ -146,7 +146,11 @@ def packed(piece_rows: DataFrame, window: int = WINDOW, group_pieces: int = GROU
 
 
 def packing_digest(docs: DataFrame) -> DataFrame:
-    """One row per piece of each document with its place in a sequence."""
+    """One row per piece of each document with its place in a sequence.
+
+    A null or empty text is one piece, the end id alone. Repeated rows are packed as
+    documents of their own, an empty table has no piece; other columns are not read.
+    """
     return packed(pieces(docs)).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )

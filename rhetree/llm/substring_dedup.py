@@ -27,7 +27,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import concluded, in_buckets, spread_join, text_of, written
+from .common import concluded, in_buckets, spread_join, text_of
+from .common import written as _written
 from .components import components, least_labels
 from .encoding import release, slices, tidied
 from .shingles import MIX, MIX2, SHINGLE, common_counts, least_windows, minhashes, multipliers, shingle_hashes, words_at
@@ -52,6 +53,17 @@ PARAGRAPHS = "at int, n_words int, is_line boolean, start int, end int, pid long
 OCCURRENCE = ("doc_id", "text_key", "at")
 
 
+def written(df: DataFrame, what: str) -> DataFrame:
+    """A table in the shared folder; then the driver collects its garbage, so that Spark deletes the shuffle files of the job.
+
+    Shuffle files stay until the driver happens to collect the plan that made them: here
+    they would add up to several times the tables.
+    """
+    out = _written(df, what)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def bands_for(similarity: float = SIMILARITY, recall: float = RECALL, rows: int = 2) -> int:
     """The fewest bands of `rows` MinHashes that let a pair of `similarity` collide with chance `recall`."""
     bands = 1

@@ -123,7 +123,12 @@ def checksums(tokens: DataFrame) -> DataFrame:
 
 
 def token_file_digest(docs: DataFrame) -> DataFrame:
-    """Writes the files, reads them back: doc_id, start, n_tokens, ids_crc32 of each document."""
+    """Writes the files, reads them back: doc_id, start, n_tokens, ids_crc32 of each document.
+
+    A null text counts as empty: its only id is the end id. Rows of equal or null doc_id
+    stand side by side in any order (nulls first), each with its own ids; an empty table
+    gives no row; other columns are not read.
+    """
     spark = docs.sparkSession
     path, kind = new_path(spark, "tokens"), docs.schema["doc_id"].dataType.simpleString()
     write_tokens(docs, path)
