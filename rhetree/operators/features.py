@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import concluded, written
+
 #: Classes of relation names by scheme.
 SCHEMES = {
     "subord_coord": {
@@ -49,17 +51,24 @@ def is_kind(name: Column, *kinds: str) -> Column:
     return F.substring(name, 1, 2).isin(*[f"{k}#" for k in kinds])
 
 
+#: Values of all binarised features up to which they are sent along as one map.
+MOST_VALUES = 10_000
+
+
 def binarise(instances: DataFrame) -> DataFrame:
     """Discrete features of more than two values, or with a value but True and False, as one boolean per value.
 
     `name=value` is True for the instance's own value and False for the others the
-    feature has; an instance without the feature gets none of them.
+    feature has; an instance without the feature gets none of them. A few values go along
+    as a map; with more than MOST_VALUES the instances' items are joined with them by feature.
     """
     items = instances.select(F.explode("feats").alias("k", "v")).where(is_kind(F.col("k"), "D"))
-    kinds = items.groupBy("k").agg(
-        F.sort_array(F.collect_set("v")).alias("values"), F.count_if(~F.col("v").isin("True", "False")).alias("odd")
-    ).where((F.size("values") > 2) | (F.col("odd") > 0))
-    # one row: as many entries as there are features
+    each = items.groupBy("k", "v").agg(F.lit(1).alias("one"))
+    many = each.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("v").isin("True", "False")).alias("odd")).where("n > 2 OR odd > 0")
+    if (many.agg(F.sum("n")).first()[0] or 0) > MOST_VALUES:
+        return concluded(lambda: _binarised(instances, each, many), "binarised")
+    kinds = each.join(many, "k").groupBy("k").agg(F.sort_array(F.collect_list("v")).alias("values"))
+    # one row, of MOST_VALUES values at most
     table = kinds.agg(F.map_from_entries(F.collect_list(F.struct("k", "values"))).alias("_kinds"))
     both = instances.crossJoin(F.broadcast(table))
     fresh = F.flatten(F.transform(F.map_entries("feats"), lambda e: F.when(
@@ -71,6 +80,17 @@ def binarise(instances: DataFrame) -> DataFrame:
     return both.withColumn("feats", F.map_from_entries(fresh)).drop("_kinds")
 
 
+def _binarised(instances: DataFrame, each: DataFrame, many: DataFrame) -> DataFrame:
+    rows = written(instances.withColumn("_id", F.monotonically_increasing_id()), "instances")
+    items = rows.select("_id", F.explode("feats").alias("k", "v"))
+    values = each.select("k", F.col("v").alias("_value")).join(many.select("k"), "k")
+    fresh = items.join(values, "k").select("_id", F.concat("k", F.lit("="), "_value").alias("k"), F.when(F.col("_value") == F.col("v"), "True").otherwise("False").alias("v"))
+    rest = items.join(many.select("k"), "k", "left_anti").select("_id", "k", "v")
+    feats = fresh.unionByName(rest).groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("_feats"))
+    out = rows.join(feats, "_id", "left").withColumn("feats", F.coalesce("_feats", F.when(F.col("feats").isNotNull(), F.col("feats"))))
+    return out.select(*instances.columns)
+
+
 def discretize(instances: DataFrame, feature: str, bins: Sequence[float]) -> DataFrame:
     """The value becomes the first letter of the name and the smallest edge that is not below it (the last if none)."""
     edges = F.array(*[F.lit(float(x)) for x in sorted(bins)])

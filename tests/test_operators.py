@@ -189,6 +189,18 @@ def test_cross_validation_goes_on_where_it_ended(b, tmp_path):
     assert sum(j.n_rows for j in jobs if j.fold is not None) == 3 * n
 
 
+def test_binarise_by_map_and_by_join(spark, monkeypatch):
+    from rhetree.operators import features
+
+    rows = [(1, {"D#a": "x", "C#n": "3"}), (2, {"D#a": "y", "D#b": "True"}), (3, {"D#b": "False"}), (4, {}), (5, None), (1, {"D#a": "x", "C#n": "3"})]
+    frame = spark.createDataFrame(rows, "i int, feats map<string,string>")
+    want = sorted([(1, {"D#a=x": "True", "D#a=y": "False", "C#n": "3"})] * 2 + [(2, {"D#a=x": "False", "D#a=y": "True", "D#b": "True"}), (3, {"D#b": "False"}), (4, {}), (5, None)], key=repr)
+    key = lambda rs: sorted(((i, None if f is None else dict(sorted(f.items()))) for i, f in rs), key=repr)
+    for most in (10_000, 1):
+        monkeypatch.setattr(features, "MOST_VALUES", most)
+        assert key(features.binarise(frame).collect()) == key(want)
+
+
 def test_embedded_units_keep_their_tokens(spark):
     units = spark.createDataFrame([("g", "a", 0, 100), ("g", "b", 10, 20)], "grouping string, id string, span_start int, span_end int")
     spans = spark.createDataFrame([("g", 12, 15), ("g", 30, 35)], "grouping string, start int, end int")
