@@ -5,8 +5,10 @@ integer sums are exact); each vector's quantisation error bounds how far a produ
 lie from the true cosine, and only pairs that may reach the threshold are computed in
 double precision. Equal vectors are one vector with a count.
 
-Tiles follow a bounded set of pivots: vectors lie with their nearest pivot, and two
-pivots whose vectors are all too far apart for a link are never paired.
+Tiles follow a bounded set of pivots: vectors lie with their nearest pivot, pivots of few
+vectors share a tile with others near them, and two tiles whose pivots are all too far
+apart for a link are never paired. A vector becomes a row per tile in reach, so where
+nothing is too far apart as many rows as there are times TILE vectors.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spread_join, written
 from .components import components, least_labels
 
 THRESHOLD = 0.9
@@ -101,6 +103,23 @@ def _pair(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
     )
 
 
+def _bins(count: dict[int, int], between: np.ndarray, tile: int) -> list[list[int]]:
+    """The pivots dealt into bins of at most `tile` vectors; one that has more is a bin of its own.
+
+    Pivots follow each other by nearness, so that those of a bin lie close together.
+    """
+    left, bins, held = set(count), [], tile
+    at = min(left, default=0)
+    while left:
+        at = min(left, key=lambda p: (between[at, p], p))
+        left.remove(at)
+        if held + count[at] > tile:
+            bins, held = [*bins, []], 0
+        bins[-1].append(at)
+        held += count[at]
+    return bins
+
+
 def _tiles(vectors: DataFrame, dim: int, threshold: float, tile: int, pivots: int) -> DataFrame:
     """Rows (lo, hi, tile, gid, mult, embedding): each vector for every tile pair it belongs to."""
     spark = vectors.sparkSession
@@ -119,20 +138,24 @@ def _tiles(vectors: DataFrame, dim: int, threshold: float, tile: int, pivots: in
     placed = written(vectors.withColumn("_p", nearest("embedding")).select("gid", "mult", "embedding", "_p.*"), "placed")
     # at most `pivots` rows
     stats = placed.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("r")).collect()
-    size = {r["pivot"]: -(-r["n"] // tile) for r in stats}
+    count = {r["pivot"]: r["n"] for r in stats}
     radius = {r["pivot"]: r["r"] for r in stats}
     reach = np.arccos(threshold) + 1e-6
     between = np.arccos(np.clip(centre @ centre.T, -1, 1))
+    bins = _bins(count, between, tile)
+    size = [-(-sum(count[p] for p in own) // tile) for own in bins]
+    linked = lambda p, q: between[p, q] <= radius[p] + radius[q] + reach
     near = [
-        (p, q, size[q]) for p in size for q in size if between[p, q] <= radius[p] + radius[q] + reach
+        (b, c, size[c]) for b in range(len(bins)) for c in range(len(bins))
+        if any(linked(p, q) for p in bins[b] for q in bins[c])
     ]
-    partners = spark.createDataFrame(near, "pivot int, other int, chunks int")
-    chunks = spark.createDataFrame(sorted(size.items()), "pivot int, own int")
+    partners = spark.createDataFrame(near, "bin int, other int, chunks int")
+    chunks = spark.createDataFrame([(p, b, size[b]) for b, own in enumerate(bins) for p in own], "pivot int, bin int, own int")
     code = lambda p, c: F.shiftleft(p.cast("long"), 40) + c
     return (
         placed.join(F.broadcast(chunks), "pivot")
-        .withColumn("tile", code(F.col("pivot"), F.pmod(F.xxhash64("gid"), F.col("own"))))
-        .join(F.broadcast(partners), "pivot")
+        .withColumn("tile", code(F.col("bin"), F.pmod(F.xxhash64("gid"), F.col("own"))))
+        .join(F.broadcast(partners), "bin")
         .withColumn("partner", F.explode(F.expr("sequence(0, chunks - 1)")))
         .withColumn("partner", code(F.col("other"), F.col("partner")))
         .select(
@@ -184,17 +207,21 @@ def embedding_links(rows: DataFrame, threshold: float = THRESHOLD, tile: int = T
         vectors.join(sums, "gid", "left")
         .join(parts, "gid", "left")
         .select(
-            "gid", "embedding", "least",
+            "embedding", "least", "mult",
             (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"),
             F.coalesce("component", "gid").alias("component"),
         )
     )
-    names = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = joined.join(names, "component").select("embedding", "n_links", "component_id")
-    out = rows.join(named, "embedding", "left").withColumn(
-        "component_id", F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    )
+    joined = written(joined, "linked")
+    # neither a component's vectors nor a vector's copies meet in one task
+    many, rows_of = joined.agg(F.count(F.lit(1)), F.sum("mult")).first()
+    names = joined.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    named = spread_join(joined, names, "component", "members", many)
+    named = written(named.select("embedding", "n_links", "component_id", "mult"), "named")
+    out = spread_join(rows.where("embedding IS NOT NULL"), named, "embedding", "mult", rows_of)
+    alone = rows.where("embedding IS NULL").select("*", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = out.unionByName(alone)
     return out.select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id",
+        "vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id",
         F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"),
     )

@@ -4,9 +4,11 @@ One model of order ORDER is learned per language. Counts, continuation counts an
 probabilities of all n-grams seen in any language are worked out by aggregations and
 joins of DataFrames, none of them is left out, and kept in arrays sorted by the n-grams'
 hashes, one row of log-probabilities (a column per language) each, and so are the back-off
-weights of histories. The arrays pass the driver once, to be broadcast: the sample that
-they are learned from has MAX_CHARS characters a language, so they are bounded by it. A text's cross-entropy per character under each language follows
-from binary searches; the lowest wins. A temperature and a rejection threshold are
+weights of histories. The arrays pass the driver once, to be broadcast: an array has no
+more values than its n-grams times languages, and the sample they are learned from is
+bounded so that these are MAX_CELLS at most, however many languages there are. A text's
+cross-entropy per character under each language follows from binary searches; the lowest
+wins. A temperature and a rejection threshold are
 calibrated on training documents that the models did not see.
 """
 
@@ -32,6 +34,8 @@ DISCOUNT = 0.75
 #: their characters (texts are taken whole).
 MAX_DOCS = 1500
 MAX_CHARS = 4_000_000
+#: Characters of the whole sample times languages, in expectation.
+MAX_CELLS = 150_000_000
 #: One training document in so many calibrates instead of training.
 CALIBRATE = 8
 #: Calibration documents below which the defaults stay: temperature 1, nothing rejected.
@@ -188,12 +192,13 @@ def _gram_counts(sample: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def learn(docs: DataFrame, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS) -> Models | None:
+def learn(docs: DataFrame, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS, max_cells: int = MAX_CELLS) -> Models | None:
     """Models of the languages in (doc_id, text, lang), from a bounded sample of the training rows.
 
     The sample takes each row of a language with the same chance, by its doc_id's hash,
-    so that about `max_docs` rows and `max_chars` characters of it are taken at most; all
-    n-grams of the sample count. None if there is no labelled training row with a text.
+    so that about `max_docs` rows and `max_chars` characters of it are taken at most, and
+    fewer characters where languages are so many that the sample's characters times the
+    languages would pass `max_cells`; all n-grams of the sample count. None if there is no labelled training row with a text.
     Where fewer than LEAST_CALIBRATION rows calibrate, the temperature is 1 and no text
     is rejected.
     """
@@ -202,6 +207,7 @@ def learn(docs: DataFrame, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS)
     n = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).collect()
     if not n:
         return None
+    max_chars = min(max_chars, max_cells / len(n) ** 2)
     shares = [(r["lang"], float(min(1.0, max_docs / r["n"], max_chars / max(r["chars"], 1)))) for r in n]
     share = spark.createDataFrame(shares, "lang string, share double")
     chance = (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) + 0.5) / (1 << 20)
