@@ -240,6 +240,14 @@ def test_embeddings(spark):
         assert got[i] == (0, i, True)
 
 
+def test_pivots_of_few_vectors_share_tiles():
+    place = np.array([0.0, 5.0, 0.1, 5.1, 0.2, 9.0])
+    count = {0: 10, 1: 10, 2: 10, 3: 10, 4: 10, 5: 90}
+    bins = embedding_dedup._bins(count, np.abs(place[:, None] - place), 30)
+    assert bins == [[0, 2, 4], [1, 3], [5]]
+    assert embedding_dedup._bins({}, np.zeros((0, 0)), 30) == []
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(1000, 1060)] + [(7, 7), (3, None)]
