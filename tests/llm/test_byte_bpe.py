@@ -43,14 +43,3 @@ def test_places_that_no_token_crosses():
     inside = byte_bpe._inside([b"a", b"b", b"ab", b"abc", b"bcdef"])
     assert [int(x).to_bytes(4, "big") for x in inside[4]] == [b"bcde", b"cdef"]
     assert len(inside[2]) == len(inside[3]) == 1
-
-
-def test_very_long_words_of_few_letters():
-    import public_tokenizers
-    import tiktoken
-
-    ranks = byte_bpe.read_ranks(public_tokenizers.path(byte_bpe.RANKS))
-    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    rng = random.Random(1)
-    for word in ("".join(rng.choice("ACGT") for _ in range(200_000)), "ab" * 50_000):
-        assert byte_bpe.coder(byte_bpe.RANKS)._whole([word])[0] == plain.encode_ordinary(word)
