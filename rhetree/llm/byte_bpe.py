@@ -10,8 +10,9 @@ The queries run inside each Spark task on what that task holds: every distinct w
 Words of more than LONG bytes (text without blanks, long numbers) would take as many steps
 as they have merges. They are first cut where no token of the vocabulary can reach across,
 and what stays long contracts all places of its lowest rank in one step. That gives the
-same ids if the new token is in no pair of a lower rank; where it is (`lonely`, looked up
-in the file), one place a step is contracted there too.
+same ids if the new token is in no pair of a lower rank. Where it is (`lonely`, looked up in
+the file), what follows such a place happens within one token's length of it: places are
+contracted together that have no other of their rank within REACH lengths to the left.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ RANKS = "byte_bpe_50k.tiktoken"
 BYTES_AT_ONCE = 150_000
 #: Bytes from which a word counts as long.
 LONG = 256
+#: Longest tokens between places that cannot bear on each other: one for each of the two.
+REACH = 2
 #: Nothing is spilled to a local folder.
 DUCKDB = {"threads": 1, "memory_limit": "250MB", "max_temp_directory_size": "0KB"}
 
@@ -57,19 +60,24 @@ WITH RECURSIVE state AS ({PAIRS.format(tokens="words")} UNION ALL {PAIRS.format(
 SELECT word, tok FROM state WHERE best IS NULL ORDER BY pos
 """
 #: The same for long words, whose lowest rank is contracted wherever it is, from the left:
-#: `run` counts places of that rank in a row, and every other one of them is taken.
+#: `k` counts places of that rank in a row, and every other one of them is taken; lonely
+#: ones (odd ranks) are taken if none lies within $reach bytes before them.
 ALL_PAIRS = """
     SELECT *, min(rank) OVER (PARTITION BY word) AS best
-    FROM (SELECT s.word, s.pos, s.tok, g.merged * 4294967296 + CASE WHEN g.lonely THEN s.pos ELSE 0 END AS rank
+    FROM (SELECT s.word, s.pos, s.tok, g.merged * 2 + g.lonely::INTEGER AS rank
           FROM (SELECT word, pos, tok, lead(tok) OVER w AS following, lead(word) OVER w AS next_word
                 FROM {tokens} WINDOW w AS (ORDER BY pos)) s
           LEFT JOIN merges g ON g.lhs = s.tok AND g.rhs = s.following AND s.word = s.next_word)
 """
 ALL_CONTRACTED = """(
-    SELECT word, pos, CASE WHEN taken THEN (best >> 32)::INTEGER ELSE tok END AS tok
+    SELECT word, pos, CASE WHEN taken THEN (best >> 1)::INTEGER ELSE tok END AS tok
     FROM (SELECT word, pos, tok, best, taken, lag(taken) OVER (ORDER BY pos) AS gone
           FROM (SELECT *, coalesce(rank = best, false)
-                       AND (k - max(CASE WHEN rank = best THEN 0 ELSE k END) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING)) % 2 = 1 AS taken
+                       AND CASE WHEN best % 2 = 1
+                           THEN pos - max(CASE WHEN rank = best THEN pos ELSE -$reach END)
+                                      OVER (PARTITION BY word ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= $reach
+                                OR row_number() OVER (PARTITION BY word ORDER BY k) = 1
+                           ELSE (k - max(CASE WHEN rank = best THEN 0 ELSE k END) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING)) % 2 = 1 END AS taken
                 FROM (SELECT *, row_number() OVER (ORDER BY pos) AS k FROM state WHERE best IS NOT NULL)))
     WHERE NOT coalesce(gone, false))
 """
@@ -108,7 +116,8 @@ class RecursiveBpe(PieceEncoder):
             if t[:i] in ranks and t[i:] in ranks
         ]
         lonely = {x for a, b, r in pairs for x in (a, b) if x > r}
-        self.inside = _inside(list(ranks))
+        self.tokens = list(ranks)
+        self.inside = _inside(self.tokens)
         columns = zip(*pairs, strict=True) if pairs else ((), (), ())
         merges = pa.table(dict(zip(("lhs", "rhs", "merged"), (pa.array(c, pa.int64()) for c in columns), strict=True)))
         merges = merges.append_column("lonely", pa.array([r in lonely for *_, r in pairs], pa.bool_()))
@@ -161,9 +170,15 @@ class RecursiveBpe(PieceEncoder):
         for long in (False, True):
             some = list(dict.fromkeys(p for p in parts if (len(p) > LONG) == long))
             for batch in _batches(some):
-                ids.update(zip(batch, self._words(batch, CONTRACT_ALL if long else CONTRACT), strict=True))
+                sql = CONTRACT_ALL.replace("$reach", str(REACH * self._longest(batch))) if long else CONTRACT
+                ids.update(zip(batch, self._words(batch, sql), strict=True))
         return np.concatenate([ids[p] for p in parts])
 
+    def _longest(self, words: list[bytes]) -> int:
+        """Bytes of the longest token that has no other bytes than the words."""
+        letters = bytes(set(b"".join(words)))
+        return max(len(t) for t in self.tokens if not t.translate(None, letters))
+
     def _encode(self, pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         ids = self._whole(pieces)
         sizes = np.fromiter(map(len, ids), np.int64, count=len(ids))

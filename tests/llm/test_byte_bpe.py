@@ -39,6 +39,12 @@ def test_long_words(both, letters):
     same(both, ["".join(rng.choice(letters) for _ in range(n)) for n in (255, 256, 257, 700, 5000)] + ["x" * 300 + "yz" * 400])
 
 
+@pytest.mark.parametrize(("letters", "n"), [("ACGT", 100_000), ("ab", 50_000), ("aaab", 5000), ("ab=", 5000), ("etaon", 5000)])
+def test_random_words_of_few_letters(both, letters, n):
+    rng = random.Random(6)
+    same(both, ["".join(rng.choice(letters) for _ in range(n))])
+
+
 def test_places_that_no_token_crosses():
     inside = byte_bpe._inside([b"a", b"b", b"ab", b"abc", b"bcdef"])
     assert [int(x).to_bytes(4, "big") for x in inside[4]] == [b"bcde", b"cdef"]
