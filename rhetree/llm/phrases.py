@@ -37,6 +37,8 @@ RANK_PARTS = 64
 KINDS = np.zeros(256, np.uint8)
 KINDS[[0x20, 0x09]] = 1
 KINDS[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
+#: Bytes with A-Z in lower case.
+LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -44,9 +46,10 @@ class Words:
     """The words of texts: their numbers in `names`, the piece and the text each is in."""
 
     def __init__(self, texts: pa.Array):
-        texts = pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string()))
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
         ends = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
-        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        # not by pc.ascii_lower, which gives wrong offsets for a slice that was cast
+        data = LOWER[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]]
         heads = ends[:-1] - ends[0]
         kind = KINDS[data]
         inside = kind == 0

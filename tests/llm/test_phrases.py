@@ -4,6 +4,7 @@ import collections
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,3 +64,16 @@ def test_a_saturated_bitmap_loses_nothing(spark, monkeypatch):
     rows = [("en", " ".join(rng.choice("abcdefgh") for _ in range(200))) for _ in range(20)]
     docs = spark.createDataFrame(rows, "lang string, text string")
     assert sorted(tuple(r) for r in P.collocations(docs, least=10).collect()) == sorted(plain(rows, 10, 5, 2000))
+
+
+def test_slices_of_batches(spark, monkeypatch):
+    """Batches cut into several slices of texts, which begin within the batch's bytes."""
+    texts = pa.array(["Ab É x", "éé, É b", "", "C é.d\tE"] * 3)
+    for at in range(len(texts)):
+        words = P.Words(texts.slice(at))
+        got = words.names.take(pa.array(words.id)).to_pylist()
+        assert got == [w for t in texts.slice(at).to_pylist() for w in re.findall(r"[^ \t.,]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))]
+    monkeypatch.setattr(P, "ENCODE_BYTES", 50)
+    rows = [("en", f"É New York, ünja{i % 3} new York") for i in range(300)]
+    docs = spark.createDataFrame(rows, "lang string, text string").coalesce(1)
+    assert sorted(tuple(r) for r in P.collocations(docs, least=10).collect()) == sorted(plain(rows, 10, 5, 2000))
