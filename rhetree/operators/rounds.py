@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import concluded, written
+from .storage import concluded, large, written
 
 
 def ancestors(links: DataFrame, key: list[str], node: str, head: str) -> DataFrame:
@@ -27,7 +27,7 @@ def _ancestors(links: DataFrame, key: list[str], node: str, head: str) -> DataFr
     while True:
         via = jump.withColumnRenamed("ancestor", "via")
         beyond = reduce(DataFrame.unionByName, parts).withColumnRenamed("node", "via")
-        new = via.join(beyond, [*key, "via"]).select(*key, "node", "ancestor", (F.col("dist") + steps).alias("dist"))
+        new = via.join(large(beyond), [*key, "via"]).select(*key, "node", "ancestor", (F.col("dist") + steps).alias("dist"))
         new = written(new, "ancestors")
         if new.isEmpty():
             return reduce(DataFrame.unionByName, parts).withColumnRenamed("node", node)
@@ -47,8 +47,8 @@ def _reached(starts: DataFrame, links: DataFrame, key: list[str], node: str, fol
     jump = written(links.select(*key, F.col(node).alias("_from"), F.col(following).alias("_to")), "jumps")
     found = written(starts.select(*key, node).distinct(), "reached")
     while not jump.isEmpty():
-        more = found.withColumnRenamed(node, "_from").join(jump, [*key, "_from"]).select(*key, F.col("_to").alias(node))
+        more = found.withColumnRenamed(node, "_from").join(large(jump), [*key, "_from"]).select(*key, F.col("_to").alias(node))
         found = written(found.unionByName(more).distinct(), "reached")
-        further = jump.withColumnRenamed("_from", "_at").withColumnRenamed("_to", "_from").join(jump, [*key, "_from"])
+        further = jump.withColumnRenamed("_from", "_at").withColumnRenamed("_to", "_from").join(large(jump), [*key, "_from"])
         jump = written(further.select(*key, F.col("_at").alias("_from"), "_to"), "jumps")
     return found

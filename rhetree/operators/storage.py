@@ -47,6 +47,15 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def large(df: DataFrame) -> DataFrame:
+    """`df`, which a join is to sort, not to broadcast.
+
+    For tables that grow with the corpus: of a written table (compressed) or an exploded
+    one Spark takes far too small a size, and would send millions of rows to the driver.
+    """
+    return df.hint("merge")
+
+
 def deleted(spark: SparkSession, paths: list[str]) -> None:
     """Deletes tables of the shared folder."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .rounds import ancestors, reached
-from .storage import concluded, written
+from .storage import concluded, large, written
 
 #: Characters of a cell that a range join deals spans into.
 CELL = 256
@@ -55,17 +55,17 @@ def token_dependents(tokens: DataFrame, sentence: str = "unit_id") -> DataFrame:
     own = token_descents(tokens, sentence).groupBy(sentence, "tok_ix").agg(
         F.count(F.lit(1)).alias("n_dependents"), (F.max("dependent") - F.min("dependent")).alias("yield_length")
     )
-    return tokens.select(sentence, "tok_ix").join(own, [sentence, "tok_ix"], "left").fillna(0, ["n_dependents", "yield_length"])
+    return tokens.select(sentence, "tok_ix").join(large(own), [sentence, "tok_ix"], "left").fillna(0, ["n_dependents", "yield_length"])
 
 
 def path_to_root(tokens: DataFrame, sentence: str = "unit_id") -> DataFrame:
     """(sentence, tok_ix, path): the categories of the governors up to the root, nearest first."""
     own = tokens.select(sentence, F.col("tok_ix").alias("head_ix"), F.col("cpos_tag").alias("tag"))
-    links = tokens.join(own, [sentence, "head_ix"], "left_semi")
-    up = ancestors(links, [sentence], "tok_ix", "head_ix").withColumnRenamed("ancestor", "head_ix").join(own, [sentence, "head_ix"])
+    links = tokens.join(large(own), [sentence, "head_ix"], "left_semi")
+    up = ancestors(links, [sentence], "tok_ix", "head_ix").withColumnRenamed("ancestor", "head_ix").join(large(own), [sentence, "head_ix"])
     path = F.transform(F.sort_array(F.collect_list(F.struct("dist", "tag"))), lambda x: x["tag"])
     paths = up.groupBy(sentence, "tok_ix").agg(path.alias("path"))
-    every = tokens.select(sentence, "tok_ix").distinct().join(paths, [sentence, "tok_ix"], "left")
+    every = tokens.select(sentence, "tok_ix").distinct().join(large(paths), [sentence, "tok_ix"], "left")
     return every.withColumn("path", F.coalesce("path", F.array().cast("array<string>")))
 
 
@@ -76,11 +76,11 @@ def mentions(tokens: DataFrame, sentence: str = "unit_id") -> DataFrame:
     runs over the head and all it governs.
     """
     gov = tokens.select(sentence, F.col("tok_ix").alias("head_ix"), F.col("cpos_tag").alias("gov_tag"))
-    own = tokens.join(gov, [sentence, "head_ix"], "left")
+    own = tokens.join(large(gov), [sentence, "head_ix"], "left")
     relative = F.coalesce(F.lower("form").isin("qui", "que", "dont", "who", "which"), F.lit(False))
     is_head = ((F.col("cpos_tag") == "N") & ~F.coalesce(F.col("gov_tag") == "N", F.lit(False))) | ((F.col("cpos_tag") == "PRO") & ~relative)
     reach = token_descents(tokens, sentence).groupBy(sentence, "tok_ix").agg(F.min("dependent").alias("lo"), F.max("dependent").alias("hi"))
-    out = own.where(is_head).join(reach, [sentence, "tok_ix"], "left")
+    out = own.where(is_head).join(large(reach), [sentence, "tok_ix"], "left")
     return out.withColumns({"first_ix": F.least("tok_ix", F.coalesce("lo", "tok_ix")), "last_ix": F.greatest("tok_ix", F.coalesce("hi", "tok_ix"))}).drop("lo", "hi")
 
 

@@ -59,3 +59,16 @@ def test_tables_of_the_rounds_are_deleted(spark):
     with pytest.raises(ValueError, match="circle"):
         rounds.ancestors(tokens(spark, 6, "(id + 1) % 6"), ["unit_id"], "tok_ix", "head_ix")
     assert set(os.listdir(folder)) - before == left
+
+
+def test_tables_that_grow_are_not_broadcast(spark, monkeypatch):
+    plans, write = [], rounds.written
+
+    def noted(df, what):
+        plans.append(df._jdf.queryExecution().toString())
+        return write(df, what)
+
+    monkeypatch.setattr(rounds, "written", noted)
+    for query in (text.token_dependents, text.path_to_root, text.mentions):
+        plans.append(query(tokens(spark, 20, "id - 1"))._jdf.queryExecution().toString())
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
