@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rounds import ancestors, reached
+from .rounds import ancestors
 from .storage import concluded, large, written
 
 #: Characters of a cell that a range join deals spans into.
@@ -291,19 +294,27 @@ def time_tagging(units: DataFrame, hits: DataFrame, lemmas: DataFrame, verb_clas
 def leftmost_longest(hits: DataFrame, key: list[str]) -> DataFrame:
     """Hits (start, end) that a scan of each text keeps: the longest at the first place, then at the next place at or after its end, and so on.
 
-    Every hit's next one is found in one sorted pass, and the kept ones by pointer doubling from
-    each text's first hit: a hit does not go for an overlap with one that has itself gone.
+    One sorted pass: a text's hits stream by in order (of one start the longest first), and a
+    hit is kept if it starts at or after the end of the one kept last.
     """
     rest = [c for c in hits.columns if c not in (*key, "start", "end")]
-    at = hits.where("end > start").groupBy(*key, "start").agg(F.max_by(F.struct("end", *rest), F.struct("end", *rest)).alias("_h")).select(*key, "start", "_h.*")
-    # a hit's end, and all starts: the first start that is not before the end
-    ends = at.select(*key, F.col("end").alias("x"), F.lit(None).cast("long").alias("s"), F.col("start").cast("long").alias("own"))
-    starts = at.select(*key, F.col("start").alias("x"), F.col("start").cast("long").alias("s"), F.lit(None).cast("long").alias("own"))
-    after = Window.partitionBy(*key).orderBy("x", F.col("s").isNotNull()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    following = ends.unionByName(starts).withColumn("following", F.min("s").over(after)).where("own IS NOT NULL AND following IS NOT NULL")
-    first = at.groupBy(*key).agg(F.min("start").cast("long").alias("_at"))
-    kept = reached(first, following.select(*key, F.col("own").alias("_at"), "following"), key, "_at", "following")
-    return at.join(kept, [*[at[c].eqNullSafe(kept[c]) for c in key], at["start"].cast("long") == kept["_at"]], "left_semi")
+    order = Window.partitionBy(*key).orderBy("start", F.struct("end", *rest).desc())
+    first = F.row_number().over(order) == 1
+    rows = hits.where("end > start").select("*", first.alias("_first"))
+    return rows.mapInArrow(_scanned, rows.schema).drop("_first")
+
+
+def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows that a scan keeps; those of one text lie together in order, its first one marked."""
+    at = 0
+    for batch in batches:
+        start, end, first = (batch.column(c).to_pylist() for c in ("start", "end", "_first"))
+        keep = []
+        for s, e, new in zip(start, end, first, strict=True):
+            keep.append(new or s >= at)
+            if keep[-1]:
+                at = e
+        yield batch.filter(pa.array(keep, pa.bool_()))
 
 
 def marker_tagging(hits: DataFrame, relations: DataFrame, key: list[str]) -> DataFrame:
