@@ -359,18 +359,23 @@ def token_offsets(rows: DataFrame, text: str = "text", forms: str = "forms") ->
     `_` in a form stands for a space. A form that is not found has null places and does
     not move the cursor.
     """
-    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<form:string,start:int,end:int>>").alias("out"))
-    norm = lambda f: F.lower(F.regexp_replace(f, "_", " "))
-
-    def step(s: Column, f: Column) -> Column:
-        place = F.call_function("locate", norm(f), F.lower(F.col(text)), s["at"])
-        found = place > 0
-        span = F.struct(
-            f.alias("form"), F.when(found, place - 1).alias("start"), F.when(found, place - 1 + F.length(f)).alias("end")
-        )
-        return F.struct(F.when(found, place + F.length(f)).otherwise(s["at"]).alias("at"), F.concat(s["out"], F.array(span)).alias("out"))
-
-    return rows.withColumn("spans", F.aggregate(forms, start, step, lambda s: s["out"]))
+    low = F.transform(F.col(forms), lambda f: F.lower(F.regexp_replace(f, "_", " ")))
+    places = F.arrow_udf(_places, "array<int>")(F.lower(F.col(text)), low, F.transform(F.col(forms), F.length))
+    return rows.withColumn("spans", F.zip_with(forms, places, lambda f, at: F.struct(f.alias("form"), at.alias("start"), (at + F.length(f)).alias("end"))))
+
+
+def _places(texts: pa.Array, forms: pa.Array, sizes: pa.Array) -> pa.Array:
+    """Of each text's forms (all in lower case) the places from 0; `sizes` are how far each moves the cursor. The text is lowered once, and searched on from the cursor."""
+    out = []
+    for text, own, moves in zip(texts.to_pylist(), forms.to_pylist(), sizes.to_pylist(), strict=True):
+        at, found = 0, None if own is None else []
+        for form, size in zip(own or (), moves or (), strict=True):
+            # an empty form stands at the text's head, as for Spark's locate
+            place = -1 if text is None or form is None else text.find(form, at) if form else 0
+            found.append(place if place >= 0 else None)
+            at = place + size if place >= 0 else at
+        out.append(found)
+    return pa.array(out, pa.list_(pa.int32()))
 
 
 #: Hex digits of a hash that deal groupings into buckets, in which they are numbered.

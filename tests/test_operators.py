@@ -212,3 +212,20 @@ def test_embedded_units_keep_their_tokens(spark):
 def test_kappa(spark):
     rows = spark.createDataFrame([("a", "a")] * 4 + [("b", "b")] * 4 + [("a", "b"), ("b", "a")], "first string, second string")
     assert X.kappa(rows).first().kappa == pytest.approx(0.6)
+
+
+def test_leftmost_longest_of_a_null_key(spark):
+    rows = [(None, 0, 4), (None, 2, 5), (None, 4, 6), ("d", 1, 3), ("d", 3, 4), ("d", 3, 9), ("d", 5, 10)]
+    got = X.leftmost_longest(spark.createDataFrame(rows, "doc string, start int, end int"), ["doc"]).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(None, 0, 4), (None, 4, 6), ("d", 1, 3), ("d", 3, 9)], key=str)
+
+
+def test_offsets_of_a_long_text(spark):
+    import time
+
+    forms = [f"W{i}" for i in range(40_000)]
+    rows = spark.createDataFrame([(" ".join(forms).lower(), forms)], "text string, forms array<string>")
+    start = time.time()
+    spans = X.token_offsets(rows).first().spans
+    assert spans[-1].end == len(" ".join(forms)) and len(spans) == 40_000
+    assert time.time() - start < 20
