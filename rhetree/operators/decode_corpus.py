@@ -14,7 +14,7 @@ from .features import COORDINATING, SCHEMES
 from .greedy import greedy_links
 from .projective import projective_tree
 from .reading_order import reading_order_trees
-from .storage import concluded, written
+from .storage import concluded, large, written
 from .trees import first_of_each, odds, spanning_dag, spanning_tree, with_root
 
 DECODERS = ("mst", "msdag", "eisner", "greedy", "reading_order")
@@ -43,7 +43,7 @@ def numbered(links: DataFrame, units: DataFrame, key: Sequence[str]) -> tuple[Da
     at = Window.partitionBy(*own).orderBy(F.col("id") != ROOT, "span_start", "span_end", "id")
     placed = written(spans.withColumn("pos", (F.row_number().over(at) - 1).cast("int")), "places")
     place = lambda c, x: placed.select(*own, F.col("id").alias(c), F.col("pos").alias(x))
-    return links.join(place("parent", "p"), [*own, "parent"]).join(place("child", "c"), [*own, "child"]), placed
+    return links.join(large(place("parent", "p")), [*own, "parent"]).join(large(place("child", "c")), [*own, "child"]), placed
 
 
 def chosen_links(
@@ -91,7 +91,7 @@ def decode_corpus(
 
 
 def _marked(weights: DataFrame, links: DataFrame, unrelated: int) -> DataFrame:
-    marked = weights.join(links.withColumn("_link", F.lit(True)), ["grouping", "pair_ix"], "left")
+    marked = weights.join(large(links.withColumn("_link", F.lit(True))), ["grouping", "pair_ix"], "left")
     label = best_label(F.col("label_w")) if "label_w" in weights.columns else F.lit(0)
     return marked.withColumn("prediction", F.when(F.col("_link"), label).otherwise(F.lit(unrelated))).drop("_link")
 

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import concluded, written
+from .storage import concluded, large, written
 
 HEURISTICS, FRONTIERS = ("zero", "max", "best", "average"), ("none", "simple", "full")
 
@@ -49,16 +49,16 @@ def _search(links: DataFrame, sizes: DataFrame, key: list[str], heuristic: str,
         futures = _futures(links, key, heuristic)
         chain = links.where("p = c - 1").groupBy(*key).agg(F.count(F.lit(1)).alias("_m"), F.max("bad").alias("_bad"), F.sum("cost").alias("_most"))
         bound = chain.join(sizes, key).where("_m = n - 1 AND _bad = 0").select(*key, "_most")
-        futures = written(futures.join(bound, key), "futures")
+        futures = written(futures.join(large(bound), key), "futures")
     for c in range(1, most):
         here = links.where(F.col("c") == c).drop("c").withColumnRenamed("bad", "_bad")
         # a document whose last unit is placed is done
-        ended.append(states.join(sizes.where(F.col("n") == c).select(*key), key, "left_semi"))
+        ended.append(states.join(large(sizes.where(F.col("n") == c).select(*key)), key, "left_semi"))
         if frontier == "none":
-            grown = states.join(here, key)
+            grown = states.join(large(here), key)
             reach: Column = F.col("open")
         else:
-            grown = states.select("*", F.posexplode("open").alias("_at", "p")).join(here, [*key, "p"])
+            grown = states.select("*", F.posexplode("open").alias("_at", "p")).join(large(here), [*key, "p"])
             keep = F.when(F.col("coordinating"), F.col("_at")).otherwise(F.col("_at") + 1) if frontier == "full" else F.col("_at") + 1
             reach = F.concat(F.slice("open", F.lit(1), keep), F.array(F.lit(c)))
         grown = grown.select(
@@ -67,13 +67,13 @@ def _search(links: DataFrame, sizes: DataFrame, key: list[str], heuristic: str,
         if futures is not None:
             now = futures.where(F.col("c") == c).drop("c")
             fits = F.col("_most").isNull() | ((F.col("bad") == 0) & (F.col("spent") + F.col("future") <= F.col("_most") + 1e-9 * (1 + F.abs("_most"))))
-            grown = grown.join(now, key, "left").where(fits).drop("future", "_most")
+            grown = grown.join(large(now), key, "left").where(fits).drop("future", "_most")
         alike = F.row_number().over(Window.partitionBy(*key, "open").orderBy(*order))
         grown = grown.withColumn("_k", alike).where(F.col("_k") <= nbest).drop("_k")
         if beam is not None:
             grown = grown.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("_k") <= max(beam, nbest)).drop("_k")
         states = written(grown, "states")
-    ended.append(states.join(sizes.where(F.col("n") == most).select(*key), key, "left_semi"))
+    ended.append(states.join(large(sizes.where(F.col("n") == most).select(*key)), key, "left_semi"))
     final = reduce(DataFrame.unionByName, ended).where(F.size("path") > 0)
     k = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
     return final.withColumn("k", k).where(F.col("k") <= nbest).select(*key, "k", F.explode("path").alias("pair_ix"))

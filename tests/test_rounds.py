@@ -72,3 +72,18 @@ def test_tables_that_grow_are_not_broadcast(spark, monkeypatch):
     for query in (text.token_dependents, text.path_to_root, text.mentions):
         plans.append(query(tokens(spark, 20, "id - 1"))._jdf.queryExecution().toString())
     assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_search_states_are_not_broadcast(spark, monkeypatch):
+    from rhetree.operators import reading_order
+
+    plans, write = [], reading_order.written
+
+    def noted(df, what):
+        plans.append(df._jdf.queryExecution().toString())
+        return write(df, what)
+
+    monkeypatch.setattr(reading_order, "written", noted)
+    links = spark.createDataFrame([("g", p, c, 10 * c + p, 0, -1.0) for c in range(1, 3) for p in range(c)], "grouping string, p int, c int, pair_ix long, high long, low double")
+    assert reading_order.reading_order_trees(links, ["grouping"], frontier="simple", beam=2).count() == 2
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
