@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of, written
-from .encoding import ENCODE_BYTES, encoder, slices, tidied, with_end
+from .encoding import SLICE_BYTES, encoder, slices, tidied, tidy, with_end
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 1
@@ -37,8 +37,9 @@ def pieces(docs: DataFrame, window: int = WINDOW, tokenizer: str = TOKENIZER, en
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()  # what tasks of earlier steps have left in this worker
         pieces = encoder(tokenizer, words_only=False)
-        for batch in slices(batches, "text", ENCODE_BYTES):
+        for batch in slices(batches, "text", SLICE_BYTES):
             ids, lengths = with_end(*pieces.encode(batch.column("text")), end_id)
             ids = ids.astype("<u4")
             many = -(-lengths // window)

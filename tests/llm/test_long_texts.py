@@ -75,3 +75,30 @@ def test_splicing(spark):
                 out += [text[at:a], "#"]
             at = max(at, b)
         assert got[i] == "".join(out) + text[at:]
+
+
+def test_packing_encodes_small_slices(spark, monkeypatch):
+    """Texts are encoded SLICE_BYTES at a time: the worker of a late stage lives beside a grown JVM."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql.types import StructType
+
+    from rhetree.llm import packing
+    from rhetree.llm.encoding import SLICE_BYTES
+
+    class Frame:
+        schema = StructType().add("doc_id", "long")
+        select = lambda self, *_: self
+        mapInArrow = lambda self, work, _: work
+
+    class Encoder:
+        seen = []
+
+        def encode(self, texts):
+            self.seen.append(sum(map(len, texts.to_pylist())))
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+
+    monkeypatch.setattr(packing, "encoder", lambda *_, **__: Encoder())
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(70)), "text": ["x" * 100_000] * 70})
+    rows = sum(b.num_rows for b in packing.pieces(Frame())(iter([batch])))
+    assert rows == 70 and sum(Encoder.seen) == 7_000_000 and max(Encoder.seen) <= SLICE_BYTES
