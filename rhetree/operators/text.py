@@ -13,6 +13,8 @@ from .storage import concluded, large, written
 
 #: Characters of a cell that a range join deals spans into.
 CELL = 256
+#: Numbers of 64 bits that a document's lemmas are hashed into.
+SLOTS = 32
 
 
 def unit_text(units: DataFrame, texts: DataFrame, key: str = "doc") -> DataFrame:
@@ -236,17 +238,36 @@ def neighbour_score(words: DataFrame, neighbours: DataFrame) -> DataFrame:
     return words.join(neighbours, ["word", "neighbour"], "left").fillna(0.0, ["score"])
 
 
-def _best_matches(lemmas: DataFrame, neighbours: DataFrame, one: str, two: str, matched_only: bool) -> DataFrame:
+def _near(lemmas: DataFrame, neighbours: DataFrame) -> DataFrame:
+    """(grouping, word, neighbour, score) of the words and neighbours that both are lemmas of one document.
+
+    A document's lemmas as SLOTS * 64 hashed bits go with each of its words, so that of a
+    word's neighbours hardly any but those that the document has are shuffled; the join
+    that follows decides.
+    """
+    words = lemmas.select("grouping", F.col("lemma").alias("word")).distinct()
+    place = F.pmod(F.xxhash64("word"), F.lit(64 * SLOTS))
+    hashed = lambda rows: rows.withColumns({"_slot": F.floor(place / 64).cast("int"), "_mask": F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))})
+    bits = [F.coalesce(F.bit_or(F.when(F.col("_slot") == i, F.col("_mask"))), F.lit(0).cast("long")) for i in range(SLOTS)]
+    sets = hashed(words).groupBy("grouping").agg(F.array(*bits).alias("_bits"))
+    other = hashed(neighbours.withColumnsRenamed({"word": "_of", "neighbour": "word"})).withColumnsRenamed({"word": "neighbour", "_of": "word"})
+    likely = words.join(sets, "grouping").join(other, "word").where(F.get("_bits", F.col("_slot")).bitwiseAND(F.col("_mask")) != 0)
+    return likely.select("grouping", "word", "neighbour", "score").join(words.withColumnRenamed("word", "neighbour"), ["grouping", "neighbour"], "left_semi")
+
+
+def _best_matches(lemmas: DataFrame, near: DataFrame, one: str, two: str, matched_only: bool) -> DataFrame:
     """(grouping, one, two, from_one): the mean best score of one's lemmas among two's, for units that have any match.
 
-    A lemma's neighbours are looked up once a unit, and meet the other units' lemmas by
-    (grouping, neighbour): only matches become rows, and what has none counts by number.
+    A lemma's neighbours in its document meet the other units' lemmas by (grouping,
+    neighbour): only matches become rows, and what has none counts by number. Both sums
+    and the join with the pairs are taken where the matches of a pair have been dealt to.
     """
-    own = lemmas.select("grouping", F.col("unit_id").alias(one), F.col("lemma").alias("word")).distinct()
-    other = lemmas.select("grouping", F.col("unit_id").alias(two), F.col("lemma").alias("neighbour")).distinct()
-    hits = own.join(neighbours, "word").join(other, ["grouping", "neighbour"]).where(F.col(one) != F.col(two))
-    best = hits.groupBy("grouping", one, two, "word").agg(F.max("score").alias("score"))
-    sums = best.groupBy("grouping", one, two).agg(F.sum("score").alias("_sum"), F.count(F.lit(1)).alias("_n"))
+    own = lemmas.select("grouping", F.col("unit_id").alias(one), F.col("lemma").alias("word"))
+    other = lemmas.select("grouping", F.col("unit_id").alias(two), F.col("lemma").alias("neighbour"))
+    hits = own.join(near, ["grouping", "word"]).join(other, ["grouping", "neighbour"]).where(F.col(one) != F.col(two))
+    hits = hits.select("grouping", "parent", "child", "word", "score").repartition("grouping", "parent", "child")
+    best = hits.groupBy("grouping", "parent", "child", "word").agg(F.max("score").alias("score"))
+    sums = best.groupBy("grouping", "parent", "child").agg(F.sum("score").alias("_sum"), F.count(F.lit(1)).alias("_n"))
     if not matched_only:
         n = own.groupBy("grouping", one).agg(F.count(F.lit(1)).alias("_words"))
         sums = sums.join(n, ["grouping", one]).withColumn("_n", F.col("_words")).drop("_words")
@@ -258,9 +279,11 @@ def set_similarity(pairs: DataFrame, lemmas: DataFrame, neighbours: DataFrame, m
 
     `matched_only` averages over the lemmas that have a match at all (the older form).
     """
+    own = written(lemmas.select("grouping", "unit_id", "lemma").distinct(), "lemmas")
+    near = concluded(lambda: _near(own, neighbours), "near")
     out = pairs
     for one, two in (("parent", "child"), ("child", "parent")):
-        out = out.join(_best_matches(lemmas, neighbours, one, two, matched_only), ["grouping", "parent", "child"], "left")
+        out = out.join(_best_matches(own, near, one, two, matched_only), ["grouping", "parent", "child"], "left")
     total = (F.coalesce("from_parent", F.lit(0.0)) + F.coalesce("from_child", F.lit(0.0))) / 2
     return out.withColumn("similarity", total).drop("from_parent", "from_child")
 

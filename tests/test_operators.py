@@ -229,3 +229,27 @@ def test_offsets_of_a_long_text(spark):
     spans = X.token_offsets(rows).first().spans
     assert spans[-1].end == len(" ".join(forms)) and len(spans) == 40_000
     assert time.time() - start < 20
+
+
+def test_neighbours_meet_within_documents(spark):
+    """Of a word's neighbours only those that its own document has are kept, each once; both forms as by brute force."""
+    from rhetree.operators import text as X
+
+    docs = {g: {f"{g}{u}": {f"w{(7 * u + i * (3 + k)) % 60}" for i in range(6)} for u in range(4)} for k, g in enumerate("abc")}
+    score = {(f"w{a}", f"w{b}"): 1.0 / (1 + abs(a - b)) for a in range(60) for b in range(60) if (a + b) % 3}
+    lemmas = spark.createDataFrame([(g, u, w) for g, us in docs.items() for u, ws in us.items() for w in ws], "grouping string, unit_id string, lemma string")
+    neighbours = spark.createDataFrame([(a, b, s) for (a, b), s in score.items()], "word string, neighbour string, score double")
+    known = {g: set().union(*us.values()) for g, us in docs.items()}
+    want = sorted((g, a, b, s) for g, ws in known.items() for (a, b), s in score.items() if a in ws and b in ws)
+    assert sorted((r.grouping, r.word, r.neighbour, r.score) for r in X._near(lemmas, neighbours).collect()) == want
+    pairs = spark.createDataFrame([(g, p, c) for g, us in docs.items() for p in us for c in us if p != c], "grouping string, parent string, child string")
+
+    def side(one, two, matched):
+        best = [max((score[a, b] for b in two if (a, b) in score), default=None) for a in one]
+        found = [x for x in best if x is not None]
+        return sum(found) / max(1, len(found) if matched else len(best))
+
+    for matched in (False, True):
+        for r in X.set_similarity(pairs, lemmas, neighbours, matched).collect():
+            p, c = docs[r.grouping][r.parent], docs[r.grouping][r.child]
+            assert r.similarity == pytest.approx((side(p, c, matched) + side(c, p, matched)) / 2)
