@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from rhetree.functions.columns import best_label
 
 from .pairs import sorted_units
+from .storage import large
 
 
 def _predict(weights: DataFrame, chosen: Column, unrelated: int) -> DataFrame:
@@ -65,7 +66,7 @@ def neighbours(units: DataFrame, key: Sequence[str] = ("grouping",)) -> DataFram
     at = places.groupBy(*own, "x").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "s")).alias("u"), F.max(F.struct("id", "s")).alias("v"))
     ahead = Window.partitionBy(*own).orderBy("x")
     at = at.withColumn("_next", F.lead(F.struct("x", "n", "u")).over(ahead))
-    here = spans.join(at.withColumnRenamed("x", "e"), [*own, "e"])
+    here = spans.join(large(at.withColumnRenamed("x", "e")), [*own, "e"])
     # at the unit's own end: itself and perhaps others; else the next place
     other = F.when(F.col("u.id") == F.col("id"), F.col("v")).otherwise(F.col("u"))
     after = F.when((F.col("n") == 2) & (other["s"] == F.col("e")), other["id"]).when(
@@ -77,7 +78,7 @@ def neighbours(units: DataFrame, key: Sequence[str] = ("grouping",)) -> DataFram
     begins = spans.withColumn("_far", far).withColumn("_new", F.coalesce((F.col("s") > F.col("_far")).cast("int"), F.lit(1)))
     grouped = begins.withColumn("_run", F.sum("_new").over(by_start)).select(*own, "_run", "id", "s", "e")
     side = lambda x: grouped.select(*own, "_run", F.col("id").alias(x), F.col("s").alias(f"{x}_s"), F.col("e").alias(f"{x}_e"))
-    both = side("one").join(side("two"), [*own, "_run"]).where("one <> two")
+    both = side("one").join(large(side("two")), [*own, "_run"]).where("one <> two")
     within = lambda a, b: (F.col(f"{b}_s") <= F.col(f"{a}_s")) & (F.col(f"{a}_e") <= F.col(f"{b}_e"))
     crossing = (F.col("one_s") < F.col("two_e")) & (F.col("two_s") < F.col("one_e"))
     nested = both.where(within("one", "two") | within("two", "one") | crossing).select(*own, "one", "two")

@@ -39,7 +39,7 @@ def numbered(links: DataFrame, units: DataFrame, key: Sequence[str]) -> tuple[Da
     """Links with p and c, and (key, id, pos, span_start, span_end): units' places in reading order from 0, ROOT first."""
     own = list(key)
     ends = links.select(*own, F.explode(F.array("parent", "child")).alias("id")).distinct()
-    spans = ends.join(units.select("grouping", "id", "span_start", "span_end"), ["grouping", "id"], "left").fillna(-1, ["span_start", "span_end"])
+    spans = ends.join(large(units.select("grouping", "id", "span_start", "span_end")), ["grouping", "id"], "left").fillna(-1, ["span_start", "span_end"])
     at = Window.partitionBy(*own).orderBy(F.col("id") != ROOT, "span_start", "span_end", "id")
     placed = written(spans.withColumn("pos", (F.row_number().over(at) - 1).cast("int")), "places")
     place = lambda c, x: placed.select(*own, F.col("id").alias(c), F.col("pos").alias(x))
@@ -64,7 +64,7 @@ def chosen_links(
         ends = places.select(*own, "id", "span_start", "span_end")
         near = neighbours(ends, own)
         place = lambda c, x: places.select(*own, F.col("id").alias(c), F.col("pos").alias(x))
-        near = near.join(place("one", "p"), [*own, "one"]).join(place("two", "c"), [*own, "two"])
+        near = near.join(large(place("one", "p")), [*own, "one"]).join(large(place("two", "c")), [*own, "two"])
         return one(greedy_links(links, near, places.groupBy(*own).agg(F.count(F.lit(1)).alias("n")), own))
     links = links.where("p <> c").select("*", *logs(F.col("attach"), use_prob))
     if decoder == "eisner":

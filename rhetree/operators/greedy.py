@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import concluded, written
+from .storage import concluded, large, written
 
 
 def _greedy(links: DataFrame, near: DataFrame, sizes: DataFrame, key: list[str]) -> DataFrame:
@@ -22,15 +22,15 @@ def _greedy(links: DataFrame, near: DataFrame, sizes: DataFrame, key: list[str])
     gone, rounds = None, 0
     while True:
         # the last unit left has nothing to hang from
-        live = links.join(near, [*key, "p", "c"]).join(sizes.where(F.col("n") > rounds + 1), key, "left_semi")
+        live = links.join(large(near), [*key, "p", "c"]).join(large(sizes.where(F.col("n") > rounds + 1)), key, "left_semi")
         if gone is not None:
-            live = live.join(gone.select(*key, "p"), [*key, "p"], "left_anti")
+            live = live.join(large(gone.select(*key, "p")), [*key, "p"], "left_anti")
         best = live.groupBy(*key).agg(F.max_by(F.struct("p", "c", "pair_ix"), F.struct("attach", -F.col("p"), -F.col("c"))).alias("_b"))
         new = written(best.select(*key, "_b.*"), "taken")
         if new.isEmpty():
             break
         # a unit may become its own neighbour and be passed on as such
-        passed = new.select(*key, "p", F.col("c").alias("_to")).join(near, [*key, "p"]).select(*key, F.col("_to").alias("p"), "c")
+        passed = new.select(*key, "p", F.col("c").alias("_to")).join(large(near), [*key, "p"]).select(*key, F.col("_to").alias("p"), "c")
         near = written(near.unionByName(passed).distinct(), "near")
         rounds += 1
         gone = new if gone is None else written(gone.unionByName(new), "gone")

@@ -87,3 +87,20 @@ def test_search_states_are_not_broadcast(spark, monkeypatch):
     links = spark.createDataFrame([("g", p, c, 10 * c + p, 0, -1.0) for c in range(1, 3) for p in range(c)], "grouping string, p int, c int, pair_ix long, high long, low double")
     assert reading_order.reading_order_trees(links, ["grouping"], frontier="simple", beam=2).count() == 2
     assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_greedy_tables_are_not_broadcast(spark, monkeypatch):
+    from rhetree.operators import greedy
+
+    plans, write = [], greedy.written
+
+    def noted(df, what):
+        plans.append(df._jdf.queryExecution().toString())
+        return write(df, what)
+
+    monkeypatch.setattr(greedy, "written", noted)
+    links = spark.createDataFrame([("g", p, c, 10 * c + p, 0.5) for c in range(1, 4) for p in range(4) if p != c], "grouping string, p int, c int, pair_ix long, attach double")
+    near = spark.createDataFrame([("g", a, b) for a in range(4) for b in range(4) if abs(a - b) == 1], "grouping string, p int, c int")
+    sizes = spark.createDataFrame([("g", 4)], "grouping string, n long")
+    assert greedy.greedy_links(links, near, sizes, ["grouping"]).count() > 0
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
