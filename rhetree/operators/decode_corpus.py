@@ -59,7 +59,8 @@ def chosen_links(
         return one((spanning_tree if decoder == "mst" else spanning_dag)(links, own))
     if decoder not in DECODERS:
         raise ValueError(f"unknown decoder {decoder}")
-    links, places = numbered(slim, units, own)
+    # written, since places and numbers both read it: what the weights come from is worked out once
+    links, places = numbered(written(slim, "candidates"), units, own)
     if decoder == "greedy":
         ends = places.select(*own, "id", "span_start", "span_end")
         near = neighbours(ends, own)

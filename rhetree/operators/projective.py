@@ -1,11 +1,13 @@
 """Best projective trees of all documents at once: a dynamic programme over a chart table.
 
-Units are numbered in reading order, the root first. A row of the chart is a span (i, j)
-of a document with the scores of four structures over it: its head is the left or the
-right end, and it is open (its ends have just been linked) or closed. One round fills the
-spans of one width, for all documents: spans side by side, and spans that share an end,
-are joined on the place where they meet, and the best split is kept. Then the splits are
-followed from the whole document down, some levels at a time.
+Units are numbered in reading order, the root first. A span (i, j) of a document has the
+scores of four structures over it: its head is the left or the right end, and it is open
+(its ends have just been linked) or closed. One round finds the spans of one width, for all
+documents. A row holds the structures of all spans from i up to (i, j), and of all spans
+down to it that end at j: a span that is wider by one meets two neighbouring rows, pairs
+their entries at the place where they meet, and keeps the best split. So a round moves a row
+per span of its width, whatever the number of splits. Then the splits are followed from the
+whole document down, some levels at a time.
 """
 
 from __future__ import annotations
@@ -16,99 +18,120 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import concluded, new_table, written
+from .storage import concluded, deleted, large, new_table, written
 
 #: What a link that is no candidate adds to the high part of a score.
 ABSENT = -(1 << 20)
 #: Levels of splits that are followed for each table written.
-LEVELS = 3
-SCORES = ("ro", "lo", "rc", "lc")  # right (head i) or left (head j), open or closed
+LEVELS = 4
+#: Rounds whose tables stand at once; then their splits are put with the others.
+KEPT = 8
+#: Closed structures, right (head i) or left (head j): where they are split, and where the open one in them is.
+SPLITS = ("rc_k", "rc_s", "lc_k", "lc_s")
 
 
-def _best(h: Column, low: Column, k: Column) -> Column:
-    """To be compared: the score, then the first split."""
-    return F.struct(h.alias("h"), low.alias("l"), (-k).alias("k"))
+def _entry(names: Sequence[str], of: dict[str, Column], **more: Column) -> Column:
+    """Scores of structures as one entry of a row's lists."""
+    parts = [of[s][p].alias(f"{s}_{p}") for s in names for p in "hl"]
+    return F.struct(*parts, *[c.alias(n) for n, c in more.items()])
+
+
+def _from(of: dict[str, Column], j: Column) -> Column:
+    return _entry(("rc", "lc", "ro"), of, k=j.cast("int"), s=of["ro"]["k"])
+
+
+def _upto(of: dict[str, Column]) -> Column:
+    return _entry(("lc", "lo", "rc"), of, s=of["lo"]["k"])
 
 
 def _chart(links: DataFrame, sizes: DataFrame, key: list[str], one_root: bool) -> DataFrame:
-    """(key, i, j, and h, l, k of SCORES) of all spans of two units and more, after the rounds."""
+    """(key, i, j, and SPLITS) of all spans of two units and more, after the rounds."""
     spark = links.sparkSession
     most = sizes.agg(F.max("n")).first()[0] or 0
-    path = new_table(spark, "chart")
-    zero = [x.alias(f"{s}_{p}") for s in SCORES for x, p in ((F.lit(0).cast("long"), "h"), (F.lit(0.0), "l"), (F.lit(0), "k"))]
-    spans = sizes.select(*key, F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).select(*key, "i", F.col("i").alias("j"), *zero)
-    spans.write.parquet(path)
-    score = links.select(*key, F.col("p").alias("i"), F.col("c").alias("j"), F.col("high").alias("h"), F.col("low").alias("l"))
-    right = score.where("i < j").withColumnsRenamed({"h": "_rh", "l": "_rl"})
-    left = score.where("i > j").select(*key, F.col("j").alias("i"), F.col("i").alias("j"), F.col("h").alias("_lh"), F.col("l").alias("_ll"))
-    arcs = written(right.join(left, [*key, "i", "j"], "full"), "arcs")
+    path = new_table(spark, "splits")
+    single = F.struct(F.lit(0).cast("long").alias("h"), F.lit(0.0).alias("l"), F.lit(0).alias("k"))
+    alone = dict.fromkeys(("ro", "lo", "rc", "lc"), single)
+    state = sizes.select(*key, F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).select(
+        *key, "i", F.col("i").alias("j"), F.array(_from(alone, F.col("i"))).alias("a"), F.array(_upto(alone)).alias("b"), *[F.lit(0).alias(s) for s in SPLITS]
+    )
+    score, right = F.struct(F.col("high").alias("h"), F.col("low").alias("l")), F.col("p") < F.col("c")
+    arcs = links.groupBy(*key, F.least("p", "c").alias("i"), F.abs(F.col("c") - F.col("p")).alias("width"))
+    arcs = written(arcs.agg(F.max(F.when(right, score)).alias("_r"), F.max(F.when(~right, score)).alias("_l")).sortWithinPartitions("width"), "arcs")
+    standing, fresh = [], [state]
     for width in range(1, most):
-        chart = spark.read.schema(spans.schema).parquet(path)
-        pick = lambda names, end: [F.col(f"{s}_{p}").alias(f"{end}_{s}_{p}") for s in names for p in "hl"]
-
-        def meet(shift: int) -> DataFrame:
-            """Spans from i to k joined with those from k + shift to j, together `width` wide."""
-            ahead = chart.select(*key, "i", F.col("j").alias("k"), (F.col("j") + shift).alias("_m"), (F.col("i") + width).alias("j"), *pick(("rc", "lc", "ro"), "a"))
-            after = chart.select(*key, F.col("i").alias("_m"), "j", *pick(("lc", "lo", "rc"), "b"))
-            return ahead.join(after, [*key, "_m", "j"])
-
-        add = lambda x, y: (F.col(f"a_{x}_h") + F.col(f"b_{y}_h"), F.col(f"a_{x}_l") + F.col(f"b_{y}_l"))
-        none = F.lit(None).cast("struct<h:bigint,l:double,k:int>")
-        beside = meet(1).select(*key, "i", "j", _best(*add("rc", "lc"), F.col("k")).alias("open"), "k")
-        first = (F.col("i") > 0) | (F.col("k") == 0) if one_root else F.lit(True)
-        beside = beside.select(*key, "i", "j", "open", F.when(first, F.col("open")).alias("open_r"), none.alias("in_l"), none.alias("in_r"))
-        inner = meet(0).where("i < k AND k < j").select(
-            *key, "i", "j", none.alias("open"), none.alias("open_r"), _best(*add("lc", "lo"), F.col("k")).alias("in_l"), _best(*add("ro", "rc"), F.col("k")).alias("in_r")
-        )
-        best = beside.unionByName(inner).groupBy(*key, "i", "j").agg(*[F.max(c).alias(c) for c in ("open", "open_r", "in_l", "in_r")])
-        best = best.join(arcs, [*key, "i", "j"], "left")
-        arc = lambda x: (F.coalesce(f"_{x}h", F.lit(ABSENT)), F.coalesce(f"_{x}l", F.lit(0.0)))
-        (rh, rl), (lh, ll) = arc("r"), arc("l")
-        lh, ll = F.when(F.col("i") > 0, lh).otherwise(F.lit(ABSENT)), F.when(F.col("i") > 0, ll).otherwise(F.lit(0.0))
-        best = best.withColumns({
-            "ro": F.struct((F.col("open_r.h") + rh).alias("h"), (F.col("open_r.l") + rl).alias("l"), (-F.col("open_r.k")).alias("k")),
-            "lo": F.struct((F.col("open.h") + lh).alias("h"), (F.col("open.l") + ll).alias("l"), (-F.col("open.k")).alias("k")),
+        ahead, after = state.select(*key, "i", "a"), state.select(*key, (F.col("i") - 1).alias("i"), "b")
+        arc = arcs.where(F.col("width") == width).drop("width")
+        met = ahead.join(large(after), [*key, "i"]).join(large(arc), [*key, "i"], "left").withColumn("j", F.col("i") + width)
+        sums = lambda x, y, s, t: ((x[f"{s}_h"] + y[f"{t}_h"]).alias("h"), (x[f"{s}_l"] + y[f"{t}_l"]).alias("l"), (-x["k"]).alias("k"))
+        beside = lambda x, y: F.struct(*sums(x, y, "rc", "lc"))
+        # compared: the score, then the first split; s only comes along
+        inner = [F.slice("a", 2, width - 1), F.slice("b", 1, width - 1)]
+        best = met.withColumns({
+            "open": F.array_max(F.zip_with("a", "b", beside)),
+            "in_l": F.array_max(F.zip_with(*inner, lambda x, y: F.struct(*sums(x, y, "lc", "lo"), y["s"].alias("s")))),
+            "in_r": F.array_max(F.zip_with(*inner, lambda x, y: F.struct(*sums(x, y, "ro", "rc"), x["s"].alias("s")))),
         })
+        # the root's only child hangs from a span that holds nothing else of the root's
+        best = best.withColumn("open_r", F.when(F.col("i") > 0, F.col("open")).otherwise(beside(F.get("a", F.lit(0)), F.get("b", F.lit(0)))) if one_root else F.col("open"))
+        linked = lambda x, arc: F.struct(
+            (F.col(f"{x}.h") + F.coalesce(f"{arc}.h", F.lit(ABSENT))).alias("h"), (F.col(f"{x}.l") + F.coalesce(f"{arc}.l", F.lit(0.0))).alias("l"), (-F.col(f"{x}.k")).alias("k")
+        )
+        to_root = F.struct((F.col("open.h") + ABSENT).alias("h"), F.col("open.l").alias("l"), (-F.col("open.k")).alias("k"))
+        best = best.withColumns({"ro": linked("open_r", "_r"), "lo": F.when(F.col("i") > 0, linked("open", "_l")).otherwise(to_root)})
         # closed: the open span itself, its own end as the split, or an inner split; the first wins ties
-        own_l, own_r = _best(F.col("lo.h"), F.col("lo.l"), F.col("i")), _best(F.col("ro.h"), F.col("ro.l"), F.col("j"))
-        best = best.withColumns({"lc": F.greatest(own_l, F.coalesce("in_l", own_l)), "rc": F.greatest(own_r, F.coalesce("in_r", own_r))})
-        best = best.withColumns({c: F.struct(F.col(f"{c}.h").alias("h"), F.col(f"{c}.l").alias("l"), (-F.col(f"{c}.k")).alias("k")) for c in ("lc", "rc")})
-        flat = [F.col(f"{s}.{p}").alias(f"{s}_{p}") for s in SCORES for p in ("h", "l", "k")]
-        best.select(*key, F.col("i").cast("int"), F.col("j").cast("int"), *flat).write.mode("append").parquet(path)
-    return spark.read.schema(spans.schema).parquet(path).where("i < j")
+        own = lambda x, k: F.struct(F.col(f"{x}.h").alias("h"), F.col(f"{x}.l").alias("l"), (-F.col(k)).alias("k"), F.col(f"{x}.k").alias("s"))
+        best = best.withColumns({"lc": F.greatest(own("lo", "i"), "in_l"), "rc": F.greatest(own("ro", "j"), "in_r")})
+        now = {s: F.col(s) for s in ("ro", "lo", "rc", "lc")}
+        splits = [(-F.col(f"{s}.k")).alias(f"{s}_k") if p == "k" else F.col(f"{s}.s").alias(f"{s}_s") for s, p in (name.split("_") for name in SPLITS)]
+        state = best.select(
+            *key, "i", "j", F.concat("a", F.array(_from(now, F.col("j")))).alias("a"), F.concat(F.array(_upto(now)), "b").alias("b"), *splits
+        )
+        place = new_table(spark, "chart")
+        state.write.parquet(place)
+        state = spark.read.schema(state.schema).parquet(place)
+        standing, fresh = [*standing, place], [*fresh, state]
+        if len(standing) > KEPT:
+            _keep(fresh, key, path)
+            deleted(spark, standing[:-1])
+            standing, fresh = standing[-1:], []
+    _keep(fresh or [state.where("false")], key, path)
+    return spark.read.schema(state.select(*key, "i", "j", *SPLITS).schema).parquet(path)
 
 
-def _links(chart: DataFrame, sizes: DataFrame, key: list[str]) -> DataFrame:
-    """(key, p, c) of the links of the best structures: the splits followed down from the whole document."""
-    split = chart.select(*key, "i", "j", *[f"{s}_k" for s in SCORES])
-    item = lambda i, j, s: F.struct(i.alias("i"), j.alias("j"), F.lit(s).alias("item"))
-    i, j, kind = F.col("i"), F.col("j"), F.col("item")
+def _keep(rounds: list[DataFrame], key: list[str], path: str) -> None:
+    """Puts the splits of some rounds with those of the others."""
+    slim = [r.select(*key, "i", "j", *SPLITS).where("i < j") for r in rounds]
+    reduce(DataFrame.unionByName, slim).write.mode("append").parquet(path)
 
-    def below(at: DataFrame) -> DataFrame:
-        here = at.join(split, [*key, "i", "j"])
-        k = F.when(kind == "ro", F.col("ro_k")).when(kind == "lo", F.col("lo_k")).when(kind == "rc", F.col("rc_k")).otherwise(F.col("lc_k"))
-        parts = (
-            F.when(kind == "rc", F.array(item(i, k, "ro"), item(k, j, "rc")))
-            .when(kind == "lc", F.array(item(i, k, "lc"), item(k, j, "lo")))
-            .otherwise(F.array(item(i, k, "rc"), item(k + 1, j, "lc")))
-        )
-        return here.select(*key, F.explode(parts).alias("_x")).select(*key, "_x.*").where("i < j")
 
-    at = sizes.where("n > 1").select(*key, F.lit(0).alias("i"), (F.col("n") - 1).cast("int").alias("j"), F.lit("rc").alias("item"))
-    out = None
-    while not at.isEmpty():
-        steps = []
-        for n in range(LEVELS):
+def _links(split: DataFrame, sizes: DataFrame, key: list[str]) -> DataFrame:
+    """(key, p, c) of the links of the best structures: the splits followed down from the whole document.
+
+    A row is a closed structure over (i, j), to be followed, or a link (p, c), with no i.
+    """
+    i, j, right, k, s = (F.col(x) for x in ("i", "j", "right", "_k", "_s"))
+    no = F.lit(None).cast("int")
+    closed = lambda i, j, right: F.struct(i.alias("i"), j.alias("j"), right.alias("right"), no.alias("p"), no.alias("c"))
+    link = lambda p, c: F.struct(no.alias("i"), no.alias("j"), F.lit(True).alias("right"), p.alias("p"), c.alias("c"))
+    yes, false = F.lit(True), F.lit(False)
+
+    def below(at: DataFrame) -> DataFrame:
+        here = at.join(large(split), [*key, "i", "j"], "left")
+        here = here.withColumns({"_k": F.when(right, F.col("rc_k")).otherwise(F.col("lc_k")), "_s": F.when(right, F.col("rc_s")).otherwise(F.col("lc_s"))})
+        parts = F.when(i.isNull(), F.array(link(F.col("p"), F.col("c")))).when(
+            right, F.array(link(i, k), closed(i, s, yes), closed(s + 1, k, false), closed(k, j, yes))
+        ).otherwise(F.array(link(j, k), closed(i, k, false), closed(k, s, yes), closed(s + 1, j, false)))
+        return here.select(*key, F.explode(parts).alias("_x")).select(*key, "_x.*").where("p IS NOT NULL OR i < j")
+
+    whole = closed(F.lit(0), (F.col("n") - 1).cast("int"), yes)
+    at, found = sizes.where("n > 1").select(*key, whole.alias("_x")).select(*key, "_x.*"), []
+    while not found or not at.isEmpty():
+        for _ in range(LEVELS):
             at = below(at)
-            steps.append(at.withColumn("_last", F.lit(n == LEVELS - 1)))
-        table = written(reduce(DataFrame.unionByName, steps), "followed")
-        at = table.where("_last").drop("_last")
-        out = table if out is None else out.unionByName(table)
-    if out is None:  # no document has a link
-        out = sizes.select(*key, F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit("").alias("item"))
-    out = out.where("item IN ('ro', 'lo')")
-    to_right = F.col("item") == "ro"
-    return out.select(*key, F.when(to_right, i).otherwise(j).alias("p"), F.when(to_right, j).otherwise(i).alias("c"))
+        table = written(at, "followed")
+        found.append(table.where("p IS NOT NULL").select(*key, "p", "c"))
+        at = table.where("p IS NULL")
+    return reduce(DataFrame.unionByName, found)
 
 
 def projective_tree(links: DataFrame, key: Sequence[str], one_root: bool = True) -> DataFrame:
@@ -124,6 +147,6 @@ def projective_tree(links: DataFrame, key: Sequence[str], one_root: bool = True)
         slim = written(links.select(*own, F.col("p").cast("int").alias("p"), F.col("c").cast("int").alias("c"), "pair_ix", "high", "low"), "numbered")
         sizes = written(slim.groupBy(*own).agg((F.max(F.greatest("p", "c")) + 1).alias("n")), "sizes")
         chart = _chart(slim, sizes, own, one_root)
-        return _links(chart, sizes, own).join(slim, [*own, "p", "c"]).select(*own, "pair_ix")
+        return large(_links(chart, sizes, own)).join(slim, [*own, "p", "c"]).select(*own, "pair_ix")
 
     return concluded(run, "projective")

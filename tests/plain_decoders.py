@@ -1,6 +1,8 @@
 """One document at a time, the plain way: what the decoders over tables are held against."""
 
 import itertools
+from functools import cache
+from math import inf
 
 import numpy as np
 
@@ -47,6 +49,24 @@ def best_tree(doc, fit=lambda tree: True, odds=True):
     return max(doc.total(t, odds) for t in all_trees(doc.n) if fit(t))
 
 
+def best_projective(n, score):
+    """The best total of a projective tree from unit 0 with one child; `score` has the links (p, c)."""
+    @cache
+    def opened(i, j, head):
+        own = score.get((i, j) if head == i else (j, i), -inf)
+        return own + max(closed(i, k, i) + closed(k + 1, j, j) for k in range(i, j))
+
+    @cache
+    def closed(i, j, head):
+        if i == j:
+            return 0.0
+        if head == i:
+            return max(opened(i, k, i) + closed(k, j, k) for k in range(i + 1, j + 1))
+        return max(closed(i, k, k) + opened(k, j, j) for k in range(i, j))
+
+    return max(score.get((0, c), -inf) + closed(1, c, c) + closed(c, n - 1, c) for c in range(1, n))
+
+
 def dag(doc, tree):
     """The tree's links, then all others by falling score that close no circle."""
     reach = np.eye(doc.n, dtype=bool)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import plain_decoders as plain
 from rhetree.operators import decode as D
 from rhetree.operators.decode_corpus import chosen_links, decode_corpus, decode_nbest
+from rhetree.operators.projective import projective_tree
 
 PAIRS = "grouping string, pair_ix long, parent string, child string, attach double, coordinating boolean"
 UNITS = "grouping string, id string, span_start int, span_end int"
@@ -145,3 +146,31 @@ def test_tree_of_300_units(spark):
     assert sum(odds[p, c] for c, p in got.items()) == pytest.approx(sum(odds[want[c], c] for c in range(1, n)))
     order = {r.pair_ix % n: r.pair_ix // n for r in chosen_links(weights, spans, "reading_order").where("grouping = 'long'").collect()}
     assert order == {c: int(w[:c, c].argmax()) for c in range(1, n)}
+
+
+def shuffled(spark, since=0):
+    """(rows written to shuffles by stages from number `since`, the next stage's number)."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    each = [stages.apply(i) for i in range(stages.size())]
+    return sum(s.shuffleWriteRecords() for s in each if s.stageId() >= since), max(s.stageId() for s in each) + 1
+
+
+def test_projective_tree_of_14_units(spark):
+    """More rounds than keep their tables; a round shuffles rows for spans, not for splits or for the spans before."""
+    n, rng = 14, random.Random(7)
+    score = {(p, c): rng.choice([0.1, 0.4, rng.random()]) for p, c in itertools.product(range(n), range(1, n)) if p != c and rng.random() < 0.9}
+    score |= {(c - 1, c): 0.01 for c in range(1, n)}
+    rows = [("g", p, c, n * p + c, 0, float(np.log(w))) for (p, c), w in score.items()] + [("h", 0, 1, 1, 0, -1.0)]
+    links = spark.createDataFrame(rows, "grouping string, p int, c int, pair_ix long, high long, low double").repartition(2).localCheckpoint()
+    since, threshold = shuffled(spark)[1], "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(threshold, "-1")  # as with tables too large to be sent around
+    try:
+        got = projective_tree(links, ["grouping"]).collect()
+    finally:
+        spark.conf.unset(threshold)
+    assert shuffled(spark, since)[0] < 8 * n * n
+    tree = [divmod(r.pair_ix, n) for r in got if r.grouping == "g"]
+    assert len(tree) == n - 1 and plain.projective(tree) and sum(p == 0 for p, _ in tree) == 1
+    assert [r.pair_ix for r in got if r.grouping == "h"] == [1]
+    assert sum(np.log(score[link]) for link in tree) == pytest.approx(plain.best_projective(n, {x: np.log(w) for x, w in score.items()}))
